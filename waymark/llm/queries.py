@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import decontaminate, packing, simhash
 from .common import table
 
 
@@ -26,9 +26,28 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_pivots": op4_simhash_pivots,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
+    "op9_minhash_containment": op9_minhash_containment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Distinct five-word shingles of a table's lower-cased texts; fewer words are one shingle.
+SHINGLES = """
+    SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i
+          FROM (SELECT {id} AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}) WHERE len(w) > 0)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_minhash_containment": f"""
+    WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), b AS ({SHINGLES.format(id="item_id", table="benchmark")}),
+    n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
+    m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+    SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+    FROM m JOIN n ON n.id = m.item_id WHERE n_shared * 5 >= n_item * 4""",
+}
