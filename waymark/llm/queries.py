@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, urlrules
+from . import decontaminate, packing, simhash, substrings, urlrules
 from .common import table
 
 
+def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -41,6 +46,7 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op7_sorted_sweep": op7_sorted_sweep,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
