@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substrings, urlrules
+from . import decontaminate, packing, pii, simhash, substrings, urlrules
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_shape_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -47,6 +53,7 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
+    "op2_shape_field": op2_shape_field,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op7_sorted_sweep": op7_sorted_sweep,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
