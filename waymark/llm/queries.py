@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, pii, simhash, substrings, urlrules
+from . import decontaminate, editprints, language, packing, pii, simhash, substrings, urlrules
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_shape_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = editprints.with_edits(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -60,6 +65,7 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_shape_field": op2_shape_field,
+    "op3_edit_embedding": op3_edit_embedding,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_byte_convolution": op5_byte_convolution,
     "op7_sorted_sweep": op7_sorted_sweep,
