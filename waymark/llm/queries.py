@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editprints, language, packing, pii, simhash, substrings, urlrules
+from . import decontaminate, editprints, language, packing, pii, pseudolikelihood, simhash, substrings, urlrules
 from .common import table
 
 
@@ -48,6 +48,12 @@ def op5_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pseudolikelihood.score(docs, pseudolikelihood.learn(docs)).withColumnRenamed("id", "doc_id")
+    return found.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
+
+
 #: (host, path prefix, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_edit_embedding": op3_edit_embedding,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_byte_convolution": op5_byte_convolution,
+    "op6_masked_pseudo_likelihood": op6_masked_pseudo_likelihood,
     "op7_sorted_sweep": op7_sorted_sweep,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_minhash_containment": op9_minhash_containment,
