@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editprints, language, packing, pii, pseudolikelihood, simhash, substrings, urlrules
+from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, simhash, substrings, urlrules
 from .common import table
 
 
@@ -68,6 +68,22 @@ def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
+def sample_edits(text: str = "text") -> Column:
+    """A replacement, an insertion and a deletion in each text, at places that depend on its length."""
+    n = F.length(text)
+    edit = lambda start, stop, new: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), new.alias("text"))
+    third, half, fifth = F.floor(n / 3), F.floor(n / 2), F.floor(n / 5)
+    return F.array(edit(third, third + 7, F.lit("Edited in 2024")), edit(half, half, F.substring(text, 1, 40)), edit(fifth, fifth + 12, F.lit("")))
+
+
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = editcounts.count(table(spark, sf_dir, "documents"), ranks, pattern, sample_edits())
+    return found.select(F.col("id").alias("doc_id"), "n_pretokens", "n_tokens", "n_tokens_edited", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_shape_field": op2_shape_field,
@@ -78,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sorted_sweep": op7_sorted_sweep,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_minhash_containment": op9_minhash_containment,
+    "op10_edit_aware_counts": op10_edit_aware_counts,
 }
 
 #: Distinct five-word shingles of a table's lower-cased texts; fewer words are one shingle.
