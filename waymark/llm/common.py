@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +50,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece have about `most` bytes, or are one text."""
     for batch in batches:
         at, n, total = 0, 0, 0
@@ -62,3 +63,21 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             n, total = n + 1, total + size
         if n:
             yield batch.slice(at, n)
+
+
+def with_columns(docs: DataFrame, text_col: str, added: str, compute: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+    """docs with the columns of the DDL `added`, which compute(texts) gives; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
+    new = T.StructType.fromDDL(added).fields
+    given = docs.drop(*[f.name for f in new if f.name != text_col])
+    names = [f.name for f in given.schema.fields]
+    schema = T.StructType([f for f in given.schema.fields if f.name not in {n.name for n in new}] + new)
+    at, kept = names.index(text_col), [i for i, n in enumerate(names) if n not in {f.name for f in new}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces([batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])], f"c{at}"):
+                columns = [piece.column(i) for i in kept] + compute(utf8(piece.column(at)))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+
+    return given.mapInArrow(run, schema)

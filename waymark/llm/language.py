@@ -9,7 +9,6 @@ windows, weighted by their bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, utf8
+from .common import with_columns
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Labelled texts that training reads for each language, at most about so many, and windows that it takes of each.
@@ -132,31 +131,32 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return [(r[0], r[1].encode()) for r in rows.select(lang_col, text_col).sort(F.xxhash64(id_col), id_col).limit(per_language * 200).collect()]
 
 
-def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the most probable language of each whole text, and its probability.
+def judged(texts: list[bytes], net: Network) -> tuple[list[str], list[float]]:
+    """The language and score of each whole text."""
+    windows, owner, sizes = cut(texts)
+    total = np.zeros((len(texts), len(net.out_bias)))
+    for a in range(0, len(windows), 1024):
+        p = net.probabilities(net.pooled(windows[a : a + 1024])[0])
+        np.add.at(total, owner[a : a + 1024], p * sizes[a : a + 1024, None])
+    total /= np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+    best = total.argmax(1)
+    known = [bool(net.languages) and bool(LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+    names = [net.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known)]
+    return names, [float(min(1.0, row[i])) if ok else 0.0 for row, i, ok in zip(total, best, known)]
 
-    A text that is null or has no letter is `und` with score 0, as is every text if the network knows no language. Rows
-    with equal ids are judged one by one; only the text counts, and other columns are ignored.
+
+def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score: the most probable language of each whole text, and its probability.
+
+    A text that is null or has no letter is `und` with score 0, as is every text if the network knows no language. Each
+    row is judged by its text alone; columns named lang_pred or score are replaced.
     """
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 19):
-            texts = utf8(batch.column(1))
-            windows, owner, sizes = cut(texts)
-            total = np.zeros((len(texts), len(net.out_bias)))
-            for a in range(0, len(windows), 1024):
-                p = net.probabilities(net.pooled(windows[a : a + 1024])[0])
-                np.add.at(total, owner[a : a + 1024], p * sizes[a : a + 1024, None])
-            total /= np.maximum(1, np.array([len(t) for t in texts]))[:, None]
-            best = total.argmax(1)
-            known = [bool(net.languages) and bool(LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
-            names = [net.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known)]
-            scores = [float(min(1.0, row[i])) if ok else 0.0 for row, i, ok in zip(total, best, known)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        names, scores = judged(texts, net)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+    return with_columns(docs, text_col, "lang_pred string, score double", compute)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:

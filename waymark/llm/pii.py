@@ -14,13 +14,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import Words, split
-from .common import pieces, small_batches, utf8
+from .common import pieces, small_batches, utf8, with_columns
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -400,5 +399,15 @@ def redacted(text: str | None, spans_of: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(texts: pd.Series, spans_of: pd.Series) -> pd.Series:
-    return pd.Series([redacted(t, s) for t, s in zip(texts, spans_of)], dtype=object)
+def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
+    """docs with every span of every text replaced by its kind in brackets; null texts stay null and other columns stay."""
+    field, nulls = field or default_field(), F.col(text_col).isNull()
+
+    def compute(texts: list[bytes]) -> list[pa.Array]:
+        found = all_spans(texts, field)
+        return [pa.array([redacted(t.decode("utf-8", "replace"), joined(b + m)) for t, (b, m) in zip(texts, found)], pa.string())]
+
+    order = docs.columns
+    marked = docs.withColumn("_null", nulls)
+    changed = with_columns(marked, text_col, f"{text_col} string", compute)
+    return changed.withColumn(text_col, F.when(~F.col("_null"), F.col(text_col))).select(*order)

@@ -44,7 +44,7 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.identify(docs, language.learn(docs)).withColumnRenamed("id", "doc_id")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 

@@ -122,5 +122,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, F.col("fp") == F.col("key")).select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the least id of their group; of rows with equal ids and texts, one.
+
+    A row without an id stays only if no row of its group has one.
+    """
+    found = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    # the join and the removal of repeated rows share one shuffle by id
+    return docs.join(found, docs[id_col].eqNullSafe(found["id"]), "left_semi").dropDuplicates([id_col, text_col])
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
