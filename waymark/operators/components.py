@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..sources.storage import materialise
 
 
 def _to_minimum(edges: DataFrame, own: bool) -> DataFrame:
