@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.storage import materialise, shared_dir
+
+__all__ = ["WORD", "materialise", "pieces", "shared_dir", "small_batches", "table", "utf8", "with_columns"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; with whole texts in the rows, Spark's default of 10,000 can be gigabytes.
@@ -28,23 +29,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "waymark-checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; a lost executor then costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

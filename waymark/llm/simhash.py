@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialise, small_batches, utf8
-from .graph import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Blocks of the pivot table, and pivots: random 64-bit numbers from a fixed seed.
