@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_KM = 6371.0
 # Precision tiers; agreement and divergence distances in kilometres.
@@ -123,7 +124,7 @@ def to_shifted(lat: Column, lng: Column) -> Column:
     return F.struct(F.when(out, lat).otherwise(y).alias("lat"), F.when(out, lng).otherwise(x).alias("lng"))
 
 
-@F.pandas_udf("lat double, lng double")
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())]))
 def from_shifted(lat: pd.Series, lng: pd.Series) -> pd.DataFrame:
     """The inverse by eight fixed-point steps, which would be a huge expression if it were unrolled in columns."""
     a, b = lat.to_numpy(float), lng.to_numpy(float)

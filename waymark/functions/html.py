@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The named entities that are decoded; others stay as they are.
 ENTITIES = {
@@ -123,7 +124,7 @@ def balanced(html: str | None, start: int, tag: str) -> str | None:
 def balanced_elements(tag: str, marker: str):
     """An Arrow function: the elements `tag` whose opening tag matches `marker`, whole, nested ones inside."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(html: pd.Series) -> pd.Series:
         opening = re.compile(rf"<{re.escape(tag)}\b[^>]*{marker}[^>]*>", re.I)
         return html.map(lambda s: [] if s is None else [balanced(s, m.start(), tag) for m in opening.finditer(s)])
