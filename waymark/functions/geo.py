@@ -127,10 +127,11 @@ def to_shifted(lat: Column, lng: Column) -> Column:
 @F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())]))
 def from_shifted(lat: pd.Series, lng: pd.Series) -> pd.DataFrame:
     """The inverse by eight fixed-point steps, which would be a huge expression if it were unrolled in columns."""
-    a, b = lat.to_numpy(float), lng.to_numpy(float)
-    y, x = a.copy(), b.copy()
-    outside = (b < 72.004) | (b > 137.8347) | (a < 0.8293) | (a > 55.8271)
+    a, b = lat.to_numpy(float, copy=True), lng.to_numpy(float, copy=True)
+    inside = ~((b < 72.004) | (b > 137.8347) | (a < 0.8293) | (a > 55.8271))
+    y, x = a[inside], b[inside]
     for _ in range(8):
         sy, sx = _shift(y, x, np.sin, np.cos, np.sqrt, np.abs)
-        y, x = y - (sy - a), x - (sx - b)
-    return pd.DataFrame({"lat": np.where(outside, a, y), "lng": np.where(outside, b, x)})
+        y, x = y - (sy - a[inside]), x - (sx - b[inside])
+    a[inside], b[inside] = y, x
+    return pd.DataFrame({"lat": a, "lng": b})

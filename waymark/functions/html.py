@@ -31,7 +31,7 @@ def _entity(m: re.Match) -> str:
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(text: pd.Series) -> pd.Series:
     """Hexadecimal, decimal and named entities; unknown names stay, impossible code points are dropped."""
     pattern = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,8});|#([0-9]{1,9});|([a-zA-Z]+);)")
@@ -45,7 +45,7 @@ def stripped(html: Column, decode=decoded_names) -> Column:
 
 def paragraphs(html: Column) -> Column:
     inner = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1)
-    return F.filter(F.transform(inner, stripped), lambda t: t != "")
+    return F.filter(F.transform(inner, lambda h: stripped(h)), lambda t: t != "")
 
 
 def hrefs(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,39 +18,50 @@ def places(x: Column, n: int) -> Column:
     return F.floor(x * F.lit(float(10**n)) + 0.5) / F.lit(float(10**n))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def price_number(text: Column) -> Column:
     """A printed number as a plain one, or null.
 
     With both separators the last one is decimal. A single kind of separator is decimal before one or two last digits, unless
     every group after the first has three digits; otherwise it groups thousands. A fraction has two digits at most.
     """
+
+    def read(plain: Column) -> Column:
+        tail = F.regexp_extract(plain, r"[,.](\d*)$", 1)
+        both = plain.contains(",") & plain.contains(".")
+        last = F.regexp_extract(plain, r"([,.])\d*$", 1)
+        grouped = plain.rlike(r"^\d+([,.]\d{3})+$")
+        decimal = (last != "") & (both | (~grouped & F.length(tail).isin(1, 2)))
+        whole = F.regexp_replace(F.when(decimal, F.regexp_replace(plain, r"[,.]\d*$", "")).otherwise(plain), "[,.]", "")
+        value = F.when(decimal & (tail != ""), F.concat(whole, F.lit("."), tail)).otherwise(whole)
+        return F.when(plain.rlike(r"^\d[\d,.]*$") & (~decimal | (F.length(tail) <= 2)), value)
+
     plain = F.translate(F.regexp_replace(F.translate(F.trim(text), DIGITS, VALUES), r"[\s'’]", ""), "٬٫", ",.")
-    tail = F.regexp_extract(plain, r"[,.](\d*)$", 1)
-    both = plain.contains(",") & plain.contains(".")
-    last = F.regexp_extract(plain, r"([,.])\d*$", 1)
-    grouped = plain.rlike(r"^\d+([,.]\d{3})+$")
-    decimal = (last != "") & (both | (~grouped & F.length(tail).isin(1, 2)))
-    whole = F.regexp_replace(F.when(decimal, F.regexp_replace(plain, r"[,.]\d*$", "")).otherwise(plain), "[,.]", "")
-    value = F.when(decimal & (tail != ""), F.concat(whole, F.lit("."), tail)).otherwise(whole)
-    valid = plain.rlike(r"^\d[\d,.]*$") & whole.rlike(r"^\d+$") & (~decimal | (F.length(tail) <= 2))
-    return F.when(valid, value)
+    return bound(plain, read)
 
 
 def published_price(text: Column) -> Column:
     """struct(text, currency, price, status): the first word of three capitals is the currency, the number follows it."""
+
+    def result(found: Column) -> Column:
+        source, currency, number = found["source"], found["currency"], found["number"]
+        missing = source.isNull() | (source == "")
+        verified = ~missing & (currency != "") & number.isNotNull()
+        return F.struct(
+            F.when(~missing, source).alias("text"),
+            F.when(verified, currency).alias("currency"),
+            F.when(verified, number).alias("price"),
+            F.when(missing, "missing").when(verified, "verified").otherwise("unparsed").alias("status"),
+        )
+
     source = F.trim(text)
-    found = r"\b([A-Z]{3})\b"
-    currency = F.regexp_extract(source, found, 1)
-    after = F.regexp_replace(source, r"(?s)^.*?\b[A-Z]{3}\b", "")
-    number = F.try_to_number(price_number(F.regexp_extract(after, r"(\p{N}[\p{N}\s.,'’٬٫]*)", 1)), F.lit("9999999999999999.99")).cast("double")
-    missing = source.isNull() | (source == "")
-    verified = ~missing & (currency != "") & number.isNotNull()
-    return F.struct(
-        F.when(~missing, source).alias("text"),
-        F.when(verified, currency).alias("currency"),
-        F.when(verified, number).alias("price"),
-        F.when(missing, "missing").when(verified, "verified").otherwise("unparsed").alias("status"),
-    )
+    parts = r"(?s)^.*?\b([A-Z]{3})\b[^\p{N}]*(\p{N}[\p{N}\s.,'’٬٫]*)?"
+    number = price_number(F.regexp_extract(source, parts, 2)).try_cast("double")
+    return bound(F.struct(source.alias("source"), F.regexp_extract(source, parts, 1).alias("currency"), number.alias("number")), result)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:

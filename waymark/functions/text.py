@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that do not tell one venue name from another.
 NAME_STOPWORDS = (
@@ -20,7 +21,7 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decomposed(values: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining accents, for any script."""
     return values.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not "̀" <= c <= "ͯ"))
