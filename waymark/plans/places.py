@@ -223,10 +223,10 @@ def filter_empty_list(t: Tables) -> DataFrame:
     return nothing.agg(F.count("*").cast("int").alias("n")).crossJoin(everything.agg(F.count("*").alias("operators")))  # one row each
 
 
-@query(f"""SELECT DISTINCT o_orderkey AS id {_BASE} AND lower(c_name || ' ' || n_name || ' ' || c_mktsegment) LIKE '%canada build%'""")
+@query(f"""SELECT DISTINCT o_orderkey AS id {_BASE} AND regexp_replace(lower(c_name || ' ' || n_name || ' ' || c_mktsegment), '[^a-z0-9]+', ' ', 'g') LIKE '%nation 3 build%'""")
 def filter_text(t: Tables) -> DataFrame:
     """Places whose normalised text has the words in order."""
-    return search.search(places(t), search.Search(words="Canada  Build")).select("id")
+    return search.search(places(t), search.Search(words="Nation_3  Build")).select("id")
 
 
 @query(f"""SELECT DISTINCT o_orderkey AS id, {sql_places(sql_km("CAST(10 AS DOUBLE)", "CAST(20 AS DOUBLE)", sql_lat("o_custkey"), sql_lng("o_custkey")), 6)} AS km {_BASE} AND o_orderkey % 2 = 0 AND {sql_km("CAST(10 AS DOUBLE)", "CAST(20 AS DOUBLE)", sql_lat("o_custkey"), sql_lng("o_custkey"))} <= 1500""")
@@ -243,12 +243,12 @@ def facets_city(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH u AS (SELECT c_mktsegment AS value, count(DISTINCT o_orderkey) AS universe {_BASE} GROUP BY 1), f AS (SELECT c_mktsegment AS value, count(DISTINCT o_orderkey) AS n {_BASE} AND n_name = 'CANADA' AND l_returnflag = 'R' GROUP BY 1)
+    f"""WITH u AS (SELECT c_mktsegment AS value, count(DISTINCT o_orderkey) AS universe {_BASE} GROUP BY 1), f AS (SELECT c_mktsegment AS value, count(DISTINCT o_orderkey) AS n {_BASE} AND n_name = 'NATION_3' AND l_returnflag = 'R' GROUP BY 1)
     SELECT value, coalesce(n, 0) AS n, universe FROM u LEFT JOIN f USING (value)"""
 )
 def facets_operator_neutral(t: Tables) -> DataFrame:
     """Operators counted under all filters but their own."""
-    return search.neutral_facet(places(t), search.Search(country="canada", modules=("R",), operators=("BUILDING",)))
+    return search.neutral_facet(places(t), search.Search(country="nation_3", modules=("R",), operators=("BUILDING",)))
 
 
 @query(f"""SELECT l_returnflag AS value, count(DISTINCT o_orderkey) AS n {_BASE} GROUP BY 1""")

@@ -60,7 +60,7 @@ def sql_km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 
 def sql_places(x: str, n: int) -> str:
-    return f"(floor({x} * CAST({10**n} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({10**n} AS DOUBLE))"
+    return f"(floor(({x}) * CAST({10**n} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({10**n} AS DOUBLE))"
 
 
 def joined(array: Column) -> Column:

@@ -180,7 +180,7 @@ def viewport_antimeridian(t: Tables) -> DataFrame:
     return rows.where(geo.within_bounds(F.col("lat"), F.col("lng"), north=40, south=-40, east=200, west=150))
 
 
-_BOUNDS = [("CANADA", 41.0, 84.0, -142.0, -52.0), ("FRANCE", 41.0, 52.0, -6.0, 10.0), ("CHINA", 17.0, 54.0, 73.0, 136.0), ("BRAZIL", -34.0, 6.0, -74.0, -34.0), ("KENYA", -5.0, 6.0, 33.0, 42.0)]
+_BOUNDS = [("NATION_1", 41.0, 84.0, -142.0, -52.0), ("NATION_2", 41.0, 52.0, -6.0, 10.0), ("NATION_3", 17.0, 54.0, 73.0, 136.0), ("NATION_4", -34.0, 6.0, -74.0, -34.0), ("NATION_5", -5.0, 6.0, 33.0, 42.0)]
 _BOX = ", ".join(str(b) for b in _BOUNDS)
 
 
