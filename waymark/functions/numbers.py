@@ -66,9 +66,10 @@ def published_price(text: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     """struct(low, high): the score interval of k of n, within 0 and 1, to four decimals; null if n <= 0."""
-    p, zz = k / F.when(n > 0, n), z * z
+    n = F.when(n > 0, n)
+    p, zz = k / n, z * z
     centre, spread = p + zz / (2 * n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))
-    bound = lambda x: places(F.least(F.greatest(x / (1 + zz / n), F.lit(0.0)), F.lit(1.0)), 4)
+    bound = lambda x: F.when(n.isNotNull(), places(F.least(F.greatest(x / (1 + zz / n), F.lit(0.0)), F.lit(1.0)), 4))
     return F.struct(bound(centre - spread).alias("low"), bound(centre + spread).alias("high"))
 
 

@@ -62,7 +62,7 @@ def analysed(places: DataFrame, checks: list[Rule] | None = None, publishable: s
     """places with issues (array of code, severity, action), decision and publishable after quarantine."""
     entry = lambda r: F.when(F.coalesce(r.when(), F.lit(False)), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action")))
     issues = F.filter(F.array(*[entry(r) for r in (rules() if checks is None else checks)]), lambda i: i.isNotNull())
-    found = places.withColumn("issues", issues)
+    found = places.withColumn("issues", issues.cast("array<struct<code:string,severity:string,action:string>>"))
     stopped = F.exists("issues", lambda i: i["action"] == "quarantine_centre")
     found = found.withColumn(publishable, F.col(publishable) & ~stopped)
     serious = F.exists("issues", lambda i: i["severity"] != "info")
