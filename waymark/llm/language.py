@@ -3,7 +3,7 @@
 Filters of several widths run over the bytes of a fixed window, each is max-pooled over the window, and a softmax layer
 gives the languages. Training is plain numpy: Adam on the cross-entropy of windows from a bounded sample of
 labelled texts. A text is cut into consecutive windows, all of which count; its probabilities are the mean over its
-windows, weighted by their bytes.
+windows, weighted by their bytes and by how sure the network is of each: a window of repeated junk says little.
 """
 
 from __future__ import annotations
@@ -134,11 +134,15 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
 def judged(texts: list[bytes], net: Network) -> tuple[list[str], list[float]]:
     """The language and score of each whole text."""
     windows, owner, sizes = cut(texts)
-    total = np.zeros((len(texts), len(net.out_bias)))
+    total, weights = np.zeros((len(texts), len(net.out_bias))), np.zeros(len(texts))
     for a in range(0, len(windows), 1024):
-        p = net.probabilities(net.pooled(windows[a : a + 1024])[0])
-        np.add.at(total, owner[a : a + 1024], p * sizes[a : a + 1024, None])
-    total /= np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+        p = net.probabilities(net.pooled(windows[a : a + 1024])[0]).astype(np.float64)
+        # 1 for a sure window, 0 for one that fits all languages alike; some weight stays if no window is sure
+        sure = 1 + (p * np.log(np.maximum(p, 1e-12))).sum(1) / np.log(max(2, p.shape[1]))
+        weight = sizes[a : a + 1024] * (np.maximum(sure, 0) ** 2 + 1e-6)
+        np.add.at(total, owner[a : a + 1024], p * weight[:, None])
+        np.add.at(weights, owner[a : a + 1024], weight)
+    total /= np.maximum(weights, 1e-300)[:, None]
     best = total.argmax(1)
     known = [bool(net.languages) and bool(LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
     names = [net.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known)]
