@@ -68,8 +68,11 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(padded, np.uint8).reshape(-1, WINDOW), owner, sizes
 
 
-def train(rows: list[tuple[str, bytes]], epochs: int = 8, batch: int = 128, seed: int = 5) -> Network:
-    """A network for (language, text) rows; languages count alike, however many rows each has."""
+def train(rows: list[tuple[str, bytes]], epochs: int = 8, batch: int = 128, least_steps: int = 240, seed: int = 5) -> Network:
+    """A network for (language, text) rows; languages count alike, however many rows each has.
+
+    Few rows are gone through more often, until least_steps batches have been seen.
+    """
     rng, languages = np.random.default_rng(seed), sorted({lang for lang, _ in rows})
     windows, labels = [], []
     for lang, text in rows:
@@ -92,7 +95,7 @@ def train(rows: list[tuple[str, bytes]], epochs: int = 8, batch: int = 128, seed
     params = [*net.filters, net.bias, net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // -(-len(x) // batch)))):
         order = rng.permutation(len(x))
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
