@@ -23,14 +23,15 @@ from .common import small_batches, utf8
 SLOTS, GRAM = 128, 4
 #: Steps after which the shared table of moves repeats, and characters that share a walk group.
 PERIOD, GROUP = 4096, 1 << 21
+BEAT = 64
 #: Longest walk, in steps, whose sampled steps are prepared.
 LONGEST = 1 << 40
 
 
 @cache
 def moves() -> np.ndarray:
-    """(PERIOD * 256,) of 0 and 1: whether the walk moves on from a character at a step."""
-    return np.random.default_rng(3).integers(0, 2, PERIOD * 256).astype(np.int64)
+    """(PERIOD, 256) of 0 and 1: whether the walk moves on from a character at a step."""
+    return np.random.default_rng(3).integers(0, 2, PERIOD * 256).astype(np.int64).reshape(PERIOD, 256)
 
 
 @cache
@@ -51,42 +52,46 @@ def drawn() -> np.ndarray:
     return np.array([r + [LONGEST] * (size - len(r)) for r in rows], np.int64)
 
 
-def steps_of(length: int) -> np.ndarray:
-    """The step that each slot samples of a walk of this many steps."""
-    table = drawn()
-    return table[np.arange(SLOTS), np.maximum((table < length).sum(1) - 1, 0)]
+def steps_of(lengths: np.ndarray) -> np.ndarray:
+    """(SLOTS, walks): the step that each slot samples of walks of these many steps."""
+    return np.stack([row[np.maximum(np.searchsorted(row, lengths) - 1, 0)] for row in drawn()])
 
 
-def _walk(data: np.ndarray, first: np.ndarray, size: np.ndarray, notes: np.ndarray) -> list[np.ndarray]:
-    """Fingerprints of the texts data[first : first + size]; all walks take each step together, the longest text last."""
+def _walk(data: np.ndarray, first: np.ndarray, size: np.ndarray, notes: np.ndarray) -> np.ndarray:
+    """(walks, SLOTS): fingerprints of the texts data[first : first + size], each step of all walks at once.
+
+    Longer texts come first, so that walks at their end drop out at the back. Ends are looked for every BEAT steps; data goes on
+    for as many characters. Only the steps that some slot may sample are kept.
+    """
     order = np.argsort(-size, kind="stable")
     at, end = first[order].copy(), (first + size)[order]
-    live, path, table, step = len(order), [], moves(), 0
-    while live and at[live - 1] >= end[live - 1]:  # empty texts
-        live -= 1
+    live, step, table = int((size > 0).sum()), 0, moves()
+    length = np.zeros(len(order), np.int64)
+    sampled, kept = np.unique(drawn()), []
+    recent = np.empty((BEAT, len(order)), np.int64)
     while live:
-        path.append(at[:live].astype(np.int32))
-        at[:live] += table[(step % PERIOD) * 256 + data[at[:live]]]
+        own = at[:live]
+        beat = step % BEAT
+        recent[beat, :live] = own
+        if step == sampled[len(kept)]:
+            kept.append(own.copy())
+        own += table[step % PERIOD].take(data.take(own))
         step += 1
-        if step % 64 == 0:  # walks that have ended stay where they are; longer texts come first, so drop from the back
-            ended = at[:live] >= end[:live]
-            at[:live] = np.minimum(at[:live], end[:live])
-            while live and ended[live - 1]:
+        if beat == BEAT - 1:
+            ended = np.flatnonzero((own >= end[:live]) & (length[:live] == 0))
+            length[ended] = step - BEAT + (recent[:, ended] < end[ended]).sum(0)
+            over = own >= end[:live]
+            own[over] = end[:live][over]
+            while live and length[live - 1]:
                 live -= 1
-        else:
-            np.minimum(at[:live], end[:live], out=at[:live])
-    out: list[np.ndarray] = [np.zeros(SLOTS, np.uint8)] * len(order)
-    if path:
-        width = np.array([len(p) for p in path])
-        for i, own in enumerate(order.tolist()):
-            n = int(np.searchsorted(-width, -i, "left"))  # steps in which this walk took part
-            stop = int(first[own] + size[own])
-            low, high = 0, n
-            while low < high:  # steps before the end of the text
-                mid = (low + high) // 2
-                low, high = (mid + 1, high) if path[mid][i] < stop else (low, mid)
-            if low:
-                out[own] = notes[[path[j][i] for j in steps_of(low).tolist()]]
+    out = np.zeros((len(order), SLOTS), np.uint8)
+    if kept:
+        places = np.zeros((len(kept), len(order)), np.int64)
+        for i, row in enumerate(kept):
+            places[i, : len(row)] = row
+        walked = np.flatnonzero(length)
+        chosen = np.searchsorted(sampled, steps_of(length[walked]))
+        out[order[walked]] = notes[places[chosen, walked]].T
     return out
 
 
@@ -100,7 +105,7 @@ def fingerprints(texts: list[np.ndarray]) -> list[np.ndarray]:
         while upto < len(order) and (upto + 1 - at) * sizes[order[upto]] <= GROUP:
             upto += 1
         own = order[at:upto]
-        points = np.concatenate([*[texts[i] for i in own], np.zeros(GRAM, np.uint32)]).astype(np.uint64)
+        points = np.concatenate([*[texts[i] for i in own], np.zeros(BEAT + GRAM, np.uint32)]).astype(np.uint64)
         first = np.cumsum(sizes[own]) - sizes[own]
         note = np.zeros(len(points), np.uint64)
         reach = np.repeat(first + sizes[own], sizes[own])  # a note ends with its text
@@ -108,7 +113,7 @@ def fingerprints(texts: list[np.ndarray]) -> list[np.ndarray]:
         for k in range(GRAM):
             inside = np.where(index + k < reach, points[k : k + len(reach)] + np.uint64(1), np.uint64(0))
             note[: len(reach)] = (note[: len(reach)] + inside) * np.uint64(0x9E3779B97F4A7C15)
-        # the byte past a text's end may be read by a walk that has ended; its value is not used
+        # walks that have ended may read on past their texts; what they read is not used
         for i, fp in zip(own.tolist(), _walk((points & np.uint64(255)).astype(np.int64), first, sizes[own], (note >> np.uint64(56)).astype(np.uint8))):
             out[i] = fp
         at = upto
