@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbers import bound
+
 # Words that do not tell one venue name from another.
 NAME_STOPWORDS = (
     "ielts", "test", "tests", "testing", "centre", "center", "centres", "centers", "the", "of", "and", "ltd", "limited",
@@ -87,8 +89,9 @@ def token_dice(a: Column, b: Column) -> Column:
 
 def _numbered_bigrams(text: Column) -> Column:
     """Bigrams with the number of their occurrence, so that a set intersection counts repeats."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    number = lambda grams, g, i: F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")
+    return bound(pairs, lambda grams: F.transform(grams, lambda g, i: F.concat(g, F.lit("#"), number(grams, g, i))))
 
 
 def bigram_dice(a: Column, b: Column) -> Column:
@@ -122,8 +125,8 @@ def website_identity(url: Column) -> Column:
 
 def unique_by(values: Column, identity: Callable[[Column], Column]) -> Column:
     """The first value of each identity, in order; empty identities are left out."""
-    keys = F.transform(values, identity)
-    return F.filter(values, lambda v, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+    first = lambda keys, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1)
+    return bound(F.transform(values, identity), lambda keys: F.filter(values, lambda v, i: first(keys, i)))
 
 
 def phone_overlap(ours: Column, theirs: Column) -> Column:

@@ -25,22 +25,23 @@ def components(links: DataFrame) -> DataFrame:
     with log n. Each round is a written table, so a lost executor costs one round at most. Self links and
     repeated links are harmless; links with a null end are dropped.
     """
-    both = links.select("a", "b").where("a <> b")
-    edges = materialise(both.distinct(), "links")
-    state = None
-    while True:
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    edges = materialise(ends.distinct(), "links")
+    while not _stars(edges):
         # large star: strictly larger neighbours move to the least neighbour
         every = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _larger(every)
         # small star: each node and its smaller neighbours move to the least of them
         down = large.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         edges = materialise(_to_minimum(down, True).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
-    nodes = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger end hangs on one smaller end, and no smaller end hangs on another."""
+    hanging = edges.groupBy("a").agg(F.count("*").alias("n"))
+    chained = edges.join(hanging.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return hanging.where("n > 1").select("a").unionByName(chained).limit(1).count() == 0
 
 
 def _larger(every: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def price_parse_formats(t: Tables) -> DataFrame:
     """Prices printed in five styles and read again: 1,234.56, 1.234,56, Arabic digits, grouped thousands, and without a currency."""
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
     whole, fraction = F.floor(cents / 100).cast("long"), F.lpad((cents % 100).cast("string"), 2, "0")
-    grouped = F.regexp_replace(whole.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
+    grouped = F.format_number(whole, 0)
     arabic = F.translate(whole.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
     style = F.col("l_linenumber") % 5
     printed = (
