@@ -90,6 +90,7 @@ def policy(rights: Column, target: Column | str, has_geo: Column) -> Column:
 
 # -- the shifted datum of mainland China ------------------------------------------------------------------------------------
 
+# The published ellipsoid, box and series of the datum.
 _AXIS, _ECCENTRICITY = 6378245.0, 0.00669342162296594323
 
 

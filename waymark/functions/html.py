@@ -15,6 +15,13 @@ ENTITIES = {
     "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”",
 }
 
+# Patterns of e-mail addresses, labels of phones, static maps, open location codes and format icons.
+EMAIL = r"(?i)([A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
+PHONE_LABEL = r"(?i)^(?:phone(?:\s+number)?|tel(?:ephone)?\.?)\s*[:.]?\s*"
+STATIC_MAP = r"(?i)staticmap\?[^\"']*?center=(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)"
+PLUS_CODE = r"(?i)\b([23456789CFGHJMPQRVWX]{4,8}\+[23456789CFGHJMPQRVWX]{2,3})\b"
+ON_PAPER, ON_COMPUTER = '(?i)aria-label="Test on paper"', '(?i)aria-label="Test on computer"'
+
 
 def decoded_names(text: Column) -> Column:
     """Named entities only, natively; & comes last so that nothing is decoded twice."""
@@ -72,12 +79,12 @@ def section(html: Column, title: str, tag: str = "h5", most: int = 4000) -> Colu
 
 
 def emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?i)([A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Z0-9.-]+\.[A-Z]{2,})"), 1)
+    return F.regexp_extract_all(text, F.lit(EMAIL), 1)
 
 
 def phones(text: Column) -> Column:
     """Numbers after an optional label; several if each piece between , ; or / has six digits, else the whole."""
-    value = F.regexp_replace(F.trim(text), r"(?i)^(?:phone(?:\s+number)?|tel(?:ephone)?\.?)\s*[:.]?\s*", "")
+    value = F.regexp_replace(F.trim(text), PHONE_LABEL, "")
     digits = lambda s: F.length(F.regexp_replace(s, r"\D", ""))
     pieces = F.split(value, r"\s*[,;/]\s*")
     chosen = F.when(F.forall(pieces, lambda p: digits(p) >= 6), pieces).otherwise(F.array(value))
@@ -86,8 +93,7 @@ def phones(text: Column) -> Column:
 
 def map_centre(html: Column) -> Column:
     """struct(lat, lng) of an embedded static map; null near 0, 0 (a placeholder) or out of range."""
-    pattern = r"(?i)staticmap\?[^\"']*?center=(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)"
-    lat, lng = (F.regexp_extract(decoded_names(html), pattern, i).try_cast("double") for i in (1, 2))
+    lat, lng = (F.regexp_extract(decoded_names(html), STATIC_MAP, i).try_cast("double") for i in (1, 2))
     placeholder = (F.abs(lat) < 1) & (F.abs(lng) < 1)
     return F.when(~placeholder & (F.abs(lat) <= 90) & (F.abs(lng) <= 180), F.struct(lat.alias("lat"), lng.alias("lng")))
 
@@ -106,7 +112,7 @@ def slugs_under(html: Column, path: str) -> Column:
 
 def plus_code(text: Column) -> Column:
     """The first open location code in a text, upper-cased."""
-    return F.nullif(F.upper(F.regexp_extract(text, r"(?i)\b([23456789CFGHJMPQRVWX]{4,8}\+[23456789CFGHJMPQRVWX]{2,3})\b", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(text, PLUS_CODE, 1)), F.lit(""))
 
 
 def balanced(html: str | None, start: int, tag: str) -> str | None:
@@ -146,8 +152,8 @@ def product_kind(label: Column) -> Column:
 def product_format(label: Column, row: Column | None = None) -> Column:
     """On paper or by computer: the accessible label decides, then the title; computer if neither says."""
     label, row = F.lower(label), F.coalesce(row, F.lit("")) if row is not None else F.lit("")
-    paper = row.rlike('(?i)aria-label="Test on paper"')
-    computer = row.rlike('(?i)aria-label="Test on computer"')
+    paper = row.rlike(ON_PAPER)
+    computer = row.rlike(ON_COMPUTER)
     return F.when(paper | (~computer & (label.contains("on paper") | label.contains("paper-based"))), "paper_based").otherwise("computer_delivered")
 
 
