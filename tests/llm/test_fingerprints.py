@@ -52,9 +52,21 @@ def test_links_of_close_fingerprints(spark):
                 y ^= 1 << int(b)
             fps.add(y)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {(r.a, r.b) for r in simhash.links(table).collect()}
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == want and want
+    assert {(r.a, r.b) for r in simhash.links(table, large=3).collect()} == want  # with crowded buckets
+
+
+def test_crowded_buckets(spark):
+    rng = np.random.default_rng(7)
+    base = int(rng.integers(0, 2**62))
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(250)}
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    assert {(r.a, r.b) for r in simhash.links(table, large=20).collect()} == want
 
 
 def test_one_of_each(spark):

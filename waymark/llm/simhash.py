@@ -28,6 +28,8 @@ from .common import materialise, small_batches, utf8
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Blocks of the pivot table, and pivots: random 64-bit numbers from a fixed seed.
 BLOCKS, PIVOTS = 6, 16
+#: Rows of a bucket beyond which it is cut finer.
+LARGE = 256
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -78,32 +80,48 @@ def masks(blocks: int = BLOCKS) -> list[int]:
     return [int(np.uint64(sum(1 << j for j in range(a, b))).view(np.int64)) for a, b in zip(cuts, cuts[1:])]
 
 
+def coordinates(mask: int) -> Column:
+    """The distances to all pivots over the bits of a mask of at most 15 bits, packed, 4 bits each."""
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(mask))).cast("long")
+    refs = pivots()
+    return sum((F.shiftleft(distance(p), 4 * i) for i, p in enumerate(refs[1:], 1)), distance(refs[0]))
+
+
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """Add `near` (distances to the whole pivots) and `blocks` (per block, its distances to all pivots, packed)."""
-    refs, block = pivots(), masks()
-    part = [[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(m))) for p in refs] for m in block]
-    near = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in refs])
-    # 16 distances of at most 11 take 4 bits each
-    packed = F.array(*[sum((F.shiftleft(d.cast("long"), 4 * i) for i, d in enumerate(row[1:], 1)), row[0].cast("long")) for row in part])
-    return fps.withColumn("near", near).withColumn("blocks", packed)
-
-
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints `fps` (fp) with at most `distance` differing bits."""
-    rows = pivot_table(fps)
+    """Add `near` (distances to the whole pivots), and `blocks` and `halves` (packed coordinates of blocks and half blocks)."""
+    near = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
+    return fps.withColumns({"near": near, "blocks": F.array(*map(coordinates, masks())), "halves": F.array(*map(coordinates, masks(2 * BLOCKS)))})
+
+
+def _keyed(rows: DataFrame, group: Column, combinations_of: list[tuple[int, ...]], value) -> DataFrame:
+    """rows once for each combination of coordinates that have to agree, with the columns k (their group and values)."""
+    keys = [F.struct(group.alias("g"), F.lit(n).alias("n"), *[value(i).alias(f"c{j}") for j, i in enumerate(c)]) for n, c in enumerate(combinations_of)]
+    return rows.withColumn("k", F.explode(F.array(*keys)))
+
+
+def _close(rows: DataFrame, distance: int) -> DataFrame:
+    """Pairs of rows with equal k that no pivot keeps apart and that differ by at most `distance` bits."""
+    x, y = rows.select("k.*", F.col("fp").alias("a"), "near"), rows.select("k.*", F.col("fp").alias("b"), F.col("near").alias("near_b"))
+    apart: Column = F.array_max(F.zip_with("near", "near_b", lambda p, q: F.abs(p - q)))
+    joined = x.join(y, [c for c in x.columns if c not in ("a", "near")])
+    return joined.where((F.col("a") < F.col("b")) & (apart <= distance)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints `fps` (fp) with at most `distance` differing bits.
+
+    A bucket of fingerprints that agree on half of the blocks is joined with itself. In one of more than `large` rows the other
+    blocks are halved and the same argument is used once more, so that rows which are compared agree on 48 bits or so.
+    """
     agree = list(combinations(range(BLOCKS), BLOCKS - distance))
-    keys = [F.struct(F.lit(n).alias("n"), *[F.col("blocks")[b].alias(f"b{i}") for i, b in enumerate(c)]) for n, c in enumerate(agree)]
-    keyed = rows.select("fp", "near", F.explode(F.array(*keys)).alias("k")).select("fp", "near", "k.*")
-    on = [c for c in keyed.columns if c not in ("fp", "near")]
-    other = keyed.select(*on, F.col("fp").alias("b"), F.col("near").alias("near_b"))
-    apart: Column = F.array_max(F.zip_with("near", "near_b", lambda x, y: F.abs(x - y)))
-    return (
-        keyed.join(other, on)
-        .where((F.col("fp") < F.col("b")) & (apart <= distance))
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance)
-        .select(F.col("fp").alias("a"), "b")
-        .distinct()
-    )
+    keyed = _keyed(pivot_table(fps), F.lit(0), agree, lambda i: F.col("blocks")[i])
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > large).select("k")
+    crowded = keyed.join(sizes, "k", "left_semi")
+    # the half blocks that a bucket's fingerprints do not have in common anyway
+    rest = F.array(*[F.array(*[F.lit(2 * b + h) for b in range(BLOCKS) if b not in c for h in (0, 1)]) for c in agree])
+    rows = crowded.select("fp", "near", "halves", F.xxhash64("k").alias("bucket"), F.get(rest, F.col("k.n")).alias("rest"))
+    finer = _keyed(rows, F.col("bucket"), list(combinations(range(2 * distance), distance)), lambda i: F.get("halves", F.get("rest", F.lit(i))))
+    return _close(keyed.join(sizes, "k", "left_anti"), distance).unionByName(_close(finer, distance)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
