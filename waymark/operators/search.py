@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,3 +143,26 @@ def price_ceiling(found: DataFrame) -> DataFrame:
     """One row: currencies, and the highest price rounded up if there is exactly one currency."""
     many = F.sort_array(F.collect_set("currency"))
     return found.agg(many.alias("currencies"), F.when(F.size(many) == 1, F.ceil(F.max("price"))).alias("ceiling"))
+
+
+# Parameters of a search's address, and the values that each accepts.
+PARAMETERS = {
+    "modules": ("module", ("academic", "general_training", "life_skills", "other")),
+    "categories": ("category", ("standard", "ukvi_selt")),
+    "modes": ("delivery", MODES),
+    "kinds": ("test", ("academic", "general_training", "ukvi", "life_skills", "osr", "other")),
+}
+
+
+def from_query(query: str) -> Search:
+    """The offer filters of a url's query. Unknown values are dropped; an older parameter counts only without newer ones."""
+    given = parse_qs(query.lstrip("?"), keep_blank_values=True)
+    asked = {field: tuple(v for v in given[name] if v in known) for field, (name, known) in PARAMETERS.items() if name in given}
+    if "modules" in asked or "categories" in asked:
+        asked.pop("kinds", None)
+    return Search(**asked)
+
+
+def to_query(ask: Search) -> str:
+    pairs = [(name, v) for field, (name, _) in PARAMETERS.items() if field != "kinds" for v in getattr(ask, field) or ()]
+    return f"?{urlencode(pairs)}" if pairs else ""

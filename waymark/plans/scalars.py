@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import address, geo, numbers, text
+from ..functions import address, geo, numbers, providers, text
 from ..operators import sampling
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
@@ -269,3 +269,40 @@ def contact_identity(t: Tables) -> DataFrame:
     phones = F.array(F.concat(F.lit("+1 416 555 "), last), F.concat(F.lit("001-416-555-"), last), F.lit("x"))
     own = t.customer.select("c_custkey", phones.alias("ps"))
     return own.select("c_custkey", joined(text.unique_by(F.col("ps"), text.phone_identity)).alias("phones"), text.phone_identity(F.get("ps", F.lit(0))).alias("identity"))
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey, s_suppkey % 35 AS r FROM supplier)
+    SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'postcode' WHEN r >= 30 THEN 'rooftop' WHEN r >= 26 THEN 'street' WHEN r >= 21 THEN 'postcode' WHEN r >= 13 OR s_suppkey % 4 = 0 THEN 'city' ELSE 'country' END AS by_rank,
+        CASE s_suppkey % 5 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'rooftop' ELSE 'street' END WHEN 1 THEN 'street' WHEN 2 THEN 'postcode' WHEN 3 THEN 'city' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'rooftop' ELSE 'city' END END AS by_address,
+        CASE s_suppkey % 5 WHEN 1 THEN 'street' WHEN 2 THEN 'postcode' WHEN 3 THEN 'city' ELSE 'rooftop' END AS by_place FROM k"""
+)
+def provider_precisions(t: Tables) -> DataFrame:
+    """Precisions by rank, by address types and by place types."""
+    k = F.col("s_suppkey")
+    kinds = F.array(F.element_at(F.array(*map(F.lit, ("premise", "route", "postal_code", "locality", "point_of_interest"))), (k % 5 + 1).cast("int")))
+    location = F.when(k % 2 == 0, "ROOFTOP")
+    rank = providers.precision_by_rank((k % 35).cast("int"), F.when(k % 9 == 0, "postcode").otherwise("x"), F.when(k % 4 == 0, "City"))
+    return t.supplier.select("s_suppkey", rank.alias("by_rank"), providers.precision_of_address(kinds, location).alias("by_address"), providers.precision_of_place(kinds).alias("by_place"))
+
+
+@query(
+    """WITH g AS (SELECT c_custkey, c_custkey % 3 = 0 AS v, c_custkey % 4 > 1 AS p, CAST(c_custkey % 10 AS DOUBLE) / 10 AS c, c_custkey % 11 = 0 AS none FROM customer)
+    SELECT c_custkey, CASE WHEN none OR (v AND p AND c >= 0.5) THEN '' ELSE concat_ws('|', CASE WHEN NOT v THEN 'verification' END, CASE WHEN NOT p THEN 'precision' END, CASE WHEN c < 0.5 THEN 'confidence' END) END AS issues, greatest(c, 0.9::DOUBLE) AS approved FROM g"""
+)
+def location_review(t: Tables) -> DataFrame:
+    """Why locations need a review, and their confidence once approved."""
+    k = F.col("c_custkey")
+    verification, precision, sure = F.when(k % 11 != 0, F.when(k % 3 == 0, "verified").otherwise("unverified")), F.when(k % 4 > 1, "street").otherwise("city"), (k % 10).cast("double") / 10
+    approved = providers.approved(F.array(F.lit("osm")), sure, "street")
+    return t.customer.select("c_custkey", joined(providers.review_issues(verification, precision, sure)).alias("issues"), approved["confidence"].alias("approved"))
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 3) AS ws FROM part), d AS (SELECT p_partkey, i, ws[i] AS x FROM w, unnest(generate_series(1, len(ws))) s(i)),
+    f AS (SELECT p_partkey, x, min(i) AS i FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM f)
+    SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS tokens FROM r WHERE n <= 5 GROUP BY p_partkey"""
+)
+def distinctive_tokens_parts(t: Tables) -> DataFrame:
+    """The tokens that tell parts apart."""
+    return t.part.select("p_partkey", joined(text.distinctive_tokens(F.col("p_name"))).alias("tokens")).where("tokens <> ''")
