@@ -78,6 +78,48 @@ def plausible(places: DataFrame, bounds: DataFrame, country: str = "country", la
     return joined.drop("_c", "south", "north", "west", "east")
 
 
+def same_point(a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column, within: float = 1e-6) -> Column:
+    """Whether both points are missing, or differ by less than `within` degrees either way."""
+    neither = a_lat.isNull() & b_lat.isNull()
+    return neither | F.coalesce((F.abs(a_lat - b_lat) < within) & (F.abs(a_lng - b_lng) < within), F.lit(False))
+
+
+def same_location(a: Column, b: Column) -> Column:
+    """Whether two structs (lat, lng, precision, verification, confidence, paths, agreement_km) say the same; paths in any order."""
+    fields = [a[f].eqNullSafe(b[f]) for f in ("precision", "verification", "confidence", "agreement_km")]
+    close = same_point(a["lat"], a["lng"], b["lat"], b["lng"], 1e-7) & F.sort_array(a["paths"]).eqNullSafe(F.sort_array(b["paths"]))
+    for f in fields:
+        close = close & f
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close)
+
+
+# Zoom levels of a map that opens at a point of each precision, and of boxes by their span in degrees.
+ZOOMS = {"rooftop": 16, "street": 15, "postcode": 13, "city": 11, "country": 6, "approximate": 8}
+SPAN_ZOOMS = ((80, 3), (35, 4), (15, 5))
+
+
+def picker_starts(places: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(id, lat, lng, zoom): where a map opens to place each of `places` (id, country, city, precision, lat, lng).
+
+    At its own point, else the mean of its city's, else the middle of its country's box, else the mean of its country's, else a view
+    of the world. Means are aggregated before they are joined. bounds has country, south, north, west, east.
+    """
+    city = F.nullif(F.lower(F.trim("city")), F.lit(""))
+    located = places.where("lat IS NOT NULL AND lng IS NOT NULL").select("country", city.alias("_city"), "lat", "lng")
+    mean = lambda tag: (F.avg("lat").alias(f"{tag}_lat"), F.avg("lng").alias(f"{tag}_lng"))
+    cities = located.where("_city IS NOT NULL").groupBy(F.col("country").alias("_c1"), F.col("_city").alias("_t1")).agg(*mean("city"))
+    countries = located.groupBy(F.col("country").alias("_c2")).agg(*mean("country"))
+    span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    wide = F.coalesce(*[F.when(span > least, F.lit(zoom)) for least, zoom in SPAN_ZOOMS], F.lit(6))
+    boxes = bounds.select(F.col("country").alias("_c3"), ((F.col("south") + F.col("north")) / 2).alias("box_lat"), ((F.col("west") + F.col("east")) / 2).alias("box_lng"), wide.alias("box_zoom"))
+    joined = places.join(cities, F.col("country").eqNullSafe(F.col("_c1")) & (city == F.col("_t1")), "left")
+    joined = joined.join(countries, F.col("country").eqNullSafe(F.col("_c2")), "left").join(boxes, F.col("country") == F.col("_c3"), "left")
+    own = F.coalesce(*[F.when(F.col("precision") == p, F.lit(z)) for p, z in ZOOMS.items()])
+    at = lambda c: F.coalesce(F.col(c), f"city_{c}", f"box_{c}", f"country_{c}", F.lit({"lat": 18.0, "lng": 5.0}[c]))
+    zoom = F.when(F.col("lat").isNotNull(), own).when(F.col("city_lat").isNotNull(), 11).when(F.col("box_lat").isNotNull(), F.col("box_zoom")).when(F.col("country_lat").isNotNull(), 5).otherwise(2)
+    return joined.select("id", at("lat").alias("lat"), at("lng").alias("lng"), zoom.alias("zoom"))
+
+
 def refinement_radius_km(precision: Column) -> Column:
     return F.when(precision == "rooftop", 25.0).when(precision == "street", 5.0).otherwise(100.0)
 

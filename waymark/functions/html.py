@@ -138,6 +138,35 @@ def balanced_elements(tag: str, marker: str):
     return run
 
 
+def cards(html: Column, css_class: str = "test-centre-card", badge: str = "test-centre-card__osr(?:-box)?", box: str = "test-centre-card__formats-box", path: str = "/test-centres/") -> Column:
+    """array of struct(slug, only) of the linked cards that wear a badge; only: without a box of ordinary formats.
+
+    The slug is in the card's own link, not in what it holds.
+    """
+    whole = F.filter(balanced_elements("a", rf'class="[^"]*\b{css_class}\b[^"]*"')(html), lambda c: c.rlike(rf"(?i)\b{badge}\b"))
+    own = lambda c: F.get(slugs_under(F.regexp_extract(c, r"^(<a\b[^>]*>)", 1), path), F.lit(0))
+    found = F.transform(whole, lambda c: F.struct(own(c).alias("slug"), (~c.rlike(rf"(?i)\b{box}\b")).alias("only")))
+    return F.array_distinct(F.filter(found, lambda s: s["slug"].isNotNull()))
+
+
+def offers(html: Column, css_class: str = "ielts-tests-available__test-row") -> Column:
+    """array of struct(label, kind, format, price, links) of the rows of a price table.
+
+    Rows without a title, or titled Fee, are headings. The price is the first that is not blank.
+    """
+    rows = balanced_elements("div", rf'class="[^"]*{css_class}[^"]*"')(html)
+    title = lambda r: stripped(F.regexp_extract(r, rf"(?is)<h6[^>]*{css_class}-title[^>]*>(.*?)</h6>", 1))
+    prices = lambda r: F.transform(F.regexp_extract_all(r, F.lit(rf"(?is)<p[^>]*{css_class}-price[^>]*>(.*?)</p>"), 1), lambda p: stripped(p))
+    price = lambda r: F.get(F.filter(prices(r), lambda p: p != ""), F.lit(0))
+    listed = F.transform(rows, lambda r: F.struct(title(r).alias("label"), product_kind(title(r)).alias("kind"), product_format(title(r), r).alias("format"), price(r).alias("price"), hrefs(r).alias("links")))
+    return F.filter(listed, lambda o: (o["label"] != "") & (F.lower(o["label"]) != "fee"))
+
+
+def booking_url(links: Column) -> Column:
+    """The first link to a host that takes bookings."""
+    return F.get(F.filter(links, lambda u: operator_of(u).isNotNull()), F.lit(0))
+
+
 # Keywords that name the kind of a published product, first match wins.
 KINDS = (("one skill retake", "osr"), ("osr", "osr"), ("life skills", "life_skills"), ("ukvi", "ukvi"), ("general training", "general_training"), ("academic", "academic"))
 

@@ -73,6 +73,13 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(bound(centre - spread).alias("low"), bound(centre + spread).alias("high"))
 
 
+def derived_price_consistent(text: Column, currency: Column, price: Column, status: Column) -> Column:
+    """A verified price has its text, currency and a positive amount; any other has neither currency nor amount."""
+    amount = (price > 0) & ~F.isnan(price) & (price < float("inf"))
+    whole = (F.trim(F.coalesce(text, F.lit(""))) != "") & (F.coalesce(currency, F.lit("")) != "") & F.coalesce(amount, F.lit(False))
+    return F.when(status == "verified", whole).otherwise(price.isNull() & currency.isNull())
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over code points, as a long."""
     step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))

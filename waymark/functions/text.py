@@ -168,7 +168,8 @@ def numbers_conflict(a: Column, b: Column, pattern: str = r"(\d+)") -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
 
 
-SUBPREMISE = r"(?i)\b(?:suite|unit|room|floor|level|apt|flat)\b"
+# Words that name a part of a building.
+SUBPREMISE = r"(?i)\b(?:bldg|building|floor|fl|level|room|suite|unit)\b"
 
 
 def has_subpremise(address: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.numbers import places
+from ..functions.numbers import places, wilson
 
 # Weights of the score, and the least similarities that count as evidence.
 NAME, ADDRESS, POSTCODE, CITY, CONTACT = 0.58, 0.27, 0.04, 0.02, 0.15
@@ -85,6 +85,30 @@ def search_assessment(candidates: DataFrame, control: str = "control") -> DataFr
     return best.select(control, "rank", "score", "km", map_agreement(F.col("km")).alias("agreement"))
 
 
+def search_summary(records: DataFrame, worst: float = 0.25) -> DataFrame:
+    """One row over assessed controls (country, agreement, queries, errors, candidates, outside): counts, rates and 95 % intervals.
+
+    Coverage is of all controls, agreement of those with a result. If more than `worst` of the queries failed, or of the candidates are
+    in another country, the environment was not fit to measure agreement, which then is null.
+    """
+    has = lambda *kinds: F.count_if(F.col("agreement").isin(*kinds))
+    total = records.agg(
+        F.count("*").alias("sample_size"), F.countDistinct("country").alias("countries"), has("exact").alias("exact"), has("campus").alias("campus"), has("disagrees").alias("disagrees"),
+        has("no_result").alias("no_result"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("queries", "errors", "candidates", "outside")],
+    )
+    n, exact, usable = F.col("sample_size"), F.col("exact"), F.col("exact") + F.col("campus")
+    searched = n - F.col("no_result")
+    failing, abroad = F.try_divide("errors", "queries") > worst, F.try_divide("outside", "candidates") > worst
+    valid = ~F.coalesce(failing, F.lit(False)) & ~F.coalesce(abroad, F.lit(False))
+    rate = lambda k, of: places(F.try_divide(k, of), 4)
+    return total.select(
+        "*", F.when(valid, "measured").otherwise("invalid_environment").alias("status"), rate(searched, n).alias("selection_coverage"), rate(exact, n).alias("exact_coverage"),
+        rate(usable, n).alias("usable_coverage"), wilson(exact, n).alias("exact_coverage_interval"), wilson(usable, n).alias("usable_coverage_interval"),
+        F.when(valid, rate(exact, searched)).alias("exact_agreement"), F.when(valid, rate(usable, searched)).alias("usable_agreement"),
+        F.when(valid, wilson(exact, searched)).alias("exact_agreement_interval"),
+    )
+
+
 def lineage(json: Column) -> Column:
     """The licences of a JSON array of sources, distinct and sorted; sources may be wrapped in `element`."""
     source = "struct<license:string,dataset:string>"

@@ -42,6 +42,12 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda n: n.isNotNull())
 
 
+def merged_feed(places: DataFrame, patches: DataFrame, fields: dict[str, str], key: str = "id", publishable: str = "publishable", future: str = "future_opening") -> DataFrame:
+    """places under their patches, less those that are then unpublishable and not announced for the future; ids never change."""
+    merged = applied(places, patches, {f: kind for f, kind in fields.items() if f != key}, key)
+    return merged.where(F.coalesce(publishable, F.lit(True)) | (F.coalesce(F.col(future), F.lit("")) != ""))
+
+
 def future_openings(places: DataFrame, openings: DataFrame, key: str = "id") -> DataFrame:
     """places with the label of their announced opening, null without one."""
     own = openings.select(F.col(key).alias("_id"), F.col("label").alias("future_opening"))

@@ -155,3 +155,34 @@ def discovery(crawled: DataFrame, known: DataFrame, failed_before: DataFrame, ke
     is_known = F.col("_known").isNotNull()
     failed = F.when(is_known, "known_failed").when(F.col("_before").isNotNull(), "unresolved_ongoing").otherwise("unresolved_new")
     return joined.select(key, F.when(F.col("failed"), failed).when(is_known, "known").otherwise("new").alias("outcome"))
+
+
+def issue_token(severity: Column, code: Column) -> Column:
+    return F.concat(severity, F.lit(":"), code)
+
+
+def next_state(discovered: DataFrame, key: str) -> DataFrame:
+    """The keys to remember until the next run: pages without an answer, new or from before, each once."""
+    return discovered.where(F.col("outcome").isin("unresolved_new", "unresolved_ongoing")).select(key).distinct()
+
+
+def state_changed(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: whether the remembered keys of two runs differ, how many came and how many went."""
+    joined = before.select(F.col(key).alias("b")).distinct().join(after.select(F.col(key).alias("a")).distinct(), F.col("a") == F.col("b"), "full")
+    came, went = F.count_if(F.col("b").isNull()), F.count_if(F.col("a").isNull())
+    return joined.agg(came.alias("came"), went.alias("went"), (came + went > 0).alias("changed"))
+
+
+def audit(places: DataFrame) -> DataFrame:
+    """(kind, id, detail) of what people should look at: no location, unverified ones, prices not understood, old cities.
+
+    places has id, has_geo, verification, city, city_source and offers (label, text, status).
+    """
+    flat = F.array(
+        F.when(~F.col("has_geo"), F.struct(F.lit("no_location").alias("kind"), F.lit(None).cast("string").alias("detail"))),
+        F.when(F.col("has_geo") & (F.coalesce("verification", F.lit("")) != "verified"), F.struct(F.lit("unverified_location").alias("kind"), F.col("verification").alias("detail"))),
+        F.when(F.col("city_source") == "legacy", F.struct(F.lit("legacy_city").alias("kind"), F.col("city").alias("detail"))),
+    )
+    unread = F.transform(F.filter("offers", lambda o: o["status"] == "unparsed"), lambda o: F.struct(F.lit("unparsed_price").alias("kind"), F.concat(o["label"], F.lit(": "), F.coalesce(o["text"], F.lit(""))).alias("detail")))
+    every = F.concat(F.filter(flat, lambda e: e.isNotNull()), F.coalesce(unread, F.array().cast("array<struct<kind:string,detail:string>>")))
+    return places.select("id", F.explode(every).alias("_e")).select("_e.kind", "id", "_e.detail")

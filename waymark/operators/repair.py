@@ -62,6 +62,15 @@ def localised(places: DataFrame, evidence: DataFrame, key: str = "id", force: bo
     return wanted.join(good, key).select(key, "locale", "address")
 
 
+def without_sources(entries: Column, sources: tuple[str, ...]) -> Column:
+    """Localised entries (locale, name, address, name_source, address_source) without what comes from these sources; empty ones go."""
+    stale = lambda e, f: F.coalesce(e[f"{f}_source"].isin(*sources), F.lit(False))
+    kept = lambda e, f, c: F.when(~stale(e, f), e[c])
+    fields = (("name", "name"), ("address", "address"), ("name", "name_source"), ("address", "address_source"))
+    fresh = F.transform(entries, lambda e: F.struct(e["locale"].alias("locale"), *[kept(e, f, c).alias(c) for f, c in fields]))
+    return F.filter(fresh, lambda e: (F.coalesce(e["name"], F.lit("")) != "") | (F.coalesce(e["address"], F.lit("")) != ""))
+
+
 def with_locale(entries: Column, locale: Column, entry: Column) -> Column:
     """An array of structs with the one of this locale replaced, in order."""
     return F.array_sort(F.concat(F.filter(entries, lambda e: e["locale"] != locale), F.array(entry)))

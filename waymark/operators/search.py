@@ -145,6 +145,17 @@ def price_ceiling(found: DataFrame) -> DataFrame:
     return found.agg(many.alias("currencies"), F.when(F.size(many) == 1, F.ceil(F.max("price"))).alias("ceiling"))
 
 
+def administered(places: DataFrame, words: str = "", queue_only: bool = False, most: int = 200) -> DataFrame:
+    """Places whose id, name, address, city or country has these words, by id; `most` of them, or the whole review queue.
+
+    places has those columns and needs_review. The limit is the page that an editor sees.
+    """
+    found = places.where("needs_review") if queue_only else places
+    if words.strip():
+        found = found.where(F.lower(F.concat_ws(" ", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("id", "name", "address", "city", "country")])).contains(words.strip().lower()))
+    return found if queue_only else found.orderBy("id").limit(most)
+
+
 # Parameters of a search's address, and the values that each accepts.
 PARAMETERS = {
     "modules": ("module", ("academic", "general_training", "life_skills", "other")),
