@@ -94,17 +94,19 @@ def pivot_table(fps: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, group: Column, combinations_of: list[tuple[int, ...]], value) -> DataFrame:
-    """rows once for each combination of coordinates that have to agree, with the columns k (their group and values)."""
-    keys = [F.struct(group.alias("g"), F.lit(n).alias("n"), *[value(i).alias(f"c{j}") for j, i in enumerate(c)]) for n, c in enumerate(combinations_of)]
-    return rows.withColumn("k", F.explode(F.array(*keys)))
+    """rows once for each combination of coordinates that have to agree, with its number n and k, a hash of group, number and values.
+
+    Rows that agree have equal k. Others that share a hash by chance are only compared in vain, and a row of k takes 8 bytes.
+    """
+    keys = [F.struct(F.lit(n).alias("n"), F.xxhash64(group, F.lit(n), *map(value, c)).alias("k")) for n, c in enumerate(combinations_of)]
+    return rows.withColumn("_key", F.explode(F.array(*keys))).select(*rows.columns, "_key.n", "_key.k")
 
 
 def _close(rows: DataFrame, distance: int) -> DataFrame:
     """Pairs of rows with equal k that no pivot keeps apart and that differ by at most `distance` bits."""
-    x, y = rows.select("k.*", F.col("fp").alias("a"), "near"), rows.select("k.*", F.col("fp").alias("b"), F.col("near").alias("near_b"))
+    x, y = rows.select("k", F.col("fp").alias("a"), "near"), rows.select("k", F.col("fp").alias("b"), F.col("near").alias("near_b"))
     apart: Column = F.array_max(F.zip_with("near", "near_b", lambda p, q: F.abs(p - q)))
-    joined = x.join(y, [c for c in x.columns if c not in ("a", "near")])
-    return joined.where((F.col("a") < F.col("b")) & (apart <= distance)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    return x.join(y, "k").where((F.col("a") < F.col("b")) & (apart <= distance)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
@@ -119,7 +121,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataF
     crowded = keyed.join(sizes, "k", "left_semi")
     # the half blocks that a bucket's fingerprints do not have in common anyway
     rest = F.array(*[F.array(*[F.lit(2 * b + h) for b in range(BLOCKS) if b not in c for h in (0, 1)]) for c in agree])
-    rows = crowded.select("fp", "near", "halves", F.xxhash64("k").alias("bucket"), F.get(rest, F.col("k.n")).alias("rest"))
+    rows = crowded.select("fp", "near", "halves", F.col("k").alias("bucket"), F.get(rest, F.col("n")).alias("rest"))
     finer = _keyed(rows, F.col("bucket"), list(combinations(range(2 * distance), distance)), lambda i: F.get("halves", F.get("rest", F.lit(i))))
     return _close(keyed.join(sizes, "k", "left_anti"), distance).unionByName(_close(finer, distance)).distinct()
 
