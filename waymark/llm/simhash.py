@@ -116,7 +116,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataF
     blocks are halved and the same argument is used once more, so that rows which are compared agree on 48 bits or so.
     """
     agree = list(combinations(range(BLOCKS), BLOCKS - distance))
-    keyed = _keyed(pivot_table(fps), F.lit(0), agree, lambda i: F.col("blocks")[i])
+    # each fingerprint becomes many rows, so it must not stay in partitions that were joined together by their present size; dealt out by
+    # the plain column it would, as it comes from an aggregate by that
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    keyed = _keyed(pivot_table(spread), F.lit(0), agree, lambda i: F.col("blocks")[i])
     sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > large).select("k")
     crowded = keyed.join(sizes, "k", "left_semi")
     # the half blocks that a bucket's fingerprints do not have in common anyway
