@@ -97,3 +97,26 @@ def test_both_sides_help(spark):
     docs = spark.createDataFrame([(1, ordered, None, None, 0), (2, " ".join(words), None, None, 0)], DOCS)
     got = {r.id: r.log_likelihood / r.n_tokens for r in pseudolikelihood.score(docs, pseudolikelihood.learn(docs)).collect()}
     assert got[1] > got[2]
+
+
+def test_words_are_counted_one_by_one_and_joined_when_rare(spark):
+    from collections import Counter
+
+    # far more words than go along with the tasks: each has its own count, however many others there are
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(3000) if j % (i + 1) == 0) + " junk%d" % i, None, None, 0) for i in range(40)], DOCS)
+    counts = Counter(w for r in docs.collect() for w in r.text.split())
+    assert {r.word: r.n for r in pseudolikelihood.count_words(docs).collect()} == counts
+    few, all_ = pseudolikelihood.learn(docs, most=50), pseudolikelihood.learn(docs)
+    assert all_.rare is None and few.rare.count() == len(counts) - len(few.class_of.keys) > 2000
+    assert np.array_equal(few.table, all_.table)
+    got, want = ({r.id: r.log_likelihood for r in pseudolikelihood.score(docs, m).collect()} for m in (few, all_))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * abs(want[k]) for k in want)
+
+
+def test_shares_of_all_words_and_one_unknown_add_up(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"a{i} " * (i % 9 + 1) for i in range(500)), None, None, 0)], DOCS)
+    made, rare = pseudolikelihood.vocabulary(pseudolikelihood.count_words(docs))
+    assert rare is None and len(made.class_of.keys) == 500
+    total = np.bincount(made.class_of.values, np.exp(made.in_class.values), pseudolikelihood.CLASSES)
+    total[made.level_class[0]] += np.exp(made.level_share[0])
+    assert np.allclose(total[total > 0], 1)
