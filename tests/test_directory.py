@@ -93,3 +93,24 @@ def test_audit_of_nothing(spark):
     rows = [(1, True, "verified", "x", "rule", None), (2, False, None, None, None, [("a", None, "unparsed")])]
     got = {(r.kind, r.id, r.detail) for r in quality.audit(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("no_location", 2, None), ("unparsed_price", 2, "a: ")}
+
+
+def test_whole_graph_components_against_union_find(spark, tmp_path):
+    from waymark import plans
+
+    # chains and a hot part over orders of which no key is a multiple of 40
+    lines = [(o, o * 7 % 60, o) for o in range(1, 39)] + [(o, 500, o) for o in range(41, 60)] + [(80, 900, 1), (80, 0, 2)]
+    spark.createDataFrame([(o, o // 2) for o in {x[0] for x in lines}], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for o, part, _ in lines:
+        a, b = find(o // 2), find(-1 - part)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in plans.QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in list(root)} and len(set(got.values())) > 1
