@@ -114,3 +114,14 @@ def test_whole_graph_components_against_union_find(spark, tmp_path):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in plans.QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in list(root)} and len(set(got.values())) > 1
+
+
+def test_whole_adjacency_and_evidence(spark):
+    from waymark import plans
+
+    sf = "/root/testdata/sf0.001"
+    links = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    assert sum(r.n for r in plans.QUERIES["duplicate_adjacency_whole"](spark, sf).collect()) == 2 * len(links)
+    ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    got = {(r.a, r.b) for r in plans.QUERIES["pending_duplicate_evidence_whole"](spark, sf).collect()}
+    assert got == {(a, b) for a in ids for b in ids if a < b and a // 4 == b // 4}

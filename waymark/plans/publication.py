@@ -210,6 +210,27 @@ def duplicate_adjacency(t: Tables) -> DataFrame:
     return repair.both_ways(links).select("node", F.size("others").cast("long").alias("n"), joined(F.transform("others", lambda o: o.cast("string"))).alias("others"))
 
 
+@query("""WITH l AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), s AS (SELECT a AS node, b AS o FROM l UNION SELECT b, a FROM l) SELECT node, count(*) AS n, string_agg(o::VARCHAR, '|' ORDER BY o) AS others FROM s GROUP BY node""")
+def duplicate_adjacency_whole(t: Tables) -> DataFrame:
+    """Neighbours in an undirected graph of all parts and suppliers; each link once. Suppliers count from -1 down, as keys can be 0."""
+    links = t.lineitem.select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
+    return repair.both_ways(links).select("node", F.size("others").cast("long").alias("n"), joined(F.transform("others", lambda o: o.cast("string"))).alias("others"))
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS id, c_custkey // 4 AS phone, c_mktsegment AS seg, {sql_lat("c_custkey")} AS lat, {sql_lng("c_custkey")} AS lng FROM customer), l AS (SELECT a.id AS a, b.id AS b, a.phone AS phone, a.lat AS la, a.lng AS ga, b.lat AS lb, b.lng AS gb FROM p a JOIN p b ON a.phone = b.phone AND a.id < b.id)
+    SELECT a, b, 'p' || phone AS phones, CASE WHEN a % 2 = b % 2 THEN 'site' || (a % 2) ELSE '' END AS websites, {sql_places(sql_km("la", "ga", "lb", "gb"), 6)} AS km FROM l"""
+)
+def pending_duplicate_evidence_whole(t: Tables) -> DataFrame:
+    """What two places share that have a phone in common; every such pair."""
+    k = F.col("c_custkey")
+    phone = F.concat(F.lit("p"), F.floor(k / 4).cast("string"))
+    rows = t.customer.select(k.alias("id"), F.array(phone, F.lit("")).alias("phones"), F.array(F.concat(F.lit("site"), (k % 2).cast("string"))).alias("websites"), lat_of("c_custkey").alias("lat"), lng_of("c_custkey").alias("lng"))
+    phones = rows.select("id", F.explode("phones").alias("phone")).where("phone <> ''")
+    links = phones.withColumnRenamed("id", "a").join(phones.withColumnRenamed("id", "b"), "phone").where("a < b").select("a", "b").distinct()
+    return repair.duplicate_evidence(links, rows).select("a", "b", joined(F.col("phones")).alias("phones"), joined(F.col("websites")).alias("websites"), rounded(F.col("km"), 6).alias("km"))
+
+
 # -- overlays ------------------------------------------------------------------------------------------------------------------
 
 
