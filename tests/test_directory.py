@@ -125,3 +125,14 @@ def test_whole_adjacency_and_evidence(spark):
     ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
     got = {(r.a, r.b) for r in plans.QUERIES["pending_duplicate_evidence_whole"](spark, sf).collect()}
     assert got == {(a, b) for a in ids for b in ids if a < b and a // 4 == b // 4}
+
+
+def test_whole_resolution_and_currencies(spark):
+    from waymark import plans
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    resolved = {r.entity for r in plans.QUERIES["resolve_geo_candidates_whole"](spark, sf).collect()}
+    assert resolved == {r.l_partkey for r in lines if r.l_suppkey % 11}
+    assert {r.l_suppkey for r in plans.QUERIES["currency_set_guard_whole"](spark, sf).collect()} == {r.l_suppkey for r in lines}
+    assert "l_partkey % 5 = 0" not in plans.ORACLE_SQL["resolve_geo_candidates_whole"] and "WHERE" not in plans.ORACLE_SQL["currency_set_guard_whole"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numbers, text
 from ..operators import candidates, entities, search
 from ..operators.components import components
-from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
+from .registry import ORACLE_SQL, Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
 # -- entities ------------------------------------------------------------------------------------------------------------
 
@@ -155,9 +155,19 @@ _CAND = """c AS (SELECT l_partkey AS entity, l_orderkey * 10 + l_linenumber AS s
 )
 def resolve_geo_candidates(t: Tables) -> DataFrame:
     """Verification of parts' coordinates from the candidates that their order lines propose."""
+    return _resolved(t.lineitem.where(F.col("l_partkey") % 5 == 0))
+
+
+@query(ORACLE_SQL["resolve_geo_candidates"].replace(" FROM lineitem WHERE l_partkey % 5 = 0)", " FROM lineitem)"))
+def resolve_geo_candidates_whole(t: Tables) -> DataFrame:
+    """Verification of the coordinates of all parts."""
+    return _resolved(t.lineitem)
+
+
+def _resolved(lines: DataFrame) -> DataFrame:
     n, s, p = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     path = F.when(n == 7, "admin").otherwise(F.element_at(F.array(*map(F.lit, ("embed", "osm", "poi"))), (s % 3 + 1).cast("int")))
-    rows = t.lineitem.where(p % 5 == 0).select(
+    rows = lines.select(
         p.alias("entity"), (F.col("l_orderkey") * 10 + n).alias("seq"), path.alias("path"), ((p % 50).cast("double") + n.cast("double") / 1000).alias("lat"), ((p % 90).cast("double") + (s % 4).cast("double") / 100).alias("lng"),
         (n % 5).cast("int").alias("tier"), (s % 2).cast("string").alias("postcode"), F.lit("1").alias("want_postcode"), F.when(s % 11 != 0, n % 5 + F.when(s % 2 == 1, 1).otherwise(0)).alias("score"),
     )
@@ -273,6 +283,14 @@ def currency_set_guard(t: Tables) -> DataFrame:
     return found.select("l_suppkey", joined(F.col("c")).alias("currencies"), F.when(F.size("c") == 1, F.ceil("top")).alias("ceiling"))
 
 
+@query(ORACLE_SQL["currency_set_guard"].replace(" WHERE l_quantity > 49", ""))
+def currency_set_guard_whole(t: Tables) -> DataFrame:
+    """Currencies per supplier over all offers, and the price ceiling where there is one currency."""
+    many = F.sort_array(F.collect_set("l_returnflag"))
+    found = t.lineitem.groupBy("l_suppkey").agg(many.alias("c"), F.max("l_extendedprice").alias("top"))
+    return found.select("l_suppkey", joined(F.col("c")).alias("currencies"), F.when(F.size("c") == 1, F.ceil("top")).alias("ceiling"))
+
+
 @query("""SELECT c_custkey AS id, c_name AS name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS price FROM customer ORDER BY price ASC NULLS LAST, name, id LIMIT 40""")
 def sort_nulls_last_topk(t: Tables) -> DataFrame:
     """The forty cheapest, unknown prices last."""
