@@ -6,6 +6,9 @@ its items' sketches: the k least shingle hashes (bottom-k MinHash), a uniform sa
 `share` of the item's n shingles lacks floor((1 - share) n) at most, and so has all but that many of the sketch: k is
 chosen above that number for every size of the partition, so the search loses no item. Candidates are then verified
 by exact containment of the shingles themselves.
+
+An item of fewer than SHINGLE words is one shingle of its own length and is found only in a text of just these words, not inside a
+longer one.
 """
 
 from __future__ import annotations
