@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every document that comes before.
+"""Substring dedup against every document that comes before, after relative Lempel-Ziv parsing but without its greedy parse.
 
 Reference blocks are cut by content: of each window of `length` words, the least hash among its runs of ANCHOR words is
 the anchor, and the windows that share an anchor make a block. Equal windows have equal anchors, so whatever a document
 repeats lies in blocks whose anchor other documents have too. The index is keyed by anchor and by the hash of
-the whole block. Parsing is greedy: where a whole block occurs in an earlier document it is copied, and neighbouring
-copies join into one factor. Where it does not, at the boundaries of factors, its windows are looked up one by one.
-Factors are at least one window long; all words that they cover are duplicate spans.
+the whole block. Where a whole block occurs in an earlier document, its windows are repeats. Where it does not, a hash join
+looks up its windows one by one. No factors (reference position, length) are formed, as the result asks only which
+windows occur earlier; all words that repeated windows cover are duplicate spans.
 
 Only anchors that two documents share, and only the first document of each distinct block, take part in the later steps,
 so that a passage with any number of copies costs one block. Occurrences within one document need no index.
