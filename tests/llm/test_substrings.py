@@ -1,10 +1,12 @@
+import hashlib
 import random
 import re
 
-from waymark.llm import substrings
+from waymark.llm import queries, substrings
 
 from .helpers import DOCS, empty, hard, hard_rows, prose
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -22,6 +24,20 @@ def brute(rows, length=20):
     return out
 
 
+def check_factors(rows, found, length=20):
+    """Each factor is verbatim at an earlier place, cannot go on along its source as the next one, and factors give the spans."""
+    text = {k: WORD.findall(t or "") for k, t in rows}
+    assert any(r.factors for r in found)
+    for r in found:
+        words, gone = text[r.id], set()
+        for f, after in zip(r.factors, [*r.factors[1:], None]):
+            assert f.words >= length and (f.source, f.start) < (r.id, f.at)
+            assert words[f.at : f.at + f.words] == text[f.source][f.start : f.start + f.words]
+            assert after is None or f.at < after.at and not (after.source == f.source and after.at - after.start == f.at - f.start and after.at <= f.at + f.words - length + 1)
+            gone |= set(range(f.at, f.at + f.words))
+        assert gone == {i for s in r.spans for i in range(s.start, s.start + s.words)} and len(gone) == r.n_removed
+
+
 def result(df, **kw):
     return {r.id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in substrings.deduplicated(df, **kw).collect()}
 
@@ -46,6 +62,23 @@ def test_overlapping_passages(spark):
         texts.append((i, " ".join(parts)))
     df = spark.createDataFrame([(k, t, None, None, 0) for k, t in texts], DOCS).repartition(5)
     assert result(df) == brute(texts)
+    check_factors(texts, substrings.deduplicated(df).collect())
+
+
+def test_a_long_copy_is_one_factor(spark):
+    text = prose(3000, 21, 5000)
+    rows = [(1, text), (2, "x y z " + text + " end"), (3, prose(50, 22) + " " + " ".join(text.split()[700:1900]))]
+    got = {r.id: [tuple(f) for f in r.factors] for r in substrings.deduplicated(spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)).collect()}
+    assert got == {1: [], 2: [(3, 1, 0, 3000)], 3: [(50, 1, 700, 1200)]}
+
+
+def test_text_ids_and_the_query(spark, tmp_path):
+    rows = [(f"k{i:02}", prose(200, i // 2)) for i in range(8)]
+    got = {r.id: r.n_removed for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: n for k, (_, n, _) in brute(rows).items()}
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op1_relative_lempel_ziv(spark, SF).collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert found == {k: (n, m, hashlib.sha256(kept.encode()).hexdigest()) for k, (n, m, kept) in brute(docs).items()}
 
 
 def test_small_vocabulary_and_other_length(spark):
@@ -54,6 +87,7 @@ def test_small_vocabulary_and_other_length(spark):
     df = spark.createDataFrame([(k, t, None, None, 0) for k, t in texts], DOCS).repartition(3)
     assert result(df) == brute(texts)
     assert result(df, length=5) == brute(texts, 5)
+    check_factors(texts, substrings.deduplicated(df, length=5).collect(), 5)
 
 
 def test_empty(spark):
