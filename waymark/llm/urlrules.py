@@ -1,7 +1,7 @@
 """URL filters by a sort-merge range join, in DataFrame operations only.
 
 The canonical key of a (host, path) is the host's labels in reverse, then the path: example.com with /en/ is
-com.example/en/. All keys that start with a rule's key are one interval of the sorted order, and the intervals of two
+com.example//en/: the host ends in a slash of its own, so that com does not lead to community. All keys that start with a rule's key are one interval of the sorted order, and the intervals of two
 rules are nested or disjoint. A url has one key for each suffix of its host. The sweep goes through rules and keys in
 sorted order, within ranges of keys of about equal size. At each key the last rule seen carries its stack: itself and
 the rules that enclose it. Those of the stack that the key still starts with are active; the longest is the match.
@@ -39,7 +39,7 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     """
     host = F.translate("host", UPPER, LOWER)
     own = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(
-        F.concat(_reversed(F.split(host, r"\.")), "path").alias("key"), F.concat(host, "path").alias("rule"), "verdict"
+        F.concat(_reversed(F.split(host, r"\.")), F.lit("/"), "path").alias("key"), F.concat(host, "path").alias("rule"), "verdict"
     )
     own = own.groupBy("key", "rule").agg(F.max("verdict").alias("verdict"))
     named = own.select("key", F.struct(F.length("key").alias("n"), "key", "rule", "verdict").alias("entry"))
@@ -64,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     urls = materialise(urls, "urls")  # row numbers must not change
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _reversed(F.slice(labels, -i, i)))
-    keys = urls.where("host <> ''").select("row", F.explode(F.transform(suffixes, lambda s: F.concat(s, "path"))).alias("key"))
+    keys = urls.where("host <> ''").select("row", F.explode(F.transform(suffixes, lambda s: F.concat(s, F.lit("/"), "path"))).alias("key"))
     # rules sort before keys that are equal to them; rows dealt by range keep the ranges even when keys repeat
     events = keys.select("key", "row", F.lit(1).alias("turn"), F.lit(None).cast(kind).alias("stack")).unionByName(
         stacks.select("key", F.lit(None).cast("long").alias("row"), F.lit(0).alias("turn"), "stack")
