@@ -38,6 +38,23 @@ def test_language_of_hard_rows(spark):
     assert {r.lang_pred for r in language.identify(hard(spark), language.learn(empty(spark))).collect()} == {"und"}
 
 
+def test_letters_and_clashing_names(spark):
+    net = language.learn(labelled(spark))
+    names, _ = language.judged([t.encode() for t in ("½ ² ① 3", "Ⅷ", "x²", "北", "_9_", "\u0301")], net)
+    assert [n == "und" for n in names] == [not any(map(str.isalpha, t)) for t in ("½ ² ① 3", "Ⅷ", "x²", "北", "_9_", "\u0301")]
+    assert set(language.learn(hard(spark)).languages) <= {"en", "fr"}
+
+
+def test_query_of_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = queries.op5_byte_convolution(spark, "/root/testdata/sf0.01").collect()
+    text, lang = ({r.doc_id: r[c] for r in docs.collect()} for c in ("text", "lang"))
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and len(rows) == len(text)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id] or "")) for r in rows)
+    judged = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert sum(judged) > 0.97 * len(judged)
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     from pyspark.sql import functions as F
 

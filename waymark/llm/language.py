@@ -8,7 +8,7 @@ windows, weighted by their bytes and by how sure the network is of each: a windo
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import pieces, small_batches, utf8, with_columns
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Labelled texts that training reads for each language, at most about so many, and windows that it takes of each.
+#: Labelled texts that training reads for each language, about so many at most, and windows that it takes of each.
 PER_LANGUAGE, PER_TEXT = 600, 3
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -126,12 +125,25 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """About per_language texts of each language, by a hash of their ids, from rows that are not held out."""
-    seen = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    counts = seen.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
-    near = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)) * F.col("_n") < per_language * (1 << 30)
-    rows = seen.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where(near)  # one row for each language
-    return [(r[0], r[1].encode()) for r in rows.select(lang_col, text_col).sort(F.xxhash64(id_col), id_col).limit(per_language * 200).collect()]
+    """(language, window): PER_TEXT windows of about per_language texts of each language, by hashes of ids and texts, of rows that are not held out."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(5)).alias("h"), held_out(id_col).alias("held"))
+    seen = rows.where("NOT held AND lang IS NOT NULL AND text <> ''").select("lang", "text", "h")
+    counts = seen.groupBy("lang").agg(F.count("*").alias("n"))
+    near = F.pmod("h", F.lit(1 << 30)) * F.col("n") < per_language * (1 << 30)
+    chosen = seen.join(F.broadcast(counts), "lang").where(near).select("lang", "text", "h")  # one row for each language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found: list[tuple] = []
+            for lang, text, h in zip(batch.column("lang").to_pylist(), utf8(batch.column("text")), batch.column("h").to_pylist()):
+                own = cut([text])[0]
+                found += [(lang, own[i].tobytes(), h) for i in sorted(np.random.default_rng(h & (2**64 - 1)).permutation(len(own))[:PER_TEXT])]
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()))], ["lang", "window", "h"])
+
+    found = chosen.mapInArrow(run, "lang string, window binary, h long").sort("h", "window").toArrow()
+    return list(zip(found.column("lang").to_pylist(), found.column("window").to_pylist()))
 
 
 def judged(texts: list[bytes], net: Network) -> tuple[list[str], list[float]]:
@@ -147,7 +159,7 @@ def judged(texts: list[bytes], net: Network) -> tuple[list[str], list[float]]:
         np.add.at(weights, owner[a : a + 1024], weight)
     total /= np.maximum(weights, 1e-300)[:, None]
     best = total.argmax(1)
-    known = [bool(net.languages) and bool(LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+    known = [bool(net.languages) and any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts]
     names = [net.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known)]
     return names, [float(min(1.0, row[i])) if ok else 0.0 for row, i, ok in zip(total, best, known)]
 
