@@ -1,6 +1,6 @@
 import re
 
-from waymark.llm import pii
+from waymark.llm import pii, queries
 
 from .helpers import empty, hard, hard_rows
 
@@ -75,3 +75,24 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert pii.redact(df).columns == df.columns
     assert got[0] is None and "[EMAIL]" in got[39] and "a.b@c" not in got[39] and got[9] == hard_rows()[3][1]
+    assert {r.doc_id: r["_null"] for r in pii.redact(df).collect()} == {r.doc_id: "x_null" for r in df.collect()}
+
+
+def test_long_numeric_texts_keep_within_memory():
+    import resource
+
+    text = (" ".join("1234567890"[i % 10] for i in range(1_500_000)) + " " + "x 5 y " * 2000).encode()  # 3 MB
+    field, before = pii.default_field(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pii.all_spans([text], field)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # kB
+
+
+def test_query_of_spans(spark):
+    import hashlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op2_shape_field(spark, "/root/testdata/sf0.001").collect():
+        base = brute(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for kind, *_ in base) for k in pii.BASE]
+        assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))

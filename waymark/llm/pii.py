@@ -26,6 +26,8 @@ KINDS = (*BASE, "secret")
 #: Label 0 is other; 2k + 1 begins and 2k + 2 continues kind k.
 LABELS = 1 + 2 * len(KINDS)
 CONTEXT = 3
+#: Words of a sequence that are decoded at once, and those on either side that are decoded with them.
+STRETCH, OVERLAP = 1024, 64
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -105,7 +107,7 @@ def shapes(words: Words, chosen: np.ndarray) -> np.ndarray:
     counts = {"length": length, "digits": total(kind == 0), "upper": total(kind == 1), "lower": total(kind == 2), "turns": total(turn)}
     columns = [kind[first], kind[first + length - 1], *[np.searchsorted(BOUNDS[k], counts[k]) for k in BOUNDS]]
     columns += [total(data == m) > 0 for m in MARKS]
-    return np.stack(columns, 1).astype(np.int64) + OFFSETS[:-1]
+    return np.stack([c.astype(np.int16) + np.int16(o) for c, o in zip(columns, OFFSETS)], 1)
 
 
 def evidence(words: Words) -> np.ndarray:
@@ -143,17 +145,32 @@ class Field:
 
     def scores(self, features: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """(words, labels); features of words in a row, first and last mark the ends of sequences."""
-        own, before, after = (self.emit[i][features].sum(1) for i in range(3))
+        own, before, after = (np.zeros((len(features), LABELS)) for _ in range(3))
+        for i, total in enumerate((own, before, after)):
+            for column in features.T:  # one feature at a time, so that memory keeps to a few times the result
+                total += self.emit[i].take(column, 0)
         before, after = np.roll(before, 1, 0), np.roll(after, -1, 0)
         before[first], after[last] = self.emit[1][WIDTH], self.emit[2][WIDTH]
         return own + before + after
 
-    def viterbi(self, scores: np.ndarray, begin: np.ndarray, size: np.ndarray, at_once: int = 2048) -> np.ndarray:
-        """The best labels of all words; sequences of similar size are decoded together."""
+    def viterbi(self, scores: np.ndarray, begin: np.ndarray, size: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
+        """The best labels of all words; sequences of similar size are decoded together, as many as fit into rows x longest <= cells, or one.
+
+        Those longer than STRETCH are decoded in stretches that reach OVERLAP words beyond either side, where nothing is kept.
+        """
         labels = np.zeros(len(scores), np.int64)
+        count = -(-size // STRETCH)
+        of = np.repeat(np.arange(len(size)), count)
+        low = begin[of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+        high = np.minimum(low + STRETCH, (begin + size)[of])
+        begin, size = np.maximum(low - OVERLAP, begin[of]), np.minimum(high + OVERLAP, (begin + size)[of])
+        size = size - begin
         order = np.argsort(size, kind="stable")
-        for i in range(0, len(order), at_once):
-            own = order[i : i + at_once]
+        upto = 0
+        while upto < len(order):
+            i, longest = upto, size[order]
+            upto = i + 1 + int(np.searchsorted(longest[i + 1 :] * np.arange(2, len(order) - i + 1), cells, "right"))
+            own = order[i:upto]
             a, n = begin[own], size[own]
             back = np.zeros((len(own), int(n.max(initial=0)), LABELS), np.int8)
             best = scores[a] + self.open
@@ -165,7 +182,9 @@ class Field:
             now = best.argmax(1)
             for t in range(back.shape[1] - 1, -1, -1):
                 live = np.flatnonzero(n > t)
-                labels[a[live] + t] = now[live]
+                place = a[live] + t
+                kept = (place >= low[own[live]]) & (place < high[own[live]])
+                labels[place[kept]] = now[live[kept]]
                 now[live] = back[live, t, now[live]]
         return labels
 
@@ -401,13 +420,10 @@ def redacted(text: str | None, spans_of: str) -> str | None:
 
 def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
     """docs with every span of every text replaced by its kind in brackets; null texts stay null and other columns stay."""
-    field, nulls = field or default_field(), F.col(text_col).isNull()
+    field = field or default_field()
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
         found = all_spans(texts, field)
         return [pa.array([redacted(t.decode("utf-8", "replace"), joined(b + m)) for t, (b, m) in zip(texts, found)], pa.string())]
 
-    order = docs.columns
-    marked = docs.withColumn("_null", nulls)
-    changed = with_columns(marked, text_col, f"{text_col} string", compute)
-    return changed.withColumn(text_col, F.when(~F.col("_null"), F.col(text_col))).select(*order)
+    return with_columns(docs, text_col, f"{text_col} string", compute).select(*docs.columns)
