@@ -43,6 +43,14 @@ def test_nested_rules(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_rules_without_a_path_do_not_reach_other_hosts(spark):
+    urls = ["http://x.community/a", "http://x.com/a", "http://com", "http://a.b.net", "http://a.b.network/", "http://.com/a"]
+    rules = [("com", "", "block"), ("b.net", "", "block")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [tuple(r) for r in urlrules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()]
+    assert sorted(got) == sorted((i, *verdict(u, rules)) for i, u in enumerate(urls))
+
+
 def test_no_rules_and_no_pages(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
@@ -83,3 +91,6 @@ def test_decontaminated(spark):
     assert kept.count() == len(hard_rows()) - 2
     assert decontaminate.decontaminated(hard(spark), bench.limit(0)).count() == len(hard_rows())
     assert decontaminate.contained(empty(spark), bench).count() == 0
+    rows = [(None, prose(6000, 3)), (None, "one more"), (7, "ONE two"), (7, "other"), (8, None)]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)
+    assert sorted(str((r.doc_id, r.text)) for r in decontaminate.decontaminated(df, bench).collect()) == sorted(map(str, [rows[1], rows[3], rows[4]]))

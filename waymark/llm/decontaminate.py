@@ -87,6 +87,12 @@ def contained(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
-    leaks = contained(docs, items, id_col, **options).select(F.col("id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+    """The rows of docs, all columns, that hold no item.
+
+    Each row is judged by its own text, whether it has an id or not and whatever other rows have its id. Null and blank texts
+    stay, repeated rows stay or go together, and an empty table of items removes nothing.
+    """
+    text = docs[options.get("text_col", "text")]
+    rows = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(text).alias("h")).alias("id"), text.alias("text"))
+    leaks = contained(rows, items, **{k: v for k, v in options.items() if k != "text_col"}, id_col="id").select("id.id", "id.h").distinct()
+    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["id"]) & (F.xxhash64(text) == leaks["h"]), "left_anti")
