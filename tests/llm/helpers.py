@@ -32,7 +32,7 @@ def hard(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(hard_rows(), DOCS)
-    extra = ["id", "fp", "a", "b", "ids", "score", "lang_pred", "bucket", "key", "anchor", "spans", "node", "h", "item", "edits_", "part", "start"]
+    extra = ["id", "fp", "a", "b", "ids", "score", "lang_pred", "bucket", "key", "anchor", "spans", "node", "h", "item", "edits_", "part", "start", "_null", "_lang", "_n", "held", "window", "row", "missed", "none", "free", "turn", "blocks"]
     return df.withColumns({c: F.lit(f"x{c}") for c in extra})
 
 
