@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialise, small_batches, utf8
+from .common import materialise, pieces, small_batches, utf8
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Blocks of the pivot table, and pivots: random 64-bit numbers from a fixed seed.
 BLOCKS, PIVOTS = 6, 16
-#: Rows of a bucket beyond which it is cut finer.
-LARGE = 256
+#: Rows of a bucket beyond which it is cut finer, and how often blocks are halved for that.
+LARGE, HALVINGS = 256, 2
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             fps = np.array([fingerprint(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
@@ -88,45 +88,50 @@ def coordinates(mask: int) -> Column:
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """Add `near` (distances to the whole pivots), and `blocks` and `halves` (packed coordinates of blocks and half blocks)."""
-    near = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
-    return fps.withColumns({"near": near, "blocks": F.array(*map(coordinates, masks())), "halves": F.array(*map(coordinates, masks(2 * BLOCKS)))})
-
-
-def _keyed(rows: DataFrame, group: Column, combinations_of: list[tuple[int, ...]], value) -> DataFrame:
-    """rows once for each combination of coordinates that have to agree, with its number n and k, a hash of group, number and values.
-
-    Rows that agree have equal k. Others that share a hash by chance are only compared in vain, and a row of k takes 8 bytes.
-    """
-    keys = [F.struct(F.lit(n).alias("n"), F.xxhash64(group, F.lit(n), *map(value, c)).alias("k")) for n, c in enumerate(combinations_of)]
-    return rows.withColumn("_key", F.explode(F.array(*keys))).select(*rows.columns, "_key.n", "_key.k")
+    """Add `near`, the distances to the whole pivots."""
+    return fps.withColumn("near", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()]))
 
 
 def _close(rows: DataFrame, distance: int) -> DataFrame:
     """Pairs of rows with equal k that no pivot keeps apart and that differ by at most `distance` bits."""
-    x, y = rows.select("k", F.col("fp").alias("a"), "near"), rows.select("k", F.col("fp").alias("b"), F.col("near").alias("near_b"))
+    table = pivot_table(rows.select("k", "fp"))
+    x, y = table.select("k", F.col("fp").alias("a"), "near"), table.select("k", F.col("fp").alias("b"), F.col("near").alias("near_b"))
     apart: Column = F.array_max(F.zip_with("near", "near_b", lambda p, q: F.abs(p - q)))
     return x.join(y, "k").where((F.col("a") < F.col("b")) & (apart <= distance)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, large: int = LARGE, halvings: int = HALVINGS) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints `fps` (fp) with at most `distance` differing bits.
 
-    A bucket of fingerprints that agree on half of the blocks is joined with itself. In one of more than `large` rows the other
-    blocks are halved and the same argument is used once more, so that rows which are compared agree on 48 bits or so.
+    Fingerprints that agree on the coordinates of half of the blocks share a bucket, whose rows are joined with each other. A bucket of more than
+    `large` rows is cut: its other blocks are halved, and the same argument gives buckets within it, which agree on 48 bits or so,
+    and after another halving on 56. What is crowded still has no more than a few hundred fingerprints, as they are distinct.
+    Rows that agree have equal k, a hash of their bucket and coordinates; others that share a hash by chance are only compared in vain.
     """
-    agree = list(combinations(range(BLOCKS), BLOCKS - distance))
+    combos = list(combinations(range(BLOCKS), BLOCKS - distance))
     # each fingerprint becomes many rows, so it must not stay in partitions that were joined together by their present size; dealt out by
     # the plain column it would, as it comes from an aggregate by that
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    keyed = _keyed(pivot_table(spread), F.lit(0), agree, lambda i: F.col("blocks")[i])
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > large).select("k")
-    crowded = keyed.join(sizes, "k", "left_semi")
-    # the half blocks that a bucket's fingerprints do not have in common anyway
-    rest = F.array(*[F.array(*[F.lit(2 * b + h) for b in range(BLOCKS) if b not in c for h in (0, 1)]) for c in agree])
-    rows = crowded.select("fp", "near", "halves", F.col("k").alias("bucket"), F.get(rest, F.col("n")).alias("rest"))
-    finer = _keyed(rows, F.col("bucket"), list(combinations(range(2 * distance), distance)), lambda i: F.get("halves", F.get("rest", F.lit(i))))
-    return _close(keyed.join(sizes, "k", "left_anti"), distance).unionByName(_close(finer, distance)).distinct()
+    rows = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    # `free` has the blocks on which the bucket's rows do not agree yet
+    rows = rows.select("fp", F.lit(0).cast("long").alias("k"), F.array(*[F.lit(b) for b in range(BLOCKS)]).alias("free"))
+    found = None
+    for level in range(halvings + 1):
+        table = rows.withColumn("blocks", F.array(*map(coordinates, masks(BLOCKS << level))))
+        own = lambda c: [F.get("blocks", F.get("free", F.lit(i))) for i in c]
+        keys = [F.struct(F.lit(n).alias("n"), F.xxhash64("k", F.lit(n), *own(c)).alias("k")) for n, c in enumerate(combos)]
+        keyed = materialise(table.withColumn("key", F.explode(F.array(*keys))).select("fp", "free", "key.n", "key.k"), "keyed")
+        if level == halvings:
+            return _close(keyed, distance) if found is None else found.unionByName(_close(keyed, distance)).distinct()
+        crowded = materialise(keyed.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > large).select("k"), "crowded")
+        if crowded.isEmpty():
+            fine = _close(keyed, distance)
+            return (fine if found is None else found.unionByName(fine)).distinct()
+        fine = _close(keyed.join(crowded, "k", "left_anti"), distance)
+        found = fine if found is None else found.unionByName(fine)
+        rest = F.get(F.array(*[F.array(*[F.lit(i) for i in range(BLOCKS) if i not in c]) for c in combos]), F.col("n"))
+        halves = F.flatten(F.transform(rest, lambda i: F.array(2 * F.get("free", i), 2 * F.get("free", i) + 1)))
+        rows = keyed.join(crowded, "k", "left_semi").select("fp", "k", halves.alias("free"))
+    raise AssertionError("the last level returns")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,11 +153,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the least id of their group; of rows with equal ids and texts, one.
 
-    A row without an id stays only if no row of its group has one.
+    A row without an id stays only if no row of its group has one. Of rows with one id, each is judged by its own text; if several of a group have
+    its least id, one stays. Null and blank texts are one group. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    own = docs.select(F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")).alias("id"), docs[text_col].alias("text"))
+    found = near_duplicates(own, "id", "text").where("id = component").select("id.id", "id.h").distinct()
     # the join and the removal of repeated rows share one shuffle by id
-    return docs.join(found, docs[id_col].eqNullSafe(found["id"]), "left_semi").dropDuplicates([id_col, text_col])
+    kept = docs.join(found, docs[id_col].eqNullSafe(found["id"]) & (F.xxhash64(docs[text_col]) == found["h"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col])
 
 
 def hexadecimal(fp: Column) -> Column:
