@@ -4,7 +4,7 @@ import itertools
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from waymark.llm import editprints, simhash
+from waymark.llm import editprints, queries, simhash
 
 from .helpers import DOCS, empty, hard, hard_rows, prose
 
@@ -67,6 +67,25 @@ def test_crowded_buckets(spark):
     table = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert {(r.a, r.b) for r in simhash.links(table, large=20).collect()} == want
+    assert {(r.a, r.b) for r in simhash.links(table, large=2).collect()} == want  # crowded at every level
+
+
+def test_rows_with_equal_ids_are_judged_by_their_texts(spark):
+    a, b = prose(300, 31), prose(300, 32)
+    words = a.split()
+    near = next(t for t in (" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(len(words))) if (brute_fingerprint(t) ^ brute_fingerprint(a)).bit_count() <= 3)
+    rows = [(1, a), (2, near), (2, b), (3, b), (None, prose(300, 33)), (None, a), (4, None), (5, "")]
+    kept = simhash.one_of_each(spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)).collect()
+    fps = {t: brute_fingerprint(t) for _, t in rows}
+    assert (fps[a] ^ fps[near]).bit_count() <= 3
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.doc_id != 4) == sorted([("1", a), ("2", b), ("None", rows[4][1])]) and len(kept) == 4
+
+
+def test_query_of_components(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    fps = {k: brute_fingerprint(t) for k, t in docs.items()}
+    want = brute_components(fps)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op4_simhash_pivots(spark, "/root/testdata/sf0.001").collect()} == {k: (f"{fps[k]:016x}", want[k]) for k in docs}
 
 
 def test_one_of_each(spark):
@@ -121,6 +140,9 @@ def test_near_pairs(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, texts[1][: len(texts[1]) * 92 // 100])]
     prints = spark.createDataFrame([(k, brute_walk(t)) for k, t in rows], "id long, fingerprint string")
     got = {(r.a, r.b) for r in editprints.near_pairs(prints).collect()}
+    assert got == {(r.a, r.b) for r in editprints.near_pairs(prints, rows=1).collect()}  # every bucket cut
+    classes = {r.id: (r["class"], r.n_links) for r in editprints.near_classes(prints).collect()}
+    assert classes == {k: (1, 1) if k in (1, 101) else (0, 0) if k == 100 else (k, 0) for k, _ in rows}
     value = {k: np.frombuffer(bytes.fromhex(brute_walk(t)), np.uint8) for k, t in rows if k != 100}
     want = {(a, b) for a, b in itertools.combinations(sorted(value), 2) if editprints.likeness(value[a], value[b]) >= 0.8}
     assert got == want and (1, 101) in want
@@ -130,3 +152,49 @@ def test_edited_digest_is_of_the_whole_text(spark):
     df = spark.createDataFrame([(1, "abcdé", None, None, 0), (2, "xyz", None, None, 0)], DOCS)
     got = {r.id: hashlib.sha256(r.edited.encode()).hexdigest() for r in editprints.with_edits(df).collect()}
     assert got == {1: hashlib.sha256("abcxy".encode()).hexdigest(), 2: hashlib.sha256("xya".encode()).hexdigest()}
+
+
+def test_edits_of_other_ids_ties_and_a_very_long_text(spark):
+    long = prose(30_000, 77) * 8  # beyond a piece and a group
+    rows = [("b", "second"), ("a", None), (None, "x y"), (None, "x y"), ("b", "zweite"), ("c", long)] + [(None, "same text")] * 40
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = editprints.with_edits(df).collect()
+    assert sorted((str(r.id), r.n_chars) for r in got) == sorted((str(k), len(t or "")) for k, t in rows)
+    c = next(r for r in got if r.id == "c")
+    assert c.fingerprint == brute_walk(long) and c.edited[: len(long) - len(long) // 2] == long[: len(long) - len(long) // 2]
+    follows = {r.edited[-len(t or "") // 2 :] for r, t in ((r, "same text") for r in got if r.id is None and r.n_chars == 9)}
+    assert len([r for r in got if r.edited == "same same"]) >= 38 and follows
+    assert editprints.with_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first().edited == "abab"
+
+
+def test_query_of_fingerprints(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    found = {r.doc_id: r for r in queries.op3_edit_embedding(spark, "/root/testdata/sf0.001").collect()}
+    for key, after in zip(order, [*order[1:], order[0]]):
+        text, half = docs[key], len(docs[key]) // 2
+        edited = text[: len(text) - half] + docs[after][:half]
+        r = found[key]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        if key % 9 == 0:
+            a, b, c = (np.frombuffer(bytes.fromhex(brute_walk(t)), np.uint8) for t in (text, edited, docs[after]))
+            assert r.fingerprint == a.tobytes().hex() and r.near_edited == editprints.likeness(a, b) and r.near_next == editprints.likeness(a, c)
+    assert len(found) == len(docs)
+
+
+def test_query_of_near_fingerprints(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    value = {k: np.frombuffer(bytes.fromhex(brute_walk(t)), np.uint8) for k, t in docs.items()}
+    parent = {k: k for k in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        if editprints.likeness(value[a], value[b]) >= 0.8:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in queries.edit_fingerprint_classes(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: root(k) for k in docs}

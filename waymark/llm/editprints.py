@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from ..operators.components import components
+from .common import materialise, pieces, small_batches, utf8
 
 SLOTS, GRAM = 128, 4
 #: Steps after which the shared table of moves repeats, and characters that share a walk group.
 PERIOD, GROUP = 4096, 1 << 21
+#: Texts of a group up to which walks are taken one by one.
+FEW = 48
 BEAT = 64
 #: Longest walk, in steps, whose sampled steps are prepared.
 LONGEST = 1 << 40
@@ -95,16 +98,47 @@ def _walk(data: np.ndarray, first: np.ndarray, size: np.ndarray, notes: np.ndarr
     return out
 
 
+def _alone(points: np.ndarray) -> np.ndarray:
+    """The fingerprint of one text: a plain loop over its steps, which notes only where the sampled steps stand."""
+    codes, table, n = (points & 255).astype(np.uint8).tobytes(), _rows(), len(points)
+    sampled = np.unique(drawn()).tolist()
+    at, step, kept = 0, 0, []
+    wanted = iter(sampled)
+    following = next(wanted)
+    while at < n:
+        if step == following:
+            kept.append(at)
+            following = next(wanted)
+        at += table[step % PERIOD][codes[at]]
+        step += 1
+    places = np.array(kept, np.int64)[np.searchsorted(sampled, steps_of(np.array([step]))[:, 0])]
+    padded, note = np.concatenate([points, np.zeros(GRAM, np.uint32)]).astype(np.uint64), np.zeros(SLOTS, np.uint64)
+    for k in range(GRAM):
+        inside = np.where(places + k < n, padded[places + k] + np.uint64(1), np.uint64(0))
+        note = (note + inside) * np.uint64(0x9E3779B97F4A7C15)
+    return (note >> np.uint64(56)).astype(np.uint8)
+
+
+@cache
+def _rows() -> list[bytes]:
+    return [row.astype(np.uint8).tobytes() for row in moves()]
+
+
 def fingerprints(texts: list[np.ndarray]) -> list[np.ndarray]:
     """SLOTS bytes for each text, given as code points; all zero for an empty one."""
     sizes = np.array([len(t) for t in texts], np.int64)
     out: list[np.ndarray] = [np.zeros(SLOTS, np.uint8)] * len(texts)
-    order, at = np.argsort(sizes, kind="stable"), 0
+    order, at = np.argsort(sizes, kind="stable"), int((sizes == 0).sum())
     while at < len(order):
         upto = at + 1
         while upto < len(order) and (upto + 1 - at) * sizes[order[upto]] <= GROUP:
             upto += 1
         own = order[at:upto]
+        at = upto
+        if len(own) <= FEW:
+            for i in own.tolist():
+                out[i] = _alone(texts[i])
+            continue
         points = np.concatenate([*[texts[i] for i in own], np.zeros(BEAT + GRAM, np.uint32)]).astype(np.uint64)
         first = np.cumsum(sizes[own]) - sizes[own]
         note = np.zeros(len(points), np.uint64)
@@ -116,7 +150,6 @@ def fingerprints(texts: list[np.ndarray]) -> list[np.ndarray]:
         # walks that have ended may read on past their texts; what they read is not used
         for i, fp in zip(own.tolist(), _walk((points & np.uint64(255)).astype(np.int64), first, sizes[own], (note >> np.uint64(56)).astype(np.uint8))):
             out[i] = fp
-        at = upto
     return out
 
 
@@ -133,35 +166,39 @@ def code_points(text: bytes) -> np.ndarray:
 def in_descending_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, turn, id, text), in runs by descending id; each run ends with the row that follows it, at turn 1.
 
-    Runs are ranges of ids between quantiles. The text after a run's last comes along once more, so that only one
-    text for each run is sent twice and each run can be read by itself. The last run is followed by the first row of all.
+    Runs are ranges of (id, hash of the text, number of the row), so that rows of equal or no id are dealt out like any others. Spark's
+    range partitions of these keys alone give where runs begin, one row for each run. Each row finds its run by binary search, and the first
+    row of a run goes to the run before it as well. The last run is followed by the first row of all.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    runs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.agg(F.percentile_approx("key", [i / runs for i in range(1, runs)], 20 * runs)).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else F.array(F.lit(0))
-    rows = rows.withColumn("bucket", -F.size(F.filter(bounds, lambda b: b < F.col("key"))))
-    # one row for each run
-    highest = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    follows = [(b, highest[(i + 1) % len(highest)][1]) for i, (b, _) in enumerate(highest)]
-    after = spark.createDataFrame(follows, "bucket int, key long")
-    tails = rows.drop("bucket").join(F.broadcast(after), "key").select("bucket", F.lit(1).alias("turn"), "key", "id", "text")
-    every = rows.select("bucket", F.lit(0).alias("turn"), "key", "id", "text").unionByName(tails)
-    return every.repartition("bucket").sortWithinPartitions("bucket", "turn", F.desc("key"), "text").drop("key")
+    runs = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(docs[id_col].isNotNull().alias("known"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(key.alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    begins = rows.select("key").repartitionByRange(runs, F.desc("key")).groupBy(F.spark_partition_id().alias("run")).agg(F.max("key").alias("key"))
+    # one row for each run; they are written, as the same bounds are to be used wherever rows are read
+    begins = materialise(begins, "runs").agg(F.sort_array(F.collect_list("key"), asc=False).alias("begins"))
+    found = rows.withColumn("begins", begins.scalar())
+    powers = F.array(*[F.lit(1 << k) for k in range(max(1, runs.bit_length()), -1, -1)])
+    reaches = lambda i: (i < F.size("begins")) & (F.get("begins", i) >= F.col("key"))
+    run = F.aggregate(powers, F.lit(0), lambda at, step: F.when(reaches(at + step), at + step).otherwise(at))
+    found = found.withColumn("run", run).withColumn("first", F.get("begins", "run") == F.col("key"))
+    before = F.pmod(F.col("run") - 1, F.size("begins"))
+    own, ahead = F.struct(F.col("run").alias("bucket"), F.lit(0).alias("turn")), F.struct(before.alias("bucket"), F.lit(1).alias("turn"))
+    placed = found.withColumn("at", F.explode(F.when(F.col("first"), F.array(own, ahead)).otherwise(F.array(own)))).select("at.bucket", "at.turn", "key", "id", "text")
+    return placed.repartition("bucket").sortWithinPartitions("bucket", "turn", F.desc("key")).drop("key")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of each whole text.
 
     The edited text has the last half of the code points (rounded down) replaced by the first as many of the next
-    document's text, in descending order of ids; the first follows the last. Rows with equal ids go by text; null ids come
-    last; null texts are empty. Fingerprints are hexadecimal. An empty table gives an empty result.
+    document's text, in descending order of ids; the first follows the last. Rows with equal ids go by a hash of their text; null ids come
+    last; null texts are empty; ids are of any type that has an order. Fingerprints are hexadecimal. An empty table gives an empty
+    result. docs is read twice and has to give its rows in the same order, as a table does; if not, the run fails.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def block(rows: list[tuple], following: bytes) -> pa.RecordBatch:
+    def block(rows: list[tuple], following: bytes, id_type: pa.DataType) -> pa.RecordBatch:
         """rows of (id, text), each followed by the next, the last one by `following`."""
         points = [code_points(t) for _, t in rows] + [code_points(following)]
         edited = []
@@ -179,41 +216,66 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
         held: list[tuple] = []
-        size, closed = 0, None
-        for batch in batches:
+        size, open_run = 0, None
+        for batch in pieces(batches, "text"):
             id_type = batch.schema.field("id").type
             for bucket, turn, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3))):
                 if turn == 0:
+                    if open_run not in (None, bucket) and held:
+                        raise RuntimeError("the documents came in another order when they were read again")
+                    open_run = bucket
                     if held and size > GROUP:
-                        yield block(held, text)
+                        yield block(held, text, id_type)
                         held, size = [], 0
                     held.append((key, text))
                     size += len(text)
-                elif bucket != closed:  # rows of equal ids may follow a run; the first counts
-                    closed = bucket
-                    yield block(held, text)
+                elif held:
+                    yield block(held, text, id_type)
                     held, size = [], 0
+        if held:
+            raise RuntimeError("the documents came in another order when they were read again")
 
-    id_type = None
     schema = f"id {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_descending_order(docs, id_col, text_col).select("bucket", "turn", "id", "text").mapInArrow(run, schema)
 
 
-def near_pairs(prints: DataFrame, bands: int = 32, least: float = 0.8, id_col: str = "id") -> DataFrame:
-    """(a, b, likeness) of representatives with likeness >= least, from (id, fingerprint); equal fingerprints have one.
+def near_pairs(prints: DataFrame, bands: int = 32, least: float = 0.8, id_col: str = "id", rows: int = 512) -> DataFrame:
+    """(a, b, likeness) of representatives with likeness >= least, from (id, fingerprint); equal fingerprints have one, their least id.
 
     Bands are runs of sampled slots; fingerprints that agree in a whole band are candidates, and all slots of a
-    candidate pair are compared. With 32 bands of 4 slots a pair of likeness 0.8 shares a band with probability 1 - 5e-8.
+    candidate pair are compared. With 32 bands of 4 slots a pair of likeness 0.8 shares a band with certainty: it differs in 25 slots at
+    most. A bucket of more than about `rows` fingerprints is cut into parts; each pair of parts is a join key of its own, so that tasks
+    share its work. A pair that agrees in several bands is compared in the first one only. Null fingerprints are dropped.
     """
-    own = prints.groupBy("fingerprint").agg(F.min(id_col).alias("a"))
+    own = prints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(id_col).alias("id"))
     width = 2 * SLOTS // bands
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.substring(F.col("fingerprint"), i * width + 1, F.lit(width)).alias("part"))))
-    keyed = own.select("a", "fingerprint", cut.alias("k")).select("a", "fingerprint", "k.*")
-    other = keyed.select("band", "part", F.col("a").alias("b"), F.col("fingerprint").alias("other"))
-    pairs = keyed.join(other, ["band", "part"]).where("a < b").select("a", "b", _likeness(F.col("fingerprint"), F.col("other")).alias("likeness"))
-    return pairs.where(F.col("likeness") >= least).distinct()
+    parts = lambda of: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(of, i * width + 1, F.lit(width)))
+    keyed = materialise(own.select("id", "fingerprint", F.posexplode(parts(F.col("fingerprint"))).alias("band", "part")).select("id", "fingerprint", F.xxhash64("band", "part").alias("k"), "band"), "bands")
+    cuts = keyed.groupBy("k").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("cuts")).where("cuts > 1")
+    dealt = keyed.join(cuts, "k", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fingerprint", F.lit(7)), "cuts").cast("int"))
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    cell = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    left = dealt.select("k", "band", F.col("id").alias("a"), F.col("fingerprint").alias("x"), F.explode(F.transform(every, lambda i: cell(F.col("own"), i))).alias("cell"))
+    right = dealt.select("k", F.col("id").alias("b"), F.col("fingerprint").alias("y"), F.explode(F.transform(every, lambda i: cell(i, F.col("own")))).alias("cell"))
+    first = F.array_position(F.zip_with(parts(F.col("x")), parts(F.col("y")), lambda p, q: p == q), True) - 1
+    pairs = left.join(right, ["k", "cell"]).where("a < b").where(first == F.col("band"))
+    return pairs.select("a", "b", _likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= least)
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "id") -> DataFrame:
+    """(id, class, n_links) per row of prints: the least id of its class over pairs of likeness >= least, and its representative's links.
+
+    Equal fingerprints are one class. Rows without an id or a fingerprint have a class of their own, which is null.
+    """
+    own = prints.select(F.col(id_col).alias("id"), "fingerprint")
+    pairs = materialise(near_pairs(own.where("id IS NOT NULL"), least=least), "pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("leader")).groupBy("leader").agg(F.count("*").alias("n"))
+    leaders = own.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("leader"))
+    rooted = leaders.join(components(pairs.select("a", "b")), F.col("leader") == F.col("node"), "left").join(degree, "leader", "left")
+    named = rooted.select(F.col("fingerprint").alias("own"), F.coalesce("root", "leader").alias("class"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    found = own.join(named, (F.col("fingerprint") == F.col("own")) & F.col("id").isNotNull(), "left")
+    return found.select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _likeness(x: Column, y: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, simhash, substrings, urlrules
-from .common import table
+from .common import materialise, table
 
 
 def op1_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def edit_fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose fingerprints are alike in at least 0.8 of their slots, by banding and verification."""
+    prints = editprints.with_edits(table(spark, sf_dir, "documents")).select("id", "fingerprint")
+    found = editprints.near_classes(materialise(prints, "prints"))
+    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "n_links")
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_shape_field": op2_shape_field,
     "op3_edit_embedding": op3_edit_embedding,
+    "edit_fingerprint_classes": edit_fingerprint_classes,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_byte_convolution": op5_byte_convolution,
     "op6_masked_pseudo_likelihood": op6_masked_pseudo_likelihood,
