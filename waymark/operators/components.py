@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialise
+from ..sources.storage import discard, materialise
 
 
 def _to_minimum(edges: DataFrame, own: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _larger(every)
         # small star: each node and its smaller neighbours move to the least of them
         down = large.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        edges = materialise(_to_minimum(down, True).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        before, edges = edges, materialise(_to_minimum(down, True).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        discard(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
