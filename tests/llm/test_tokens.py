@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from waymark.llm import editcounts, packing, queries
 from waymark.llm.tokens import encoder
 
-from .helpers import empty, hard, hard_rows
+from .helpers import empty, hard, hard_rows, prose
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,7 +70,9 @@ def test_trees_follow_random_edits():
             tree.edit(a, b, new)
             x = min(max(a, 0), len(text))
             text = text[:x] + new + text[min(max(b, x), len(text)) :]
-            assert tree.text() == text and [t for own, _ in tree.blocks for t in own] == tool.split(text)
+            assert tree.text() == text and [t for b in range(len(tree.blocks)) for t in tree.block(b)[0]] == tool.split(text)
+            if rng.random() < 0.3:
+                tree = editcounts.Tree.kept(tree.keep(), tool)
             assert tree.tokens == len(enc.encode_ordinary(text)) and tree.characters == len(text)
 
 
@@ -97,3 +100,45 @@ def test_edits_from_a_table(spark):
     joined = editcounts.attach(docs, edits)
     got = {r.id: r.edited for r in editcounts.count(joined, RANKS, public_tokenizers.PATTERN, F.col("edits")).collect()}
     assert got == {1: "Abye world", 2: "x"}
+
+
+def test_kept_trees_take_a_second_round_without_a_full_encode(spark, tmp_path, monkeypatch):
+    enc, long = encoding(), "some words, it's 42 " * 4000
+    texts = {1: long, 2: "short text", 3: None, 4: prose(500, 5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trees = editcounts.plant(docs, RANKS, public_tokenizers.PATTERN)
+    rounds = [[(1, 1, 40000, 40003, "other"), (2, 1, 0, 5, ""), (3, 1, 0, 0, "new")], [(1, 1, 10, 14, "x y"), (1, 2, 79990, 79995, ""), (4, 1, 7, 7, " in between ")]]
+    for i, edits in enumerate(rounds):
+        trees.write.parquet(str(tmp_path / str(i)))
+        kept = spark.read.parquet(str(tmp_path / str(i)))
+        table = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, text string")
+        trees = editcounts.edited(editcounts.attach(kept, table, "id", "doc_id"), RANKS, public_tokenizers.PATTERN)
+        for key, _, start, stop, new in edits:
+            t = texts[key] or ""
+            texts[key] = t[:start] + new + t[stop:]
+        for r in editcounts.totals(trees).collect():
+            assert r.text == (texts[r.id] or "") and r.n_tokens == len(enc.encode_ordinary(r.text))
+            assert r.encoded < 40 and (r.encoded == 0 or r.id in {e[0] for e in edits})
+    untouched = {r.id: r.blocks for r in kept.collect()}[2]
+    assert {r.id: r.blocks for r in trees.collect()}[2] == untouched
+
+
+def test_query_of_counts(spark):
+    enc, docs = encoding(), {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op10_edit_aware_counts(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {k: len(enc.encode_ordinary(t)) for k, t in docs.items()}
+    for r in rows:
+        text = docs[r.doc_id]
+        n = len(text)
+        for start, stop, new in ((n // 3, n // 3 + 7, "Edited in 2024"), (n // 2, n // 2, text[:40]), (n // 5, n // 5 + 12, "")):
+            at = min(start, len(text))
+            text = text[:at] + new + text[min(max(stop, at), len(text)) :]
+        assert r.edited_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_tokens_edited == len(enc.encode_ordinary(text))
+
+
+def test_query_of_pieces(spark):
+    tool, docs = Tokenizer.from_file(WORD_BPE), {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids = {k: np.array([*tool.encode(t, add_special_tokens=False).ids, 2], "<u4") for k, t in docs.items()}
+    rows = queries.op8_concatenate_and_cut(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
+    assert sum(r.length for r in rows) == sum(map(len, ids.values())) and all(r.offset + r.length <= 4096 for r in rows)
