@@ -92,8 +92,9 @@ def test_map_centre(spark):
         (["10 Elm Street", "Austin, TX 78701"], ("Austin", "TX", "78701", "US")), (["10 Elm Street", "Austin, TX", "78701"], ("Austin", "TX", "78701", "US")), ([], (None, None, None, None)), (None, (None, None, None, None)),
     ],
 )
-def test_address(lines, want):
-    got = address.parse(lines)
+def test_address(spark, lines, want):
+    given = F.lit(None).cast("array<string>") if lines is None else F.array(*map(F.lit, lines)).cast("array<string>")
+    got = value(spark, address.parsed(given, F.lit(None).cast("string")))
     assert (got["city"], got["region"], got["postcode"], got["country"]) == want
 
 

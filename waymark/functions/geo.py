@@ -22,6 +22,30 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def _grid(km: float) -> tuple[float, int]:
+    """Degrees of a cell about as large as a radius, and cells around the globe."""
+    around = max(1, int(360 / max(km * 360 / (12742 * 3.141592653589793), 0.01)))
+    return 360 / around, around
+
+
+def cell(lat: Column, lng: Column, km: float) -> Column:
+    """The grid cell of a point, for joins of points within `km`; null without coordinates."""
+    size, around = _grid(km)
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.floor(lat / size) * around + F.pmod(F.floor(lng / size), F.lit(around)))
+
+
+def cells_around(lat: Column, lng: Column, km: float) -> Column:
+    """The distinct cells that hold every point within `km` of a point, each once: a point there has one of them as its cell."""
+    size, around = _grid(km)
+    angle = km / 6371 * (1 + 1e-9)
+    reach = F.degrees(F.lit(angle))
+    rows = F.sequence(F.floor((lat - reach) / size), F.floor((lat + reach) / size))
+    half = F.when(F.abs(lat) + reach >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(angle)) / F.cos(F.radians(lat))))) + 1e-9)
+    near = F.transform(F.sequence(F.floor((lng - half) / size), F.floor((lng + half) / size)), lambda i: F.pmod(i, F.lit(around)))
+    columns = F.when(half * 2 + size >= 360, F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long"))).otherwise(F.array_distinct(near))
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: r * around + c))))
+
+
 def tier(precision: Column) -> Column:
     out = F.when(F.lit(False), 0)
     for name, value in TIERS.items():

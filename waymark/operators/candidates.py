@@ -65,7 +65,15 @@ def missing_lookups(requests: DataFrame, memo: DataFrame, key: list[str]) -> Dat
 
 
 def rationed(requests: DataFrame, provider: str, order: list[str], budgets: DataFrame) -> DataFrame:
-    """requests with `allowed`: whether it is among its provider's first n, of budgets (provider, n)."""
+    """requests with `allowed`: whether it is among its provider's first n, of budgets (provider, n); `order` is unique within a provider.
+
+    Only ranks up to the largest budget are computed, which Spark cuts before it shuffles; each provider's last allowed request is then
+    compared with all of its requests, so that no provider is sorted whole.
+    """
+    limits = budgets.groupBy(F.col("provider").alias("_p")).agg(F.max("n").alias("_n")).where("_n > 0")
+    most = limits.agg(F.max("_n")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy(provider).orderBy(*order))
-    joined = requests.withColumn("_rank", rank).join(F.broadcast(budgets.select(F.col("provider").alias("_p"), F.col("n").alias("_n"))), F.col(provider) == F.col("_p"), "left")
-    return joined.withColumn("allowed", F.col("_rank") <= F.coalesce("_n", F.lit(0))).drop("_rank", "_p", "_n")
+    first = requests.select(provider, *order).withColumn("_rank", rank).where(F.col("_rank") <= most)
+    last = first.join(limits, F.col(provider) == F.col("_p")).where("_rank <= _n").groupBy("_p").agg(F.max(F.struct(*order)).alias("_last"))
+    joined = requests.join(last, F.col(provider) == F.col("_p"), "left")
+    return joined.withColumn("allowed", F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_p", "_last")

@@ -53,20 +53,28 @@ def ranked(judgements: DataFrame, sample: str, candidate: str, most: int = 5) ->
     return judgements.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def discovered(samples: DataFrame, found: DataFrame, country: str = "country", most: int = 250) -> DataFrame:
+def discovered(samples: DataFrame, found: DataFrame, country: str = "country", most: int | None = 250) -> DataFrame:
     """Candidates per sample: same country, and a name token in the candidate's text, an equal postcode, or a shared contact.
 
-    samples has id, country, tokens, postcode, contacts; found has cid, country, text, postcode, contacts. The country is the
-    equi-join key, the rest a residual condition; at most `most` candidates of a sample go on to scoring.
+    samples has id, country, tokens, postcode, contacts; found has cid, country, text, postcode, contacts. Each arm is an equi-join: a token
+    meets the texts that have its first three characters (or itself, if it is shorter) and is then looked for in them. At most `most`
+    candidates of a sample, if a number is given, go on to scoring; `n_found` says how many there were.
     """
-    s, f = samples.alias("s"), found.alias("f")
-    hits = F.size(F.filter("s.tokens", lambda t: F.col("f.text").contains(t)))
-    postcode = F.coalesce((F.col("s.postcode") != "") & (F.col("s.postcode") == F.col("f.postcode")), F.lit(False))
-    contact = F.coalesce(F.arrays_overlap("s.contacts", "f.contacts"), F.lit(False))
-    joined = s.join(f, (F.col(f"s.{country}") == F.col(f"f.{country}")) & ((hits > 0) | postcode | contact))
-    rows = joined.select(F.col("s.id").alias("id"), F.col("f.cid").alias("cid"), hits.alias("hits"), postcode.alias("postcode_matches"), contact.alias("contact_matches"))
+    keyed = lambda rows, id_col, values: rows.select(F.col(id_col).alias(id_col), F.col(country).alias("c"), values)
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = found.select("cid", F.col(country).alias("c"), "text", F.explode(F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))).alias("k"))
+    tokens = keyed(samples, "id", F.explode("tokens").alias("token")).where("token <> ''").withColumn("k", F.substring("token", 1, 3))
+    by_token = tokens.join(grams, ["c", "k"]).where(F.col("text").contains(F.col("token"))).select("id", "cid", F.lit(1).alias("hits"), F.lit(False).alias("p"), F.lit(False).alias("m"))
+    code = lambda rows, id_col: keyed(rows, id_col, F.col("postcode").alias("k")).where("k <> ''")
+    by_code = code(samples, "id").join(code(found, "cid"), ["c", "k"]).select("id", "cid", F.lit(0).alias("hits"), F.lit(True).alias("p"), F.lit(False).alias("m"))
+    each = lambda rows, id_col: keyed(rows, id_col, F.explode(F.array_distinct("contacts")).alias("k"))
+    by_contact = each(samples, "id").join(each(found, "cid"), ["c", "k"]).select("id", "cid", F.lit(0).alias("hits"), F.lit(False).alias("p"), F.lit(True).alias("m"))
+    rows = by_token.unionByName(by_code).unionByName(by_contact).groupBy("id", "cid").agg(F.sum("hits").alias("hits"), F.bool_or("p").alias("postcode_matches"), F.bool_or("m").alias("contact_matches"))
+    if most is None:
+        return rows
     order = Window.partitionBy("id").orderBy(F.desc("postcode_matches"), F.desc("hits"), "cid")
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    kept = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return kept.join(rows.groupBy("id").agg(F.count("*").alias("n_found")), "id")
 
 
 def map_agreement(distance_km: Column) -> Column:
@@ -76,13 +84,14 @@ def map_agreement(distance_km: Column) -> Column:
 def search_assessment(candidates: DataFrame, control: str = "control") -> DataFrame:
     """The best in-country search result of each control: 0.35 name, 0.35 address and 0.1 for each of phone, url and city.
 
-    candidates has control, rank, in_country, name_score, address_score, phone, site, city and the two points.
+    candidates has control, rank, in_country, name_score, address_score, phone, site, city and the two points. A control without a result in its
+    country is kept, as no_result.
     """
     score = 0.35 * F.col("name_score") + 0.35 * F.col("address_score") + sum((F.when(F.col(c), 0.1).otherwise(0.0) for c in ("phone", "site", "city")), F.lit(0.0))
     km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("control_lat"), F.col("control_lng"))
     order = Window.partitionBy(control).orderBy(F.desc("score"), "rank", "km")
     best = candidates.where("in_country").withColumns({"score": places(score, 4), "km": places(km, 6)}).withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return best.select(control, "rank", "score", "km", map_agreement(F.col("km")).alias("agreement"))
+    return candidates.select(control).distinct().join(best.select(control, "rank", "score", "km"), control, "left").withColumn("agreement", map_agreement(F.col("km")))
 
 
 def search_summary(records: DataFrame, worst: float = 0.25) -> DataFrame:

@@ -44,7 +44,7 @@ def html_links(t: Tables) -> DataFrame:
 @query(f"""SELECT page_id, md5({_sql_stripped("html")}) AS text_md5 FROM pages""")
 def html_text(t: Tables) -> DataFrame:
     """The text of every page without markup."""
-    return t.pages.select("page_id", F.md5(html.stripped(F.col("html")).cast("binary")).alias("text_md5"))
+    return t.pages.select("page_id", F.md5(html.stripped(F.col("html"), html.decoded).cast("binary")).alias("text_md5"))
 
 
 @query("""SELECT lower(e) AS entity, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '&([a-zA-Z]+|#[0-9]+);', 1)) AS e FROM pages) GROUP BY 1""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numbers, text
 from ..operators import candidates, entities, search
 from ..operators.components import components
-from .registry import ORACLE_SQL, Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
+from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
 # -- entities ------------------------------------------------------------------------------------------------------------
 
@@ -23,19 +23,8 @@ def dedup_exact_components(t: Tables) -> DataFrame:
     return docs.join(named, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component"), F.col("root").isNotNull().alias("copied"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT o_custkey AS a, -l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 0),
-    s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x)
-    SELECT x AS node, min(y) AS root FROM r GROUP BY x"""
-)
-def graph_components(t: Tables) -> DataFrame:
-    """Components of a graph of customers and the parts in some of their orders, with long paths."""
-    lines = t.orders.where("o_orderkey % 40 = 0").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    return components(lines.select(F.col("o_custkey").alias("a"), (-F.col("l_partkey")).alias("b")))
-
-
 @query()
-def graph_components_whole(t: Tables) -> DataFrame:
+def graph_components(t: Tables) -> DataFrame:
     """Components of a graph of customers and the parts in all of their orders; recursive SQL over all links is too slow to compare. Parts count from -1 down, as keys can be 0."""
     lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return components(lines.select(F.col("o_custkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
@@ -140,7 +129,7 @@ def record_confidence(t: Tables) -> DataFrame:
 
 _CAND = """c AS (SELECT l_partkey AS entity, l_orderkey * 10 + l_linenumber AS seq, ['embed', 'osm', 'poi', 'admin'][(CASE WHEN l_linenumber = 7 THEN 4 ELSE l_suppkey % 3 + 1 END)::INT] AS path,
         CAST(l_partkey % 50 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) / 1000 AS lat, CAST(l_partkey % 90 AS DOUBLE) + CAST(l_suppkey % 4 AS DOUBLE) / 100 AS lng, (l_linenumber % 5)::INT AS tier, (l_suppkey % 2)::VARCHAR AS pc,
-        CASE WHEN l_suppkey % 11 <> 0 THEN (l_linenumber % 5 + CASE WHEN l_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INT END AS score FROM lineitem WHERE l_partkey % 5 = 0)"""
+        CASE WHEN l_suppkey % 11 <> 0 THEN (l_linenumber % 5 + CASE WHEN l_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INT END AS score FROM lineitem)"""
 
 
 @query(
@@ -155,19 +144,9 @@ _CAND = """c AS (SELECT l_partkey AS entity, l_orderkey * 10 + l_linenumber AS s
 )
 def resolve_geo_candidates(t: Tables) -> DataFrame:
     """Verification of parts' coordinates from the candidates that their order lines propose."""
-    return _resolved(t.lineitem.where(F.col("l_partkey") % 5 == 0))
-
-
-@query(ORACLE_SQL["resolve_geo_candidates"].replace(" FROM lineitem WHERE l_partkey % 5 = 0)", " FROM lineitem)"))
-def resolve_geo_candidates_whole(t: Tables) -> DataFrame:
-    """Verification of the coordinates of all parts."""
-    return _resolved(t.lineitem)
-
-
-def _resolved(lines: DataFrame) -> DataFrame:
     n, s, p = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     path = F.when(n == 7, "admin").otherwise(F.element_at(F.array(*map(F.lit, ("embed", "osm", "poi"))), (s % 3 + 1).cast("int")))
-    rows = lines.select(
+    rows = t.lineitem.select(
         p.alias("entity"), (F.col("l_orderkey") * 10 + n).alias("seq"), path.alias("path"), ((p % 50).cast("double") + n.cast("double") / 1000).alias("lat"), ((p % 90).cast("double") + (s % 4).cast("double") / 100).alias("lng"),
         (n % 5).cast("int").alias("tier"), (s % 2).cast("string").alias("postcode"), F.lit("1").alias("want_postcode"), F.when(s % 11 != 0, n % 5 + F.when(s % 2 == 1, 1).otherwise(0)).alias("score"),
     )
@@ -275,18 +254,10 @@ def facets_distinct_entity(t: Tables) -> DataFrame:
     return search.offer_facet(search.search(places(t), search.Search()), "module")
 
 
-@query("""SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS currencies, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN ceil(max(l_extendedprice))::BIGINT END AS ceiling FROM lineitem WHERE l_quantity > 49 GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS currencies, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN ceil(max(l_extendedprice))::BIGINT END AS ceiling FROM lineitem GROUP BY l_suppkey""")
 def currency_set_guard(t: Tables) -> DataFrame:
     """Currencies per supplier, and the price ceiling where there is one currency."""
     many = F.sort_array(F.collect_set("l_returnflag"))
-    found = t.lineitem.where("l_quantity > 49").groupBy("l_suppkey").agg(many.alias("c"), F.max("l_extendedprice").alias("top"))
-    return found.select("l_suppkey", joined(F.col("c")).alias("currencies"), F.when(F.size("c") == 1, F.ceil("top")).alias("ceiling"))
-
-
-@query(ORACLE_SQL["currency_set_guard"].replace(" WHERE l_quantity > 49", ""))
-def currency_set_guard_whole(t: Tables) -> DataFrame:
-    """Currencies per supplier over all offers, and the price ceiling where there is one currency."""
-    many = F.sort_array(F.collect_set("l_returnflag"))
     found = t.lineitem.groupBy("l_suppkey").agg(many.alias("c"), F.max("l_extendedprice").alias("top"))
     return found.select("l_suppkey", joined(F.col("c")).alias("currencies"), F.when(F.size("c") == 1, F.ceil("top")).alias("ceiling"))
 

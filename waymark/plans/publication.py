@@ -190,28 +190,8 @@ def remediation_outcome(t: Tables) -> DataFrame:
     return t.customer.select(k.alias("id"), found.alias("outcome"))
 
 
-@query(
-    f"""WITH p AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment AS seg, {sql_lat("c_custkey")} AS lat, {sql_lng("c_custkey")} AS lng FROM customer), l AS (SELECT a.id AS a, b.id AS b, a.seg AS sa, b.seg AS sb, a.lat AS la, a.lng AS ga, b.lat AS lb, b.lng AS gb FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.id < b.id AND b.id - a.id <= 60)
-    SELECT a, b, CASE WHEN sa = sb THEN 'p' || sa ELSE '' END AS phones, CASE WHEN a % 2 = b % 2 THEN 'site' || (a % 2) ELSE '' END AS websites, {sql_places(sql_km("la", "ga", "lb", "gb"), 6)} AS km FROM l"""
-)
-def pending_duplicate_evidence(t: Tables) -> DataFrame:
-    """What two places share that may be one."""
-    k = F.col("c_custkey")
-    rows = t.customer.select(k.alias("id"), "c_nationkey", F.array(F.concat(F.lit("p"), F.col("c_mktsegment")), F.lit("")).alias("phones"), F.array(F.concat(F.lit("site"), (k % 2).cast("string"))).alias("websites"), lat_of("c_custkey").alias("lat"), lng_of("c_custkey").alias("lng"))
-    a, b = rows.select(F.col("id").alias("a"), "c_nationkey"), rows.select(F.col("id").alias("b"), "c_nationkey")
-    links = a.join(b, "c_nationkey").where("a < b AND b - a <= 60").select("a", "b")
-    return repair.duplicate_evidence(links, rows).select("a", "b", joined(F.col("phones")).alias("phones"), joined(F.col("websites")).alias("websites"), rounded(F.col("km"), 6).alias("km"))
-
-
-@query("""WITH l AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_orderkey % 50 = 0), s AS (SELECT a AS node, b AS o FROM l UNION SELECT b, a FROM l) SELECT node, count(*) AS n, string_agg(o::VARCHAR, '|' ORDER BY o) AS others FROM s GROUP BY node""")
-def duplicate_adjacency(t: Tables) -> DataFrame:
-    """Neighbours in an undirected graph."""
-    links = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"))
-    return repair.both_ways(links).select("node", F.size("others").cast("long").alias("n"), joined(F.transform("others", lambda o: o.cast("string"))).alias("others"))
-
-
 @query("""WITH l AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem), s AS (SELECT a AS node, b AS o FROM l UNION SELECT b, a FROM l) SELECT node, count(*) AS n, string_agg(o::VARCHAR, '|' ORDER BY o) AS others FROM s GROUP BY node""")
-def duplicate_adjacency_whole(t: Tables) -> DataFrame:
+def duplicate_adjacency(t: Tables) -> DataFrame:
     """Neighbours in an undirected graph of all parts and suppliers; each link once. Suppliers count from -1 down, as keys can be 0."""
     links = t.lineitem.select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
     return repair.both_ways(links).select("node", F.size("others").cast("long").alias("n"), joined(F.transform("others", lambda o: o.cast("string"))).alias("others"))
@@ -221,7 +201,7 @@ def duplicate_adjacency_whole(t: Tables) -> DataFrame:
     f"""WITH p AS (SELECT c_custkey AS id, c_custkey // 4 AS phone, c_mktsegment AS seg, {sql_lat("c_custkey")} AS lat, {sql_lng("c_custkey")} AS lng FROM customer), l AS (SELECT a.id AS a, b.id AS b, a.phone AS phone, a.lat AS la, a.lng AS ga, b.lat AS lb, b.lng AS gb FROM p a JOIN p b ON a.phone = b.phone AND a.id < b.id)
     SELECT a, b, 'p' || phone AS phones, CASE WHEN a % 2 = b % 2 THEN 'site' || (a % 2) ELSE '' END AS websites, {sql_places(sql_km("la", "ga", "lb", "gb"), 6)} AS km FROM l"""
 )
-def pending_duplicate_evidence_whole(t: Tables) -> DataFrame:
+def pending_duplicate_evidence(t: Tables) -> DataFrame:
     """What two places share that have a phone in common; every such pair."""
     k = F.col("c_custkey")
     phone = F.concat(F.lit("p"), F.floor(k / 4).cast("string"))
@@ -299,22 +279,30 @@ def candidate_ranking(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS country, string_split(lower(p_name), ' ') AS tokens FROM supplier JOIN part ON p_partkey = s_suppkey), c AS (SELECT p_partkey AS cid, p_size % 5 AS country, lower(p_name) AS txt FROM part),
-    j AS (SELECT id, cid, len(list_filter(tokens, lambda k: contains(txt, k))) AS hits FROM s JOIN c USING (country))
-    SELECT id, cid, hits::BIGINT AS hits FROM j WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hits DESC, cid) <= 20"""
+    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS country, string_split(lower(p_name), ' ') AS tokens, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'P' || (s_suppkey % 97) END AS pc, 'c' || (s_suppkey % 83) AS contact FROM supplier JOIN part ON p_partkey = s_suppkey),
+    c AS (SELECT p_partkey AS cid, p_size % 5 AS country, lower(p_name) AS txt, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'P' || (p_partkey % 97) END AS pc, 'c' || (p_partkey % 101) AS contact FROM part),
+    j AS (SELECT id, cid, len(list_filter(tokens, lambda k: contains(txt, k))) AS hits, s.pc <> '' AND s.pc = c.pc AS pm, s.contact = c.contact AS cm FROM s JOIN c USING (country))
+    SELECT id, cid, hits::BIGINT AS hits, pm AS postcode, cm AS contact FROM j WHERE hits > 0 OR pm OR cm QUALIFY row_number() OVER (PARTITION BY id ORDER BY pm DESC, hits DESC, cid) <= 20"""
 )
 def candidate_discovery(t: Tables) -> DataFrame:
-    """Candidates of the same country that share a name token, the best twenty of each sample."""
-    none = F.array().cast("array<string>")
-    samples = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).cast("int").alias("country"), text.tokens(text.normalised(F.col("p_name"))).alias("tokens"), F.lit("").alias("postcode"), none.alias("contacts"))
-    found = t.part.select(F.col("p_partkey").alias("cid"), (F.col("p_size") % 5).cast("int").alias("country"), F.lower("p_name").alias("text"), F.lit("").alias("postcode"), none.alias("contacts"))
-    return matching.discovered(samples, found, most=20).select("id", "cid", F.col("hits").cast("long").alias("hits"))
+    """Candidates of the same country that share a name token, a postcode or a contact, the best twenty of each sample."""
+    s, p = F.col("s_suppkey"), F.col("p_partkey")
+    of = lambda key, n, tag: F.concat(F.lit(tag), (key % n).cast("string"))
+    samples = t.supplier.join(t.part, p == s).select(
+        s.alias("id"), (s % 5).cast("int").alias("country"), text.tokens(text.normalised(F.col("p_name"))).alias("tokens"), F.when(s % 3 == 0, "").otherwise(of(s, 97, "P")).alias("postcode"), F.array(of(s, 83, "c")).alias("contacts")
+    )
+    found = t.part.select(
+        p.alias("cid"), (F.col("p_size") % 5).cast("int").alias("country"), F.lower("p_name").alias("text"), F.when(p % 4 == 0, "").otherwise(of(p, 97, "P")).alias("postcode"), F.array(of(p, 101, "c")).alias("contacts")
+    )
+    rows = matching.discovered(samples, found, most=20)
+    return rows.select("id", "cid", F.col("hits").cast("long").alias("hits"), F.col("postcode_matches").alias("postcode"), F.col("contact_matches").alias("contact"))
 
 
 @query(
     f"""WITH r AS (SELECT l_orderkey AS control, l_linenumber AS rank, CAST(l_partkey % 10 AS DOUBLE) / 10 AS ns, CAST(l_suppkey % 10 AS DOUBLE) / 10 AS ads, l_partkey % 4 = 0 AS ph, l_partkey % 5 = 0 AS si, l_partkey % 3 = 0 AS ci, CAST(l_suppkey % 3 AS DOUBLE) / 200 AS lat FROM lineitem WHERE l_partkey % 6 <> 0),
-    s AS (SELECT *, {sql_places("0.35::DOUBLE * ns + 0.35::DOUBLE * ads + (0::DOUBLE + CASE WHEN ph THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN si THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ci THEN 0.1::DOUBLE ELSE 0::DOUBLE END)", 4)} AS score, {sql_places(sql_km("lat", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)"), 6)} AS km FROM r)
-    SELECT control, rank, score, km, CASE WHEN km <= 0.25 THEN 'exact' WHEN km <= 0.75 THEN 'campus' ELSE 'disagrees' END AS agreement FROM s QUALIFY row_number() OVER (PARTITION BY control ORDER BY score DESC, rank, km) = 1"""
+    every AS (SELECT DISTINCT l_orderkey AS control FROM lineitem), s AS (SELECT *, {sql_places("0.35::DOUBLE * ns + 0.35::DOUBLE * ads + (0::DOUBLE + CASE WHEN ph THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN si THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ci THEN 0.1::DOUBLE ELSE 0::DOUBLE END)", 4)} AS score, {sql_places(sql_km("lat", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)"), 6)} AS km FROM r)
+    SELECT control, rank, score, km, CASE WHEN km <= 0.25 THEN 'exact' WHEN km <= 0.75 THEN 'campus' ELSE 'disagrees' END AS agreement FROM s QUALIFY row_number() OVER (PARTITION BY control ORDER BY score DESC, rank, km) = 1
+    UNION ALL SELECT control, NULL, NULL, NULL, 'no_result' FROM every WHERE control NOT IN (SELECT control FROM r)"""
 )
 def map_search_assessment(t: Tables) -> DataFrame:
     """The best search result of each control, and how far it is from it."""
