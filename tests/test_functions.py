@@ -101,3 +101,21 @@ def test_address(spark, lines, want):
 def test_unique_by(spark):
     phones = F.array(*map(F.lit, ("+1 2", "0012", "x", "+3")))
     assert value(spark, text.unique_by(phones, text.phone_identity)) == ["+1 2", "+3"]
+
+
+def test_numeric_entities_in_texts(spark):
+    assert value(spark, html.stripped(F.lit("<p>Tom&#39;s &amp; Ann&#x2019;s</p>\n caf&#233; &bogus;"), html.decoded)) == "Tom's & Ann\u2019s caf\u00e9 &bogus;"
+
+
+def test_cells_hold_every_point_within_a_radius(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.uniform(-90, 90), rng.uniform(-180, 180), rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(3000)]
+    rows += [(89.5, 10.0, 89.0, -170.0), (0.0, 179.9, 0.0, -179.9), (-89.9, 0.0, -88.0, 120.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for km in (100, 800, 2500, 9000, 21000):
+        near = df.where(geo.haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= km)
+        around = geo.cells_around(F.col("c"), F.col("d"), km)
+        assert near.where(~F.array_contains(around, geo.cell(F.col("a"), F.col("b"), km))).count() == 0
+        assert df.where(F.size(around) != F.size(F.array_distinct(around))).count() == 0
