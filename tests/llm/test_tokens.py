@@ -76,6 +76,13 @@ def test_trees_follow_random_edits():
             assert tree.tokens == len(enc.encode_ordinary(text)) and tree.characters == len(text)
 
 
+def test_planted_blocks_are_those_of_a_tree():
+    tool = editcounts.counter(RANKS, public_tokenizers.PATTERN)
+    for text in [*ODD, "some words, 12 " * 300, *(r[1] or "" for r in hard_rows())]:
+        tokens = tool.split(text)
+        assert editcounts._planted(text, tool) == (len(tokens), editcounts.Tree(tokens, tool).keep())
+
+
 def test_small_edit_of_a_long_text_encodes_little():
     tool = editcounts.counter(RANKS, public_tokenizers.PATTERN)
     tree = editcounts.Tree(tool.split("some words " * 5000), tool)

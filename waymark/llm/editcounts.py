@@ -64,6 +64,16 @@ class Counter:
         return found
 
 
+    def counts(self, tokens: list[str]) -> list[int]:
+        """The counts of many pre-tokens, each distinct one looked up once."""
+        known = self.known
+        if len(known) >= CACHE_TOKENS:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = len(self.encoding.encode_ordinary(t))
+        return list(map(known.__getitem__, tokens))
+
+
 @cache
 def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
@@ -247,14 +257,28 @@ def plant(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(ranks, pattern)
         for batch in pieces(batches, "text"):
-            trees = [Tree(tool.split(text.decode("utf-8", "replace")), tool) for text in utf8(batch.column(1))]
-            yield _rows(batch.column(0), [t.pretokens() for t in trees], trees)
+            planted = [_planted(text.decode("utf-8", "replace"), tool) for text in utf8(batch.column(1))]
+            yield _rows(batch.column(0), [n for n, _ in planted], [blocks for _, blocks in planted])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {TREE}")
 
 
-def _rows(ids: pa.Array, encoded: list[int], trees: list[Tree]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.int64()), pa.array([t.keep() for t in trees], _BLOCKS)], ["id", "encoded", "blocks"])
+def _planted(text: str, tool: Counter) -> tuple[int, list[dict]]:
+    """Pre-tokens of a text, and the blocks that Tree(...).keep() gives."""
+    tokens = tool.split(text)
+    lengths, counts = np.fromiter(map(len, tokens), "<u4", len(tokens)), np.array(tool.counts(tokens), "<u4")
+    starts = np.arange(0, len(tokens), BLOCK)
+    if not len(starts):
+        return 0, []
+    sums, at, blocks = np.add.reduceat(counts, starts, dtype=np.int64).tolist(), 0, []
+    for a, chars, n in zip(starts.tolist(), np.add.reduceat(lengths, starts, dtype=np.int64).tolist(), sums):
+        blocks.append({"chars": chars, "tokens": n, "text": text[at : at + chars], "lengths": lengths[a : a + BLOCK].tobytes(), "counts": counts[a : a + BLOCK].tobytes()})
+        at += chars
+    return len(tokens), blocks
+
+
+def _rows(ids: pa.Array, encoded: list[int], blocks: list[list[dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.int64()), pa.array(blocks, _BLOCKS)], ["id", "encoded", "blocks"])
 
 
 def edited(trees: DataFrame, ranks: str, pattern: str, edits: Column | str = "edits") -> DataFrame:
@@ -278,7 +302,7 @@ def edited(trees: DataFrame, ranks: str, pattern: str, edits: Column | str = "ed
                         if e:
                             tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
                     after.append(tree)
-                yield _rows(part.column(0), [t.encoded for t in after], after)
+                yield _rows(part.column(0), [t.encoded for t in after], [t.keep() for t in after])
 
     rows = trees.select("id", "blocks", given.alias("edits"))
     touched = F.coalesce(F.size("edits"), F.lit(0)) > 0
