@@ -20,6 +20,20 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sparse_links_connect_the_same_pages(spark):
+    cols = "slug string, name string, external_id string, operator string, operator_source string, address string, city string, postcode string, lat double, lng double"
+    rng = random.Random(3)
+    pick = lambda *of: rng.choice(of)
+    rows = [(f"page{i:03d}", pick("Town Hall", "Town Hall East", "Old Mill Campus", "", None), pick(None, None, "", "7", "8"), pick("X", "Y", None), pick("booking_domain", "slug", None), pick("1 Long Road Town", "2 Long Road Town", "short", None), "T", "P", None, None) for i in range(90)]
+    found = entities.indexed(spark.createDataFrame([*rows, rows[0], rows[7]], cols)).cache()
+    every, sparse = entities.links(found), entities.links(found, every=False)
+    clusters = lambda links: sorted((r.slug, r.cluster) for r in entities.clusters(found, links).collect())
+    assert clusters(sparse) == clusters(every)
+    assert len({c for _, c in clusters(every)}) > 10
+    count = lambda links: links.where("reason = 'operator_address'").distinct().count()
+    assert count(sparse) < count(every), (count(sparse), count(every))
+
+
 def test_clusters_do_not_depend_on_order(spark):
     cols = "slug string, name string, external_id string, operator string, operator_source string, address string, city string, postcode string, lat double, lng double"
     rows = [("a-1", "Hall", "7", "X", "booking_domain", "1 Long Road Town", "T", "P", None, None), ("a-2", "Hall", None, "X", "slug", "2 Long Road Town", "T", "P", None, None), ("b", "Hall", "7", "X", "slug", None, None, None, None, None), ("c", "Hall", "8", "Y", "booking_domain", "1 Long Road Town", "T", "P", None, None)]

@@ -44,15 +44,23 @@ def _stars(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.struct(*rows.columns).alias("b"), F.col(key).alias("_key")).join(first.withColumnRenamed(key, "_key"), "_key").where("a.slug < b.slug")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(a, b, reason, strength) of indexed pages that are one place: external id, slug base, or address and operator and name."""
+def links(rows: DataFrame, every: bool = True) -> DataFrame:
+    """(a, b, reason, strength) of indexed pages that are one place: external id, slug base, or address and operator and name.
+
+    Pages of one address, operator, name and external id are copies of each other. With `every` all pairs of copies are given; without, they
+    are linked to the first of them, which alone is compared with other names: fewer rows that connect the same pages.
+    """
     by_id = _stars(rows.where("external_id <> ''"), "external_id").select(*_link("external_id"))
     by_slug = _stars(rows, "base").where(mergeable()).select(*_link("slug_base"))
-    addressed = rows.where(F.length("address") >= 10)
+    addressed = rows.where((F.length("address") >= 10) & F.col("operator").isNotNull() & F.col("key").isNotNull())
+    found = by_id.unionByName(by_slug)
+    if not every:
+        copies = addressed.withColumn("copy", F.struct("address", "operator", "key", F.col("external_id").isNull(), F.coalesce("external_id", F.lit(""))))
+        found = found.unionByName(_stars(copies, "copy").select(*_link("operator_address")))
+        addressed = addressed.groupBy("address", "operator", "key", "external_id").agg(F.min("slug").alias("slug"), F.min("operator_source").alias("operator_source"))
     similarity = text.name_similarity(F.col("a.key"), F.col("b.key"))
     pairs = addressed.alias("a").join(addressed.alias("b"), (F.col("a.address") == F.col("b.address")) & (F.col("a.operator") == F.col("b.operator")) & (F.col("a.slug") < F.col("b.slug")))
-    by_address = pairs.where(mergeable() & (similarity >= SAME_ADDRESS)).select(*_link("operator_address", similarity))
-    return by_id.unionByName(by_slug).unionByName(by_address)
+    return found.unionByName(pairs.where(mergeable() & (similarity >= SAME_ADDRESS)).select(*_link("operator_address", similarity)))
 
 
 def clusters(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def entity_links(t: Tables) -> DataFrame:
 def entity_clusters(t: Tables) -> DataFrame:
     """The cluster of every page."""
     rows = entities.indexed(_pages(t))
-    return entities.clusters(rows, entities.links(rows))
+    return entities.clusters(rows, entities.links(rows, every=False))
 
 
 @query(
@@ -76,7 +76,7 @@ def entity_clusters(t: Tables) -> DataFrame:
 def dedup_pending_links(t: Tables) -> DataFrame:
     """Pairs of pages for a reviewer."""
     rows = entities.indexed(_pages(t))
-    return entities.pending(rows, entities.clusters(rows, entities.links(rows))).select("a", "b")
+    return entities.pending(rows, entities.clusters(rows, entities.links(rows, every=False))).select("a", "b")
 
 
 @query(
