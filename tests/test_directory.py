@@ -112,7 +112,7 @@ def test_whole_graph_components_against_union_find(spark, tmp_path):
     for o, part, _ in lines:
         a, b = find(o // 2), find(-1 - part)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in plans.QUERIES["graph_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.root for r in plans.QUERIES["graph_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in list(root)} and len(set(got.values())) > 1
 
 
@@ -121,9 +121,9 @@ def test_whole_adjacency_and_evidence(spark):
 
     sf = "/root/testdata/sf0.001"
     links = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
-    assert sum(r.n for r in plans.QUERIES["duplicate_adjacency_whole"](spark, sf).collect()) == 2 * len(links)
+    assert sum(r.n for r in plans.QUERIES["duplicate_adjacency"](spark, sf).collect()) == 2 * len(links)
     ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
-    got = {(r.a, r.b) for r in plans.QUERIES["pending_duplicate_evidence_whole"](spark, sf).collect()}
+    got = {(r.a, r.b) for r in plans.QUERIES["pending_duplicate_evidence"](spark, sf).collect()}
     assert got == {(a, b) for a in ids for b in ids if a < b and a // 4 == b // 4}
 
 
@@ -132,7 +132,7 @@ def test_whole_resolution_and_currencies(spark):
 
     sf = "/root/testdata/sf0.001"
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
-    resolved = {r.entity for r in plans.QUERIES["resolve_geo_candidates_whole"](spark, sf).collect()}
+    resolved = {r.entity for r in plans.QUERIES["resolve_geo_candidates"](spark, sf).collect()}
     assert resolved == {r.l_partkey for r in lines if r.l_suppkey % 11}
-    assert {r.l_suppkey for r in plans.QUERIES["currency_set_guard_whole"](spark, sf).collect()} == {r.l_suppkey for r in lines}
-    assert "l_partkey % 5 = 0" not in plans.ORACLE_SQL["resolve_geo_candidates_whole"] and "WHERE" not in plans.ORACLE_SQL["currency_set_guard_whole"]
+    assert {r.l_suppkey for r in plans.QUERIES["currency_set_guard"](spark, sf).collect()} == {r.l_suppkey for r in lines}
+    assert "l_partkey % 5 = 0" not in plans.ORACLE_SQL["resolve_geo_candidates"] and "WHERE" not in plans.ORACLE_SQL["currency_set_guard"]
