@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, simhash, substrings, urlrules
+from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, secretscan, simhash, substrings, urlrules
 from .common import materialise, table
 
 
@@ -91,6 +91,12 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_pretokens", "n_tokens", "n_tokens_edited", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
 
+def op12_structural_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in secretscan.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_shape_field": op2_shape_field,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_edit_aware_counts": op10_edit_aware_counts,
+    "op12_structural_confirmation": op12_structural_confirmation,
 }
 
 #: Distinct five-word shingles of a table's lower-cased texts; fewer words are one shingle.
