@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, secretscan, simhash, substrings, urlrules
+from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, secretscan, simhash, substrings, turns, urlrules
 from .common import materialise, table
 
 
@@ -91,6 +91,27 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_pretokens", "n_tokens", "n_tokens_edited", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) with the faults that op11 has to repair, by a hash of conversation and turn."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), kind.alias("damage")).where("damage != 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("damage") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+
+
+def op11_cost_to_go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = turns.repair(damaged(conversations))
+    whole = found.conversations.withColumnRenamed("conv", "of")
+    hashed = turns.digests(found.turns).withColumnRenamed("conv", "hashed")
+    every = conversations.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = every.join(whole, F.col("conv_id").eqNullSafe(F.col("of")), "left").join(hashed, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_structural_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.spans(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
@@ -109,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_edit_aware_counts": op10_edit_aware_counts,
+    "op11_cost_to_go": op11_cost_to_go,
     "op12_structural_confirmation": op12_structural_confirmation,
 }
 
@@ -126,6 +148,62 @@ ORACLE_SQL: dict[str, str] = {
     m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
           FROM u JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY page_id)
     SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+    "op11_cost_to_go": """
+    WITH RECURSIVE named AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+    hit AS (
+      SELECT *, xor(list_reduce(list_transform(range(octet_length(k)), lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT),
+        lambda c, b: list_reduce(list_transform(range(8), lambda z: 0::BIGINT), lambda x, z: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS d
+      FROM named),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+             CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) FROM hit WHERE d != 0)),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+    judged AS (
+      SELECT *, coalesce(conv_id::VARCHAR, ' ') AS c, left(role, 1) AS h,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+             coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd
+      FROM placed),
+    sums AS (
+      SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n FROM judged GROUP BY c),
+    step AS (
+      SELECT c, i, h, role, text, fault IN ('blank', 'duplicate') AND fault IS NOT NULL AS bad, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x FROM judged),
+    back AS (
+      SELECT c, n + 1 AS i, 0 AS c0, 10 AS c1, 5 AS c2, 0 AS c3 FROM sums
+      UNION ALL
+      SELECT c, i, least(b0, b2 + 5, b3 + 10), least(b1, b2 + 5, b3 + 10), least(b2, b3 + 5), least(b3, b2 + 5)
+      FROM (SELECT s.c, s.i,
+              least(c0 + 2, CASE WHEN NOT bad THEN x + least(c2 + 1, CASE h WHEN 's' THEN c1 WHEN 'u' THEN c2 END) END) AS b0,
+              least(c1 + 2, CASE WHEN NOT bad THEN x + least(c2 + 1, CASE WHEN h = 'u' THEN c2 END) END) AS b1,
+              least(c2 + 2, CASE WHEN NOT bad THEN x + least(c3 + 1, CASE WHEN h = 'a' THEN c3 END) END) AS b2,
+              least(c3 + 2, CASE WHEN NOT bad THEN x + least(c2 + 1, CASE WHEN h = 'u' THEN c2 END) END) AS b3
+            FROM back b JOIN step s ON s.c = b.c AND s.i = b.i - 1)),
+    togo AS (SELECT c, i, unnest([0, 1, 2, 3]) AS q, unnest([c0, c1, c2, c3]) AS v FROM back),
+    options AS (  -- the next state by deletion stays, by insertion and rerole depends on the state, by keeping on the role
+      SELECT t.c, t.i, t.q, e.edit, e.i2, e.q2, e.line FROM togo t LEFT JOIN step s ON s.c = t.c AND s.i = t.i,
+        LATERAL (SELECT CASE t.q WHEN 2 THEN 3 ELSE 2 END AS nq, CASE t.q WHEN 2 THEN 'assistant' ELSE 'user' END AS nr) a,
+        LATERAL (VALUES ('D', t.i + 1, t.q, NULL, CASE WHEN s.i IS NOT NULL THEN 2 END),
+                        ('I', t.i, a.nq, a.nr || ':', 5),
+                        ('K', t.i + 1, CASE WHEN t.q = 0 AND s.h = 's' THEN 1 ELSE a.nq END, s.role || ':' || s.text, CASE WHEN NOT s.bad AND (s.h = left(a.nr, 1) OR t.q = 0 AND s.h = 's') THEN s.x END),
+                        ('R', t.i + 1, a.nq, a.nr || ':' || s.text, CASE WHEN NOT s.bad THEN s.x + 1 END)) e(edit, i2, q2, line, cost)
+        JOIN togo u ON u.c = t.c AND u.i = e.i2 AND u.q = e.q2 WHERE e.cost + u.v = t.v),
+    best AS (SELECT c, i, q, min(edit) AS edit, arg_min(i2, edit) AS i2, arg_min(q2, edit) AS q2, arg_min(struct_pack(l := line), edit).l AS line FROM options GROUP BY c, i, q),
+    forth AS (
+      SELECT c, 1::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS lines FROM sums
+      UNION ALL
+      SELECT f.c, b.i2, b.q2, f.audit || b.edit, CASE WHEN b.line IS NULL THEN f.lines ELSE list_append(f.lines, b.line) END
+      FROM forth f JOIN best b ON b.c = f.c AND b.i = f.i AND b.q = f.q),
+    done AS (SELECT f.c, f.audit, f.lines FROM forth f JOIN sums s ON s.c = f.c AND f.i = s.n + 1 AND f.q IN (0, 3))
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(t.v, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c FROM conversations) o
+    LEFT JOIN sums USING (c) LEFT JOIN done USING (c) LEFT JOIN togo t ON t.c = o.c AND t.i = 1 AND t.q = 0""",
     "op9_minhash_containment": f"""
     WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), b AS ({SHINGLES.format(id="item_id", table="benchmark")}),
     n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
