@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, secretscan, simhash, substrings, turns, urlrules
+from . import collocations, decontaminate, editcounts, editprints, language, packing, pii, pseudolikelihood, secretscan, simhash, substrings, turns, urlrules
 from .common import materialise, table
 
 
@@ -118,6 +118,10 @@ def op12_structural_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in secretscan.BASE], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op13_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(collocations.mine(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lempel_ziv": op1_relative_lempel_ziv,
     "op2_shape_field": op2_shape_field,
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_edit_aware_counts": op10_edit_aware_counts,
     "op11_cost_to_go": op11_cost_to_go,
     "op12_structural_confirmation": op12_structural_confirmation,
+    "op13_perfect_hash": op13_perfect_hash,
 }
 
 #: Distinct five-word shingles of a table's lower-cased texts; fewer words are one shingle.
@@ -204,6 +209,22 @@ ORACLE_SQL: dict[str, str] = {
            coalesce(t.v, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c FROM conversations) o
     LEFT JOIN sums USING (c) LEFT JOIN done USING (c) LEFT JOIN togo t ON t.c = o.c AND t.i = 1 AND t.q = 0""",
+    "op13_perfect_hash": """
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+    cut AS (SELECT c.lang, c.phrase, j, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+            FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c JOIN n USING (lang)
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+    best AS (SELECT lang, phrase, unnest(arg_min(struct_pack(l := l, r := r, n := n, score := score), score * 10 + j)) FROM cut GROUP BY lang, phrase),
+    inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+               FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c)) GROUP BY ALL),
+    kept AS (SELECT lang, c.phrase, a, l, r, n, score FROM c JOIN best USING (lang, phrase) LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000""",
     "op9_minhash_containment": f"""
     WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), b AS ({SHINGLES.format(id="item_id", table="benchmark")}),
     n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
