@@ -59,3 +59,44 @@ def test_streamed_first_sightings(spark, tmp_path):
     assert sorted(r.slug for r in run().collect()) == ["a", "b"]
     spark.createDataFrame([("a", day + dt.timedelta(hours=2)), ("c", day)], "slug string, ts timestamp").write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.slug for r in run().collect()) == ["a", "b", "c"]  # what was seen before the restart is remembered
+
+
+def test_cascade(spark):
+    """A ladder over hand-made answers: each entity is settled at its own rung."""
+    from waymark.operators import cascade
+
+    ladder = [cascade.Rung("embed"), cascade.Rung("address", unless_verified=True), cascade.Rung("text", unless_verified=True, unless_answered="address"), cascade.Rung("postcode", while_coarse=True), cascade.Rung("city", if_empty=True), cascade.Rung("local", unless_verified=True)]
+    answer = lambda e, rung, seq, path, lat, precision, country="US": (e, rung, seq, "s", path, lat, 5.0, precision, None, f"city {rung}", "r", country, "p")
+    rows = [
+        answer(1, "embed", 1, "page_embed", 10.0, "street"), answer(1, "address", 2, "address", 10.001, "rooftop"), answer(1, "local", 3, "venue_name", 10.0, "rooftop"),  # agree at the second rung
+        answer(2, "address", 1, "address", 20.0, "country"), answer(2, "text", 2, "text", 20.0, "rooftop"), answer(2, "postcode", 3, "address", 20.5, "postcode"), answer(2, "city", 4, "address", 20.6, "city"), answer(2, "local", 5, "venue_name", 20.5, "street"),  # the text is not asked; postcode and local agree
+        answer(3, "city", 1, "address", 30.0, "city"), answer(3, "text", 2, "address", 31.0, "street", "MX"),  # another country's answer counts as one, but is rejected
+        answer(4, "city", 1, "address", 40.0, "city"),
+        answer(6, "embed", 1, "page_embed", 10.0, "street"),
+    ]
+    answers = spark.createDataFrame(rows, "entity long, rung string, seq long, source string, path string, lat double, lng double, precision string, postcode string, city string, region string, country string, place_id string")
+    entities = spark.createDataFrame([(i, f"a{i}", "US", None, None) for i in range(1, 8)], "entity long, raw string, country string, want_postcode string, want_city string")
+    kept = lambda e, raw, **more: {"entity": e, "raw": raw, "lat": 1.0, "lng": 1.0, "precision": "rooftop", "source": "google", "system": "WGS84", "verification": "verified", "confidence": 0.9, "paths": ["a", "b"], "agreement_km": 0.1, "place_id": "x", "city": "Town", "city_source": None, "region": "R", "postcode": "P"} | more
+    prior = [kept(3, "a3", verification="unverified"), kept(4, "moved"), kept(5, "a5", lat=None, city="12 St"), kept(6, "a6"), kept(7, "a7", lat=80.0, city="Far")]
+    schema = "entity long, raw string, lat double, lng double, precision string, source string, system string, verification string, confidence double, paths array<string>, agreement_km double, place_id string, city string, city_source string, region string, postcode string"
+    before = spark.createDataFrame([tuple(p.values()) for p in prior], schema)
+    bounds = spark.createDataFrame([("US", 0.0, 50.0, 0.0, 50.0)], "country string, south double, north double, west double, east double")
+    got = {r.entity: (r.settled, r.verification, r.lat, r.city, r.city_source) for r in cascade.located(entities, before, answers, bounds, ladder).collect()}
+    assert got == {
+        1: ("address", "verified", 10.001, "city address", "geocoder"), 2: ("local", "verified", 20.5, "city local", "geocoder"), 3: (None, None, None, "Town", "legacy"), 4: (None, "unverified", 40.0, "Town", "legacy"),
+        5: (None, None, None, None, None), 6: ("prior", "verified", 1.0, "Town", "legacy"), 7: (None, None, None, "Far", "legacy"),
+    }
+    again = {r.entity: r.settled for r in cascade.located(entities, before, answers, bounds, ladder, again=True).collect()}
+    assert again[6] is None
+    legacy = {r.entity: (r.settled, r.precision, r.confidence, r.paths, r.region) for r in cascade.located(entities, before, answers, bounds, ladder, keep_legacy=True).collect()}
+    assert legacy[6] == ("legacy", "street", 0.4, ["address"], None) and legacy[3][0] == "legacy" and legacy[7][0] is None
+    use = {r.rung: (r.asked, r.settled) for r in cascade.ladder_use(entities, before, answers, bounds, ladder).collect()}
+    assert use["address"] == (4, 1) and use["text"] == (2, 0) and use["local"] == (3, 1) and use["city"] == (1, 0)
+
+
+def test_many_answers_of_one_entity_meet_in_cells(spark):
+    from waymark.operators import cascade
+
+    rows = spark.range(40_000).selectExpr("1L AS entity", "if(id % 2 = 0, 'a', 'b') AS rung", "if(id % 2 = 0, 'p', 'q') AS path", "cast(id % 200 as double) / 10 AS lat", "if(id % 2 = 0, 0.0D, 1.0D) AS lng", "3 AS tier", "CAST(NULL AS STRING) AS postcode", "CAST(NULL AS STRING) AS want_postcode", "3 AS score")
+    got = cascade.climbed(rows, [cascade.Rung("a"), cascade.Rung("b", unless_verified=True)]).collect()
+    assert [(r.asked, r.settled) for r in got] == [(3, None)]
