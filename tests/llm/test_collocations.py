@@ -72,6 +72,46 @@ def test_many_tables(spark, monkeypatch):
     assert mined(spark.createDataFrame(rows, DOCS).repartition(5), 6) == brute([(r[2], r[1]) for r in rows], 6)
 
 
+def test_equal_hashes_of_different_phrases(spark, monkeypatch):
+    """With 12-bit hashes in one lane, phrases share keys and are told apart by the other lane."""
+    whole = collocations.Tokens.keys
+    monkeypatch.setattr(collocations, "SHARD", 64)
+    rows = invented(120, 12)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+
+    def weak(self, k, lane):
+        return whole(self, k, lane) & np.uint64(0xFFF) if lane == 1 else whole(self, k, lane)
+
+    monkeypatch.setattr(collocations.Tokens, "keys", weak)
+    source = collocations.scan
+
+    def scan(docs, schema, made):  # the workers have their own copy of the module
+        def patched():
+            collocations_there = __import__("waymark.llm.collocations", fromlist=["Tokens"])
+            there = collocations_there.Tokens
+            if not hasattr(there, "strong"):
+                there.strong = there.keys
+            there.keys = lambda self, k, lane: there.strong(self, k, lane) & np.uint64(0xFFF) if lane == 1 else there.strong(self, k, lane)
+            each, rest = made()
+
+            def restored():
+                yield from rest()
+                there.keys = there.strong
+
+            return each, restored
+
+        return source(docs, schema, patched)
+
+    monkeypatch.setattr(collocations, "scan", scan)
+    found = collocations.mine(df, 6).phrases.where("n_words > 1").select("lang", "phrase", "f").collect()
+    counted = Counter()
+    for _, text, lang, *_ in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            counted.update(("und" if lang is None else lang, " ".join(w[i : i + k])) for k in range(2, 6) for i in range(len(w) - k + 1))
+    assert {(r.lang, r.phrase): r.f for r in found} == {x: c for x, c in counted.items() if c >= 6}
+
+
 def test_hard_rows(spark):
     assert mined(empty(spark), 2) == {}
     df = hard(spark)
@@ -88,7 +128,7 @@ def test_perfect_hash():
         built = []
         for i in range(shards):
             sizes, words, order = collocations.build(a[own == i], b[own == i])
-            built.append((sizes, words.tobytes(), a[own == i][order].tobytes(), b[own == i][order].tobytes()))
+            built.append((sizes, words.tobytes(), a[own == i][order].tobytes(), b[own == i][order].tobytes(), b""))
         table = collocations.Table(0, shards, built)
         assert sorted(table.find(a, b)) == list(range(n)) and len(table) == n
         if n:

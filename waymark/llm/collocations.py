@@ -2,7 +2,8 @@
 
 Candidates are Apriori-safe: a phrase of k words is looked at only where its first and its last k - 1 words are candidates themselves. Level by
 level, mappers sum hashes of such phrases, and those whose hash occurs often enough go on; equal hashes of different phrases can
-only add candidates. The phrases of all levels then get a minimal perfect hash, built shard by shard in tasks: of each level of bits, keys that
+only add candidates. Each candidate is spelled out from the texts whose 16-bit hash is its least, so that not every mapper sends it; if the
+counts of what was spelled do not add up to a hash's own, all texts are asked for it. The phrases of all levels then get a minimal perfect hash, built shard by shard in tasks: of each level of bits, keys that
 have a bit to themselves keep it and the rest go to the next, and a key's slot is the number of bits before its own. A slot stores its
 128-bit key, which every lookup is checked against. Mappers count phrases by slot with bincount, a tree sums their arrays,
 and the parts of each cut are read by slot as well.
@@ -14,6 +15,7 @@ read once more for every further table, so that memory stays bounded and no cand
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
@@ -65,6 +67,7 @@ class Tokens:
         self.seed = np.repeat(np.array([seed_of(x) for x in langs], np.uint64), self.count)
         self.data = np.concatenate([data, np.zeros(8, np.uint8)])
         self.owner = np.repeat(np.arange(len(texts)), self.count)
+        self.mark = np.repeat(np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.int64), self.count)
         self.lanes: dict[int, list[np.ndarray]] = {}
 
     def words(self, lane: int) -> np.ndarray:
@@ -146,7 +149,7 @@ def build(a: np.ndarray, b: np.ndarray | None) -> tuple[list[int], np.ndarray, n
 class Table:
     """The shards first, first + 1 ... of `shards`, as one minimal perfect hash: find() gives slots 0 to len - 1, or -1 for other keys."""
 
-    def __init__(self, first: int, shards: int, built: list[tuple[list[int], bytes, bytes, bytes]]):
+    def __init__(self, first: int, shards: int, built: list[tuple[list[int], bytes, bytes, bytes, bytes]]):
         self.first, self.shards, self.held = first, shards, len(built)
         levels = max((len(s) for s, *_ in built), default=0)
         self.sizes = np.zeros((len(built), levels + 1), np.int64)
@@ -155,9 +158,7 @@ class Table:
         upto = np.cumsum(self.sizes.ravel() // 64)
         self.offsets = (upto - self.sizes.ravel() // 64).reshape(self.sizes.shape)
         join = lambda i: np.frombuffer(b"".join(x[i] for x in built), "<u8")
-        self.words, self.a, self.b = join(1), join(2), join(3)
-        if not len(self.b):
-            self.b = None
+        self.words, self.a, self.b, self.mark = join(1), join(2), join(3), join(4).view("<i8")
         ones = np.bitwise_count(self.words).astype(np.int64)
         self.ranks = np.cumsum(ones) - ones
         self.hint = np.zeros(1 << 22, bool)
@@ -199,15 +200,15 @@ def shard_of(a: np.ndarray, shards: int) -> np.ndarray:
 
 
 def tables(keys: DataFrame) -> Iterator[tuple[int, object]]:
-    """(slots before, broadcast Table) of distinct keys (a) or (a, b), built in tasks and sent a bounded number of shards at a time."""
-    spark, two = keys.sparkSession, "b" in keys.columns
+    """(slots before, broadcast Table) of distinct keys (a) or (a, b), with marks if there are any, built in tasks and sent a bounded number of shards at a time."""
+    spark, two, marked = keys.sparkSession, "b" in keys.columns, "mark" in keys.columns
     shards = max(1, -(-keys.count() // SHARD))
     if shards > 1 << 24:
         raise ValueError("more than 2^39 candidates")
     shard = F.shiftright(F.shiftrightunsigned("a", 40) * shards, 24)
-    own = F.collect_list(F.struct("a", "b") if two else F.struct("a"))
+    own = F.collect_list(F.struct("a", *["b"] * two, *["mark"] * marked))
     grouped = keys.groupBy(shard.cast("int").alias("shard")).agg(own.alias("own"))
-    names = ["shard", "sizes", "words", "a", "b"]
+    names = ["shard", "sizes", "words", "a", "b", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,16 +216,17 @@ def tables(keys: DataFrame) -> Iterator[tuple[int, object]]:
                 keys = batch.column("own")[i].values
                 a, b = (np.asarray(keys.field(c)).view(np.uint64) if c == "a" or two else None for c in "ab")
                 sizes, words, order = build(a, b)
-                made = [batch.column("shard")[i].as_py(), sizes, words.tobytes(), a[order].tobytes(), b[order].tobytes() if two else b""]
-                yield pa.RecordBatch.from_arrays([pa.array([m], t) for m, t in zip(made, (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()))], names)
+                mark = np.asarray(keys.field("mark"))[order].tobytes() if marked else b""
+                made = [batch.column("shard")[i].as_py(), sizes, words.tobytes(), a[order].tobytes(), b[order].tobytes() if two else b"", mark]
+                yield pa.RecordBatch.from_arrays([pa.array([m], t) for m, t in zip(made, (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4))], names)
 
     small_batches(spark)
-    built = materialise(grouped.mapInArrow(run, "shard int, sizes array<long>, words binary, a binary, b binary"), "shards")
+    built = materialise(grouped.mapInArrow(run, "shard int, sizes array<long>, words binary, a binary, b binary, mark binary"), "shards")
     slots = 0
     for first in range(0, shards, ROUND_SHARDS):
         held = min(ROUND_SHARDS, shards - first)
-        rows = {r.shard: (r.sizes, bytes(r.words), bytes(r.a), bytes(r.b)) for r in built.where(F.col("shard").between(first, first + held - 1)).collect()}
-        table = Table(first, shards, [rows.get(first + i, ([], b"", b"", b"")) for i in range(held)])
+        rows = {r.shard: (r.sizes, bytes(r.words), bytes(r.a), bytes(r.b), bytes(r.mark)) for r in built.where(F.col("shard").between(first, first + held - 1)).collect()}
+        table = Table(first, shards, [rows.get(first + i, ([], b"", b"", b"", b"")) for i in range(held)])
         yield slots, spark.sparkContext.broadcast(table)
         slots += len(table)
 
@@ -241,21 +243,29 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def hashed(docs: DataFrame, k: int, found: object = None) -> DataFrame:
-    """(a, lang, c): sums of equal keys of k words in a row whose first and last k - 1 are in the table; for k = 1 also each language's words, where a is null.
+    """(a, lang, c, mark): sums of equal keys of k words in a row whose first and last k - 1 are in the table, and the least mark of their texts; for k = 1 also each language's words, where a is null.
 
     With several tables a phrase belongs to that of its first words; its last words are not looked at if they belong to another.
     """
 
     def made():
         held: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         totals: dict[str, int] = {}
 
         def summed():
-            a, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if not held:
+                return
+            every, mark = np.concatenate(held), np.concatenate(marks)
             held.clear()
+            marks.clear()
+            order = np.argsort(every)
+            every, mark = every[order], mark[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+            a, c, least = every[first], np.diff(np.append(first, len(every))), np.minimum.reduceat(mark, first) if len(first) else mark
             for at in range(0, len(a), 1 << 17):
                 part = slice(at, at + (1 << 17))
-                yield [_longs(a[part]), pa.nulls(len(a[part]), pa.string()), _longs(c[part])]
+                yield [_longs(a[part]), pa.nulls(len(a[part]), pa.string()), _longs(c[part]), _longs(least[part])]
 
         def each(tokens: Tokens, langs: list[str]):
             here = tokens.fits(k)
@@ -271,13 +281,14 @@ def hashed(docs: DataFrame, k: int, found: object = None) -> DataFrame:
                 at = at[(slots[at + 1] >= 0) | ~table.covers(shorter[at + 1])]
                 here = at
             held.append(tokens.keys(k, 1)[here])
+            marks.append(tokens.mark[: len(tokens.fits(k))][here])
             if sum(map(len, held)) > BUFFER:
                 yield from summed()
             if len(totals) > 10_000:
                 yield from counted()
 
         def counted():
-            yield [pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())]
+            yield [pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64()), pa.nulls(len(totals), pa.int64())]
             totals.clear()
 
         def rest():
@@ -286,11 +297,11 @@ def hashed(docs: DataFrame, k: int, found: object = None) -> DataFrame:
 
         return each, rest
 
-    return scan(docs, "a long, lang string, c long", made)
+    return scan(docs, "a long, lang string, c long, mark long", made)
 
 
 def spelled(docs: DataFrame, found: object, longest: int) -> DataFrame:
-    """(a, b, lang, phrase, n): the phrases whose keys are in the table, each at least once and not often from one task."""
+    """(a, b, lang, phrase, n): the phrases whose keys are in the table, from texts that bear the key's mark, or from all if it is below 0."""
 
     def made():
         table = found.value
@@ -301,7 +312,8 @@ def spelled(docs: DataFrame, found: object, longest: int) -> DataFrame:
                 at = np.flatnonzero(tokens.fits(k))
                 a = tokens.keys(k, 1)[at]
                 slot = table.find(a)
-                at, a, slot = at[slot >= 0], a[slot >= 0], slot[slot >= 0]
+                own = (slot >= 0) & ((table.mark[slot] == tokens.mark[at]) | (table.mark[slot] < 0)) if len(table) else slot >= 0
+                at, a, slot = at[own], a[own], slot[own]
                 b = tokens.keys(k, 2)[at]
                 new = np.flatnonzero(~seen[slot] | (other[slot] != b))
                 new = new[np.unique(np.stack([a[new], b[new]]), axis=1, return_index=True)[1]] if len(new) else new
@@ -387,24 +399,31 @@ def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, lang_col: st
     empty results; other columns are ignored, whatever their names.
     """
     named = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    enough = lambda df: materialise(df.groupBy("a", "lang").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | F.col("a").isNull()), "candidates")
+    enough = lambda df: materialise(df.groupBy("a", "lang").agg(F.sum("c").alias("c"), F.min("mark").alias("mark")).where((F.col("c") >= least) | F.col("a").isNull()), "candidates")
     first = enough(hashed(named, 1))
-    levels = [first.where("a IS NOT NULL").select("a")]
+    levels = [first.where("a IS NOT NULL")]
     for k in range(2, longest + 1):
-        last = enough(union([hashed(named, k, table) for _, table in tables(levels[-1])])).select("a")
+        last = enough(union([hashed(named, k, table) for _, table in tables(levels[-1].select("a"))]))
         if last.isEmpty():
             break
         levels.append(last)
     longest = len(levels)
-    keys = union(levels).distinct()
-    texts = union([spelled(named, table, longest) for _, table in tables(keys)])
+    keys = union(levels).groupBy("a").agg(F.sum("c").alias("c"), F.min("mark").alias("mark"))
     one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.raise_error(F.lit("two phrases have one key"))).alias(c)
-    phrases = materialise(texts.groupBy("a", "b").agg(one("lang"), one("phrase"), F.min("n").alias("n_words")), "phrases")
-    found = []
-    for before, table in tables(phrases.select("a", "b")):
-        counted = counts(named, table, longest).where(F.col("f") >= least)
-        found.append(placed(phrases, table).join(counted, "slot").withColumn("slot", F.col("slot") + before))
-    return Mined(materialise(union(found).select("slot", "lang", "phrase", "n_words", "f", "a", "b"), "counted"), first.where("a IS NULL").select("lang", F.col("c").alias("n")))
+
+    def spelled_and_counted(wanted: DataFrame, known: list[DataFrame]) -> DataFrame:
+        texts = union([*known, *[spelled(named, table, longest) for _, table in tables(wanted.select("a", "mark"))]])
+        phrases, found = materialise(texts.groupBy("a", "b").agg(one("lang"), one("phrase"), F.min("n").alias("n")), "phrases"), []
+        for before, table in tables(phrases.select("a", "b")):
+            found.append(placed(phrases, table).join(counts(named, table, longest), "slot").withColumn("slot", F.col("slot") + before))
+        return materialise(union(found).select("slot", "lang", "phrase", F.col("n").alias("n_words"), "f", "a", "b"), "counted")
+
+    counted = spelled_and_counted(keys, [])
+    total = counted.groupBy("a").agg(F.sum("f").alias("f"))
+    short = materialise(keys.join(total, "a", "left").where(F.col("c") > F.coalesce("f", F.lit(0))).select("a", F.lit(-1).cast("long").alias("mark")), "short")
+    if not short.isEmpty():  # other phrases have the same hash
+        counted = spelled_and_counted(short, [counted.select("a", "b", "lang", "phrase", F.col("n_words").alias("n"))])
+    return Mined(counted.where(F.col("f") >= least), first.where("a IS NULL").select("lang", F.col("c").alias("n")))
 
 
 def placed(keys: DataFrame, table: object, name: str = "slot") -> DataFrame:
