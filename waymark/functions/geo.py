@@ -17,9 +17,10 @@ AGREE_KM, AGREE_SAME_POSTCODE_KM, DIVERGE_KM = 0.25, 0.75, 2.0
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """The distance of two points on a sphere; null if a coordinate is missing."""
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def _grid(km: float) -> tuple[float, int]:

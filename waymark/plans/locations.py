@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cascade
-from .registry import Tables, joined, query, sql_km, sql_places
+from ..operators import cascade, whatif
+from . import publication
+from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
 # -- the cascade ---------------------------------------------------------------------------------------------------------------
 
@@ -130,3 +131,87 @@ def cascade_rungs(t: Tables) -> DataFrame:
     """For each rung of the ladder, how many orders ask it and how many it settles."""
     found = cascade.ladder_use(_entities(t), _prior(t), _answers(t), _bounds(t), _LADDER)
     return found.select("rung", "asked", "settled")
+
+
+# -- repairs -----------------------------------------------------------------------------------------------------------------------
+
+
+def _records(t: Tables) -> DataFrame:
+    """The places of the quality queries with coordinates and what else a repair can change."""
+    k = F.col("id")
+    paths = F.when(k % 11 == 0, F.array(F.lit("address"))).when(k % 13 == 0, F.array(F.lit("admin"), F.lit("address"))).otherwise(F.array(F.lit("address"), F.lit("venue_name")))
+    point = F.struct(
+        lat_of("id").alias("lat"), lng_of("id").alias("lng"), F.element_at(F.array(*map(F.lit, ("rooftop", "street", "postcode", "city"))), (k % 4 + 1).cast("int")).alias("precision"), F.lit("google").alias("source"),
+        F.when(k % 7 == 0, "unverified").otherwise("verified").alias("verification"), F.lit(0.8).alias("confidence"), paths.alias("paths"), F.when(k % 17 != 0, 0.1).alias("agreement_km"),
+    )
+    return publication._places(t, 0).drop(*whatif.FACTS).withColumns({"geo": F.when(k % 8 != 0, point), "place_id": F.concat(F.lit("p"), k.cast("string")), "confidence": F.lit(0.7), "region": F.when(k % 2 == 0, "R"), "postcode": F.lit(None).cast("string")})
+
+
+def _proposals(t: Tables) -> DataFrame:
+    """What a new lookup says of them: some unchanged, some far away, some coarse, some of an old city."""
+    k = F.col("c_custkey")
+    point = F.struct(
+        (lat_of("c_custkey") + (k % 9).cast("double") / 50).alias("lat"), lng_of("c_custkey").alias("lng"), F.element_at(F.array(*map(F.lit, ("rooftop", "street", "city"))), (k % 3 + 1).cast("int")).alias("precision"), F.lit("google").alias("source"),
+        F.when(k % 6 == 0, "approximate").otherwise("verified").alias("verification"), F.when(k % 10 == 0, 0.3).otherwise(0.9).alias("confidence"), F.array(F.lit("address"), F.lit("venue_name")).alias("paths"), F.lit(0.05).alias("agreement_km"),
+    )
+    return t.customer.select(
+        k.alias("id"), F.when(k % 19 != 0, point).alias("geo"), F.concat(F.lit("n"), k.cast("string")).alias("place_id"), F.lit(0.9).alias("confidence"), F.when(k % 3 != 0, "Newtown").alias("city"),
+        F.when(k % 5 == 0, "legacy").otherwise("geocoder").alias("city_source"), F.lit("Q").alias("region"), F.lit("Z9").alias("postcode"),
+    )
+
+
+def _boxes(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_name").alias("country"), F.when(F.col("n_nationkey") % 3 == 0, -30.0).otherwise(-90.0).alias("south"), F.lit(90.0).alias("north"), F.lit(-180.0).alias("west"), F.lit(180.0).alias("east"))
+
+
+def _sql_rules(v: str) -> str:
+    """All issues of a version as code:severity; v is the prefix of the columns that a repair can change."""
+    rules = [
+        ("missing_name", "error", "k % 97 = 0"), ("missing_address", "error", "k % 89 = 0"), ("missing_country", "error", "k % 83 = 0"), ("unknown_operator", "warning", "k % 5 = 0"), ("operator_not_domain_verified", "warning", "k % 5 <> 0 AND k % 3 = 0"),
+        ("missing_booking_url", "warning", "k % 6 = 0 AND k % 31 <> 0"), ("missing_city", "warning", f"{v}city IS NULL"), ("legacy_city", "warning", f"{v}city IS NOT NULL AND {v}csrc = 'legacy'"), ("osr_only_centre", "info", "k % 31 = 0"),
+        ("no_offerings", "error", "bal < 0 AND k % 31 <> 0"), ("unparsed_price", "warning", "k % 12 = 0"), ("missing_contact_information", "info", "k % 9 = 0"), ("pending_duplicate_candidate", "warning", "k % 41 = 0"),
+        ("missing_location", "warning", f"NOT {v}has"), ("location_outside_country", "error", f"{v}has AND {v}lat < south"), ("location_not_independently_corroborated", "error", f"{v}has AND {v}ver AND NOT {v}adm AND ({v}np < 2 OR NOT {v}agr)"),
+        ("location_not_verified", "warning", f"{v}has AND NOT {v}ver"), ("location_too_coarse", "warning", f"{v}has AND {v}ver AND {v}tier < 3"),
+    ]
+    return "list_filter([" + ", ".join(f"CASE WHEN coalesce({w}, FALSE) THEN '{c}:{s}' END" for c, s, w in rules) + "], lambda x: x IS NOT NULL)"
+
+
+_LOCATION, _CITY = "['" + "', '".join(whatif.LOCATION_ISSUES) + "']", "['" + "', '".join(whatif.CITY_ISSUES) + "']"
+_COST = "coalesce(list_sum(list_transform({l}, lambda x: CASE WHEN suffix(x, ':error') THEN 100 WHEN suffix(x, ':warning') THEN 10 ELSE 1 END)), 0)"
+_NAMES = "list_sort(list_transform({l}, lambda x: string_split(x, ':')[1]))"
+_REPAIR = f"""WITH b AS (SELECT c_custkey AS k, c_acctbal AS bal, CASE WHEN c_custkey % 83 <> 0 AND n_nationkey % 3 = 0 THEN -30 ELSE -90 END AS south, {sql_lat("c_custkey")} AS lat, {sql_lng("c_custkey")} AS lng FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    o AS (SELECT *, k % 8 <> 0 AS ohas, lat AS olat, k % 7 <> 0 AS over, k % 13 = 0 AND k % 11 <> 0 AND k % 8 <> 0 AS oadm, CASE WHEN k % 11 = 0 THEN 1 ELSE 2 END AS onp, k % 17 <> 0 AS oagr, [4, 3, 2, 1][(k % 4 + 1)::INT] AS otier, CASE WHEN k % 4 <> 0 THEN 'City' END AS ocity, CASE WHEN k % 10 = 1 THEN 'legacy' ELSE 'rule' END AS ocsrc FROM b),
+    i AS (SELECT *, {_sql_rules("o")} AS oi FROM o),
+    t AS (SELECT *, list_has_any({_NAMES.format(l="oi")}, {_LOCATION}) AS tl, list_has_any({_NAMES.format(l="oi")}, {_CITY}) AS tc, k % 19 <> 0 AND k % 6 <> 0 AND k % 3 < 2 AND k % 10 <> 0 AS shown, lat + (k % 9)::DOUBLE / 50 AS plat FROM i),
+    m AS (SELECT *, tl AND shown AS moves, tl AND shown AND ohas AND {sql_km("lat", "lng", "plat", "lng")} > CASE otier WHEN 4 THEN 25 WHEN 3 THEN 5 ELSE 100 END AS far, tc AND k % 3 <> 0 AND k % 5 <> 0 AS names FROM t),
+    n AS (SELECT *, ohas OR moves AS nhas, CASE WHEN moves THEN plat ELSE olat END AS nlat, moves OR over AS nver, NOT moves AND oadm AS nadm, CASE WHEN moves THEN 2 ELSE onp END AS nnp, moves OR oagr AS nagr, CASE WHEN moves THEN CASE k % 3 WHEN 0 THEN 4 ELSE 3 END ELSE otier END AS ntier, CASE WHEN names THEN 'Newtown' ELSE ocity END AS ncity, CASE WHEN names THEN 'geocoder' ELSE ocsrc END AS ncsrc FROM m),
+    a AS (SELECT *, {_sql_rules("n")} AS ni, ohas AND over AND otier >= 3 AS opin, nhas AND nver AND ntier >= 3 AS npin FROM n),
+    j AS (SELECT *, list_filter([CASE WHEN names THEN 'city' END, CASE WHEN moves THEN 'location' END, CASE WHEN moves THEN 'place_id' END], lambda x: x IS NOT NULL) AS ch, tl AND NOT opin AND npin AS located, tc AND ncity IS NOT NULL AND ncsrc <> 'legacy' AS renamed,
+        len(list_filter(ni, lambda x: NOT suffix(x, ':info') AND NOT list_contains(oi, x))) > 0 AS worse, {_COST.format(l="ni")} < {_COST.format(l="oi")} AS cheaper FROM a),
+    f AS (SELECT *, CASE WHEN oadm THEN 'skipped_admin' WHEN far THEN 'rejected' WHEN len(ch) = 0 THEN 'unchanged' WHEN worse OR NOT ((located OR renamed) AND cheaper) THEN 'rejected' ELSE 'accepted' END AS outcome FROM j)"""
+
+
+@query(
+    _REPAIR
+    + f"""
+    SELECT k AS id, outcome, CASE WHEN oadm THEN 'reviewed_evidence' WHEN far THEN 'too_far' WHEN len(ch) = 0 THEN 'same_result' WHEN worse THEN 'new_issues' WHEN outcome = 'rejected' THEN 'no_net_gain' ELSE concat_ws('+', CASE WHEN located THEN 'location' END, CASE WHEN renamed THEN 'city' END) END AS reason,
+        array_to_string(list_filter({_NAMES.format(l="oi")}, lambda x: list_contains({_LOCATION}, x) OR list_contains({_CITY}, x)), '|') AS targeted, array_to_string({_NAMES.format(l="oi")}, '|') AS before_issues,
+        array_to_string(CASE WHEN oadm OR far THEN {_NAMES.format(l="oi")} ELSE {_NAMES.format(l="ni")} END, '|') AS after_issues, CASE WHEN oadm OR far THEN '' ELSE array_to_string(ch, '|') END AS changed FROM f"""
+)
+def remediation_attempts(t: Tables) -> DataFrame:
+    """What becomes of a proposal for every place, judged by analysing both versions."""
+    found = whatif.attempted(_records(t), _proposals(t), _boxes(t))
+    return found.select("id", "outcome", "reason", *[joined(F.col(c)).alias(c) for c in ("targeted", "before_issues", "after_issues", "changed")])
+
+
+@query(
+    _REPAIR
+    + """
+    SELECT k AS id, CASE WHEN outcome = 'accepted' THEN ncity ELSE ocity END AS city, CASE WHEN outcome = 'accepted' THEN ncsrc ELSE ocsrc END AS city_source, CASE WHEN outcome = 'accepted' AND moves THEN plat WHEN ohas THEN lat END AS lat,
+        CASE WHEN k % 2 = 0 THEN 'R' WHEN outcome = 'accepted' AND names THEN 'Q' END AS region, CASE WHEN outcome = 'accepted' AND moves THEN 'n' ELSE 'p' END || k AS place_id FROM f"""
+)
+def remediated_records(t: Tables) -> DataFrame:
+    """All places after the accepted repairs."""
+    records = _records(t)
+    found = whatif.repaired(records, whatif.attempted(records, _proposals(t), _boxes(t)))
+    return found.select("id", "city", "city_source", F.col("geo.lat").alias("lat"), "region", "place_id")
