@@ -79,3 +79,37 @@ def test_the_rules_can_be_others(spark, tried):
     rows, bounds = tried[0], spark.createDataFrame([], "country string, south double, north double, west double, east double")
     proposals = rows.where("id = 'city'").select("id", "geo", "place_id", "confidence", F.lit("T").alias("city"), F.lit("rule").alias("city_source"), "region", "postcode")
     assert whatif.attempted(rows, proposals, bounds, [rule]).first().outcome == "accepted"
+
+
+def test_address_points_against_the_plain_disjunction(spark):
+    import random
+
+    from waymark.operators import matching
+
+    rng = random.Random(3)
+    streets = ["Main Street", "main road north", "Grand Ave", "Av", "", None, "Kingsway", "Grandmain Sq"]
+    samples = [(i, rng.choice("AB"), rng.choice(["K1A 0B1", "k1a0b2", "", None]), rng.sample(["main", "street", "grand", "king", "av", "north"], rng.randint(0, 4)), [str(rng.randint(1, 4)) for _ in range(rng.randint(0, 3))]) for i in range(60)]
+    points = [(i, rng.choice("AB"), rng.choice(["K1A0B1", "K1A 0B2", "", None]), rng.choice(["1", "2b", "No. 3", "", None, "14"]), rng.choice(streets)) for i in range(200)]
+    want = set()
+    for i, c, code, tokens, numbers in samples:
+        for a, c2, code2, number, street in points:
+            key = lambda x: (x or "").lower().replace(" ", "")
+            p = key(code) != "" and key(code) == key(code2)
+            n = "".join(x for x in number or "" if x.isdigit()) in set(numbers) - {""}
+            s = any(len(x) >= 3 and x in (street or "").lower() for x in tokens)
+            if c == c2 and (p and (s or n) or n and s):
+                want.add((i, a, tuple(e for e, has in (("postcode", p), ("number", n), ("street", s)) if has)))
+    left = spark.createDataFrame(samples, "id long, country string, postcode string, tokens array<string>, numbers array<string>")
+    right = spark.createDataFrame(points, "aid long, country string, postcode string, number string, street string")
+    got = [(r.id, r.aid, tuple(r.evidence)) for r in matching.addressed(left, right, most=None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({e for *_, e in want}) == 4
+    best = matching.addressed(left, right, most=3).collect()
+    assert {r.id: r.n_found for r in best} == {i: sum(x == i for x, *_ in want) for i, *_ in want} and all(sum(r.id == i for r in best) == min(3, sum(x == i for x, *_ in want)) for i in {x for x, *_ in want})
+
+
+def test_tokens_in_texts(spark):
+    from waymark.operators import matching
+
+    texts = spark.createDataFrame([(1, "x", "the kings cross"), (2, "x", "cross the king"), (3, "y", "kings"), (4, "x", ""), (5, "x", None), (6, "x", "ki")], "cid long, c string, text string")
+    tokens = spark.createDataFrame([(1, "x", "kings"), (1, "x", "cross"), (2, "y", "kings"), (3, "x", "queen"), (4, "x", "ki"), (5, "x", None), (6, "x", "s c"), (1, "x", "kings")], "id long, c string, token string")
+    assert sorted(tuple(r) for r in matching.containing(tokens, texts).collect()) == [(1, "cross", 1), (1, "cross", 2), (1, "kings", 1), (2, "kings", 3), (6, "s c", 1)]

@@ -53,18 +53,36 @@ def ranked(judgements: DataFrame, sample: str, candidate: str, most: int = 5) ->
     return judgements.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def _trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
+    return F.when(F.length(text) >= 3, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(tokens: DataFrame, texts: DataFrame, among: str = "c") -> DataFrame:
+    """(id, token, cid): the texts (cid, among, text) that contain each token (id, among, token); tokens of under three characters find nothing.
+
+    Texts are indexed by their distinct runs of three characters, without the texts themselves. A token is looked up by that of its runs which
+    the fewest texts have, and only then compared with whole texts.
+    """
+    index = texts.select("cid", among, F.explode(_trigrams(F.col("text"))).alias("k"))
+    often = index.groupBy(among, "k").agg(F.count("*").alias("n"))
+    runs = tokens.select(among, "token").distinct().select(among, "token", F.explode(_trigrams(F.col("token"))).alias("k"))
+    rarest = runs.join(often, [among, "k"], "left").groupBy(among, "token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("least")).where("least.n > 0")
+    keyed = tokens.select("id", among, "token").distinct().join(rarest, [among, "token"]).select("id", "token", among, F.col("least.k").alias("k"))
+    near = keyed.join(index, [among, "k"]).select("id", "token", "cid")
+    return near.join(texts.select("cid", "text"), "cid").where(F.col("text").contains(F.col("token"))).select("id", "token", "cid")
+
+
 def discovered(samples: DataFrame, found: DataFrame, country: str = "country", most: int | None = 250) -> DataFrame:
     """Candidates per sample: same country, and a name token in the candidate's text, an equal postcode, or a shared contact.
 
-    samples has id, country, tokens, postcode, contacts; found has cid, country, text, postcode, contacts. Each arm is an equi-join: a token
-    meets the texts that have its first three characters (or itself, if it is shorter) and is then looked for in them. At most `most`
-    candidates of a sample, if a number is given, go on to scoring; `n_found` says how many there were.
+    samples has id, country, tokens, postcode, contacts; found has cid (unique), country, text, postcode, contacts. Each arm is an equi-join on keys
+    finer than the country. At most `most` candidates of a sample, if a number is given, go on to scoring; `n_found` says how many there were.
     """
     keyed = lambda rows, id_col, values: rows.select(F.col(id_col).alias(id_col), F.col(country).alias("c"), values)
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    grams = found.select("cid", F.col(country).alias("c"), "text", F.explode(F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))).alias("k"))
-    tokens = keyed(samples, "id", F.explode("tokens").alias("token")).where("token <> ''").withColumn("k", F.substring("token", 1, 3))
-    by_token = tokens.join(grams, ["c", "k"]).where(F.col("text").contains(F.col("token"))).select("id", "cid", F.lit(1).alias("hits"), F.lit(False).alias("p"), F.lit(False).alias("m"))
+    hit = containing(keyed(samples, "id", F.explode("tokens").alias("token")), found.select("cid", F.col(country).alias("c"), "text"))
+    by_token = hit.select("id", "cid", F.lit(1).alias("hits"), F.lit(False).alias("p"), F.lit(False).alias("m"))
     code = lambda rows, id_col: keyed(rows, id_col, F.col("postcode").alias("k")).where("k <> ''")
     by_code = code(samples, "id").join(code(found, "cid"), ["c", "k"]).select("id", "cid", F.lit(0).alias("hits"), F.lit(True).alias("p"), F.lit(False).alias("m"))
     each = lambda rows, id_col: keyed(rows, id_col, F.explode(F.array_distinct("contacts")).alias("k"))
@@ -77,6 +95,57 @@ def discovered(samples: DataFrame, found: DataFrame, country: str = "country", m
     return kept.join(rows.groupBy("id").agg(F.count("*").alias("n_found")), "id")
 
 
+def evidenced(pairs: DataFrame, samples: DataFrame, found: DataFrame) -> DataFrame:
+    """discovered() pairs with `paths`, the kinds of evidence that led to them: venue_name, address, contact.
+
+    An address counts by an equal postcode or by two of the sample's address_tokens in the candidate's address.
+    """
+    joined = pairs.join(samples.select("id", "address_tokens"), "id").join(found.select("cid", "address"), "cid")
+    inside = F.size(F.filter(F.array_distinct("address_tokens"), lambda x: (x != "") & F.lower(F.coalesce("address", F.lit(""))).contains(x)))
+    label = lambda when, name: F.when(F.coalesce(when, F.lit(False)), F.lit(name))
+    paths = F.array(label(F.col("hits") > 0, "venue_name"), label(F.col("postcode_matches") | (inside >= 2), "address"), label(F.col("contact_matches"), "contact"))
+    return joined.withColumn("paths", F.array_compact(paths)).drop("address_tokens", "address")
+
+
+def postcode_key(code: Column) -> Column:
+    return F.replace(F.lower(code), F.lit(" "), F.lit(""))
+
+
+def addressed(samples: DataFrame, addresses: DataFrame, country: str = "country", most: int | None = 250) -> DataFrame:
+    """Address points per sample: same country, and two of postcode, house number and a token of the street; (id, aid, evidence, postcode_matches).
+
+    samples has id, country, postcode, tokens, numbers; addresses has aid (unique), country, postcode, number, street. The disjunction is three
+    equi-joins: country, postcode and number; country, postcode and a run of three characters of the street; country, number and such
+    a run. A pair belongs to the first of them that finds it and there to its first token, so that nothing has to be made distinct.
+    Tokens of under three characters find nothing. `most` as in discovered(), by postcode, then aid.
+    """
+    number = F.regexp_replace(F.coalesce("number", F.lit("")), "[^0-9]", "")
+    points = addresses.select("aid", F.col(country).alias("c"), postcode_key(F.col("postcode")).alias("code"), number.alias("n"), F.lower(F.coalesce("street", F.lit(""))).alias("street"))
+    wanted = samples.select(
+        "id", F.col(country).alias("c"), postcode_key(F.col("postcode")).alias("own_code"), F.array_distinct(F.filter("tokens", lambda x: F.length(x) >= 3)).alias("own"),
+        F.array_distinct(F.filter("numbers", lambda x: x != "")).alias("own_numbers"),
+    )
+    runs = points.select("*", F.explode(_trigrams(F.col("street"))).alias("k"))
+    each = wanted.select("*", F.posexplode("own").alias("i", "token")).withColumn("k", F.substring("token", 1, 3))
+    by_number = wanted.select("*", F.explode("own_numbers").alias("n"))
+    same_code = F.coalesce((F.col("own_code") != "") & (F.col("own_code") == F.col("code")), F.lit(False))
+    numbered = F.array_contains("own_numbers", F.col("n"))
+    hits = F.filter("own", lambda x: F.contains(F.col("street"), x))
+    first = F.col("street").contains(F.col("token")) & (F.array_position("own", F.col("token")) == F.array_position("own", hits[0]))
+    one = by_number.where("own_code <> ''").join(points, (by_number.c == points.c) & (F.col("own_code") == points.code) & (by_number.n == points.n)).drop(points.c, by_number.n)
+    two = each.where("own_code <> ''").join(runs, (each.c == runs.c) & (F.col("own_code") == runs.code) & (each.k == runs.k)).drop(runs.c, runs.k).where(first & ~numbered)
+    three = each.withColumn("wanted_n", F.explode("own_numbers")).join(runs, (each.c == runs.c) & (F.col("wanted_n") == runs.n) & (each.k == runs.k)).drop(runs.c, runs.k).where(first & ~same_code)
+    label = lambda when, name: F.when(when, F.lit(name))
+    evidence = F.array_compact(F.array(label(same_code, "postcode"), label(F.coalesce(numbered, F.lit(False)), "number"), label(F.size(hits) > 0, "street"))).alias("evidence")
+    pairs = [p.select("id", "aid", evidence, same_code.alias("postcode_matches")) for p in (one, two, three)]
+    rows = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    if most is None:
+        return rows
+    order = Window.partitionBy("id").orderBy(F.desc("postcode_matches"), "aid")
+    kept = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return kept.join(rows.groupBy("id").agg(F.count("*").alias("n_found")), "id")
+
+
 def map_agreement(distance_km: Column) -> Column:
     return F.when(distance_km <= 0.25, "exact").when(distance_km <= 0.75, "campus").when(distance_km.isNotNull(), "disagrees").otherwise("no_result")
 

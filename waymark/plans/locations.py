@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cascade, whatif
+from ..functions import text
+from ..operators import cascade, matching, whatif
 from . import publication
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
@@ -215,3 +216,41 @@ def remediated_records(t: Tables) -> DataFrame:
     records = _records(t)
     found = whatif.repaired(records, whatif.attempted(records, _proposals(t), _boxes(t)))
     return found.select("id", "city", "city_source", F.col("geo.lat").alias("lat"), "region", "place_id")
+
+
+# -- public address points ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS c, 'p' || (s_suppkey % 61) AS code, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 3)) AS tokens, ['' || (s_suppkey % 23), '' || (s_suppkey % 7)] AS nums FROM supplier JOIN part ON p_partkey = s_suppkey),
+    a AS (SELECT o_orderkey AS aid, o_custkey % 5 AS c, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'p' || (o_orderkey % 61) END AS code, '' || (o_orderkey % 40) AS num, lower(p_name) AS street FROM orders LEFT JOIN part ON p_partkey = o_custkey),
+    j AS (SELECT id, aid, coalesce(s.code = a.code, FALSE) AS pm, list_contains(nums, num) AS nm, coalesce(len(list_filter(tokens, lambda x: contains(street, x))) > 0, FALSE) AS sm FROM s JOIN a USING (c)),
+    k AS (SELECT * FROM j WHERE (pm AND (sm OR nm)) OR (nm AND sm))
+    SELECT id, aid, concat_ws('|', CASE WHEN pm THEN 'postcode' END, CASE WHEN nm THEN 'number' END, CASE WHEN sm THEN 'street' END) AS evidence, pm AS postcode, count(*) OVER (PARTITION BY id) AS n_found FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY pm DESC, aid) <= 50"""
+)
+def address_points(t: Tables) -> DataFrame:
+    """Address points of the same country that share two of postcode, house number and street with a sample, fifty at most."""
+    s, o = F.col("s_suppkey"), F.col("o_orderkey")
+    of = lambda key, n, tag="": F.concat(F.lit(tag), (key % n).cast("string"))
+    samples = t.supplier.join(t.part, F.col("p_partkey") == s).select(s.alias("id"), (s % 5).alias("country"), of(s, 61, "P ").alias("postcode"), text.tokens(text.normalised(F.col("p_name"))).alias("tokens"), F.array(of(s, 23), of(s, 7)).alias("numbers"))
+    addresses = t.orders.join(t.part, F.col("p_partkey") == F.col("o_custkey"), "left").select(
+        o.alias("aid"), (F.col("o_custkey") % 5).alias("country"), F.when(o % 9 != 0, of(o, 61, "p")).alias("postcode"), F.concat(of(o, 40), F.lit("b")).alias("number"), F.col("p_name").alias("street")
+    )
+    found = matching.addressed(samples, addresses, most=50)
+    return found.select("id", "aid", joined(F.col("evidence")).alias("evidence"), F.col("postcode_matches").alias("postcode"), "n_found")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS country, string_split(lower(p_name), ' ') AS tokens, 'P' || (s_suppkey % 97) AS pc, 'c' || (s_suppkey % 83) AS contact, string_split(lower(p_type), ' ') AS words FROM supplier JOIN part ON p_partkey = s_suppkey),
+    c AS (SELECT p_partkey AS cid, p_size % 5 AS country, lower(p_name) AS txt, 'P' || (p_partkey % 97) AS pc, 'c' || (p_partkey % 101) AS contact, lower(p_type) AS addr FROM part),
+    j AS (SELECT id, cid, len(list_filter(tokens, lambda k: contains(txt, k))) AS hits, s.pc = c.pc AS pm, s.contact = c.contact AS cm, len(list_filter(list_distinct(words), lambda k: contains(addr, k))) >= 2 AS am FROM s JOIN c USING (country))
+    SELECT id, cid, concat_ws('|', CASE WHEN hits > 0 THEN 'venue_name' END, CASE WHEN pm OR am THEN 'address' END, CASE WHEN cm THEN 'contact' END) AS paths FROM j WHERE hits > 0 OR pm OR cm"""
+)
+def discovery_paths(t: Tables) -> DataFrame:
+    """By which kinds of evidence each candidate was found."""
+    s, p = F.col("s_suppkey"), F.col("p_partkey")
+    of = lambda key, n, tag: F.concat(F.lit(tag), (key % n).cast("string"))
+    words = lambda c: text.tokens(text.normalised(F.col(c)))
+    samples = t.supplier.join(t.part, p == s).select(s.alias("id"), (s % 5).cast("int").alias("country"), words("p_name").alias("tokens"), of(s, 97, "P").alias("postcode"), F.array(of(s, 83, "c")).alias("contacts"), words("p_type").alias("address_tokens"))
+    found = t.part.select(p.alias("cid"), (F.col("p_size") % 5).cast("int").alias("country"), F.lower("p_name").alias("text"), of(p, 97, "P").alias("postcode"), F.array(of(p, 101, "c")).alias("contacts"), F.col("p_type").alias("address"))
+    return matching.evidenced(matching.discovered(samples, found, most=None), samples, found).select("id", "cid", joined(F.col("paths")).alias("paths"))
