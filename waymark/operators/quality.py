@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import maps
+
 UNASSIGNED = "UNASSIGNED"
+SEVERITIES = ("error", "warning", "info")
 
 
 @dataclass(frozen=True)
@@ -74,12 +78,24 @@ def exploded(analyses: DataFrame, key: str, *kept: str) -> DataFrame:
 
 
 def baseline(analyses: DataFrame, country: str = "country") -> DataFrame:
-    """Per country: places, each decision, pins, and a map of issue codes to counts."""
+    """Per country: places, each decision, pins, and maps of issue codes and of severities to counts."""
     named = analyses.withColumn("_c", F.coalesce(F.col(country), F.lit(UNASSIGNED)))
     decided = lambda d: F.count_if(F.col("decision") == d).alias(d)
     totals = named.groupBy("_c").agg(F.count("*").alias("centres"), *[decided(d) for d in ("ready", "needs_review", "quarantined")], F.count_if("pinnable").alias("pinnable"))
-    codes = exploded(named, "_c").groupBy("_c", "code").agg(F.count("*").alias("n")).groupBy("_c").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("codes"))
-    return totals.join(codes, "_c", "left").withColumnRenamed("_c", "country")
+    each = exploded(named, "_c").groupBy("_c", "code", "severity").agg(F.count("*").alias("n"))
+    sum_of = lambda name: F.aggregate(F.filter(F.collect_list(F.struct("severity", "n")), lambda e: e["severity"] == name), F.lit(0).cast("long"), lambda total, e: total + e["n"])
+    severities = F.map_from_arrays(F.array(*map(F.lit, SEVERITIES)), F.array(*map(sum_of, SEVERITIES))).alias("severities")
+    by_code = F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("codes")  # a code has one severity
+    return totals.join(each.groupBy("_c").agg(by_code, severities), "_c", "left").withColumnRenamed("_c", "country")
+
+
+def totals(baselines: DataFrame) -> DataFrame:
+    """One row: the counters of all countries added up, and their maps by name."""
+    counters = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("centres", "ready", "needs_review", "quarantined", "pinnable")]
+    one = baselines.agg(*counters)
+    for name in ("codes", "severities"):
+        one = one.join(maps.summed(baselines, name), how="left")  # one row each
+    return one
 
 
 _DEGREE = "CASE {d} WHEN 'quarantined' THEN 2 WHEN 'needs_review' THEN 1 ELSE 0 END"
@@ -105,11 +121,13 @@ def delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     )
 
 
-def country_deltas(before: DataFrame, after: DataFrame, counters: list[str]) -> DataFrame:
-    """after - before of each counter, for countries in both, where any of them changed."""
-    old = before.select(F.col("country").alias("_c"), *[F.col(c).alias(f"_{c}") for c in counters])
-    found = after.join(old, F.col("country") == F.col("_c")).select("country", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in counters])
-    return found.where(" OR ".join(f"{c} <> 0" for c in counters))
+def country_deltas(before: DataFrame, after: DataFrame, counters: list[str], of: tuple[str, ...] = ()) -> DataFrame:
+    """after - before of each counter, and of each map in `of` by name, for countries in both, where anything changed."""
+    old = before.select(F.col("country").alias("_c"), *[F.col(c).alias(f"_{c}") for c in (*counters, *of)])
+    numbers = [(F.col(c) - F.col(f"_{c}")).alias(c) for c in counters]
+    found = after.join(old, F.col("country") == F.col("_c")).select("country", *numbers, *[maps.difference(F.col(c), F.col(f"_{c}")).alias(c) for c in of])
+    changed = [F.col(c) != 0 for c in counters] + [F.size(c) > 0 for c in of]
+    return found.where(reduce(Column.__or__, changed))
 
 
 # Regressions that stop a publication: more than so many, or than this share of the places before.

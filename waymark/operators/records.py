@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import address, html, text
+from ..functions import address, html, maps, text
 from . import entities
 
 # Labels of phones inside a line, and links that are written out.
@@ -179,6 +179,11 @@ def call_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumn("delta", F.col("after") - F.col("before"))
 
 
+def call_changes(before: Column, after: Column) -> Column:
+    """The calls of a run by provider, from maps of all calls counted before and after it; a provider without any stays, with 0."""
+    return maps.combined(after, before, lambda x, y: x - y)
+
+
 def link_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("reason").agg(F.count("*").alias("n"))
 

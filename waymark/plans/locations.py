@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cascade, matching, whatif
+from ..operators import cascade, matching, pyramid, whatif
 from . import publication
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
@@ -254,3 +254,35 @@ def discovery_paths(t: Tables) -> DataFrame:
     samples = t.supplier.join(t.part, p == s).select(s.alias("id"), (s % 5).cast("int").alias("country"), words("p_name").alias("tokens"), of(s, 97, "P").alias("postcode"), F.array(of(s, 83, "c")).alias("contacts"), words("p_type").alias("address_tokens"))
     found = t.part.select(p.alias("cid"), (F.col("p_size") % 5).cast("int").alias("country"), F.lower("p_name").alias("text"), of(p, 97, "P").alias("postcode"), F.array(of(p, 101, "c")).alias("contacts"), F.col("p_type").alias("address"))
     return matching.evidenced(matching.discovered(samples, found, most=None), samples, found).select("id", "cid", joined(F.col("paths")).alias("paths"))
+
+
+# -- map markers -------------------------------------------------------------------------------------------------------------------
+
+_MICRO = "floor({c} * 1000000::DOUBLE + 0.5::DOUBLE)::BIGINT"
+_TILES = f"""WITH p AS (SELECT o_orderkey AS id, {sql_lat("o_orderkey")} AS lat, CASE WHEN o_orderkey % 50 <> 0 THEN {sql_lng("o_custkey")} END AS lng FROM orders),
+    m AS (SELECT id, {_MICRO.format(c="lat")} AS la, {_MICRO.format(c="lng")} AS lo, sin(radians(greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE))) AS s, lng FROM p WHERE lng IS NOT NULL),
+    f AS (SELECT id, la, lo, least(greatest(floor((lng + 180::DOUBLE) / 360::DOUBLE * 16384), 0), 16383)::INT AS x, least(greatest(floor((0.5::DOUBLE - ln((1::DOUBLE + s) / (1::DOUBLE - s)) / (4::DOUBLE * pi())) * 16384), 0), 16383)::INT AS y FROM m),
+    z AS (SELECT id, la, lo, z::INT AS zoom, x >> (14 - z)::INT AS x, y >> (14 - z)::INT AS y FROM f, range(15) r(z)),
+    c AS (SELECT zoom, x, y, count(*) AS n, floor(sum(la)::DOUBLE / count(*) + 0.5::DOUBLE) / 1000000::DOUBLE AS lat, floor(sum(lo)::DOUBLE / count(*) + 0.5::DOUBLE) / 1000000::DOUBLE AS lng,
+        min(la)::DOUBLE / 1000000 AS south, max(la)::DOUBLE / 1000000 AS north, min(lo)::DOUBLE / 1000000 AS west, max(lo)::DOUBLE / 1000000 AS east, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM z GROUP BY ALL)"""
+
+
+def _points(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("id"), lat_of("o_orderkey").alias("lat"), F.when(F.col("o_orderkey") % 50 != 0, lng_of("o_custkey")).alias("lng"))
+
+
+@query(_TILES + " SELECT * FROM c")
+def map_markers(t: Tables) -> DataFrame:
+    """The markers of fifteen zoom levels."""
+    return pyramid.clusters(_points(t))
+
+
+@query(
+    _TILES
+    + """, k AS (SELECT zoom, x, y, n, coalesce(array_to_string(list_transform(range(zoom), lambda i: (x >> (zoom - 1 - i)::INT) % 2 + 2 * ((y >> (zoom - 1 - i)::INT) % 2)), ''), '') AS quadkey FROM c)
+    SELECT k.zoom, quadkey, n, b.parts FROM k LEFT JOIN (SELECT zoom - 1 AS zoom, left(quadkey, zoom - 1) AS quadkey, count(*) AS parts FROM k WHERE zoom > 0 GROUP BY 1, 2) b USING (zoom, quadkey)"""
+)
+def map_marker_parts(t: Tables) -> DataFrame:
+    """By its tile's name, into how many markers each marker falls apart."""
+    found = pyramid.parts(pyramid.clusters(_points(t)))
+    return found.select("zoom", pyramid.quadkey(F.col("x"), F.col("y"), F.col("zoom")).alias("quadkey"), "n", "parts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import maps, text
 from ..functions.numbers import places as rounded
 from ..operators import matching, overlay, quality, repair, snapshot
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
@@ -111,14 +111,40 @@ def quality_issues(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {_sql_issues("a", "0")}, n AS (SELECT coalesce(country, 'UNASSIGNED') AS country, code, count(*) AS n FROM ai GROUP BY ALL), m AS (SELECT country, string_agg(code || '=' || n, '|' ORDER BY code) AS codes FROM n GROUP BY country),
+    v AS (SELECT coalesce(country, 'UNASSIGNED') AS country, 'error=' || count(*) FILTER (severity = 'error') || '|info=' || count(*) FILTER (severity = 'info') || '|warning=' || count(*) FILTER (severity = 'warning') AS severities FROM ai GROUP BY 1),
     g AS (SELECT coalesce(country, 'UNASSIGNED') AS country, count(*) AS centres, count(*) FILTER (decision = 'ready') AS ready, count(*) FILTER (decision = 'needs_review') AS needs_review, count(*) FILTER (decision = 'quarantined') AS quarantined, count(*) FILTER (k % 8 <> 0 AND k % 7 <> 0) AS pinnable FROM ad GROUP BY 1)
-    SELECT g.*, codes FROM g LEFT JOIN m USING (country)"""
+    SELECT g.*, codes, severities FROM g LEFT JOIN m USING (country) LEFT JOIN v USING (country)"""
 )
 def quality_decision_by_nation(t: Tables) -> DataFrame:
-    """The baseline of each country: decisions, pins and issue counts."""
-    analyses = quality.analysed(_places(t, 0)).withColumn("pinnable", F.col("has_geo") & F.col("verified"))
-    entries = F.transform(F.map_entries("codes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return quality.baseline(analyses).withColumn("codes", joined(entries))
+    """The baseline of each country: decisions, pins, and issues by code and severity."""
+    return _baselines(t, 0).withColumns({c: maps.as_text(F.col(c)) for c in ("codes", "severities")})
+
+
+def _baselines(t: Tables, cut: float) -> DataFrame:
+    return quality.baseline(quality.analysed(_places(t, cut)).withColumn("pinnable", F.col("has_geo") & F.col("verified")))
+
+
+@query(
+    f"""WITH {_sql_issues("b", "0")}, {_sql_issues("a", "1000")}, n AS (SELECT coalesce(country, 'UNASSIGNED') AS country, code, severity, 1 AS d FROM ai UNION ALL SELECT coalesce(country, 'UNASSIGNED'), code, severity, -1 FROM bi),
+    c AS (SELECT country, string_agg(code || '=' || d, '|' ORDER BY code) AS codes FROM (SELECT country, code, sum(d) AS d FROM n GROUP BY ALL HAVING sum(d) <> 0) GROUP BY country),
+    s AS (SELECT country, string_agg(severity || '=' || d, '|' ORDER BY severity) AS severities FROM (SELECT country, severity, sum(d) AS d FROM n GROUP BY ALL HAVING sum(d) <> 0) GROUP BY country),
+    g AS (SELECT country, sum(d * (decision = 'ready')::INT) AS ready, sum(d * (decision = 'quarantined')::INT) AS quarantined FROM (SELECT coalesce(country, 'UNASSIGNED') AS country, decision, 1 AS d FROM ad UNION ALL SELECT coalesce(country, 'UNASSIGNED'), decision, -1 FROM bd) GROUP BY country)
+    SELECT country, ready::BIGINT AS ready, quarantined::BIGINT AS quarantined, coalesce(codes, '') AS codes, coalesce(severities, '') AS severities FROM g LEFT JOIN c USING (country) LEFT JOIN s USING (country) WHERE ready <> 0 OR quarantined <> 0 OR codes IS NOT NULL OR severities IS NOT NULL"""
+)
+def country_issue_deltas(t: Tables) -> DataFrame:
+    """How decisions and the maps of issues of each country changed between two baselines."""
+    found = quality.country_deltas(_baselines(t, 0), _baselines(t, 1000), ["ready", "quarantined"], ("codes", "severities"))
+    return found.withColumns({c: maps.as_text(F.col(c)) for c in ("codes", "severities")})
+
+
+@query(
+    f"""WITH {_sql_issues("a", "0")}, c AS (SELECT string_agg(code || '=' || n, '|' ORDER BY code) AS codes FROM (SELECT code, count(*) AS n FROM ai GROUP BY code))
+    SELECT count(*) AS centres, count(*) FILTER (decision = 'ready') AS ready, count(*) FILTER (decision = 'needs_review') AS needs_review, count(*) FILTER (decision = 'quarantined') AS quarantined, count(*) FILTER (k % 8 <> 0 AND k % 7 <> 0) AS pinnable, any_value(c.codes) AS codes,
+        (SELECT 'error=' || count(*) FILTER (severity = 'error') || '|info=' || count(*) FILTER (severity = 'info') || '|warning=' || count(*) FILTER (severity = 'warning') FROM ai) AS severities FROM ad, c"""
+)
+def quality_totals(t: Tables) -> DataFrame:
+    """The summary of a run: all countries' counters and maps added up."""
+    return quality.totals(_baselines(t, 0)).withColumns({c: maps.as_text(F.col(c)) for c in ("codes", "severities")})
 
 
 def _baseline_rows(t: Tables, cut: float, pin: int) -> DataFrame:
