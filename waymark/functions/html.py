@@ -24,28 +24,37 @@ ON_PAPER, ON_COMPUTER = '(?i)aria-label="Test on paper"', '(?i)aria-label="Test
 
 
 def decoded_names(text: Column) -> Column:
-    """Named entities only, natively; & comes last so that nothing is decoded twice."""
+    """Named entities only; & comes last so that nothing is decoded twice."""
     for name in [n for n in ENTITIES if n != "amp"] + ["amp"]:
         text = F.regexp_replace(text, f"(?i)&{name};", ENTITIES[name])
     return text
 
 
-def _entity(m: re.Match) -> str:
-    hexadecimal, decimal, name = m.groups()
-    if name:
-        return ENTITIES.get(name.lower(), m[0])
-    code = int(hexadecimal, 16) if hexadecimal else int(decimal)
-    return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else ""
+def character(code: Column) -> Column:
+    """The character of a code point, through its four bytes; nothing for those that no text can hold (surrogates, beyond Unicode)."""
+    possible = (code >= 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(possible, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
 
 
-@F.pandas_udf(T.StringType())
-def decoded(text: pd.Series) -> pd.Series:
-    """Hexadecimal, decimal and named entities; unknown names stay, impossible code points are dropped."""
-    pattern = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,8});|#([0-9]{1,9});|([a-zA-Z]+);)")
-    return text.map(lambda s: None if s is None else pattern.sub(_entity, s))
+def _numbers_decoded(text: Column, entity: str, base: int, digits: int) -> Column:
+    """The entities of one notation decoded; a number of more digits than the largest code point has means no character."""
+    tokens = F.regexp_extract_all(text, F.lit(f"{entity}|[^&]+|&"), 0)
+    number = lambda t: F.regexp_extract(t, f"^{entity}$", 1)
+    bare = lambda t: F.regexp_replace(number(t), "^0+(?=.)", "")
+    code = lambda t: F.conv(F.when(F.length(bare(t)) <= digits, bare(t)).otherwise("-1"), base, -10).cast("long")
+    return F.array_join(F.transform(tokens, lambda t: F.when(number(t) != "", character(code(t))).otherwise(t)), "")
 
 
-def stripped(html: Column, decode=decoded_names) -> Column:
+def decoded(text: Column) -> Column:
+    """Hexadecimal, then decimal, then named entities, each in one pass; unknown names stay, impossible code points are dropped.
+
+    A text without a numeric entity is not cut into tokens at all.
+    """
+    numeric = lambda t: _numbers_decoded(_numbers_decoded(t, "&#[xX]([0-9a-fA-F]+);", 16, 6), "&#([0-9]+);", 10, 7)
+    return decoded_names(F.when(text.contains("&#"), numeric(text)).otherwise(text))
+
+
+def stripped(html: Column, decode=decoded) -> Column:
     """Text without tags, entities decoded, white space collapsed."""
     return F.trim(F.regexp_replace(decode(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
 
@@ -57,7 +66,7 @@ def paragraphs(html: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), 1)
-    return F.filter(F.transform(found, lambda h: F.trim(decoded_names(h))), lambda h: h != "")
+    return F.filter(F.transform(found, lambda h: F.trim(decoded(h))), lambda h: h != "")
 
 
 def heading(html: Column, css_class: str | None = None) -> Column:
@@ -93,7 +102,7 @@ def phones(text: Column) -> Column:
 
 def map_centre(html: Column) -> Column:
     """struct(lat, lng) of an embedded static map; null near 0, 0 (a placeholder) or out of range."""
-    lat, lng = (F.regexp_extract(decoded_names(html), STATIC_MAP, i).try_cast("double") for i in (1, 2))
+    lat, lng = (F.regexp_extract(decoded(html), STATIC_MAP, i).try_cast("double") for i in (1, 2))
     placeholder = (F.abs(lat) < 1) & (F.abs(lng) < 1)
     return F.when(~placeholder & (F.abs(lat) <= 90) & (F.abs(lng) <= 180), F.struct(lat.alias("lat"), lng.alias("lng")))
 
@@ -120,10 +129,10 @@ def balanced(html: str | None, start: int, tag: str) -> str | None:
     if html is None:
         return None
     depth = 0
-    for m in re.finditer(rf"<(/?){re.escape(tag)}\b[^>]*>", html[start:], re.I):
+    for m in re.compile(rf"<{re.escape(tag)}\b|(</{re.escape(tag)}\s*>)", re.I).finditer(html, start):
         depth += -1 if m[1] else 1
         if depth == 0:
-            return html[start : start + m.end()]
+            return html[start : m.end()]
     return html[start:]
 
 

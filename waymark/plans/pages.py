@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..operators import matching
+from ..operators import elements, matching
 from .registry import Tables, joined, query
 
 _NAMED = [(k, v) for k, v in html.ENTITIES.items() if k != "amp"] + [("amp", "&")]
@@ -44,7 +44,7 @@ def html_links(t: Tables) -> DataFrame:
 @query(f"""SELECT page_id, md5({_sql_stripped("html")}) AS text_md5 FROM pages""")
 def html_text(t: Tables) -> DataFrame:
     """The text of every page without markup."""
-    return t.pages.select("page_id", F.md5(html.stripped(F.col("html"), html.decoded).cast("binary")).alias("text_md5"))
+    return t.pages.select("page_id", F.md5(html.stripped(F.col("html")).cast("binary")).alias("text_md5"))
 
 
 @query("""SELECT lower(e) AS entity, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '&([a-zA-Z]+|#[0-9]+);', 1)) AS e FROM pages) GROUP BY 1""")
@@ -78,11 +78,57 @@ def page_cache_keys(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.substring(F.sha1(F.col("url").cast("binary")), 1, 16).alias("cache_key"), F.length("html").cast("long").alias("n_chars"))
 
 
-@query()
+_TOKENS = """WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is).*?(?:<{tag}\\b|</{tag}\\s*>)') AS ps, html FROM {pages}), x AS (SELECT page_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM p),
+    t AS (SELECT page_id, pos, length(piece) AS size, CASE WHEN regexp_matches(piece, '(?is)</{tag}\\s*>$') THEN -1 ELSE 1 END AS turn FROM x),
+    d AS (SELECT *, sum(size) OVER w AS stop, sum(turn) OVER w AS depth FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+    o AS (SELECT page_id, stop - length('<{tag}') AS start, coalesce((SELECT min(c.stop) FROM d c WHERE c.page_id = d.page_id AND c.pos > d.pos AND c.depth < d.depth), (SELECT length(html) FROM p WHERE p.page_id = d.page_id)) AS stop FROM d WHERE turn = 1)"""
+
+
+@query(
+    _TOKENS.format(tag="li", pages="pages")
+    + """ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY start) AS n, start::BIGINT AS start, md5(substr(html, start::BIGINT + 1, (stop - start)::BIGINT)) AS element FROM o JOIN p USING (page_id)"""
+)
+def html_balanced_items(t: Tables) -> DataFrame:
+    """Every list item with what is nested in it."""
+    found = elements.balanced(t.pages, "li", key="page_id")
+    return found.select("page_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), F.md5(F.col("element").cast("binary")).alias("element"))
+
+
+_NESTED = "(SELECT page_id, replace(replace(replace(html, '<li>', CASE page_id % 3 WHEN 0 THEN '<DIV class=\"a\">' WHEN 1 THEN '<div><div >' ELSE '<div' || ' x=1>' END), '</li>', CASE page_id % 5 WHEN 0 THEN '' ELSE '</div >' END), '</ul>', '</div></div>') AS html FROM pages)"
+
+
+@query(
+    _TOKENS.format(tag="div", pages=_NESTED)
+    + """ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY start) AS n, start::BIGINT AS start, md5(substr(html, start::BIGINT + 1, (stop - start)::BIGINT)) AS element FROM o JOIN p USING (page_id)"""
+)
+def html_broken_nesting(t: Tables) -> DataFrame:
+    """The same over pages whose lists have become boxes that nest, that are never closed, or that are closed too often."""
+    k, text = F.col("page_id"), F.col("html")
+    opening = F.when(k % 3 == 0, '<DIV class="a">').when(k % 3 == 1, "<div><div >").otherwise("<div x=1>")
+    boxed = F.replace(F.replace(F.replace(text, F.lit("<li>"), opening), F.lit("</li>"), F.when(k % 5 == 0, "").otherwise("</div >")), F.lit("</ul>"), F.lit("</div></div>"))
+    found = elements.balanced(t.pages.select(k, boxed.alias("html")), "div", key="page_id")
+    return found.select("page_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), F.md5(F.col("element").cast("binary")).alias("element"))
+
+
+@query("""SELECT page_id, (length(html) - length(replace(html, '<nav', ''))) // 4 AS n, coalesce(length(nullif(regexp_extract(html, '(?s)<nav.*?</nav>'), '')), 0) AS first_chars FROM pages""")
 def html_balanced_lists(t: Tables) -> DataFrame:
-    """Whole nav elements with what is nested in them, through the Arrow function."""
+    """Whole nav elements, how many and how long the first is, through the Arrow function."""
     found = t.pages.select("page_id", html.balanced_elements("nav", "")(F.col("html")).alias("e"))
-    return found.select("page_id", F.size("e").alias("n"), F.coalesce(F.length(F.get("e", F.lit(0))), F.lit(0)).alias("first_chars"))
+    return found.select("page_id", F.size("e").cast("long").alias("n"), F.coalesce(F.length(F.get("e", F.lit(0))), F.lit(0)).cast("long").alias("first_chars"))
+
+
+_NUMERIC = "replace(replace(replace(replace(html, 'é', '&#233;'), 'the ', '&#x74;h&#X65; '), 'de ', '&#128512;&#x1F600;&#55296;&#x110000;&#99999999999; '), '&amp;', '&#38;lt;&amp;#65;')"
+_SQL_HEX = "array_to_string(list_transform(regexp_extract_all({x}, '&#[xX][0-9a-fA-F]+;|[^&]+|&'), lambda t: CASE WHEN NOT regexp_full_match(t, '&#[xX][0-9a-fA-F]+;') THEN t ELSE coalesce(nullif(CASE WHEN ('0x' || t[4:-2])::BIGINT BETWEEN 55296 AND 57343 OR ('0x' || t[4:-2])::BIGINT > 1114111 THEN NULL ELSE chr(('0x' || t[4:-2])::INT) END, ''), '') END), '')"
+_SQL_DECIMAL = "array_to_string(list_transform(regexp_extract_all({x}, '&#[0-9]+;|[^&]+|&'), lambda t: CASE WHEN NOT regexp_full_match(t, '&#[0-9]+;') THEN t WHEN t[3:-2]::BIGINT BETWEEN 55296 AND 57343 OR t[3:-2]::BIGINT > 1114111 THEN '' ELSE chr(t[3:-2]::INT) END), '')"
+
+
+@query(f"""SELECT page_id, md5(trim(regexp_replace({_sql_decoded(_SQL_DECIMAL.format(x=_SQL_HEX.format(x="regexp_replace(h, '<[^>]*>', ' ', 'g')")))}, '\\s+', ' ', 'g'))) AS text_md5 FROM (SELECT page_id, {_NUMERIC} AS h FROM pages)""")
+def html_numeric_entities(t: Tables) -> DataFrame:
+    """The text of pages in which characters are written as numbers, some of them impossible, some to be decoded again by a later pass."""
+    h = F.col("html")
+    for old, new in (("é", "&#233;"), ("the ", "&#x74;h&#X65; "), ("de ", "&#128512;&#x1F600;&#55296;&#x110000;&#99999999999; "), ("&amp;", "&#38;lt;&amp;#65;")):
+        h = F.replace(h, F.lit(old), F.lit(new))
+    return t.pages.select("page_id", F.md5(html.stripped(h).cast("binary")).alias("text_md5"))
 
 
 @query(
