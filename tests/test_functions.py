@@ -14,12 +14,12 @@ def value(spark, expr):
 )
 def test_normalised(spark, raw, want):
     assert value(spark, text.normalised(F.lit(raw))) == want
-    assert value(spark, text.normalised(F.lit(raw), any_script=True)) == want
+    assert value(spark, text.normalised(F.lit(raw))) == want
 
 
 def test_normalised_null(spark):
     assert value(spark, text.normalised(F.lit(None).cast("string"))) is None
-    assert value(spark, text.normalised(F.lit(None).cast("string"), any_script=True)) is None
+    assert value(spark, text.normalised(F.lit(None).cast("string"))) is None
 
 
 @pytest.mark.parametrize("a, b, want", [("", "", 1.0), ("abc", "abc", 1.0), ("abc", "abd", 1 - 1 / 3), ("abc", "", 0.0)])
@@ -119,3 +119,19 @@ def test_cells_hold_every_point_within_a_radius(spark):
         around = geo.cells_around(F.col("c"), F.col("d"), km)
         assert near.where(~F.array_contains(around, geo.cell(F.col("a"), F.col("b"), km))).count() == 0
         assert df.where(F.size(around) != F.size(F.array_distinct(around))).count() == 0
+
+
+def test_every_character_folds_as_its_decomposition(spark):
+    import unicodedata
+
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and unicodedata.category(chr(i)) != "Cn"]
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not "\u0300" <= c <= "\u036f")
+    texts = [*every, *["x".join(every[i : i + 40]) for i in range(0, len(every), 997)], "", "Ő Čs ﬁ Ａ ½ 한국어 ㍿"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.folded(F.col("t")).alias("v")).collect()
+    assert len(got) > 280_000 and [r.t for r in got if r.v != plain(r.t)] == []
+
+
+def test_marks_of_other_scripts(spark):
+    assert value(spark, text.normalised(F.lit("ไทย की ガ"))) == "ไทย की カ\u3099" and value(spark, text.unmarked(F.lit("की ガ Őﬁ"))) == "क カ ofi"
+    assert value(spark, text.compact(F.lit("São Ｐaulo ①"))) == "saopaulo1"

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import character
+
 # The named entities that are decoded; others stay as they are.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "hellip": "…",
@@ -30,12 +32,6 @@ def decoded_names(text: Column) -> Column:
     return text
 
 
-def character(code: Column) -> Column:
-    """The character of a code point, through its four bytes; nothing for those that no text can hold (surrogates, beyond Unicode)."""
-    possible = (code >= 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(possible, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
-
-
 def _numbers_decoded(text: Column, entity: str, base: int, digits: int) -> Column:
     """The entities of one notation decoded; a number of more digits than the largest code point has means no character."""
     tokens = F.regexp_extract_all(text, F.lit(f"{entity}|[^&]+|&"), 0)

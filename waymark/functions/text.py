@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .numbers import bound
 
@@ -18,25 +19,86 @@ NAME_STOPWORDS = (
     "inc", "llc", "campus", "location", "british", "council", "idp", "education",
 )
 
-#: Accented Latin letters of western European text and their base letters.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
-@F.pandas_udf(T.StringType())
-def decomposed(values: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining accents, for any script."""
-    return values.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not "̀" <= c <= "ͯ"))
+# -- compatibility decomposition ------------------------------------------------------------------------------------------------
 
 
-def normalised(text: Column, any_script: bool = False) -> Column:
-    """Lower case without accents; every run of other than letters, marks and numbers is one space. Null stays null.
+@dataclass(frozen=True)
+class Fold:
+    """What each character of other than Hangul decomposes to, without combining accents: one character, none, or several."""
 
-    The native form knows accented Latin-1 letters; any_script goes through an Arrow function for all others.
+    single: dict[str, str]
+    several: dict[str, str]
+
+
+@cache
+def fold_table() -> Fold:
+    """From the character database of this Python: NFKD without U+0300 to U+036F."""
+    single, several = {}, {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        if "\u0300" <= c <= "\u036f":
+            single[c] = ""
+            continue
+        d = unicodedata.normalize("NFKD", c)
+        if d != c:
+            d = "".join(x for x in d if not "\u0300" <= x <= "\u036f")
+            (single if len(d) < 2 else several)[c] = d
+    return Fold(single, several)
+
+
+def _translated(text: Column, table: dict[str, str]) -> Column:
+    """Characters of the table replaced by one character, or left out for none."""
+    kept = {c: d for c, d in table.items() if d}
+    return F.translate(text, "".join([*kept, *[c for c in table if c not in kept]]), "".join(kept.values()))
+
+
+def character(code: Column) -> Column:
+    """The character of a code point, through its four bytes; nothing for those that no text can hold (surrogates, beyond Unicode)."""
+    possible = (code >= 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(possible, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+
+def _syllable(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by arithmetic on its code point."""
+    s = F.ascii(c) - 0xAC00
+    last = s % 28
+    return F.concat(character(0x1100 + F.floor(s / 588)), character(0x1161 + F.floor(s % 588 / 28)), F.when(last > 0, character(0x11A7 + last)).otherwise(""))
+
+
+def folded(text: Column, places: int = 4) -> Column:
+    """Compatibility decomposition of any script without combining accents, as an expression.
+
+    Most characters become one or none, by translation of the whole text. Only a text that holds others is taken apart; the first
+    `places` characters of what such a one becomes are translations of it, too, and the few longer ones are looked up.
     """
-    lower = F.lower(text)
-    base = decomposed(lower) if any_script else F.translate(lower, ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(base, NOT_WORD, " "))
+    table = fold_table()
+    many, hangul = table.several, "[\uac00-\ud7a3]"
+    short = {c: d for c, d in many.items() if len(d) <= places}
+    long = {c: d for c, d in many.items() if len(d) > places}
+    nth = [{c: d[i : i + 1] for c, d in short.items()} for i in range(places)]
+    rare = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
+    without = lambda c: F.translate(c, "".join(many), "")  # noqa: E731  a hash lookup a character, where a pattern would try each in turn
+
+    def piece(c: Column) -> Column:
+        several = F.coalesce(F.try_element_at(rare, c), F.concat(*[_translated(c, t) for t in nth]))
+        return F.when(c < "\x80", c).when(c.between("\uac00", "\ud7a3"), _syllable(c)).when(without(c) == "", several).otherwise(c)
+
+    apart = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), piece), "")
+    whole = F.when(text.rlike(hangul) | (without(text) != text), apart).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _translated(whole, table.single)).otherwise(text)
+
+
+def normalised(text: Column) -> Column:
+    """Lower case without accents, in any script; every run of other than letters, marks and numbers is one space. Null stays null."""
+    return F.trim(F.regexp_replace(folded(F.lower(text)), NOT_WORD, " "))
+
+
+def unmarked(text: Column) -> Column:
+    """As normalised(), without marks of any script: what texts of other sources are compared by."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(F.lower(text)), r"\p{M}", ""), NOT_WORD, " "))
 
 
 def tokens(normal: Column) -> Column:
@@ -102,11 +164,11 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    return F.replace(normalised(text), F.lit(" "), F.lit(""))
+    return F.replace(unmarked(text), F.lit(" "), F.lit(""))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    return F.greatest(token_dice(normalised(a), normalised(b)), bigram_dice(compact(a), compact(b)))
+    return F.greatest(token_dice(unmarked(a), unmarked(b)), bigram_dice(compact(a), compact(b)))
 
 
 def phone_identity(phone: Column) -> Column:
@@ -152,7 +214,7 @@ def website_overlap(ours: Column, theirs: Column) -> Column:
 
 def distinctive_tokens(text: Column, ignored: Iterable[str] = NAME_STOPWORDS, most: int = 5, numbers: bool = True) -> Column:
     """The first distinct tokens of at least three characters that are not ignored."""
-    kept = F.filter(tokens(normalised(text)), lambda t: (F.length(t) >= 3) & ~t.isin(*ignored) & (F.lit(numbers) | ~t.rlike(r"^\p{N}+$")))
+    kept = F.filter(tokens(unmarked(text)), lambda t: (F.length(t) >= 3) & ~t.isin(*ignored) & (F.lit(numbers) | ~t.rlike(r"^\p{N}+$")))
     return F.slice(F.array_distinct(kept), 1, most)
 
 
