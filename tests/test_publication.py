@@ -60,7 +60,7 @@ def test_two_writers_and_unsafe_data(spark, tmp_path):
     versions.commit(spark, root, [("dataset", data)])
     with pytest.raises(sinks.UnsafePublication):
         versions.publish(data.limit(10), diff(data, data.where("id < 10")), root)
-    (tmp_path / "out" / "manifests" / "000000000002.json").write_text(json.dumps({"other": "x"}))
+    (tmp_path / "out" / "manifests" / "000000000002.json").write_text(json.dumps({"tables": {"other": "x"}, "notes": {}}))
     real = versions.current
     try:
         versions.current = lambda *_: versions.Version(1, {})
@@ -84,3 +84,36 @@ def test_the_cost_of_scans(spark, tmp_path):
     assert scancost.estimated_bytes(rows.join(rows.select("id"), "id")) > whole and scancost.estimated_bytes(spark.range(9)) == 0
     rows.createOrReplaceTempView("costly")
     assert len(scancost.scans(spark.sql("SELECT id FROM costly WHERE id > (SELECT avg(other) FROM costly)"))) == 2
+
+
+def test_attempts_are_charged_in_order(spark):
+    import random
+
+    from waymark.operators import candidates
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot"] * 8 + ["cold", None, "none"]), rng.choice([0, 1, 2, 3, None]), rng.random()) for i in range(3000)]
+    budgets = {"hot": 500, "cold": 10_000}
+    df = spark.createDataFrame(rows, "id long, p string, n int, at double")
+    got = {r.id: (r.before, r.paid) for r in candidates.charged(df, "p", "n", ["at", "id"], spark.createDataFrame(list(budgets.items()), "provider string, n int")).collect()}
+    spent = {}
+    for i, p, n, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        before = spent.get(p, 0)
+        assert got[i] == (before, max(0, min(n or 0, budgets.get(p, 0) - before))), i
+        spent[p] = before + (n or 0)
+    assert len(got) == 3000 and sum(got[r[0]][1] for r in rows if r[1] == "hot") == 500
+
+
+def test_replayed_batches_are_remembered_once(spark, tmp_path):
+    from waymark.streaming import memory
+
+    root = str(tmp_path / "memory")
+    batches = [[("a", 1, True), ("b", 2, False), ("a", 3, True)], [("a", 5, False), ("c", 4, True)], [("b", 9, True)], [("d", 1, True)]]
+    frames = [spark.createDataFrame(b, "k string, t int, failed boolean") for b in batches]
+    shown = lambda: sorted((r.k, r.first_seen, r.last_seen, r.seen, r.failed) for r in memory.remembered(spark, root).collect())
+    for i in (0, 1, 1, 2, 0, 3):  # the second is delivered twice, the first once more after a merge
+        memory.remember_batch(frames[i], i, root, "k", "t", "failed", merge_every=2)
+    assert shown() == [("a", 1, 5, 3, False), ("b", 2, 9, 2, True), ("c", 4, 4, 1, True), ("d", 1, 1, 1, True)]
+    memory.merge(spark, root)
+    memory.remember_batch(frames[3], 3, root, "k", "t", "failed", merge_every=2)
+    assert shown()[3] == ("d", 1, 1, 1, True) and memory.unresolved(spark, root).count() == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numbers import places
+from ..sources.storage import materialise
 
 
 def resolve(candidates: DataFrame, entity: str = "entity") -> DataFrame:
@@ -77,3 +78,24 @@ def rationed(requests: DataFrame, provider: str, order: list[str], budgets: Data
     last = first.join(limits, F.col(provider) == F.col("_p")).where("_rank <= _n").groupBy("_p").agg(F.max(F.struct(*order)).alias("_last"))
     joined = requests.join(last, F.col(provider) == F.col("_p"), "left")
     return joined.withColumn("allowed", F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_p", "_last")
+
+
+def charged(requests: DataFrame, provider: str, attempts: str, order: list[str], budgets: DataFrame) -> DataFrame:
+    """requests with `before`, the attempts of its provider's earlier requests, and `paid`, how many of its own the provider's budget still covers.
+
+    Each attempt counts, a retry as much as a first one: a request may begin while something is left, and stops when nothing is. `order` is unique
+    within a provider; a provider that budgets (provider, n) does not name pays for none. Requests are dealt by ranges of provider and order. A running
+    sum within each part and the sums of the parts before it give the place of each, so that no provider is sorted in one task.
+    """
+    dealt = requests.repartitionByRange(provider, *order).withColumn("_part", F.spark_partition_id())
+    parts = materialise(dealt, "requests")
+    each = F.coalesce(F.col(attempts), F.lit(0)).cast("long")
+    sums = parts.groupBy(provider, "_part").agg(F.sum(each).alias("_sum"))
+    earlier = Window.partitionBy(provider).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = sums.select(F.col(provider).alias("_p"), F.col("_part").alias("_q"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(provider, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_inside", F.coalesce(F.sum(each).over(inside), F.lit(0)))
+    limits = budgets.groupBy(F.col("provider").alias("_b")).agg(F.max("n").cast("long").alias("_n"))
+    joined = placed.join(offsets, F.col(provider).eqNullSafe(F.col("_p")) & (F.col("_part") == F.col("_q"))).join(limits, F.col(provider) == F.col("_b"), "left")
+    left = F.coalesce("_n", F.lit(0)) - F.col("before")
+    return joined.withColumn("before", F.col("_inside") + F.col("_offset")).withColumn("paid", F.greatest(F.lit(0), F.least(left, each))).drop("_part", "_p", "_q", "_b", "_n", "_inside", "_offset")

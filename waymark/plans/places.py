@@ -181,6 +181,17 @@ def provider_budgets(t: Tables) -> DataFrame:
     return candidates.rationed(t.events, "event_type", ["ts", "event_id"], budgets).select("event_id", "event_type", "allowed")
 
 
+@query(
+    """WITH b AS (SELECT event_id, event_type, event_id % 4 AS n, coalesce(sum(event_id % 4) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, CASE event_type WHEN 'click' THEN 1000 WHEN 'view' THEN 2500 ELSE 0 END AS budget FROM events)
+    SELECT event_id, event_type, before, greatest(0, least(budget - before, n))::BIGINT AS paid FROM b"""
+)
+def attempt_budgets(t: Tables) -> DataFrame:
+    """How many of each request's attempts its provider's budget covers."""
+    budgets = t.spark.createDataFrame([("click", 1000), ("view", 2500)], "provider string, n int")
+    rows = t.events.select("event_id", "event_type", "ts", (F.col("event_id") % 4).alias("n"))
+    return candidates.charged(rows, "event_type", "n", ["ts", "event_id"], budgets).select("event_id", "event_type", "before", "paid")
+
+
 # -- search --------------------------------------------------------------------------------------------------------------------
 
 

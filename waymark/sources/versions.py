@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -26,6 +26,7 @@ class Conflict(Exception):
 class Version:
     number: int
     tables: dict[str, str]  # name to folder
+    notes: dict = field(default_factory=dict)  # what the writer wants to find again
 
 
 def _path(spark: SparkSession, path: str):
@@ -46,7 +47,8 @@ def current(spark: SparkSession, root: str) -> Version | None:
 
 def _version(spark: SparkSession, root: str, name: str) -> Version:
     text = spark.read.text(f"{root}/manifests/{name}", wholetext=True).first()[0]
-    return Version(int(name.removesuffix(".json")), json.loads(text))
+    said = json.loads(text)
+    return Version(int(name.removesuffix(".json")), said["tables"], said["notes"])
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame | None:
@@ -55,14 +57,15 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{version.tables[table]}") if version and table in version.tables else None
 
 
-def commit(spark: SparkSession, root: str, tables: list[tuple[str, DataFrame]]) -> Version:
-    """Write the tables one after another, then a manifest that names them and keeps the other tables of the version before.
+def commit(spark: SparkSession, root: str, tables: list[tuple[str, DataFrame]], notes: dict | None = None) -> Version:
+    """Write the tables one after another, then a manifest that names them and keeps the other tables and notes of the version before.
 
     The manifest appears under its number by a rename that fails if there already is one: of two writers one gets a Conflict.
     Tables may be computed from those of the version before, which stay where they are.
     """
     before = current(spark, root)
     number, held = (before.number + 1, dict(before.tables)) if before else (1, {})
+    told = {**(before.notes if before else {}), **(notes or {})}
     for name, rows in tables:
         folder = f"tables/{number:0{_DIGITS}d}-{name}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{root}/{folder}")
@@ -71,13 +74,13 @@ def commit(spark: SparkSession, root: str, tables: list[tuple[str, DataFrame]])
     draft, _ = _path(spark, f"{root}/manifests/.{uuid.uuid4().hex}.tmp")
     out = files.create(draft, False)
     try:
-        out.write(bytearray(json.dumps(held, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps({"tables": held, "notes": told}, sort_keys=True).encode()))
     finally:
         out.close()
     if files.exists(at) or not files.rename(draft, at):
         files.delete(draft, False)
         raise Conflict(f"version {number} of {root} is taken")
-    return Version(number, held)
+    return Version(number, held, told)
 
 
 def publish(after: DataFrame, diff: DataFrame, root: str, baseline: DataFrame | None = None, baseline_changed: bool = False, allow: bool = False) -> Row:
