@@ -122,17 +122,6 @@ def in_country(records: DataFrame, country: str = "ALL", column: str = "country"
     return found
 
 
-def street_line(lines: Column) -> Column:
-    """The line that starts with a house number and names a kind of street, else the first with a house number, without brackets, units and codes."""
-    edges = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[\s,;.–-]+|[\s,;–-]+$", ""))
-    bare = lambda s: edges(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\([^)]*\)|#\s*[\w-]+", " "), r"(?i)\b(?:suite|unit|floor|room)\s+[\w-]+", " "), address.CA_CODE, " "))
-    civic = lambda s: F.regexp_replace(s, r"(?i)^\d+[a-z]?\s*[-–,]\s*(\d+\s+.+)$", "$1")
-    kinds = "|".join(address.STREET_WORDS)
-    upto = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, rf"(?i)^(\d+[a-z]?\s+.*?\b(?:{kinds})\b\.?(?:\s+(?:ne|nw|se|sw|north|south|east|west|n|s|e|w)\b\.?)?)", 1), F.lit("")), s)
-    clean = F.filter(F.transform(lines, lambda s: upto(edges(civic(bare(s))))), lambda s: (F.length(s) >= 4) & s.rlike(r"(?i)^\d+[a-z]?\s+\S"))
-    return F.coalesce(F.get(F.filter(clean, lambda s: s.rlike(rf"(?i)\b(?:{kinds})\b")), F.lit(0)), F.get(clean, F.lit(0)))
-
-
 def pilot_queries(name: Column, raw: Column, entries: Column) -> Column:
     """array of struct(kind, text): name and address, the address alone, and the first local entry that has both."""
     one = lambda kind, value: F.struct(kind.alias("kind"), value.alias("text"))

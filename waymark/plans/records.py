@@ -81,17 +81,29 @@ def country_lookups(t: Tables) -> DataFrame:
     return named.select("n_nationkey", "country", "country_name", address.resolved_country(F.when(k % 2 == 0, "IN"), F.col("country"), F.lit("US")).alias("resolved"))
 
 
+#: Lines of an address ({n} is a number) and the street line in them.
+_STREETS = [
+    (["31 Pippy Place, Unit {n}", "3rd Floor"], "31 Pippy Place"), (["{n} W 1st St, Unit 106", "North Vancouver"], "{n} W 1st St"), (["{n} Skinner St #101", "Nanaimo"], "{n} Skinner St"), (["{n} Bannister Rd SE #101"], "{n} Bannister Rd SE"),
+    (["{n} 91 St W, Unit 104", "Edmonton"], "{n} 91 St W"), (["Unit 210, Bentinck St Level", "{n} George St", "Sydney"], "{n} George St"), (["Unit 208 - {n} Kingsway", "Burnaby"], "{n} Kingsway"), (["Bld. 5, 110 - {n} Commerce Parkway"], "{n} Commerce Parkway"),
+    (["Bldg 4, {n} Main Street"], "{n} Main Street"), (["Apt 5 - {n} Elm Road"], "{n} Elm Road"), (["Level 3, {n} King Street West"], "{n} King Street West"), (["Ste 200, {n} Kingsway"], "{n} Kingsway"), (["KFUPM square", "Alkhobar/Dammam"], None),
+    (["Annex B", "Office 12, {n}a High Lane T2X 1Z2"], "{n}a High Lane"), (["The Hall (OG Level)", "476, {n} Kingsway Ave in Metrotown"], "{n} Kingsway Ave"), (["Room 5"], None), (["{n} Rue Ordinaire", "{n} Queen Blvd. North, Blk 7"], "{n} Queen Blvd. North"),
+    (["{n} Somewhere else ,  rear"], "{n} Somewhere else, rear"), (["Campus {n}", "9 X"], None), (["#{n}", "{n}–44 Terrace Hill"], "44 Terrace"),
+]
+_STREET_SQL = ", ".join("NULL" if want is None else f"'{want}'" for _, want in _STREETS)
+
+
 @query(
-    """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '4800 Kingsway Ave' WHEN 1 THEN '13571 Commerce Parkway' WHEN 2 THEN s_suppkey || ' Bannister Rd SE' END AS street, 'canonical_name_address:Hall, raw|canonical_address:raw' || CASE WHEN s_suppkey % 2 = 0 THEN '|localized_zh:N, A' ELSE '' END AS queries FROM supplier"""
+    f"""SELECT s_suppkey, replace([{_STREET_SQL}][(s_suppkey % {len(_STREETS)} + 1)::INT], '{{n}}', (s_suppkey + 10)::VARCHAR) AS street, 'canonical_name_address:Hall, raw|canonical_address:raw' || CASE WHEN s_suppkey % 2 = 0 THEN '|localized_zh:N, A' ELSE '' END AS queries FROM supplier"""
 )
 def street_lines(t: Tables) -> DataFrame:
-    """The street line of an address, and the queries that look a place up."""
+    """The street lines of twenty shapes of address, and the queries that look a place up."""
     k = F.col("s_suppkey")
-    line = lambda *s: F.array(*[F.lit(x) if isinstance(x, str) else x for x in s])
-    lines = F.when(k % 4 == 0, line("Suite 12", "476, 4800 Kingsway Ave in Metrotown")).when(k % 4 == 1, line("The Hall", "110 - 13571 Commerce Parkway (OG Level)")).when(k % 4 == 2, line("#101 ", F.concat(k.cast("string"), F.lit(" Bannister Rd SE T2X 1Z2")))).otherwise(line("No number here"))
+    shapes = F.array(*[F.array(*map(F.lit, lines)) for lines, _ in _STREETS])
+    number = (k + 10).cast("string")
+    lines = F.transform(F.get(shapes, (k % len(_STREETS)).cast("int")), lambda s: F.replace(s, F.lit("{n}"), number))
     entry = F.struct(F.lit("zh").alias("locale"), F.when(k % 2 == 0, "N").alias("name"), F.lit("A").alias("address"))
     asked = F.transform(records.pilot_queries(F.lit("Hall"), F.lit("raw"), F.array(entry)), lambda q: F.concat_ws(":", q["kind"], q["text"]))
-    return t.supplier.select("s_suppkey", records.street_line(lines).alias("street"), joined(asked).alias("queries"))
+    return t.supplier.select("s_suppkey", address.street_line(lines).alias("street"), joined(asked).alias("queries"))
 
 
 @query(
