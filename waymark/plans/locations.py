@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cascade, matching, pyramid, whatif
+from ..operators import assembly, cascade, matching, pyramid, whatif
 from . import publication
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
@@ -286,3 +286,82 @@ def map_marker_parts(t: Tables) -> DataFrame:
     """By its tile's name, into how many markers each marker falls apart."""
     found = pyramid.parts(pyramid.clusters(_points(t)))
     return found.select("zoom", pyramid.quadkey(F.col("x"), F.col("y"), F.col("zoom")).alias("quadkey"), "n", "parts")
+
+
+# -- whole records -----------------------------------------------------------------------------------------------------------------
+
+
+def _page_rows(t: Tables) -> DataFrame:
+    """Customers as published pages, their orders as the offers on them."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    o = F.col("o_orderkey")
+    offer = F.struct(
+        F.concat(F.lit("Test "), (o % 3).cast("string")).alias("label"), F.when(o % 3 == 0, "life_skills").otherwise("academic").alias("kind"), F.lit("academic").alias("module"), F.lit("standard").alias("category"),
+        F.when(o % 2 == 0, "paper_based").otherwise("computer_delivered").alias("format"), F.when(o % 4 != 0, F.concat(F.lit("CAD "), (o % 5 + 300).cast("string"))).alias("text"), F.when(o % 4 != 0, F.when(o % 50 == 1, "USD").otherwise("CAD")).alias("currency"),
+        F.when(o % 4 != 0, (o % 5 + 300).cast("double")).alias("price"), F.when(o % 4 != 0, "verified").otherwise("missing").alias("status"),
+    )
+    offers = t.orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("k"), offer.alias("o")))), lambda e: e["o"]).alias("offers"))
+    address = F.struct(
+        F.concat(F.lit("addr "), key).alias("raw"), F.array(F.lit("x")).alias("lines"), F.when(k % 4 == 0, "Ottawa").alias("city"), F.lit(None).cast("string").alias("city_source"), F.when(k % 3 == 0, "ON").alias("region"), F.when(k % 5 == 0, "K1A 0B1").alias("postcode"), F.lit("CA").alias("country")
+    )
+    return t.customer.join(offers, k == F.col("o_custkey"), "left").select(
+        F.concat(F.lit("page-"), key).alias("slug"), F.concat(F.lit("https://x/"), key).alias("url"), F.lit("2026-01-01").alias("fetched_at"), F.col("c_name").alias("name"), F.when(k % 3 == 0, "British Council").when(k % 3 == 1, "IDP").otherwise("unknown").alias("operator"),
+        F.when(k % 2 == 0, "booking_domain").otherwise("slug").alias("operator_source"), F.when(k % 6 == 0, key).alias("external_id"), F.when(k % 5 < 2, F.concat(F.lit("https://book/"), key)).alias("booking_url"), (k % 7).alias("completeness"), address.alias("address"),
+        F.array(F.concat(F.lit("+1 555 "), (k % 6).cast("string")), F.concat(F.lit("001555"), (k % 4).cast("string"))).alias("phones"), F.array(F.concat(F.lit("A"), (k % 3).cast("string"), F.lit("@x.org")), F.lit("")).alias("emails"), F.array().cast("array<string>").alias("websites"),
+        F.coalesce("offers", F.array().cast(F"array<{t.orders.select(offer.alias('o')).schema['o'].dataType.simpleString()}>")).alias("offers"), F.when(k % 8 != 0, k % 5 == 0).alias("retake"), F.when(k % 8 != 0, k % 10 == 0).alias("retake_only"),
+    )
+
+
+_REC = """WITH p AS (SELECT c_custkey AS k, c_custkey // 3 AS cl, 'page-' || c_custkey AS slug, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'British Council' WHEN 1 THEN 'IDP' ELSE 'unknown' END AS operator, CASE WHEN c_custkey % 2 = 0 THEN 'booking_domain' ELSE 'slug' END AS osrc,
+        CASE WHEN c_custkey % 6 = 0 THEN c_custkey::VARCHAR END AS ext, CASE WHEN c_custkey % 5 < 2 THEN 'https://book/' || c_custkey END AS book, c_custkey % 7 AS comp, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 5 = 0 END AS retake, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 10 = 0 END AS ronly FROM customer),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cl ORDER BY comp DESC, length(slug), slug) > 1 AS other FROM p),
+    g AS (SELECT cl, count(*) AS n, string_agg(slug, '|' ORDER BY slug) FILTER (other) AS merged, arg_min(ext, (other, slug)) FILTER (ext IS NOT NULL) AS ext, arg_min(book, (other, slug)) FILTER (book IS NOT NULL) AS book, bool_or(retake IS NOT NULL) AS kn, coalesce(bool_or(retake), FALSE) AS offs,
+        coalesce(bool_or(ronly), FALSE) AS ronly, coalesce(bool_or(retake AND NOT ronly), FALSE) AS card FROM r GROUP BY cl),
+    o AS (SELECT r.cl, r.other, r.slug, o_orderkey AS ok, 'Test ' || (o_orderkey % 3) AS label, CASE WHEN o_orderkey % 3 = 0 THEN 'life_skills' ELSE 'academic' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 'paper_based' ELSE 'computer_delivered' END AS format,
+        CASE WHEN o_orderkey % 4 <> 0 THEN 'CAD ' || (o_orderkey % 5 + 300) END AS price_text, CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 50 = 1 THEN 'USD' ELSE 'CAD' END END AS cur, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 5 + 300)::DOUBLE END AS price FROM orders JOIN r ON r.k = o_custkey),
+    o1 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY cl, label, kind, format, price_text ORDER BY other, slug, ok) = 1),
+    o2 AS (SELECT * FROM o1 QUALIFY price_text IS NOT NULL OR NOT bool_or(price_text IS NOT NULL) OVER (PARTITION BY cl, label, kind, format)),
+    o3 AS (SELECT cl, string_agg(label || ':' || format || ':' || coalesce(price_text, ''), '|' ORDER BY other, slug, ok) AS offers, count(*) AS no, bool_or(kind <> 'life_skills') AS fullt, bool_or(price_text IS NOT NULL) AS priced, count(DISTINCT cur) = 1 AS one, arg_min(price_text, (price, other, slug, ok)) FILTER (price IS NOT NULL) AS low,
+        arg_min(cur, (price, other, slug, ok)) FILTER (price IS NOT NULL) AS lowcur, min(price) AS lowprice, arg_min(price_text, (other, slug, ok)) FILTER (price_text IS NOT NULL) AS firsttext FROM o2 GROUP BY cl),
+    fm AS (SELECT cl, string_agg(format, '|' ORDER BY f) AS formats FROM (SELECT cl, format, min((other, slug, ok)) AS f FROM o2 GROUP BY ALL) GROUP BY cl),
+    ph AS (SELECT cl, other, slug, 0 AS i, '+1 555 ' || (k % 6) AS v, '1555' || (k % 6) AS id FROM r UNION ALL SELECT cl, other, slug, 1, '001555' || (k % 4), '1555' || (k % 4) FROM r),
+    p1 AS (SELECT cl, string_agg(v, '|' ORDER BY f) AS phones, arg_min(v, f) AS phone FROM (SELECT cl, id, arg_min(v, (other, slug, i)) AS v, min((other, slug, i)) AS f FROM ph GROUP BY ALL) GROUP BY cl),
+    em AS (SELECT cl, string_agg(v, '|' ORDER BY f) AS emails FROM (SELECT cl, 'A' || (k % 3) || '@x.org' AS v, min((other, slug)) AS f FROM r GROUP BY ALL) GROUP BY cl),
+    l AS (SELECT cl, CASE WHEN cl % 4 < 3 THEN CASE WHEN cl % 4 < 2 THEN 'verified' ELSE 'unverified' END END AS ver FROM g),
+    m AS (SELECT r.*, g.n, g.merged, g.ext AS gext, g.book AS gbook, kn, offs, g.ronly AS gonly, card, offers, coalesce(no, 0) AS no, coalesce(fullt, FALSE) AS fullt, coalesce(priced, FALSE) AS priced, one, low, lowcur, lowprice, firsttext, formats, phones, phone, emails, ver, CASE WHEN r.operator = 'British Council' AND r.ext IS NOT NULL THEN 'bc-' || r.ext ELSE 'page' END AS pid
+        FROM r JOIN g USING (cl) LEFT JOIN o3 USING (cl) LEFT JOIN fm USING (cl) JOIN p1 USING (cl) JOIN em USING (cl) JOIN l USING (cl) WHERE NOT other),
+    q AS (SELECT *, CASE WHEN kn THEN offs AND gonly AND NOT card AND NOT fullt ELSE coalesce(pid LIKE 'bc-%' AND k % 4 = 0, FALSE) END AS ro, pid LIKE 'bc-%' AS old FROM m)"""
+
+
+@query(
+    _REC
+    + f"""
+    SELECT slug, pid AS id, operator, gext AS external_id, coalesce(merged, '') AS merged_slugs, coalesce(CASE WHEN k % 4 = 0 THEN 'Ottawa' END, CASE WHEN cl % 4 < 2 THEN 'Toronto' WHEN cl % 4 = 2 THEN 'Oldtown' END) AS city,
+        CASE WHEN k % 4 = 0 THEN 'address_rule' WHEN cl % 4 < 2 THEN 'geocoder' WHEN cl % 4 = 2 THEN 'legacy' END AS city_source, coalesce(CASE WHEN k % 3 = 0 THEN 'ON' END, CASE WHEN ver = 'verified' THEN 'QC' END) AS region, coalesce(CASE WHEN k % 5 = 0 THEN 'K1A 0B1' END, CASE WHEN ver = 'verified' THEN 'H1H' END) AS postcode,
+        phones, phone, emails, coalesce(formats, '') AS formats, coalesce(offers, '') AS offers, CASE WHEN one THEN low ELSE firsttext END AS price_text, CASE WHEN one THEN lowcur END AS currency, CASE WHEN one THEN lowprice END AS price, gbook AS booking_url, CASE WHEN kn THEN offs ELSE old END AS retake, ro AS retake_only, priced OR ro AS publishable,
+        {sql_places("least(1::DOUBLE, 0.2::DOUBLE + CASE WHEN osrc = 'booking_domain' THEN 0.3::DOUBLE WHEN operator <> 'unknown' THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN gbook IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN no > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ver = 'verified' THEN CASE WHEN cl % 2 = 0 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END ELSE 0 END + CASE WHEN n > 1 THEN 0.05::DOUBLE ELSE 0 END)", 2)} AS confidence,
+        CASE WHEN old THEN '2025-05-05' ELSE '2026-02-02' END AS first_seen, n AS n_sources, CASE WHEN old AND k % 12 = 0 AND cl % 4 < 3 THEN 'zh' END AS local FROM q"""
+)
+def whole_places(t: Tables) -> DataFrame:
+    """Whole records of places, three customers a place."""
+    pages, k = _page_rows(t), F.col("c_custkey")
+    cluster = F.floor(k / 3)
+    clusters = t.customer.select(F.concat(F.lit("page-"), k.cast("string")).alias("slug"), cluster.alias("cluster"))
+    e = F.col("entity")
+    has = e % 4 < 3
+    given = lambda v, kind="string": F.when(has, v).otherwise(F.lit(None).cast(kind))
+    located = t.customer.select(cluster.alias("entity")).distinct().select(
+        "entity", given(e.cast("double"), "double").alias("lat"), given(F.lit(1.0), "double").alias("lng"), given(F.when(e % 2 == 0, "street").otherwise("city")).alias("precision"), given(F.lit("google")).alias("source"), given(F.when(e % 4 < 2, "verified").otherwise("unverified")).alias("verification"),
+        given(F.lit(0.9), "double").alias("confidence"), F.array(F.lit("address")).alias("paths"), given(F.lit(0.1), "double").alias("agreement_km"), F.lit(None).cast("string").alias("place_id"), F.when(e % 4 < 2, "Toronto").when(e % 4 == 2, "Oldtown").alias("city"),
+        F.when(e % 4 < 2, "geocoder").when(e % 4 == 2, "legacy").alias("city_source"), F.lit("QC").alias("region"), F.lit("H1H").alias("postcode"),
+    )
+    previous = t.customer.select(
+        F.when(k % 6 == 0, F.concat(F.lit("bc-"), k.cast("string"))).alias("id"), F.when(k % 12 == 0, F.concat(F.lit("addr "), k.cast("string"))).otherwise("moved").alias("raw"), cluster.cast("double").alias("lat"), F.lit(1.0).alias("lng"), F.lit(True).alias("retake"), (k % 4 == 0).alias("retake_only"), F.lit("2025-05-05").alias("first_seen"), F.lit("zh").alias("localizations"),
+    )
+    found = assembly.assembled(pages, clusters, located, previous, "2026-02-02")
+    offers = F.transform("offers", lambda o: F.concat_ws(":", o["label"], o["format"], F.coalesce(o["text"], F.lit(""))))
+    return found.select(
+        "slug", "id", "operator", "external_id", joined(F.col("merged_slugs")).alias("merged_slugs"), "address.city", "address.city_source", "address.region", "address.postcode", joined(F.col("contact.phones")).alias("phones"), "phone", joined(F.col("contact.emails")).alias("emails"),
+        joined(F.col("formats")).alias("formats"), joined(offers).alias("offers"), "price_text", "currency", "price", "booking_url", "retake", "retake_only", "publishable", "confidence", "first_seen", F.size("sources").cast("long").alias("n_sources"), F.col("localizations").alias("local"),
+    )
