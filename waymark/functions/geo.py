@@ -203,3 +203,9 @@ def from_shifted(lat: pd.Series, lng: pd.Series) -> pd.DataFrame:
         y, x = y - (sy - a[inside]), x - (sx - b[inside])
     a[inside], b[inside] = y, x
     return pd.DataFrame({"lat": a, "lng": b})
+
+
+def search_region(south: Column, north: Column, west: Column, east: Column) -> Column:
+    """struct(lat, lng, lat_span, lng_span): the region that a search in a country's box looks at; null without a box."""
+    region = F.struct(((south + north) / 2).alias("lat"), ((west + east) / 2).alias("lng"), F.least(F.lit(180.0), north - south).alias("lat_span"), F.least(F.lit(360.0), east - west).alias("lng_span"))
+    return F.when(south.isNotNull() & north.isNotNull() & west.isNotNull() & east.isNotNull(), region)

@@ -175,6 +175,13 @@ def discovery(crawled: DataFrame, known: DataFrame, failed_before: DataFrame, ke
     return joined.select(key, F.when(F.col("failed"), failed).when(is_known, "known").otherwise("new").alias("outcome"))
 
 
+def merged_into_existing(sources: DataFrame, before: DataFrame) -> DataFrame:
+    """(slug, id, name): pages that were not known before, of places that were; both have id and slug, one row for each page of a place."""
+    known = before.select(F.col("id").alias("_id")).where("_id IS NOT NULL").distinct()
+    listed = before.select(F.col("slug").alias("_slug")).distinct()
+    return sources.join(listed, F.col("slug") == F.col("_slug"), "left_anti").join(known, F.col("id") == F.col("_id"), "left_semi").select("slug", "id", "name")
+
+
 def issue_token(severity: Column, code: Column) -> Column:
     return F.concat(severity, F.lit(":"), code)
 

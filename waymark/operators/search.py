@@ -177,3 +177,15 @@ def from_query(query: str) -> Search:
 def to_query(ask: Search) -> str:
     pairs = [(name, v) for field, (name, _) in PARAMETERS.items() if field != "kinds" for v in getattr(ask, field) or ()]
     return f"?{urlencode(pairs)}" if pairs else ""
+
+
+def in_view(found: DataFrame, view: dict[str, float] | None, words: str = "") -> DataFrame:
+    """What a list shows beside a map: places in view, those without coordinates left out; a text search lists every match wherever it lies.
+
+    view has north, south, east, west; None shows nothing, as long as nothing is searched for.
+    """
+    if words.strip():
+        return found
+    if view is None:
+        return found.where(F.lit(False))
+    return found.where(F.coalesce(geo.within_bounds(F.col("lat"), F.col("lng"), **view), F.lit(False)))

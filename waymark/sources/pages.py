@@ -20,8 +20,15 @@ def bodies(spark: SparkSession, path: str, suffix: str = "</html>") -> DataFrame
     return rows.withColumn("complete", html.complete(F.col("body"), suffix))
 
 
+class Incomplete(ValueError):
+    """A source gave less than it must have; going on would empty the directory."""
+
+
 def sitemap_slugs(sitemaps: DataFrame, under: str, page: str = "page", xml: str = "xml") -> DataFrame:
-    """(slug, page): each slug of sitemaps (page, xml) whose address goes through `under`, with the first page that lists it."""
+    """(slug, page, pos): each slug of sitemaps (page, xml) whose address goes through `under`, with the first page that lists it.
+
+    A sitemap without any address of it is left as it is; see all_listed().
+    """
     places = F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*([^<\s]+)\s*</loc>"), 1))
     found = sitemaps.select(F.col(page).alias("page"), places.alias("pos", "loc")).where(F.col("loc").contains(under))
     slug = F.regexp_replace(F.regexp_extract("loc", f"{under}/?([^?#]+)", 1), "/+$", "")
@@ -29,6 +36,22 @@ def sitemap_slugs(sitemaps: DataFrame, under: str, page: str = "page", xml: str
     return first.select("slug", F.col("f.page").alias("page"), F.col("f.pos").alias("pos"))
 
 
+def all_listed(slugs: DataFrame) -> DataFrame:
+    """The slugs of a sitemap; Incomplete if there is none."""
+    if slugs.isEmpty():
+        raise Incomplete("the sitemap lists no page")
+    return slugs
+
+
+def known_countries(page: DataFrame, least: int = 50, html_col: str = "html") -> DataFrame:
+    """(code): the three-letter codes that a listing page names; Incomplete if there are fewer than `least`, as its layout must have changed."""
+    codes = page.select(F.explode(F.coalesce(html.select_options(F.col(html_col)), F.array().cast("array<string>"))).alias("code")).select(F.lower("code").alias("code")).distinct()
+    found = codes.limit(least).count()
+    if found < least:
+        raise Incomplete(f"the listing names {found} countries, at least {least} are expected")
+    return codes
+
+
 def listed_countries(listings: DataFrame, path: str) -> DataFrame:
     """(slug, country) from listing pages (country, ordinal, html); the first country that lists a slug has it."""
     slugs = listings.select("country", "ordinal", F.explode(html.slugs_under(F.col("html"), path)).alias("slug"))
