@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import address, html, maps, text
+from ..functions import address, html, maps, providers, text
 from . import entities
 
 # Labels of phones inside a line, and links that are written out.
@@ -141,27 +141,19 @@ def local_postal(evidence: DataFrame, places: DataFrame) -> DataFrame:
     return joined.where(fits & F.col("a.address").rlike(r"[\x{0900}-\x{097F}]")).select("id", F.col("a.address").alias("address"))
 
 
-# Names that are looked up, kinds and names of places that count, words of a line with a street in it.
+# Names that are looked up, kinds and names of places that count.
 LOOKED_UP, SCHOOL, VENUE = r"(?i)\b(?:university|college|school|institute|academy|IELTS)\b", "科教文化服务;学校", r"(?i)(?:雅思|IELTS).*(?:考点|考试|机考|中心)"
-STREETISH = r"(?i)\b(?:road|rd|street|st|avenue|ave|boulevard|lane|highway|expressway|route)\b|(?:lu|jie|dadao)\b"
 HAN = r"\p{IsHan}"
 
 
-def chinese_address(*parts: Column) -> Column:
-    """Parts of an address in a row, without those that are in it already."""
-    named = F.filter(F.array(*[F.trim(p) for p in parts]), lambda p: F.coalesce(p != "", F.lit(False)))
-    return F.aggregate(named, F.lit(""), lambda whole, p: F.when(whole.contains(p), whole).otherwise(F.concat(whole, p)))
-
-
 def local_place(hits: DataFrame, places: DataFrame, within_m: float = 5000) -> DataFrame:
     """(id, name, address) of the first hit (id, order, name, type, distance, province, city, district, address) that may name each place (id, name, lines).
 
     Only schools and test venues are looked up. A hit counts if it is near, written in Chinese, a school or a test venue by its name, and has
     one of the house numbers of the place's street lines, if those have any.
     """
-    numbers = F.filter(F.regexp_extract_all(F.array_join(F.filter("lines", lambda s: s.rlike(STREETISH)), " "), F.lit(r"(\d{1,5})"), 1), lambda n: ~n.rlike("^0+$"))
-    wanted = places.where(F.col("name").rlike(LOOKED_UP)).select("id", numbers.alias("_numbers"))
-    found = hits.withColumns({"name": F.trim("name"), "_address": chinese_address(F.col("province"), F.col("city"), F.col("district"), F.col("address"))}).join(wanted, "id")
+    wanted = places.where(F.col("name").rlike(LOOKED_UP)).select("id", providers.street_numbers_of_lines(F.col("lines")).alias("_numbers"))
+    found = hits.withColumns({"name": F.trim("name"), "_address": providers.joined_once(F.array(*[F.trim(c) for c in ("province", "city", "district", "address")]))}).join(wanted, "id")
     numbered = (F.size("_numbers") == 0) | F.exists("_numbers", lambda n: F.contains(F.col("_address"), F.concat(n, F.lit("号"))))
     kind = F.coalesce(F.col("type").contains(SCHOOL), F.lit(False)) | F.col("name").rlike(VENUE)
     good = found.where(F.col("name").rlike(HAN) & F.coalesce(F.col("distance") <= within_m, F.lit(False)) & kind & F.col("_address").rlike(HAN) & numbered)

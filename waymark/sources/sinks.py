@@ -48,6 +48,16 @@ def point(lng: Column, lat: Column, **properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), own.alias("properties")))
 
 
+def collections(features: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, json): the features (by, key, feature as text) of each group as one GeoJSON collection, in the order of their keys.
+
+    A collection is one text, so group by what a reader loads at once, such as a country or a tile.
+    """
+    together = features.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(key, "feature"))).alias("_f"))
+    inner = F.array_join(F.transform("_f", lambda f: f["feature"]), ",")
+    return together.select(by, F.concat(F.lit('{"type":"FeatureCollection","features":['), inner, F.lit("]}")).alias("json"))
+
+
 def line(a_lng: Column, a_lat: Column, b_lng: Column, b_lat: Column) -> Column:
     geometry = F.struct(F.lit("LineString").alias("type"), F.array(F.array(a_lng, a_lat), F.array(b_lng, b_lat)).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry")))
