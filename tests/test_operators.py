@@ -111,3 +111,10 @@ def test_sitemap(spark):
 
 def test_missing_json_is_none(spark, tmp_path):
     assert pages.versioned(spark, str(tmp_path / "none.json"), "version int", 1) is None
+
+
+def test_large_blocks_are_named_or_compared(spark):
+    rows = entities.indexed(spark.createDataFrame([(f"s{i}", f"Hall {i}", None, "IDP", "slug", "", "Oslo", "0150", 1.0, 1.0) for i in range(12)], "slug string, name string, external_id string, operator string, operator_source string, address string, city string, postcode string, lat double, lng double"))
+    alone = rows.select("slug", F.col("slug").alias("cluster"))
+    assert {tuple(r) for r in entities.left_out(rows, alone, (2, 10)).collect()} == {("pc:0150", 12), ("city:oslo", 12)} and entities.left_out(rows, alone, (2, None)).count() == 0
+    assert entities.pending(rows, alone, (2, 10)).count() == 0 and entities.pending(rows, alone, (2, None)).count() > 0

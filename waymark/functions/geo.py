@@ -97,7 +97,7 @@ def plausible(places: DataFrame, bounds: DataFrame, country: str = "country", la
 
     bounds has country, south, north, west and east, one row for each country.
     """
-    box = F.broadcast(bounds.select(F.col("country").alias("_c"), "south", "north", "west", "east"))
+    box = bounds.select(F.col("country").alias("_c"), "south", "north", "west", "east")
     inside = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lng).between(F.col("west"), F.col("east"))
     joined = places.join(box, F.col(country) == F.col("_c"), "left").withColumn("plausible", F.coalesce(inside, F.lit(True)))
     return joined.drop("_c", "south", "north", "west", "east")

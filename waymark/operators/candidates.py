@@ -15,23 +15,27 @@ def resolve(candidates: DataFrame, entity: str = "entity") -> DataFrame:
 
     candidates has entity, seq (unique within it), path, lat, lng, tier, postcode, want_postcode and score (null: rejected). Two
     candidates of different paths that lie within their agreement limit verify each other; the pair with the highest
-    scores, then the least gap, then the least seq counts. An entity has a handful of candidates.
+    scores, then the least gap, then the least seq counts.
     """
     live = candidates.where("score IS NOT NULL")
     best = Window.partitionBy(entity).orderBy(F.desc("score"), "seq")
-    top = live.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(entity, *[F.col(c).alias(f"best_{c}") for c in ("seq", "path", "score")])
-    x, y = live.alias("x"), live.alias("y")
+    top = live.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(entity, *[F.col(c).alias(f"best_{c}") for c in ("seq", "path", "score", "lat", "lng")])
+    # candidates that may agree share a grid cell; how far the best one is from any other needs no pairs
+    reach = geo.AGREE_SAME_POSTCODE_KM
+    x = live.withColumn("_cell", geo.cell(F.col("lat"), F.col("lng"), reach)).alias("x")
+    y = live.withColumn("_cell", F.explode(geo.cells_around(F.col("lat"), F.col("lng"), reach))).alias("y")
     gap = geo.haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng"))
     limit = geo.agreement_limit(F.col("x.tier"), F.col("y.tier"), F.col("x.postcode"), F.col("y.postcode"), F.col("x.want_postcode"))
     first = (F.col("x.score") > F.col("y.score")) | ((F.col("x.score") == F.col("y.score")) & (F.col("x.seq") < F.col("y.seq")))
-    pairs = x.join(y, (F.col(f"x.{entity}") == F.col(f"y.{entity}")) & (F.col("x.path") != F.col("y.path")) & first)
+    pairs = x.join(y, (F.col(f"x.{entity}") == F.col(f"y.{entity}")) & (F.col("x._cell") == F.col("y._cell")) & (F.col("x.path") != F.col("y.path")) & first & (gap <= limit))
     pairs = pairs.select(
         F.col(f"x.{entity}").alias(entity), F.col("x.seq").alias("seq"), F.col("y.seq").alias("other"), F.col("x.path").alias("path"), F.col("x.score").alias("score"),
-        F.array_sort(F.array("x.path", "y.path")).alias("paths"), (F.col("x.score") + F.col("y.score")).alias("total"), gap.alias("gap"), (gap <= limit).alias("agree"),
+        F.array_sort(F.array("x.path", "y.path")).alias("paths"), (F.col("x.score") + F.col("y.score")).alias("total"), gap.alias("gap"),
     )
     order = F.struct((-F.col("total")).alias("t"), "gap", "seq", "other")
-    agreeing = pairs.where("agree").groupBy(entity).agg(F.min_by(F.struct("seq", "path", "score", "paths", "gap"), order).alias("pair"))
-    nearest = pairs.join(top, entity).where("seq = best_seq OR other = best_seq").groupBy(entity).agg(F.min("gap").alias("nearest"))
+    agreeing = pairs.groupBy(entity).agg(F.min_by(F.struct("seq", "path", "score", "paths", "gap"), order).alias("pair"))
+    others = live.join(top, entity).where(F.col("path") != F.col("best_path"))
+    nearest = others.groupBy(entity).agg(F.min(geo.haversine_km(F.col("best_lat"), F.col("best_lng"), F.col("lat"), F.col("lng"))).alias("nearest"))
     joined = top.join(agreeing, entity, "left").join(nearest, entity, "left")
     path, score = F.coalesce("pair.path", "best_path"), F.coalesce("pair.score", "best_score")
     admin, agreed = path == "admin", F.col("pair").isNotNull()

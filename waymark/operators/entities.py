@@ -69,15 +69,27 @@ def clusters(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("slug").join(named, F.col("slug") == F.col("node"), "left").select("slug", F.coalesce("root", "slug").alias("cluster"))
 
 
-def pending(rows: DataFrame, cluster_of: DataFrame, block: tuple[int, int] = BLOCK) -> DataFrame:
+def _blocked(rows: DataFrame, cluster_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages of each block of equal postcode or city, and the blocks' sizes."""
+    keyed = rows.join(cluster_of, "slug").select("*", F.explode(F.array(F.concat(F.lit("pc:"), "postcode"), F.concat(F.lit("city:"), "city"))).alias("block"))
+    return keyed, keyed.groupBy("block").agg(F.count("*").alias("n"))
+
+
+def left_out(rows: DataFrame, cluster_of: DataFrame, block: tuple[int, int | None] = BLOCK) -> DataFrame:
+    """(block, n): the blocks that pending() does not compare as they are too large, so that a reviewer knows of them."""
+    _, sizes = _blocked(rows, cluster_of)
+    return sizes.where(F.col("n") > block[1]) if block[1] is not None else sizes.where(F.lit(False))
+
+
+def pending(rows: DataFrame, cluster_of: DataFrame, block: tuple[int, int | None] = BLOCK) -> DataFrame:
     """(a, b, reason, strength) of pairs for a reviewer: alike in name, and in postcode or within NEAR_KM. They are never merged.
 
-    Pairs come from blocks of equal postcode or city with a size within `block`, which is what the review is for.
+    Pairs come from blocks of equal postcode or city with a size within `block`, which is what the review is for; without an upper size
+    every block is compared. left_out() has the blocks above it.
     """
-    known = rows.join(cluster_of, "slug")
-    keyed = known.select("*", F.explode(F.array(F.concat(F.lit("pc:"), "postcode"), F.concat(F.lit("city:"), "city"))).alias("block"))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n").between(*block)).select("block")
-    blocked = keyed.join(sizes, "block")
+    keyed, sizes = _blocked(rows, cluster_of)
+    fits = (F.col("n") >= block[0]) & (F.col("n") <= block[1] if block[1] is not None else F.lit(True))
+    blocked = keyed.join(sizes.where(fits).select("block"), "block")
     pairs = blocked.alias("a").join(blocked.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.slug") < F.col("b.slug")) & (F.col("a.cluster") != F.col("b.cluster")))
     similarity = text.name_similarity(F.col("a.key"), F.col("b.key"))
     near = geo.haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) <= NEAR_KM

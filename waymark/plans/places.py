@@ -23,9 +23,16 @@ def dedup_exact_components(t: Tables) -> DataFrame:
     return docs.join(named, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component"), F.col("root").isNotNull().alias("copied"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, -1 - l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    c(node, root) USING KEY (node) AS (
+      SELECT a, min(least(a, b)) FROM e GROUP BY a
+      UNION
+      SELECT x.node, min(y.root) FROM c y JOIN e ON e.a = y.node JOIN recurring.c x ON x.node = e.b WHERE y.root < x.root GROUP BY x.node)
+    SELECT node, root FROM c"""
+)
 def graph_components(t: Tables) -> DataFrame:
-    """Components of a graph of customers and the parts in all of their orders; recursive SQL over all links is too slow to compare. Parts count from -1 down, as keys can be 0."""
+    """Components of a graph of customers and the parts in all of their orders. Parts count from -1 down, as keys can be 0."""
     lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return components(lines.select(F.col("o_custkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
@@ -79,6 +86,15 @@ def dedup_pending_links(t: Tables) -> DataFrame:
     return entities.pending(rows, entities.clusters(rows, entities.links(rows, every=False))).select("a", "b")
 
 
+@query(
+    f"""WITH RECURSIVE {_SQL_PAGES}, b AS (SELECT slug, 'pc:' || pc AS block FROM p UNION ALL SELECT slug, 'city:' || city FROM p) SELECT block, count(*) AS n FROM b GROUP BY block HAVING count(*) > 4"""
+)
+def dedup_left_out(t: Tables) -> DataFrame:
+    """Blocks of more than four pages, which a review with that limit does not compare."""
+    rows = entities.indexed(_pages(t))
+    return entities.left_out(rows, rows.select("slug", F.col("slug").alias("cluster")), (2, 4))
+
+
 @query(
     """WITH c AS (SELECT o_custkey, o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 0 END) + (CASE WHEN o_totalprice > 100000 THEN 2 ELSE 0 END) + (CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 0 END) AS score FROM orders)
     SELECT o_custkey, o_orderkey, score FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, length(o_orderkey::VARCHAR), o_orderkey::VARCHAR) = 1"""
