@@ -64,6 +64,36 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.filters, b.filters))
 
 
+def test_many_languages_are_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    monkeypatch.setattr(language, "TEXTS", 20)
+    rows = [(i, f"text of {i} and more", f"l{i}" if i % 2 else f"common{i % 3}", "s", 0) for i in range(600)]
+    sample = language.training_rows(spark.createDataFrame(rows, DOCS), "doc_id", "text", "lang")
+    assert {x for x, _ in sample} <= {"common0", "common1", "common2", *(f"l{i}" for i in range(600))} and len({x for x, _ in sample}) <= 5
+    assert {"common0", "common1", "common2"} <= {x for x, _ in sample} and len(sample) <= 3 * 20 * 2
+
+
+def test_prediction_against_a_loop_over_windows(spark):
+    net = language.learn(labelled(spark))
+    for text in ("wh wh an the", "ñó ñó " * 200 + "äß " * 30, "x", "", "北京 wh " * 90):
+        windows, _, sizes = language.cut([text.encode()])
+        total, weights = np.zeros(len(net.out_bias)), 0.0
+        for window, size in zip(windows, sizes):
+            best = []
+            for width, filters in zip(language.WIDTHS, net.filters):
+                at = [sum(filters[k][int(window[i + k])] for k in range(width)) for i in range(language.WINDOW - width + 1)]
+                best.append(np.max(at, 0))
+            z = np.maximum(np.concatenate(best) + net.bias, 0) @ net.out + net.out_bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            sure = max(0, 1 + (p * np.log(np.maximum(p, 1e-12))).sum() / np.log(len(p)))
+            total, weights = total + p * size * (sure**2 + 1e-6), weights + size * (sure**2 + 1e-6)
+        (name,), (score,) = language.judged([text.encode()], net)
+        if any(map(str.isalpha, text)):
+            assert name == net.languages[int(total.argmax())] and abs(score - (total / weights).max()) < 1e-3
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
 def test_pooling_against_direct_convolution():
     rng = np.random.default_rng(1)
     net = language.train([("a", b"hello world"), ("b", b"bonjour")], epochs=1)
@@ -180,6 +210,14 @@ def test_held_out_words_are_likelier_than_by_their_counts(spark):
     assert pseudolikelihood.score(held, model).agg({"log_likelihood": "sum"}).first()[0] > 0.97 * unigram  # both are negative
 
 
+def test_other_partitions_draw_the_same_windows(spark):
+    docs = spark.createDataFrame([(i, prose(80, i), "en", "s", 1) for i in range(200)], DOCS)
+    known, _ = pseudolikelihood.vocabulary(pseudolikelihood.count_words(docs, "text"), 40, 20, 10**6)
+    total = int(known.counts.sum())
+    one, many = (pseudolikelihood.drawn(docs.repartition(n), known, "text", total, total // 10) for n in (1, 7))
+    assert (one[0] == many[0]).all() and (one[1] == many[1]).all() and 0.5 * total / 10 < len(one[1]) < 2 * total / 10
+
+
 def test_query_of_scores(spark):
     rows = queries.op6_masked_pseudo_likelihood(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

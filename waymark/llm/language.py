@@ -21,6 +21,8 @@ from .common import pieces, small_batches, utf8, with_columns
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Labelled texts that training reads for each language, about so many at most, and windows that it takes of each.
 PER_LANGUAGE, PER_TEXT = 600, 3
+#: Bounds of the whole sample: languages, the most frequent first, and texts.
+LANGUAGES, TEXTS = 1000, 24_000
 UNDETERMINED = "und"
 
 
@@ -125,13 +127,19 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(language, window): PER_TEXT windows of about per_language texts of each language, by hashes of ids and texts, of rows that are not held out."""
+    """(language, window): PER_TEXT windows of about per_language texts of each language, by hashes of ids and texts, of rows that are not held out.
+
+    The sample is bounded by about TEXTS texts in all, so that many languages have fewer each; only the LANGUAGES most frequent values are
+    learnt, as a column of names that are all different tells nothing of languages.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(5)).alias("h"), held_out(id_col).alias("held"))
     seen = rows.where("NOT held AND lang IS NOT NULL AND text <> ''").select("lang", "text", "h")
-    counts = seen.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per_language = max(1, min(per_language, TEXTS // max(1, len(counts))))
+    known = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in counts], "lang string, n long")  # at most LANGUAGES rows
     near = F.pmod("h", F.lit(1 << 30)) * F.col("n") < per_language * (1 << 30)
-    chosen = seen.join(F.broadcast(counts), "lang").where(near).select("lang", "text", "h")  # one row for each language
+    chosen = seen.join(F.broadcast(known), "lang").where(near).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
