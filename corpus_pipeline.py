@@ -15,15 +15,21 @@ from waymark.llm import decontaminate, language, packing, pii, simhash
 from waymark.llm.common import materialise, table
 from waymark.llm.queries import tokenizer_path
 
-#: A text in which no language reaches this probability is rejected, as is one without any letter.
-LEAST_SCORE = 0.3
+#: A text is rejected if its best language is not more probable than chance by this share of what is left above chance, or if it has no letter.
+ABOVE_CHANCE = 0.02
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; the network learns from their own labels, and lang itself stays as it is."""
-    columns = docs.columns
-    judged = language.identify(docs, language.learn(docs))
-    return judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    """Documents in a language; the network learns from their own labels, and lang itself stays as it is.
+
+    What counts is the score above chance, so that few and many languages are treated alike. A null text is in no language; repeated rows
+    are judged one by one.
+    """
+    columns, net = docs.columns, language.learn(docs)
+    chance = 1 / max(2, len(net.languages))
+    least = chance + ABOVE_CHANCE * (1 - chance)
+    judged = language.identify(docs, net)
+    return judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= least)).select(*columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than four fifths of the shingles of each benchmark item."""
+    """Documents that hold less than four fifths of the shingles of each benchmark item; null texts hold none, repeated rows are judged one by one."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,7 +48,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens; a null text is an empty one, repeated rows are packed one by one."""
     return packing.pack(docs, tokenizer_path(), with_ids=False).withColumnRenamed("id", "doc_id")
 
 
