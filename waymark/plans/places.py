@@ -86,6 +86,23 @@ def dedup_pending_links(t: Tables) -> DataFrame:
     return entities.pending(rows, entities.clusters(rows, entities.links(rows, every=False))).select("a", "b")
 
 
+_AT = ("((a.k % 7)::DOUBLE / 10000)", "((b.k % 7)::DOUBLE / 10000)")
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_PAGES}, {_LINKS}, {_CLUSTERS}, q AS (SELECT p.*, cluster FROM p JOIN c USING (slug)), b AS (SELECT *, 'pc:' || pc AS block FROM q UNION ALL SELECT *, 'city:' || city FROM q),
+    z AS (SELECT block FROM b GROUP BY block HAVING count(*) >= 2),
+    j AS (SELECT a.slug AS a, b.slug AS b, a.pc = b.pc AND {_NAME} >= 0.8 AS pm, a.k % 4 <> 3 AND b.k % 4 <> 3 AND {sql_km("59::DOUBLE + " + _AT[0], "10::DOUBLE", "59::DOUBLE + " + _AT[1], "10::DOUBLE")} <= 0.15 AND {_NAME} >= 0.75 AS nm
+        FROM b a JOIN b b ON a.block = b.block AND a.slug < b.slug AND a.cluster <> b.cluster WHERE a.block IN (FROM z) AND {_OK})
+    SELECT DISTINCT a, b, CASE WHEN pm THEN 'name_postcode' ELSE 'name_proximity' END AS reason FROM j WHERE pm OR nm"""
+)
+def dedup_near_links(t: Tables) -> DataFrame:
+    """Pairs of pages for a reviewer, by postcode or by where they lie, from blocks of any size; every fourth page has no coordinates."""
+    k = F.regexp_extract("slug", "x-([0-9]+)$", 1).cast("long")
+    rows = entities.indexed(_pages(t)).withColumns({"lat": F.when(k % 4 != 3, F.lit(59.0) + (k % 7).cast("double") / 10000), "lng": F.when(k % 4 != 3, F.lit(10.0))})
+    return entities.pending(rows, entities.clusters(rows, entities.links(rows, every=False)), (2, None)).select("a", "b", "reason")
+
+
 @query(
     f"""WITH RECURSIVE {_SQL_PAGES}, b AS (SELECT slug, 'pc:' || pc AS block FROM p UNION ALL SELECT slug, 'city:' || city FROM p) SELECT block, count(*) AS n FROM b GROUP BY block HAVING count(*) > 4"""
 )
