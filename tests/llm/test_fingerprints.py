@@ -182,6 +182,12 @@ def test_query_of_fingerprints(spark):
     assert len(found) == len(docs)
 
 
+def test_plain_fingerprints(spark):
+    rows = editprints.fingerprinted(hard(spark)).collect()
+    assert sorted((r.id is None, r.id or 0, r.n_chars, r.fingerprint) for r in rows) == sorted((k is None, k or 0, len(t or ""), brute_walk(t or "")) for k, t, *_ in hard_rows())
+    assert editprints.fingerprinted(empty(spark)).count() == 0
+
+
 def test_query_of_near_fingerprints(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     value = {k: np.frombuffer(bytes.fromhex(brute_walk(t)), np.uint8) for k, t in docs.items()}
@@ -196,5 +202,13 @@ def test_query_of_near_fingerprints(spark):
         if editprints.likeness(value[a], value[b]) >= 0.8:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: r.class_id for r in queries.edit_fingerprint_classes(spark, "/root/testdata/sf0.001").collect()}
-    assert got == {k: root(k) for k in docs}
+    rows = queries.edit_fingerprint_classes(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.class_id for r in rows} == {k: root(k) for k in docs}
+    first = {}  # the least id of each fingerprint stands for all that have it
+    for k in sorted(docs):
+        first.setdefault(value[k].tobytes(), k)
+    links = dict.fromkeys(first.values(), 0)
+    for a, b in itertools.combinations(sorted(links), 2):
+        if editprints.likeness(value[a], value[b]) >= 0.8:
+            links[a], links[b] = links[a] + 1, links[b] + 1
+    assert {r.doc_id: r.n_links for r in rows} == {k: links[first[value[k].tobytes()]] for k in docs}

@@ -240,15 +240,28 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return in_descending_order(docs, id_col, text_col).select("bucket", "turn", "id", "text").mapInArrow(run, schema)
 
 
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, fingerprint) of each whole text, row by row, with no shuffle; null texts are empty, equal texts have equal fingerprints."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            points = [code_points(t) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in points], pa.int64()), pa.array([f.tobytes().hex() for f in fingerprints(points)], pa.string())], ["id", "n_chars", "fingerprint"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string")
+
+
 def near_pairs(prints: DataFrame, bands: int = 32, least: float = 0.8, id_col: str = "id", rows: int = 512) -> DataFrame:
     """(a, b, likeness) of representatives with likeness >= least, from (id, fingerprint); equal fingerprints have one, their least id.
 
     Bands are runs of sampled slots; fingerprints that agree in a whole band are candidates, and all slots of a
     candidate pair are compared. With 32 bands of 4 slots a pair of likeness 0.8 shares a band with certainty: it differs in 25 slots at
     most. A bucket of more than about `rows` fingerprints is cut into parts; each pair of parts is a join key of its own, so that tasks
-    share its work. A pair that agrees in several bands is compared in the first one only. Null fingerprints are dropped.
+    share its work. A pair that agrees in several bands is compared in the first one only. Null fingerprints and ids are dropped.
     """
-    own = prints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min(id_col).alias("id"))
+    own = prints.where(F.col("fingerprint").isNotNull() & F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("id"))
     width = 2 * SLOTS // bands
     parts = lambda of: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(of, i * width + 1, F.lit(width)))
     keyed = materialise(own.select("id", "fingerprint", F.posexplode(parts(F.col("fingerprint"))).alias("band", "part")).select("id", "fingerprint", F.xxhash64("band", "part").alias("k"), "band"), "bands")

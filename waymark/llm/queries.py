@@ -29,7 +29,7 @@ def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose fingerprints are alike in at least 0.8 of their slots, by banding and verification."""
-    prints = editprints.with_edits(table(spark, sf_dir, "documents")).select("id", "fingerprint")
+    prints = editprints.fingerprinted(table(spark, sf_dir, "documents")).select("id", "fingerprint")
     found = editprints.near_classes(materialise(prints, "prints"))
     return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "n_links")
 
