@@ -21,6 +21,22 @@ def canonical(c: Column | str, kind: str = "text") -> Column:
     return c.cast("string")
 
 
+def place_fields() -> dict[str, Column]:
+    """The nineteen fields of a whole record (assembly.assembled) whose change means something, each as text that compares equal exactly when it does.
+
+    Times of a crawl are none of them; coordinates count to about a metre; lists of formats, offers and sources count in any order.
+    """
+    c, json = F.col, lambda value: F.to_json(F.struct(value.alias("v")))
+    offer = lambda o: F.concat(F.concat_ws("|", o["label"], o["format"], F.coalesce(o["text"], F.lit(""))), F.lit("|"), F.coalesce(o["currency"], F.lit("")), F.coalesce(o["price"].cast("string"), F.lit("")), F.lit("|"), F.coalesce(o["status"], F.lit("")))
+    place = F.concat_ws("|", F.concat_ws(",", canonical(c("geo.lat"), "degrees"), canonical(c("geo.lng"), "degrees")), c("geo.precision"))
+    flag = lambda name: canonical(F.coalesce(c(name), F.lit(False)))
+    return {
+        "name": c("name"), "operator": c("operator"), "address": c("address.raw"), "localizations": canonical("localizations"), "city": c("address.city"), "postcode": c("address.postcode"), "contact": json(c("contact")), "price_text": c("price_text"),
+        "price": canonical("price"), "currency": c("currency"), "formats": canonical("formats", "set"), "offers": canonical(F.transform("offers", offer), "set"), "booking_url": c("booking_url"), "retake": flag("retake"), "retake_only": flag("retake_only"),
+        "location": F.when(c("geo").isNotNull(), place), "place_id": c("place_id"), "publishable": canonical("publishable"), "sources": canonical(F.transform("sources", lambda s: s["slug"]), "set"),
+    }
+
+
 def difference(before: DataFrame, after: DataFrame, key: str, fields: dict[str, Column] | Sequence[str]) -> DataFrame:
     """(key, change, fields): added, removed, changed or unchanged, and the names of the fields that differ.
 

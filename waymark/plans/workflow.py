@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import quality, records, reports, search, snapshot
+from ..operators import overlay, quality, records, reports, search, snapshot
 from ..sources import pages
 from ..sources.storage import shared_dir
 from ..streaming import memory
@@ -159,3 +159,65 @@ def repairs_report(t: Tables) -> DataFrame:
     names = lambda *values: F.array(*map(F.lit, values))
     attempts = t.customer.select(k.alias("id"), outcome.alias("outcome"), F.when(k % 2 == 0, "a|b").otherwise("c").alias("reason"), names("city", "location").alias("changed"), names("missing_city", "legacy_city").alias("before_issues"), names("legacy_city").alias("after_issues"))
     return reports.as_rows(t.spark, reports.remediation_report(attempts))
+
+
+# -- overrides and whole differences -----------------------------------------------------------------------------------------------
+
+_EDITS = """e AS (SELECT o_custkey * CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE 1 END AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'DELETE' ELSE 'PUT' END AS method, o_orderkey % 7 AS kind FROM orders),
+    j AS (SELECT id, seq, method, kind, c_custkey IS NOT NULL AS there, CASE WHEN method = 'DELETE' OR kind = 0 THEN NULL WHEN kind = 1 THEN 'colour' WHEN kind = 2 THEN 'balance=-5' WHEN kind = 3 THEN 'name=' ELSE 'name=N' || seq END AS p, c_acctbal FROM e LEFT JOIN customer ON c_custkey = id),
+    q AS (SELECT *, CASE WHEN method = 'PUT' AND there THEN CASE WHEN kind = 0 THEN 'no patch' WHEN kind = 1 THEN 'unknown:colour' ELSE concat_ws('|', CASE WHEN CASE WHEN kind = 2 THEN -5 ELSE c_acctbal END < 0 THEN 'balance' END, CASE WHEN kind = 3 THEN 'name' END) END ELSE '' END AS problems FROM j),
+    a AS (SELECT *, CASE WHEN method = 'DELETE' THEN 204 WHEN NOT there THEN 404 WHEN problems <> '' THEN 400 ELSE 200 END AS status FROM q)"""
+
+
+def _edited(t: Tables) -> DataFrame:
+    o = F.col("o_orderkey")
+    kind = o % 7
+    entry = lambda k, v: F.create_map(F.lit(k), v)
+    patch = F.when(kind == 1, entry("colour", F.lit("red"))).when(kind == 2, entry("balance", F.lit("-5"))).when(kind == 3, entry("name", F.lit(""))).when(kind > 3, entry("name", F.concat(F.lit("N"), o.cast("string"))))
+    edits = t.orders.select((F.col("o_custkey") * F.when(o % 13 == 0, -1).otherwise(1)).alias("id"), o.alias("seq"), F.when(o % 5 == 0, "DELETE").otherwise("PUT").alias("method"), F.when(o % 5 != 0, patch).alias("patch"))
+    places = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return overlay.answered(edits, places, {"name": "string", "balance": "double"}, {"balance": F.col("balance") >= 0, "name": F.col("name") != ""})
+
+
+@query(f"WITH {_EDITS} SELECT id, seq, status, problems FROM a")
+def override_edits(t: Tables) -> DataFrame:
+    """What each edit of an override comes to."""
+    return _edited(t).select("id", "seq", "status", joined(F.col("problems")).alias("problems"))
+
+
+@query(
+    f"""WITH {_EDITS}, l AS (SELECT id, arg_max(method, seq) AS method, arg_max(p, seq) AS p FROM a WHERE status IN (200, 204) GROUP BY id), s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'name=Stored' END AS p FROM customer)
+    SELECT coalesce(l.id, s.id) AS id, CASE WHEN l.id IS NULL THEN s.p ELSE l.p END AS patch FROM l FULL JOIN (SELECT * FROM s WHERE p IS NOT NULL) s ON l.id = s.id WHERE l.id IS NULL OR l.method = 'PUT'"""
+)
+def override_store(t: Tables) -> DataFrame:
+    """The stored overrides after all edits."""
+    k = F.col("c_custkey")
+    stored = t.customer.select(k.alias("id"), F.when(k % 2 == 0, F.create_map(F.lit("name"), F.lit("Stored"))).alias("patch")).where("patch IS NOT NULL")
+    after = overlay.stored_after(stored, _edited(t))
+    return after.select("id", F.array_join(F.transform(F.map_entries("patch"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("patch"))
+
+
+_CHANGES = ["name", "operator", "address", "localizations", "city", "postcode", "contact", "price_text", "price", "currency", "formats", "offers", "booking_url", "retake", "retake_only", "location", "place_id", "publishable", "sources"]
+
+
+@query(
+    f"""SELECT c_custkey AS id, CASE c_custkey % 25 WHEN 23 THEN 'added' WHEN 24 THEN 'removed' ELSE CASE WHEN c_custkey % 25 < 19 THEN 'changed' ELSE 'unchanged' END END AS change, CASE WHEN c_custkey % 25 < 19 THEN {_CHANGES}[(c_custkey % 25 + 1)::INT] ELSE '' END AS fields FROM customer"""
+)
+def place_differences(t: Tables) -> DataFrame:
+    """Differences of whole records in one field each, in the order of a list, in digits of no weight, or in none."""
+    k = F.col("c_custkey")
+    case = k % 25
+
+    def record(new: bool) -> DataFrame:
+        turn = lambda i, old, other: F.when((case == i) & F.lit(new), other).otherwise(old)
+        text = lambda i, name: turn(i, F.lit(name), F.lit("x")).alias(name)
+        listed = lambda i, *values: turn(i, F.array(*map(F.lit, values[::-1] if new else values)), F.array(F.lit("x")))
+        offer = lambda price: F.struct(F.lit("l").alias("label"), F.lit("f").alias("format"), F.lit("t").alias("text"), F.lit("CAD").alias("currency"), price.alias("price"), F.lit("verified").alias("status"))
+        point = F.struct((F.lit(1.0) + F.when((case == 20) & F.lit(new), 1e-7).otherwise(0.0)).alias("lat"), turn(15, F.lit(2.0), F.lit(2.1)).alias("lng"), F.lit("street").alias("precision"))
+        return t.customer.select(
+            F.when(case != (24 if new else 23), k).alias("id"), text(0, "name"), text(1, "operator"), F.struct(text(2, "raw"), text(4, "city"), text(5, "postcode")).alias("address"), text(3, "localizations"), F.struct(F.array(text(6, "phone")).alias("phones")).alias("contact"),
+            text(7, "price_text"), turn(8, F.lit(1.5), F.lit(2.5)).alias("price"), text(9, "currency"), listed(10, "a", "b").alias("formats"), F.array(offer(turn(11, F.lit(1.0), F.lit(2.0)))).alias("offers"), text(12, "booking_url"), turn(13, F.lit(None).cast("boolean"), F.lit(True)).alias("retake"),
+            turn(14, F.lit(False), F.lit(True)).alias("retake_only"), point.alias("geo"), text(16, "place_id"), turn(17, F.lit(True), F.lit(False)).alias("publishable"), F.transform(listed(18, "s", "t"), lambda s: F.struct(s.alias("slug"), F.lit(str(new)).alias("seen_at"))).alias("sources"), F.lit(str(new)).alias("last_seen"),
+        ).where("id IS NOT NULL")
+
+    return snapshot.difference(record(False), record(True), "id", snapshot.place_fields()).select("id", "change", joined(F.col("fields")).alias("fields"))
