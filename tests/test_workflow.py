@@ -1,5 +1,7 @@
 """Guards of sources, reports for reviewers, lists beside a map."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,41 @@ def test_delta_report_and_long_tables(spark):
     countries = spark.range(60).select(F.format_string("C%02d", "id").alias("country"), F.col("id").alias("ready"))
     lines = reports.delta_report(deltas, countries)
     assert "| Resolved issues | 2 |" in lines and "| Pins lost | 1 |" in lines and lines[-1] == "| …and 10 more | |" and "| C00 | 0 |" in lines and "| C50 | 50 |" not in lines
+
+
+GOOD = {"id": "a", "reviewedAt": "2026-01-01", "reason": "moved", "evidence": ["x", "y"], "patch": {"name": "New", "city": None, "address": {"raw": "1 St"}, "publishable": False}}
+
+
+def test_files_of_overrides(spark, tmp_path):
+    path = tmp_path / "overrides.json"
+    path.write_text(json.dumps({"version": 1, "overrides": [GOOD, GOOD | {"id": "b", "evidence": [], "patch": {}}]}, indent=2))
+    rows = {r.id: r for r in pages.override_file(spark, str(path)).collect()}
+    assert rows["a"].patch == {"name": "New", "city": None, "address": '{"raw":"1 St"}', "publishable": "false"} and rows["a"].evidence == ["x", "y"] and rows["b"].patch == {} and rows["b"].evidence == []
+    path.write_text(json.dumps({"version": 1, "overrides": []}))
+    assert pages.override_file(spark, str(path)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        "", "[]", "{", "null", {"version": 2, "overrides": []}, {"version": "1", "overrides": []}, {"overrides": []}, {"version": 1}, {"version": 1, "overrides": {}}, {"version": 1, "overrides": ["x"]}, {"version": 1, "overrides": [None]}, {"version": 1, "overrides": [GOOD | {"id": 5}]},
+        {"version": 1, "overrides": [GOOD, GOOD | {"reason": None}]}, {"version": 1, "overrides": [GOOD | {"evidence": ["x", 1]}]}, {"version": 1, "overrides": [GOOD | {"evidence": "x"}]}, {"version": 1, "overrides": [GOOD | {"patch": []}]}, {"version": 1, "overrides": [{k: v for k, v in GOOD.items() if k != "reviewedAt"}]},
+    ],
+)
+def test_broken_files_of_overrides(spark, tmp_path, content):
+    path = tmp_path / "overrides.json"
+    path.write_text(content if isinstance(content, str) else json.dumps(content))
+    with pytest.raises(ValueError):
+        pages.override_file(spark, str(path))
+
+
+def test_edits_of_overrides(spark):
+    from waymark.operators import overlay
+
+    places = spark.createDataFrame([("a", "A", 1), ("b", "", 2)], "id string, name string, n int")
+    edits = [("a", 1, "PUT", {"name": "X"}), ("a", 2, "PUT", {"name": ""}), ("b", 3, "PUT", {"n": "5"}), ("b", 4, "PUT", {"name": "B", "n": None}), ("z", 5, "PUT", {"name": "Z"}), ("c", 6, "DELETE", None), ("a", 7, "PATCH", {}), ("b", 8, "PUT", {"m": "1", "k": "2"}), ("a", 9, "PUT", None)]
+    df = spark.createDataFrame(edits, "id string, seq int, method string, patch map<string,string>")
+    got = overlay.answered(df, places, {"name": "string", "n": "int"}, {"name": F.col("name") != "", "n": F.coalesce(F.col("n") > 0, F.lit(True))})
+    assert {r.seq: (r.status, r.problems) for r in got.collect()} == {1: (200, []), 2: (400, ["name"]), 3: (400, ["name"]), 4: (200, []), 5: (404, []), 6: (204, []), 7: (405, []), 8: (400, ["unknown:k", "unknown:m"]), 9: (400, ["no patch"])}
+    stored = spark.createDataFrame([("c", {"name": "old"}), ("d", {"name": "kept"}), ("a", {"n": "9"})], "id string, patch map<string,string>")
+    assert {r.id: r.patch for r in overlay.stored_after(stored, got).collect()} == {"a": {"name": "X"}, "b": {"name": "B", "n": None}, "d": {"name": "kept"}}

@@ -79,6 +79,29 @@ def versioned(spark: SparkSession, path: str, schema: str, version: int, strict:
     return None
 
 
+def override_file(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """(id, reviewed_at, reason, evidence, patch) of a file of reviewed overrides; patch is a map of texts, null where the file says null.
+
+    Any departure from the format raises, as a correction that is lost without notice brings a known error back: another version, entries
+    that are no objects, texts that are missing or of another type, evidence that is no list of texts, a patch that is no object.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    part = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda v, name: F.coalesce(F.schema_of_variant(part(v, name)), F.lit(""))
+    v = F.col("v")
+    sound = F.coalesce(F.try_variant_get(v, "$.version", "int") == version, F.lit(False)) & (kind(v, "version") == "BIGINT") & kind(v, "overrides").startswith("ARRAY<")
+    if whole.where(~sound).limit(1).count() or whole.isEmpty():
+        raise ValueError(f"{path} is no file of overrides of version {version}")
+    entries = whole.select(F.explode(F.variant_get("v", "$.overrides", "array<variant>")).alias("e"))
+    e = F.col("e")
+    text = [kind(e, name) == "STRING" for name in ("id", "reviewedAt", "reason")]
+    good = text[0] & text[1] & text[2] & kind(e, "evidence").isin("ARRAY<STRING>", "ARRAY<VOID>") & kind(e, "patch").startswith("OBJECT<")
+    if entries.where(~F.coalesce(good, F.lit(False))).limit(1).count():
+        raise ValueError(f"{path} has an override that is not as it should be")
+    get = lambda name, kind: F.variant_get(e, f"$.{name}", kind)
+    return entries.select(get("id", "string").alias("id"), get("reviewedAt", "string").alias("reviewed_at"), get("reason", "string").alias("reason"), get("evidence", "array<string>").alias("evidence"), get("patch", "map<string,string>").alias("patch"))
+
+
 def prefixes(slugs: DataFrame) -> DataFrame:
     """How many slugs start with each word."""
     return slugs.groupBy(F.substring_index("slug", "-", 1).alias("prefix")).agg(F.count("*").alias("n"))
