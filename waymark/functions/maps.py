@@ -39,6 +39,13 @@ def summed(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_n")))).alias(column))
 
 
+def tallies(rows: DataFrame, columns: dict[str, Column | str], missing: str = "none") -> DataFrame:
+    """(dimension, counts, total): for each named column how many rows have each of its values, nulls as `missing`; one pass over the rows."""
+    each = F.array(*[F.struct(F.lit(name).alias("dimension"), F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(missing)).alias("value")) for name, c in columns.items()])
+    n = rows.select(F.inline(each)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    return n.groupBy("dimension").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n")))).alias("counts"), F.sum("n").alias("total"))
+
+
 def as_text(m: Column) -> Column:
     """`name=number` by name, joined by |."""
     entries = F.array_sort(F.map_entries(known(m)))

@@ -62,13 +62,7 @@ def first_seen_carried(t: Tables) -> DataFrame:
 )
 def dataset_stats_maps(t: Tables) -> DataFrame:
     """Totals of a data set as maps, in text form."""
-
-    def counted(name: str, column: str) -> DataFrame:
-        n = t.orders.groupBy(F.coalesce(column, F.lit("none")).alias("k")).agg(F.count("*").alias("n"))
-        entries = F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda e: F.concat(e["k"], F.lit("="), e["n"].cast("string")))
-        return n.agg(joined(entries).alias("counts"), F.sum("n").alias("total")).select(F.lit(name).alias("dimension"), "counts", "total")
-
-    return counted("status", "o_orderstatus").unionByName(counted("priority", "o_orderpriority"))
+    return maps.tallies(t.orders, {"status": "o_orderstatus", "priority": "o_orderpriority"}).withColumn("counts", maps.as_text(F.col("counts")))
 
 
 # -- quality ---------------------------------------------------------------------------------------------------------------
