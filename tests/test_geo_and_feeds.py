@@ -100,3 +100,17 @@ def test_many_answers_of_one_entity_meet_in_cells(spark):
     rows = spark.range(40_000).selectExpr("1L AS entity", "if(id % 2 = 0, 'a', 'b') AS rung", "if(id % 2 = 0, 'p', 'q') AS path", "cast(id % 200 as double) / 10 AS lat", "if(id % 2 = 0, 0.0D, 1.0D) AS lng", "3 AS tier", "CAST(NULL AS STRING) AS postcode", "CAST(NULL AS STRING) AS want_postcode", "3 AS score")
     got = cascade.climbed(rows, [cascade.Rung("a"), cascade.Rung("b", unless_verified=True)]).collect()
     assert [(r.asked, r.settled) for r in got] == [(3, None)]
+
+
+def test_embedded_points_in_both_datums(spark):
+    from waymark.functions import geo
+    from waymark.operators import cascade
+
+    rows = spark.createDataFrame([(1, "CN", 39.9, 116.4), (2, "FR", 48.8, 2.3), (3, "CN", 60.0, 116.4), (4, "CN", None, None)], "entity int, country string, lat double, lng double")
+    bounds = spark.createDataFrame([("CN", 18.0, 54.0, 73.0, 135.0)], "country string, south double, north double, west double, east double")
+    got = cascade.interpretations(rows, bounds)
+    points = sorted((r.entity, round(r.lat, 4), round(r.lng, 4)) for r in got.where("lat IS NOT NULL").collect())
+    assert points == [(1, 39.8986, 116.3938), (1, 39.9, 116.4), (2, 48.8, 2.3)]
+    back = got.where("entity = 1").select(geo.to_shifted(F.col("lat"), F.col("lng")).alias("s")).select("s.*").collect()
+    assert any(abs(r.lat - 39.9) < 1e-9 and abs(r.lng - 116.4) < 1e-9 for r in back)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EARTH_KM = 6371.0
 # Precision tiers; agreement and divergence distances in kilometres.
@@ -192,17 +189,15 @@ def to_shifted(lat: Column, lng: Column) -> Column:
     return F.struct(F.when(out, lat).otherwise(y).alias("lat"), F.when(out, lng).otherwise(x).alias("lng"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())]))
-def from_shifted(lat: pd.Series, lng: pd.Series) -> pd.DataFrame:
-    """The inverse by eight fixed-point steps, which would be a huge expression if it were unrolled in columns."""
-    a, b = lat.to_numpy(float, copy=True), lng.to_numpy(float, copy=True)
-    inside = ~((b < 72.004) | (b > 137.8347) | (a < 0.8293) | (a > 55.8271))
-    y, x = a[inside], b[inside]
-    for _ in range(8):
-        sy, sx = _shift(y, x, np.sin, np.cos, np.sqrt, np.abs)
-        y, x = y - (sy - a[inside]), x - (sx - b[inside])
-    a[inside], b[inside] = y, x
-    return pd.DataFrame({"lat": a, "lng": b})
+def from_shifted(lat: Column, lng: Column, steps: int = 8) -> Column:
+    """struct(lat, lng) of a point in the shifted datum, by fixed-point steps that a fold repeats; the identity outside its box."""
+    start = F.struct(lat.cast("double").alias("lat"), lng.cast("double").alias("lng"))
+
+    def closer(p: Column, _: Column) -> Column:
+        y, x = _shift(p["lat"], p["lng"], F.sin, F.cos, F.sqrt, F.abs)
+        return F.struct((p["lat"] - (y - lat)).alias("lat"), (p["lng"] - (x - lng)).alias("lng"))
+
+    return F.when(shifted_outside(lat, lng), start).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, closer))
 
 
 def search_region(south: Column, north: Column, west: Column, east: Column) -> Column:

@@ -51,7 +51,7 @@ def interpretations(embedded: DataFrame, bounds: DataFrame, shifted: tuple[str,
 
     bounds has country, south, north, west, east, a row for each country.
     """
-    both = embedded.where(F.col("country").isin(*shifted)).select("*", geo.from_shifted("lat", "lng").alias("_p"))
+    both = embedded.where(F.col("country").isin(*shifted)).select("*", geo.from_shifted(F.col("lat"), F.col("lng")).alias("_p"))
     read = both.withColumns({"lat": F.col("_p.lat"), "lng": F.col("_p.lng")}).drop("_p")
     return geo.plausible(embedded.unionByName(read), bounds).where("plausible").drop("plausible")
 
