@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.address import usable_city
+from ..sources.storage import materialise
 from .candidates import resolve
 
 
@@ -117,9 +118,9 @@ def _known(entities: DataFrame, prior: DataFrame, bounds: DataFrame, keep_legacy
 
 
 def _scored(answers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """answers of the entities in wanted, with tier and score."""
+    """answers of the entities in wanted, with tier and score; written, as several joins read them."""
     score = geo.candidate_score(F.col("precision"), F.col("postcode"), F.col("city"), F.col("country"), F.col("want_postcode"), F.col("want_city"), F.col("want_country"))
-    return answers.join(wanted.select("entity", "want_country", "want_postcode", "want_city"), "entity").withColumns({"score": score, "tier": geo.tier(F.col("precision"))})
+    return materialise(answers.join(wanted.select("entity", "want_country", "want_postcode", "want_city"), "entity").withColumns({"score": score, "tier": geo.tier(F.col("precision"))}), "scored")
 
 
 def ladder_use(entities: DataFrame, prior: DataFrame, answers: DataFrame, bounds: DataFrame, ladder: list[Rung] | None = None) -> DataFrame:
@@ -164,7 +165,7 @@ def located(entities: DataFrame, prior: DataFrame, answers: DataFrame, bounds: D
     scored = _scored(answers, open_)
     states = climbed(scored, ladder)
     number = F.coalesce(*[F.when(F.col("rung") == r.name, F.lit(1 << i).cast("long")) for i, r in enumerate(ladder)])
-    taken = scored.join(states, "entity").where(F.col("asked").bitwiseAND(number) != 0)
+    taken = materialise(scored.join(states, "entity").where(F.col("asked").bitwiseAND(number) != 0), "taken")
     best = resolve(taken).select("entity", "seq", "verification", "confidence", "paths", "agreement_km")
     chosen = best.join(taken.select("entity", "seq", "settled", "lat", "lng", "precision", "source", "place_id", *[F.col(c).alias(f"coder_{c}") for c in ("city", "region", "postcode")]), ["entity", "seq"])
     joined = open_.select("entity", "legacy_city").join(chosen, "entity", "left")
