@@ -1,9 +1,13 @@
 """Rows that only larger tables have, and tables made of many copies, compared with SQL or with plain versions."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import same_rows
 from waymark import plans
+from waymark.operators import elements
 
 BIG = "/root/testdata/sf0.1"
 
@@ -20,3 +24,11 @@ def test_proposals_beyond_the_pole(spark, tmp_path, name):
     customers = spark.read.parquet(f"{BIG}/customer.parquet").where("c_custkey IN (12247, 12963) OR c_custkey < 50")
     sf = _copy(spark, tmp_path, {"customer": customers, "nation": spark.read.parquet(f"{BIG}/nation.parquet")})
     same_rows(plans.QUERIES[name](spark, sf), sf, plans.ORACLE_SQL[name])
+
+
+def test_long_text_behind_the_last_tag(spark):
+    rows = [(1, "<li>a" + "x" * 400_000), (2, "<li>b</li>" + "y" * 400_000), (3, "z" * 400_000), (4, None)]
+    began = time.time()
+    found = elements.balanced(spark.createDataFrame(rows, "id long, html string"), "li").select("id", "n", "start", F.length("element").alias("size")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0, 400_005), (2, 1, 0, 10)]
+    assert time.time() - began < 60  # the square of a text's length took minutes
