@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import same_rows
 from waymark import plans
-from waymark.operators import elements
+from waymark.operators import elements, pairing
 
 BIG = "/root/testdata/sf0.1"
 
@@ -32,3 +32,28 @@ def test_long_text_behind_the_last_tag(spark):
     found = elements.balanced(spark.createDataFrame(rows, "id long, html string"), "li").select("id", "n", "start", F.length("element").alias("size")).collect()
     assert sorted(map(tuple, found)) == [(1, 1, 0, 400_005), (2, 1, 0, 10)]
     assert time.time() - began < 60  # the square of a text's length took minutes
+
+
+PAIRED = ["name_similarity_parts", "token_and_bigram_dice_parts", "venue_identity_parts"]
+
+
+@pytest.mark.parametrize("name", [*PAIRED, "candidate_match_decision"])
+def test_pairs_of_one_small_file_are_spread(spark, name):
+    """A table of one file is small when read, but not its pairs: they were all made in one task."""
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_pairs_of_copies(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(pairing, "PER_ROW", 3)
+    monkeypatch.setattr(pairing, "PER_TASK", 5)
+    few = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 4").withColumns({"p_brand": F.lit("B"), "p_size": F.lit(1)})
+    copies = few.crossJoin(spark.range(5).toDF("i")).withColumn("p_partkey", F.col("p_partkey") + 7 * F.col("i")).drop("i")
+    sf = _copy(spark, tmp_path, {"part": copies})
+    same_rows(plans.QUERIES[name](spark, sf), sf, plans.ORACLE_SQL[name])
+
+
+def test_pairs_keep_missing_values(spark):
+    rows = spark.createDataFrame([(1, 3, None), (1, 1, "a"), (1, 2, None), (1, None, "a"), (None, 5, "a"), (None, 6, "a")], "g int, k int, v string")
+    found = pairing.within(rows, ["g"], "k", "v", {"v": F.col("v")}, lambda a, b: {"s": F.concat(a("v"), b("v"))})
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == ["(1, 2, None)", "(1, 3, None)", "(2, 3, None)"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import address, geo, numbers, providers, text
-from ..operators import sampling
+from ..operators import pairing, sampling
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
 _FOLD = "trim(regexp_replace(translate(lower({t}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
@@ -47,9 +49,8 @@ _TOKEN_SIM = f"len(list_intersect({_TOKENS.format(c='{a}')}, {_TOKENS.format(c='
 _PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
 
 
-def _part_pairs(t: Tables) -> DataFrame:
-    a, b = t.part.alias("a"), t.part.alias("b")
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+def _part_pairs(t: Tables, prepared: dict[str, Column], score: Callable[[Callable, Callable], dict[str, Column]]) -> DataFrame:
+    return pairing.within(t.part, ["p_brand", "p_size"], "p_partkey", "p_name", prepared, score)
 
 
 @query(
@@ -59,9 +60,9 @@ def _part_pairs(t: Tables) -> DataFrame:
 )
 def name_similarity_parts(t: Tables) -> DataFrame:
     """Edit and token similarity of the names of parts of one brand and size."""
-    a, b = text.normalised(F.col("a.p_name")), text.normalised(F.col("b.p_name"))
-    edit, token = numbers.places(text.edit_similarity(a, b), 6), numbers.places(text.token_similarity(a, b), 6)
-    return _part_pairs(t).select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), edit.alias("edit"), token.alias("token"), F.greatest(edit, token).alias("best"))
+    edit = lambda a, b: numbers.places(text.edit_similarity(a("name"), b("name")), 6)
+    token = lambda a, b: numbers.places(text.token_similarity(a("name"), b("name")), 6)
+    return _part_pairs(t, {"name": text.normalised(F.col("p_name"))}, lambda a, b: {"edit": edit(a, b), "token": token(a, b), "best": F.greatest(edit(a, b), token(a, b))})
 
 
 @query(
@@ -74,9 +75,9 @@ def name_similarity_parts(t: Tables) -> DataFrame:
 )
 def token_and_bigram_dice_parts(t: Tables) -> DataFrame:
     """Dice of words and of character pairs, counting repeats."""
-    a, b = F.col("a.p_name"), F.col("b.p_name")
-    pairs = _part_pairs(t).select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), text.normalised(a).alias("x"), text.normalised(b).alias("y"), text.compact(a).alias("cx"), text.compact(b).alias("cy"))
-    return pairs.select("a_key", "b_key", numbers.places(text.token_dice(F.col("x"), F.col("y")), 6).alias("tokens"), numbers.places(text.bigram_dice(F.col("cx"), F.col("cy")), 6).alias("bigrams"))
+    prepared = {"name": text.normalised(F.col("p_name")), "compact": text.compact(F.col("p_name"))}
+    dice = lambda a, b: {"tokens": text.token_dice(a("name"), b("name")), "bigrams": text.bigram_dice(a("compact"), b("compact"))}
+    return _part_pairs(t, prepared, lambda a, b: {n: numbers.places(c, 6) for n, c in dice(a, b).items()})
 
 
 _WORDS = "list_distinct(list_filter(string_split({c}, ' '), lambda w: length(w) >= 5))"
