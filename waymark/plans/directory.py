@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display, geo, html, names, numbers
-from ..operators import matching, overlay, quality, repair, search
+from ..operators import matching, overlay, pairing, quality, repair, search
 from .registry import Tables, joined, query, sql_places
 
 # Quarters of a degree are exact, and so are their sums.
@@ -206,9 +206,10 @@ _REST = "list_filter(string_split(lower({c}), ' '), lambda w: w <> '' AND w NOT
 )
 def venue_identity_parts(t: Tables) -> DataFrame:
     """Shared words of the names of parts, without the first word of one, which stands for a city."""
-    a, b = t.part.alias("a"), t.part.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    one, two, city = F.col("a.p_name"), F.col("b.p_name"), F.get(F.split("a.p_name", " "), F.lit(0))
-    x, y = names.without(names.words(one), names.words(city)), names.without(names.words(two), names.words(city))
-    score = numbers.places(names.shared_identity(x, y, one, two), 6)
-    return pairs.select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), ((F.size(x) == 0) | (F.size(y) == 0)).alias("nothing_left"), score.alias("identity"))
+    prepared = {"name": F.col("p_name"), "words": names.words(F.col("p_name")), "city": names.words(F.get(F.split("p_name", " "), F.lit(0)))}
+
+    def score(a, b):
+        x, y = names.without(a("words"), a("city")), names.without(b("words"), a("city"))
+        return {"nothing_left": (F.size(x) == 0) | (F.size(y) == 0), "identity": numbers.places(names.shared_identity(x, y, a("name"), b("name")), 6)}
+
+    return pairing.within(t.part, ["p_brand", "p_size"], "p_partkey", "p_name", prepared, score, symmetric=False)
