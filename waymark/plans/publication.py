@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maps, text
 from ..functions.numbers import places as rounded
-from ..operators import matching, overlay, quality, repair, snapshot
+from ..operators import matching, overlay, pairing, quality, repair, snapshot
 from .registry import Tables, joined, lat_of, lng_of, query, sql_km, sql_lat, sql_lng, sql_places
 
 # -- snapshots -------------------------------------------------------------------------------------------------------------
@@ -283,7 +283,7 @@ def _match_pairs(t: Tables) -> DataFrame:
     key, no = F.col("s_suppkey") * 13 + F.col("p_partkey"), F.lit(False)
     flags = {"city_matches": key % 3 == 0, "postcode_matches": key % 5 == 0, "postcode_conflicts": key % 4 == 1, "city_conflicts": key % 6 == 1, "contact_matches": key % 17 == 0, "country_conflict": key % 19 == 0, "number_conflict": key % 8 == 3,
              "has_address": F.lit(True), "institution": key % 2 == 0, "subpremise_lost": key % 9 == 0, "subpremise_conflict": no, "same_operator": key % 10 == 7, "is_address": key % 12 == 5}
-    pairs = t.supplier.join(t.part, F.col("p_size") == F.col("s_suppkey") % 50)
+    pairs = pairing.crossed(t.part.select("p_partkey", F.col("p_size").cast("long").alias("size")), t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50).alias("size")), ["size"], "p_partkey")
     return pairs.select("s_suppkey", "p_partkey", ((key % 11).cast("double") / 10).alias("name_score"), ((key % 7).cast("double") / 10).alias("address_score"), *[v.alias(k) for k, v in flags.items()])
 
 
