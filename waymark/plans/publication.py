@@ -308,7 +308,7 @@ def candidate_discovery(t: Tables) -> DataFrame:
     """Candidates of the same country that share a name token, a postcode or a contact, the best twenty of each sample."""
     s, p = F.col("s_suppkey"), F.col("p_partkey")
     of = lambda key, n, tag: F.concat(F.lit(tag), (key % n).cast("string"))
-    samples = t.supplier.join(t.part, p == s).select(
+    samples = t.supplier.hint("merge").join(t.part, p == s).select(
         s.alias("id"), (s % 5).cast("int").alias("country"), text.tokens(text.normalised(F.col("p_name"))).alias("tokens"), F.when(s % 3 == 0, "").otherwise(of(s, 97, "P")).alias("postcode"), F.array(of(s, 83, "c")).alias("contacts")
     )
     found = t.part.select(
