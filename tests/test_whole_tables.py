@@ -57,3 +57,14 @@ def test_pairs_keep_missing_values(spark):
     rows = spark.createDataFrame([(1, 3, None), (1, 1, "a"), (1, 2, None), (1, None, "a"), (None, 5, "a"), (None, 6, "a")], "g int, k int, v string")
     found = pairing.within(rows, ["g"], "k", "v", {"v": F.col("v")}, lambda a, b: {"s": F.concat(a("v"), b("v"))})
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == ["(1, 2, None)", "(1, 3, None)", "(2, 3, None)"]
+
+
+@pytest.mark.parametrize("name", ["discovery_paths", "candidate_discovery"])
+def test_candidates_without_broadcasts(spark, name):
+    """A broadcast of texts or indexes lies whole in the driver."""
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_radius_is_spread(spark):
+    assert plans.QUERIES["haversine_radius"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1

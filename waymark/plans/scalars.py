@@ -169,9 +169,9 @@ def fnv_stratified_sample(t: Tables) -> DataFrame:
 )
 def haversine_radius(t: Tables) -> DataFrame:
     """Suppliers within 2,500 km of customers of their nation."""
-    people = t.customer.select("c_custkey", "c_nationkey", geo.cell(lat_of("c_custkey"), lng_of("c_custkey"), 2500).alias("cell"))
-    sellers = t.supplier.select("s_suppkey", "s_nationkey", F.explode(geo.cells_around(lat_of("s_suppkey"), lng_of("s_suppkey"), 2500)).alias("around"))
-    pairs = people.join(sellers, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("cell") == F.col("around")))
+    people = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"), geo.cell(lat_of("c_custkey"), lng_of("c_custkey"), 2500).alias("cell"))
+    sellers = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), F.explode(geo.cells_around(lat_of("s_suppkey"), lng_of("s_suppkey"), 2500)).alias("cell"))
+    pairs = pairing.crossed(people, sellers, ["nation", "cell"], "c_custkey")
     km = numbers.places(geo.haversine_km(lat_of("c_custkey"), lng_of("c_custkey"), lat_of("s_suppkey"), lng_of("s_suppkey")), 6)
     return pairs.select("c_custkey", "s_suppkey", km.alias("km")).where("km <= 2500")
 
