@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import same_rows
 from waymark import plans
+from waymark.functions import geo
 from waymark.operators import elements, pairing
 
 BIG = "/root/testdata/sf0.1"
@@ -68,3 +69,17 @@ def test_candidates_without_broadcasts(spark, name):
 
 def test_radius_is_spread(spark):
     assert plans.QUERIES["haversine_radius"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_legacy_places_need_no_answers(spark, tmp_path):
+    sf = _copy(spark, tmp_path, {"orders": spark.read.parquet("/root/testdata/sf0.001/orders.parquet")})
+    same_rows(plans.QUERIES["location_legacy"](spark, sf), sf, plans.ORACLE_SQL["location_legacy"])
+
+
+def test_coarse_cells_hold_what_is_near(spark):
+    rows = spark.range(2000).select((F.rand(1) * 180 - 90).alias("lat"), (F.rand(2) * 360 - 180).alias("lng"), ((F.rand(3) - 0.5) / 60).alias("dx"), ((F.rand(4) - 0.5) / 60).alias("dy"))
+    near = rows.where(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("lat") + F.col("dy"), F.col("lng") + F.col("dx")) <= 0.75)
+    around = geo.cells_around(F.col("lat"), F.col("lng"), 0.75, 4)
+    found = near.select(F.size(around).alias("n"), F.array_contains(around, geo.cell(F.col("lat") + F.col("dy"), F.col("lng") + F.col("dx"), 0.75, 4)).alias("met"))
+    n, met, cells = found.agg(F.count("*"), F.count_if("met"), F.percentile("n", 0.5)).first()
+    assert n > 100 and met == n and cells <= 4

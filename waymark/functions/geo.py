@@ -26,15 +26,18 @@ def _grid(km: float) -> tuple[float, int]:
     return 360 / around, around
 
 
-def cell(lat: Column, lng: Column, km: float) -> Column:
-    """The grid cell of a point, for joins of points within `km`; null without coordinates."""
-    size, around = _grid(km)
+def cell(lat: Column, lng: Column, km: float, coarse: float = 1) -> Column:
+    """The grid cell of a point, for joins of points within `km`; null without coordinates. Cells are `coarse` times as wide as the radius."""
+    size, around = _grid(km * coarse)
     return F.when(lat.isNotNull() & lng.isNotNull(), F.floor(lat / size) * around + F.pmod(F.floor(lng / size), F.lit(around)))
 
 
-def cells_around(lat: Column, lng: Column, km: float) -> Column:
-    """The distinct cells that hold every point within `km` of a point, each once: a point there has one of them as its cell."""
-    size, around = _grid(km)
+def cells_around(lat: Column, lng: Column, km: float, coarse: float = 1) -> Column:
+    """The distinct cells that hold every point within `km` of a point, each once: a point there has one of them as its cell.
+
+    They are some nine where cells are as wide as the radius, and some two where they are four times as wide.
+    """
+    size, around = _grid(km * coarse)
     angle = km / 6371 * (1 + 1e-9)
     reach = F.degrees(F.lit(angle))
     rows = F.sequence(F.floor((lat - reach) / size), F.floor((lat + reach) / size))
