@@ -119,3 +119,33 @@ def test_first_address_points_are_those_of_all_pairs(spark, most):
     want = {(i, aid, e, not p, len(v)) for i, v in every.items() for p, aid, e in sorted(v)[:most]}
     got = [(r.id, r.aid, tuple(r.evidence), r.postcode_matches, r.n_found) for r in matching.addressed(left, right, most=most).collect()]
     assert set(got) == want and len(got) == len(want) and any(len(v) > most for v in every.values())
+
+
+@pytest.mark.parametrize("name", ["dedup_near_links", "dedup_pending_links"])
+def test_pairs_for_a_reviewer_are_spread(spark, monkeypatch, name):
+    """The pairs of all cities were made in one task, as the pages are few when read."""
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+    monkeypatch.setattr(pairing, "PER_TASK", 30)  # blocks of several parts
+    same_rows(plans.QUERIES[name](spark, "/root/testdata/sf0.01"), "/root/testdata/sf0.01", plans.ORACLE_SQL[name])
+
+
+def test_a_pair_of_two_blocks_is_told_once(spark):
+    from waymark.operators import entities
+
+    pages = [(f"s{i}", f"Hall {i % 3}", None, "IDP", "slug", "", "Town" if i % 4 else None, ["k1 a", "K1A", "", None][i // 3 % 4], 59.0 if i % 5 else None, 10.0) for i in range(40)]
+    rows = entities.indexed(spark.createDataFrame(pages, "slug string, name string, external_id string, operator string, operator_source string, address string, city string, postcode string, lat double, lng double"))
+    cluster_of = rows.select("slug", "slug")
+    cluster_of = cluster_of.toDF("slug", "cluster")
+    for block in ((2, None), (2, 15), (16, None)):
+        want, own = set(), rows.collect()
+        size = lambda kind, v: sum(getattr(r, kind) == v for r in own)
+        fits = lambda n: block[0] <= n <= (block[1] or n)
+        for x in own:
+            for y in own:
+                both = [k for k in ("postcode", "city") if getattr(x, k) is not None and getattr(x, k) == getattr(y, k) and fits(size(k, getattr(x, k)))]
+                if x.slug < y.slug and both and x.key == y.key:
+                    code, near = bool(x.postcode) and x.postcode == y.postcode, x.lat is not None and y.lat is not None
+                    if code or near:
+                        want.add((x.slug, y.slug, "name_postcode" if code else "name_proximity"))
+        got = [(r.a, r.b, r.reason) for r in entities.pending(rows, cluster_of, block).where("strength = 1").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want, block

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..sources.storage import materialise
+from . import pairing
 from .components import components
 
 # Similarity and distance limits, and the sizes of blocks within which pairs are compared.
@@ -89,14 +91,26 @@ def pending(rows: DataFrame, cluster_of: DataFrame, block: tuple[int, int | None
     """
     keyed, sizes = _blocked(rows, cluster_of)
     fits = (F.col("n") >= block[0]) & (F.col("n") <= block[1] if block[1] is not None else F.lit(True))
-    blocked = keyed.join(sizes.where(fits).select("block"), "block")
-    pairs = blocked.alias("a").join(blocked.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.slug") < F.col("b.slug")) & (F.col("a.cluster") != F.col("b.cluster")))
-    similarity = text.name_similarity(F.col("a.key"), F.col("b.key"))
-    near = geo.haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) <= NEAR_KM
-    postcode = (F.col("a.postcode") != "") & (F.col("a.postcode") == F.col("b.postcode")) & (similarity >= SAME_POSTCODE)
-    reason = F.when(postcode, "name_postcode").when(near & (similarity >= NEAR_NAME), "name_proximity")
-    judged = pairs.where(mergeable()).select(F.col("a.slug").alias("a"), F.col("b.slug").alias("b"), reason.alias("reason"), similarity.alias("strength"))
-    return judged.where("reason IS NOT NULL").distinct()
+    blocks = sizes.where(fits).select("block")
+    # what a page has to say to a pair is worked out once for each page; a pair that shares both blocks is judged in that of its postcode
+    reviewed = blocks.select(F.col("block").alias("_block"), F.lit(True).alias("_by_code"))
+    own = keyed.join(blocks, "block").join(reviewed, F.concat(F.lit("pc:"), "postcode") == F.col("_block"), "left").select(
+        "block", "slug", "cluster", "key", "postcode", "external_id", "operator", "operator_source", "lat", "lng", F.length("key").alias("size"), F.array_distinct(text.tokens(F.col("key"))).alias("words"),
+        (F.coalesce("_by_code", F.lit(False)) & F.col("block").startswith("city:")).alias("elsewhere"),
+    )
+    own = materialise(own.distinct(), "blocked")
+    pairs = pairing.once(own, ["block"], "slug")
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    pairs = pairs.where((x("cluster") != y("cluster")) & ~(x("elsewhere") & F.coalesce(x("postcode") == y("postcode"), F.lit(False))) & mergeable())
+    code = F.coalesce((x("postcode") != "") & (x("postcode") == y("postcode")), F.lit(False))
+    near = F.coalesce(geo.haversine_km(x("lat"), x("lng"), y("lat"), y("lng")) <= NEAR_KM, F.lit(False))
+    longest, shared = F.greatest(x("size"), y("size")), F.size(F.array_intersect(x("words"), y("words")))
+    by_words = F.when((F.size(x("words")) > 0) & (F.size(y("words")) > 0), shared / F.greatest(F.size(x("words")), F.size(y("words")))).otherwise(0.0)
+    strength = F.greatest(F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(x("key"), y("key")) / longest), by_words)
+    # names are compared last, and once for all pairs but those that are kept
+    alike = pairs.where(code | near).where(strength >= F.when(near, NEAR_NAME).otherwise(SAME_POSTCODE))
+    reason = F.when(code & (strength >= SAME_POSTCODE), "name_postcode").otherwise("name_proximity")
+    return alike.select(F.least(x("slug"), y("slug")).alias("a"), F.greatest(x("slug"), y("slug")).alias("b"), reason.alias("reason"), strength.alias("strength"))
 
 
 def completeness(embedded: Column, postcode: Column, lines: Column, contacts: Column, booking: Column, by_domain: Column, offers: Column) -> Column:

@@ -34,6 +34,25 @@ def crossed(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFr
     return _dealt(left, right, on, F.col(by), *_shares(left.select(*on, one), right.select(*on, one), on))
 
 
+def once(rows: DataFrame, on: list[str], by: str) -> DataFrame:
+    """(on, a, b): all pairs of rows that share a key and differ in `by`, as structs, each pair once with either row as a.
+
+    A key's rows are cut by a hash of `by` into parts; each two parts are a cell of about PER_TASK pairs at most, which is a join key of its own. A row goes to as
+    many cells as its key has parts, the root of what its pairs would fill.
+    """
+    counted = rows.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1")
+    every = counted.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2)).first()[0]
+    tasks = min(4096, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((every or 0) / PER_TASK)))
+    cuts = counted.select(*on, F.ceil(F.col("_n") / F.lit(math.sqrt(PER_TASK))).cast("int").alias("_cuts"))
+    dealt = rows.join(cuts.hint("merge"), on).withColumn("_own", F.pmod(F.xxhash64(by), F.col("_cuts")).cast("int"))
+    row = F.struct(*[c for c in rows.columns if c not in on])
+    left = dealt.select(*on, row.alias("a"), F.col("_own").alias("_low"), F.explode(F.sequence("_own", F.col("_cuts") - 1)).alias("_high"))
+    right = dealt.select(*on, row.alias("b"), F.explode(F.sequence(F.lit(0), "_own")).alias("_low"), F.col("_own").alias("_high"))
+    cell = [*on, "_low", "_high"]
+    found = left.repartition(tasks, *cell).join(right.repartition(tasks, *cell).hint("merge"), cell)
+    return found.where(F.when(F.col("_low") == F.col("_high"), F.col(f"a.{by}") < F.col(f"b.{by}")).otherwise(F.col(f"a.{by}") != F.col(f"b.{by}"))).select(*on, "a", "b")
+
+
 def within(rows: DataFrame, group: list[str], key: str, value: str, prepared: dict[str, Column], score: Callable[[Callable, Callable], dict[str, Column]], symmetric: bool = True) -> DataFrame:
     """(a_key, b_key and the scores): all pairs of keys of a group, a_key < b_key.
 
