@@ -149,3 +149,13 @@ def test_a_pair_of_two_blocks_is_told_once(spark):
                         want.add((x.slug, y.slug, "name_postcode" if code else "name_proximity"))
         got = [(r.a, r.b, r.reason) for r in entities.pending(rows, cluster_of, block).where("strength = 1").collect()]
         assert len(got) == len(set(got)) and set(got) == want and want, block
+
+
+def test_tasks_of_whole_places_grow_with_the_pages(spark, monkeypatch):
+    """The pages of all clusters went to as many tasks as a session has partitions, however many they were."""
+    from waymark.operators import assembly
+
+    monkeypatch.setattr(assembly, "PER_TASK", 200)
+    found = plans.QUERIES["whole_places"](spark, "/root/testdata/sf0.01")
+    assert found.rdd.getNumPartitions() == 8  # 1,500 pages
+    same_rows(found, "/root/testdata/sf0.01", plans.ORACLE_SQL["whole_places"])

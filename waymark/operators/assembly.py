@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .records import merged_formats
 OFFER_IDENTITY = ["label", "kind", "module", "category", "format"]
 #: A kind of offer that is no full test.
 SHORT_KIND = "life_skills"
+#: Pages that a task handles, about: tasks grow in number with the pages, not in size.
+PER_TASK = 10_000
 
 
 def assembled(pages: DataFrame, clusters: DataFrame, located: DataFrame, previous: DataFrame, seen_at: str) -> DataFrame:
@@ -27,10 +31,14 @@ def assembled(pages: DataFrame, clusters: DataFrame, located: DataFrame, previou
     The most complete page names the place and comes first wherever several have something to say, the others follow by slug. Its address is
     filled up from a verified location. A record may be published if it has a price, or if it offers retakes alone: some page says so, none
     that offers retakes has full tests, and no full test is on offer. Local names stay as long as address and coordinates do. A cluster's lists are of its own
-    few pages. Pages without a cluster are left out, clusters without a location have none.
+    few pages. Pages without a cluster are left out, clusters without a location have none. Pages are dealt by cluster over tasks of about PER_TASK of them, and what
+    is worked out of them stays there.
     """
+    tasks = min(4096, max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(clusters.count() / PER_TASK)))
     best = Window.partitionBy("cluster").orderBy(F.desc("completeness"), F.length("slug"), "slug")
-    rows = pages.join(clusters.select("slug", "cluster"), "slug").withColumn("_other", (F.row_number().over(best) > 1).cast("int"))
+    placed = pages.join(clusters.select("slug", "cluster"), "slug")
+    rows = placed.repartition(tasks, "cluster").withColumn("_other", (F.row_number().over(best) > 1).cast("int"))
+    dealt = lambda df: df.repartition(tasks, "cluster")
     order = ["_other", "slug"]
 
     each = rows.select("cluster", *order, F.posexplode("offers").alias("_i", "_o")).select("cluster", *order, "_i", "_o.*").withColumn("_at", F.struct(*order, "_i"))
@@ -59,7 +67,8 @@ def assembled(pages: DataFrame, clusters: DataFrame, located: DataFrame, previou
         F.struct("city", "city_source", "region", "postcode").alias("_found"),
     )
     old = previous.select(F.col("id").alias("_id"), F.struct("raw", "lat", "lng", "retake", "retake_only", "first_seen", "localizations").alias("_old"))
-    made = made.join(place, "cluster", "left").join(old, F.col("id") == F.col("_id"), "left")
+    known = dealt(canonical.select("cluster", "id").join(old, F.col("id") == F.col("_id")).select("cluster", "_id", "_old"))
+    made = made.join(dealt(place), "cluster", "left").join(known, "cluster", "left")
 
     c, found, before = F.col, F.col("_found"), F.col("_old")
     sure = F.coalesce(c("geo.verification") == "verified", F.lit(False))
