@@ -212,3 +212,24 @@ def test_query_of_near_fingerprints(spark):
         if editprints.likeness(value[a], value[b]) >= 0.8:
             links[a], links[b] = links[a] + 1, links[b] + 1
     assert {r.doc_id: r.n_links for r in rows} == {k: links[first[value[k].tobytes()]] for k in docs}
+
+
+def test_bands_without_fingerprints(spark, monkeypatch):
+    """Each fingerprint went along with all of its bands; now bands are hashes, and rows of no other fingerprint's band get none."""
+    written = {}
+    monkeypatch.setattr(editprints, "materialise", lambda df, tag, real=editprints.materialise: written.setdefault(tag, real(df, tag)))
+    rng = np.random.default_rng(5)
+    value = [rng.integers(0, 256, 128, np.uint8) for _ in range(40)]
+    for i in range(120):  # near copies around the limit
+        copy = value[i % 4].copy()
+        at = rng.choice(128, rng.integers(1, 30), replace=False)
+        copy[at] += 1
+        value.append(copy)
+    prints = spark.createDataFrame([(f"d{i:03}", v.tobytes().hex()) for i, v in enumerate(value)] + [("e", None), (None, value[0].tobytes().hex()), ("z", value[0].tobytes().hex())], "key string, fingerprint string")
+    want = {(f"d{a:03}", f"d{b:03}", editprints.likeness(value[a], value[b])) for a, b in itertools.combinations(range(len(value)), 2) if editprints.likeness(value[a], value[b]) >= 0.8}
+    for rows in (512, 7):
+        written.clear()
+        got = [tuple(r) for r in editprints.near_pairs(prints, id_col="key", rows=rows).collect()]
+        assert len(got) == len(set(got)) and {g[:2] for g in got} == {w[:2] for w in want} and all(abs(g[2] - w[2]) < 1e-12 for g, w in zip(sorted(got), sorted(want)))
+        assert sorted(written["bands"].columns) == ["band", "id", "k"]
+    assert len(want) > 100

@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -258,22 +258,35 @@ def near_pairs(prints: DataFrame, bands: int = 32, least: float = 0.8, id_col: s
 
     Bands are runs of sampled slots; fingerprints that agree in a whole band are candidates, and all slots of a
     candidate pair are compared. With 32 bands of 4 slots a pair of likeness 0.8 shares a band with certainty: it differs in 25 slots at
-    most. A bucket of more than about `rows` fingerprints is cut into parts; each pair of parts is a join key of its own, so that tasks
+    most. Bands go by their hashes, without the fingerprints; only rows of bands that two fingerprints share get theirs. A bucket of more
+    than about `rows` fingerprints is cut into parts; each pair of parts is a join key of its own, so that tasks
     share its work. A pair that agrees in several bands is compared in the first one only. Null fingerprints and ids are dropped.
     """
-    own = prints.where(F.col("fingerprint").isNotNull() & F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("id"))
-    width = 2 * SLOTS // bands
-    parts = lambda of: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(of, i * width + 1, F.lit(width)))
-    keyed = materialise(own.select("id", "fingerprint", F.posexplode(parts(F.col("fingerprint"))).alias("band", "part")).select("id", "fingerprint", F.xxhash64("band", "part").alias("k"), "band"), "bands")
-    cuts = keyed.groupBy("k").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("cuts")).where("cuts > 1")
-    dealt = keyed.join(cuts, "k", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fingerprint", F.lit(7)), "cuts").cast("int"))
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    cell = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-    left = dealt.select("k", "band", F.col("id").alias("a"), F.col("fingerprint").alias("x"), F.explode(F.transform(every, lambda i: cell(F.col("own"), i))).alias("cell"))
-    right = dealt.select("k", F.col("id").alias("b"), F.col("fingerprint").alias("y"), F.explode(F.transform(every, lambda i: cell(i, F.col("own")))).alias("cell"))
-    first = F.array_position(F.zip_with(parts(F.col("x")), parts(F.col("y")), lambda p, q: p == q), True) - 1
-    pairs = left.join(right, ["k", "cell"]).where("a < b").where(first == F.col("band"))
-    return pairs.select("a", "b", _likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= least)
+    small_batches(prints.sparkSession)
+    own = prints.where(F.col("fingerprint").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.unhex("fingerprint").alias("fp")).agg(F.min(id_col).alias("id"))
+    own = materialise(own, "own")
+    width = SLOTS // bands
+    hashes = F.array(*[F.xxhash64(F.lit(i), F.substring("fp", i * width + 1, width)) for i in range(bands)])
+    keyed = materialise(own.select("id", F.posexplode(hashes).alias("band", "k")), "bands")
+    cuts = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("cuts"))
+    dealt = keyed.join(cuts.hint("merge"), "k").join(own.hint("merge"), "id").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "cuts").cast("int"))
+    # parts low <= high; a pair of two parts comes up with either row first
+    left = dealt.select("k", "band", F.col("id").alias("a"), F.col("fp").alias("x"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("cuts") - 1)).alias("high"))
+    right = dealt.select("k", F.col("id").alias("b"), F.col("fp").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("low"), F.col("own").alias("high"))
+    pairs = left.join(right.hint("merge"), ["k", "low", "high"]).where((F.col("a") < F.col("b")) | (F.col("low") < F.col("high")))
+    kind = prints.schema[id_col].dataType.simpleString()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+        for batch in batches:
+            same = slots(batch.column(2)) == slots(batch.column(3))
+            first = same[:, : width * bands].reshape(-1, bands, width).all(2).argmax(1) == batch.column(4).to_numpy()
+            near = np.maximum(0.0, (same.mean(1) - 1 / 256) / (1 - 1 / 256))
+            kept = pa.array(first & (near >= least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(near).filter(kept)], ["a", "b", "likeness"])
+
+    found = pairs.select("a", "b", "x", "y", "band").mapInArrow(compared, f"a {kind}, b {kind}, likeness double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
 
 
 def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "id") -> DataFrame:
@@ -289,9 +302,3 @@ def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "id") -> D
     named = rooted.select(F.col("fingerprint").alias("own"), F.coalesce("root", "leader").alias("class"), F.coalesce("n", F.lit(0)).alias("n_links"))
     found = own.join(named, (F.col("fingerprint") == F.col("own")) & F.col("id").isNotNull(), "left")
     return found.select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _likeness(x: Column, y: Column) -> Column:
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    same = F.size(F.filter(slots, lambda i: F.substring(x, 2 * i + 1, F.lit(2)) == F.substring(y, 2 * i + 1, F.lit(2)))) / F.lit(float(SLOTS))
-    return F.greatest(F.lit(0.0), (same - 1 / 256) / (1 - 1 / 256))
