@@ -218,6 +218,72 @@ def test_other_partitions_draw_the_same_windows(spark):
     assert (one[0] == many[0]).all() and (one[1] == many[1]).all() and 0.5 * total / 10 < len(one[1]) < 2 * total / 10
 
 
+def ordered_and_mixed(spark, n=3000):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(8):
+        words = [w for a in (rng.choice("pqrs") for _ in range(n)) for w in (a, f"mid{a}", a)]
+        rows.append((2 * i, " ".join(words), None, None, 0))
+        rng.shuffle(words)
+        rows.append((2 * i + 1, " ".join(words), None, None, 0))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_windows_beyond_those_of_the_driver_are_learnt_from(spark):
+    docs = ordered_and_mixed(spark)
+    model = pseudolikelihood.learn(docs, most=0, shard=60_000)  # no window is left for the driver
+    got = {r.id: r.log_likelihood / r.n_tokens for r in pseudolikelihood.score(docs, model).collect()}
+    assert all(got[i] > got[i + 1] + 0.3 for i in range(0, 16, 2))
+    counts = counted(docs)
+    for r in docs.where("doc_id < 2").collect():
+        text = " ".join(r.text.split()[:200])
+        own = pseudolikelihood.score(spark.createDataFrame([(1, text, None, None, 0)], DOCS), model).first().log_likelihood
+        assert abs(own - brute_score(text, model, counts)) < 1e-3 * abs(own)
+    again = pseudolikelihood.learn(docs.repartition(7), most=0, shard=60_000).network
+    assert all((a == b).all() for a, b in zip(model.network.weights(), again.weights()))
+
+
+def test_every_window_is_dealt_once(spark):
+    docs = spark.createDataFrame([(i, prose(n, i), "en", "s", 1) for i, n in enumerate([0, 1, 5, 1023, 1024, 1025, 5000])] + [(9, None, None, None, 0)], DOCS)
+    known, _ = pseudolikelihood.vocabulary(pseudolikelihood.count_words(docs), 40, 20, 10**6)
+    rows, n, got = pseudolikelihood.dealt(docs, known, 3).collect(), len(known.counts), Counter()
+    assert {r.round for r in rows} <= set(range(pseudolikelihood.ROUNDS)) and {r.shard for r in rows} <= {0, 1, 2} and len({(r.round, r.shard) for r in rows}) > 3
+    for r in rows:
+        tokens = np.frombuffer(bytes(r.tokens), np.min_scalar_type(n)).tolist()
+        got.update(tuple(tokens[i - 2 : i + 3]) for i in range(2, len(tokens) - 2))
+    want = Counter()
+    for r in docs.collect():
+        own = [n, n, *known.read(split([(r.text or "").encode()]))[0].tolist(), n, n]
+        want.update(tuple(own[i - 2 : i + 3]) for i in range(2, len(own) - 2))
+    assert got == want and got.total() == sum(counted(docs).values())
+
+
+def test_gradients_of_the_network():
+    rng, counts = np.random.default_rng(4), np.sort(rng_counts())[::-1]
+    x, y = rng.integers(0, len(counts) + 1, (500, 4)), rng.integers(0, len(counts), 500)
+    net = pseudolikelihood.start(counts)
+    before = net.logs(x, y).sum()
+    first = [p.copy() for p in net.weights()]
+    pseudolikelihood.descend(net, lambda own: (x[own].T, y[own]), len(y), len(y), (1e-4, 1e-4))
+    # one step of Adam goes by the gradient's sign: compare with differences of the loss
+    for k, (p, q) in enumerate(zip(first, net.weights())):
+        for at in rng.integers(0, p.size, 6):
+            moved = np.sign(np.round((q - p).ravel()[at], 6))
+            slope = []
+            for step in (0.02, -0.02):
+                other = pseudolikelihood.start(counts)
+                other.weights()[k].reshape(-1)[at] += step
+                slope.append(other.logs(x, y).sum(dtype=np.float64))
+            slope = slope[0] - slope[1]
+            assert moved == np.sign(slope) or abs(slope) < 2e-3
+    assert net.logs(x, y).sum() > before
+
+
+def rng_counts():
+    return np.random.default_rng(5).integers(1, 900, 60)
+
+
 def test_query_of_scores(spark):
     rows = queries.op6_masked_pseudo_likelihood(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -12,30 +12,38 @@ of all words of that ending. What is left of the ending goes to words that the c
 chances. So the probabilities of all words add up to one at most.
 
 Spark counts every word of every document by its text; these tables grow with the corpus. The counts of the most frequent words
-go along with the tasks, all others are joined. The network is fitted to at most about WINDOWS windows, drawn from all documents.
+go along with the tasks, all others are joined. The network is fitted to the windows of all words of every document. Where there are more
+than WINDOWS of them, their tokens are dealt over tasks by hashes; each task goes on from the same network with its own windows, and the networks'
+mean, by windows, is what the next round goes on from. Each window is read in one of the rounds.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Words, hashes, split
+from .bytewords import _STEP, Words, hashes, mixed, split
 from .common import materialise, pieces, small_batches, utf8
 
 #: Words that are tokens of the network, endings of two bytes, and words whose counts go along with the tasks.
 NETWORK_WORDS, ENDINGS, ALONG = 4096, 512, 1 << 18
 SIDE, CLASSES, HIDDEN = 2, 64, 32
-#: Windows that training reads, on average, and passes over them.
+#: Windows up to which the driver fits the network, and its passes over them.
 WINDOWS, PASSES = 1 << 19, 2
+#: With more windows: those of a shard in all rounds, the rounds (each reads twice as many as the one before), and how many words are dealt together.
+SHARD, ROUNDS, STRETCH = 1 << 23, 4, 1 << 10
+#: Learning rates from round to round, and windows of a batch at most.
+RATES, BATCH = (0.04, 0.03, 0.03, 0.03, 0.002), 1 << 15
+#: Rows of which the networks of a round are made, each of which is averaged in a task.
+BLOCKS = 16
 #: Words that a task counts before it hands the counts on, and rows of one matrix product.
-COUNTED, ROWS = 1 << 19, 1 << 14
+COUNTED, ROWS = 1 << 19, 1 << 12
 #: Log-probability of a byte, or of the end, of a word that the corpus does not have.
 BYTE = -float(np.log(257))
 
@@ -87,27 +95,33 @@ class Network:
         total = self.embed[0].take(windows[:, 0], 0)
         for i in range(1, len(self.embed)):
             total += self.embed[i].take(windows[:, i], 0)
-        return np.tanh(total + self.bias)
+        total += self.bias
+        return np.tanh(total, out=total)
 
-    def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class that occurs, with the places of its targets."""
-        kind = np.searchsorted(self.cuts, targets, "right").astype(np.int16) - 1
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(len(self.cuts)))
-        for c in np.flatnonzero(np.diff(edge)):
-            yield int(c), order[edge[c] : edge[c + 1]]
+    def weights(self) -> list[np.ndarray]:
+        return [self.embed, self.bias, self.out, self.out_bias, self.inner, self.inner_bias]
+
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The class of each of some sorted targets, and for each class that occurs where its targets and its tokens start and end."""
+        kind = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))[targets]
+        edge = np.flatnonzero(np.diff(kind, prepend=-1, append=-1)).tolist()
+        return kind, [(i, j, int(self.cuts[kind[i]]), int(self.cuts[kind[i] + 1])) for i, j in zip(edge[:-1], edge[1:])]
 
     def logs(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """The log-probability of each target within its window."""
         found = np.zeros(len(targets), np.float32)
+        order = np.argsort(targets, kind="stable")
         for a in range(0, len(targets), ROWS):
-            own, hidden = targets[a : a + ROWS], self.hidden(windows[a : a + ROWS])
+            at = order[a : a + ROWS]
+            own, hidden = targets[at], self.hidden(windows[at])
+            kind, spans = self.by_class(own)
             z = hidden @ self.out + self.out_bias
-            norm = np.log(np.exp(z).sum(1))
-            for c, at in self.by_class(own):
-                b, e = self.cuts[c], self.cuts[c + 1]
-                y = hidden[at] @ self.inner[:, b:e] + self.inner_bias[b:e]
-                found[a + at] = z[at, c] - norm[at] + y[np.arange(len(at)), own[at] - b] - np.log(np.exp(y).sum(1))
+            got = z[np.arange(len(own)), kind]
+            norm = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
+            for i, j, b, e in spans:
+                y = hidden[i:j] @ self.inner[:, b:e] + self.inner_bias[b:e]
+                got[i:j] += y[np.arange(j - i), own[i:j] - b] - np.log(np.exp(y, out=y) @ np.ones(e - b, np.float32))
+            found[at] = got - np.log(norm)
         return found
 
 
@@ -199,50 +213,159 @@ def start(counts: np.ndarray, seed: int = 9) -> Network:
     )
 
 
-def train(around: np.ndarray, targets: np.ndarray, counts: np.ndarray, passes: int = PASSES, batch: int = 2048, least_steps: int = 60, rate: float = 0.01, seed: int = 9) -> Network:
-    """A network for windows and the tokens within them, by Adam on the cross-entropy; few windows are gone through more often."""
-    net, rng = start(counts, seed), np.random.default_rng(seed)
-    if not len(targets):
-        return net
-    params = [net.embed, net.bias, net.out, net.out_bias, net.inner, net.inner_bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    rounds = max(passes, -(-least_steps // -(-len(targets) // batch)))
-    steps, step = rounds * -(-len(targets) // batch), 0
-    for _ in range(rounds):
-        shuffled = rng.permutation(len(targets))
-        for a in range(0, len(shuffled), batch):
-            own = shuffled[a : a + batch]
-            x, y = around[own], targets[own]
-            hidden = net.hidden(x)
-            wrong = hidden @ net.out + net.out_bias
-            wrong = np.exp(wrong - wrong.max(1, keepdims=True))
-            wrong /= wrong.sum(1, keepdims=True)
-            grads = [np.zeros_like(p) for p in params]
-            back = np.zeros_like(hidden)
-            for c, at in net.by_class(y):
-                b, e = net.cuts[c], net.cuts[c + 1]
-                wrong[at, c] -= 1
-                q = hidden[at] @ net.inner[:, b:e] + net.inner_bias[b:e]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), y[at] - b] -= 1
-                grads[4][:, b:e], grads[5][b:e] = hidden[at].T @ q, q.sum(0)
-                back[at] = q @ net.inner[:, b:e].T
-            grads[2][:], grads[3][:] = hidden.T @ wrong, wrong.sum(0)
-            back = (back + wrong @ net.out.T) * (1 - hidden**2)
-            grads[1][:] = back.sum(0)
+def descend(net: Network, look: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, batch: int, rates: tuple[float, float], passes: int = 1, seed: int = 9) -> None:
+    """Fit a network, in place, to n windows by Adam on the cross-entropy; look(numbers) gives windows, one a column, and the tokens within them.
+
+    The rate falls from the first to the last of `rates`.
+    """
+    rng, params = np.random.default_rng(seed), net.weights()
+    grads, moments = [np.zeros_like(p) for p in params], [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    embed, bias, out, out_bias, inner, inner_bias = grads
+    steps, step = passes * -(-n // batch), 0
+    for _ in range(passes):
+        shuffled = rng.permutation(n)
+        for a in range(0, n, batch):
+            x, y = look(shuffled[a : a + batch])
+            order = np.argsort(y, kind="stable")
+            x, y, backs = x.astype(np.intp).take(order, 1), y[order].astype(np.intp), np.empty((len(bias), len(y)))
+            for g in grads:
+                g[...] = 0
+            for b in range(0, len(y), ROWS):
+                own, hidden = y[b : b + ROWS], net.hidden(x[:, b : b + ROWS].T)
+                kind, spans = net.by_class(own)
+                wrong = hidden @ net.out
+                wrong += net.out_bias
+                np.exp(wrong, out=wrong)
+                wrong /= (wrong @ np.ones(wrong.shape[1], np.float32))[:, None]
+                wrong[np.arange(len(own)), kind] -= 1
+                back = wrong @ net.out.T
+                out += hidden.T @ wrong
+                out_bias += np.ones(len(own), np.float32) @ wrong
+                for i, j, first, last in spans:
+                    part, weights = hidden[i:j], net.inner[:, first:last]
+                    q = part @ weights
+                    q += net.inner_bias[first:last]
+                    np.exp(q, out=q)
+                    q /= (q @ np.ones(last - first, np.float32))[:, None]
+                    q[np.arange(j - i), own[i:j] - first] -= 1
+                    inner[:, first:last] += part.T @ q
+                    inner_bias[first:last] += np.ones(j - i, np.float32) @ q
+                    back[i:j] += q @ weights.T
+                hidden *= hidden
+                back *= np.subtract(1, hidden, out=hidden)
+                backs[:, b : b + ROWS] = back.T
+            bias += backs.sum(1)
             for i in range(2 * SIDE):
-                np.add.at(grads[0][i], x[:, i], back)
+                for unit, back in enumerate(backs):
+                    embed[i, :, unit] = np.bincount(x[i], back, embed.shape[1])
             step += 1
-            now = rate * (1 - 0.9 * step / steps)
+            now = (rates[0] + (rates[1] - rates[0]) * step / steps) / (1 - 0.9**step) * (1 - 0.99**step) ** 0.5
             for p, g, (m, v) in zip(params, grads, moments):
-                g /= len(own)
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= (now / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                g *= np.float32(1 / len(y))
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.99
+                g *= g
+                g *= 0.01
+                v += g
+                np.sqrt(v, out=g)
+                g += 1e-7
+                np.divide(m, g, out=g)
+                g *= np.float32(now)
+                p -= g
+
+
+def train(around: np.ndarray, targets: np.ndarray, counts: np.ndarray, passes: int = PASSES, batch: int = 2048, least_steps: int = 60, rate: float = 0.01, seed: int = 9) -> Network:
+    """A network for windows and the tokens within them; few windows are gone through more often."""
+    net = start(counts, seed)
+    if len(targets):
+        passes = max(passes, -(-least_steps // -(-len(targets) // batch)))
+        descend(net, lambda own: (around[own].T, targets[own]), len(targets), batch, (rate, 0.1 * rate), passes, seed)
     return net
 
 
+def dealt(docs: DataFrame, known: Vocabulary, shards: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(round, shard, h, at, tokens): the tokens of all texts, cut into stretches of STRETCH words that have SIDE more on either side, by hashes.
+
+    `at` is a stretch's number in its text, of which h is a hash, with its id. So the same rows are dealt alike, whatever files and partitions they come in.
+    """
+    beyond = len(known.counts)
+    kind, ends = np.min_scalar_type(beyond), np.full(SIDE, beyond)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words = split(utf8(batch.column(0)))
+            tokens = known.read(words)[0]
+            count = -(-words.count // STRETCH)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            h = np.repeat(batch.column(1).to_numpy(), count)
+            place = mixed(mixed(h.view(np.uint64)) + at.astype(np.uint64) * np.uint64(_STEP))
+            turn = np.searchsorted(2 ** np.arange(1, ROUNDS) - 1, (place >> np.uint64(32)) % np.uint64(2**ROUNDS - 1), "right")
+            made = []
+            for first, n in zip(words.first.tolist(), words.count.tolist()):
+                text = np.concatenate([ends, tokens[first : first + n], ends]).astype(kind)
+                made += [text[a : a + STRETCH + 2 * SIDE].tobytes() for a in range(0, n, STRETCH)]
+            shard = (place & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays([pa.array(turn.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(h), pa.array(at), pa.array(made, pa.binary())], ["round", "shard", "h", "at", "tokens"])
+
+    return docs.select(F.col(text_col).alias("text"), _key(docs, text_col, id_col)).mapInArrow(run, "round int, shard int, h long, at long, tokens binary")
+
+
+def fit(stretches: DataFrame, known: Vocabulary, shards: int) -> Network:
+    """A network for all windows of what dealt() gives: in each round every shard's task goes on from one network, and the mean of theirs is the next.
+
+    Only the network, of fixed size, passes through the driver.
+    """
+    net, kind = start(known.counts), np.min_scalar_type(len(known.counts))
+    shifts = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+    shapes = [p.shape for p in net.weights()]
+
+    def unpacked(flat: np.ndarray) -> Network:
+        return Network(net.cuts, *[w.reshape(shape) for w, shape in zip(np.split(flat, np.cumsum([np.prod(s) for s in shapes])[:-1]), shapes)])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, n = 0.0, 0, 0
+        for b in batches:
+            for block, own, flat in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                total, n = total + own * np.frombuffer(flat, np.float32).astype(np.float64), n + own
+        if n:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+    flat = np.concatenate([p.ravel() for p in net.weights()])
+    for turn in range(ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            shard, parts = 0, [np.zeros(0, kind)]
+            for b in batches:
+                shard = b.column(0)[0].as_py() if b.num_rows else shard
+                parts += [np.frombuffer(t, kind) for t in b.column(1).to_pylist()]
+            upto = np.cumsum([len(p) for p in parts]).tolist()
+            tokens, where = np.concatenate(parts), np.concatenate([np.zeros(0, np.int32), *(np.arange(a + SIDE, b - SIDE, dtype=np.int32) for a, b in zip(upto, upto[1:]))])
+            n = len(where)
+            if not n:
+                return
+            own = unpacked(flat.copy())
+
+            def look(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = np.sort(where[rows])
+                return np.stack([tokens.take(at + i) for i in shifts]), tokens[at]
+
+            descend(own, look, n, min(BATCH, max(256, n // 64)), RATES[turn : turn + 2], seed=shard * ROUNDS + turn)
+            for i, piece in enumerate(np.array_split(np.concatenate([p.ravel() for p in own.weights()]), BLOCKS)):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "flat": pa.array([piece.tobytes()], pa.binary())})
+
+        rows = stretches.where(F.col("round") == turn).repartitionById(shards, F.col("shard")).sortWithinPartitions("h", "at").select("shard", "tokens")
+        made = rows.mapInArrow(run, "block int, shard int, n long, flat binary").repartitionById(BLOCKS, F.col("block")).sortWithinPartitions("shard")
+        got = sorted(made.mapInArrow(mean, "block int, flat binary").collect(), key=lambda r: r.block)
+        if got:  # else no stretch fell to this round
+            flat = np.frombuffer(b"".join(bytes(r.flat) for r in got), np.float32)
+    return unpacked(flat)
+
+
+def _key(docs: DataFrame, text_col: str, id_col: str) -> Column:
+    return F.xxhash64(*[c for c in (id_col, text_col) if c in docs.columns], F.lit(9)).alias("h")
+
+
 def drawn(docs: DataFrame, known: Vocabulary, text_col: str, total: int, most: int = WINDOWS, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """Windows and their words' tokens, all of them or about `most`: one of eight of the words of texts that are drawn by a hash of id and text.
 
@@ -260,19 +383,24 @@ def drawn(docs: DataFrame, known: Vocabulary, text_col: str, total: int, most: i
             rows = np.column_stack([windows(tokens, words.count, len(known.counts)), tokens])[chosen].astype(np.int32)
             yield pa.RecordBatch.from_pydict({"window": pa.array([rows.tobytes()], pa.binary())})
 
-    key = F.xxhash64(*[c for c in (id_col, text_col) if c in docs.columns], F.lit(9))
-    some = docs.select(F.col(text_col).alias("text"), key.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < texts * (1 << 30))
+    some = docs.select(F.col(text_col).alias("text"), _key(docs, text_col, id_col)).where(F.pmod("h", F.lit(1 << 30)) < texts * (1 << 30))
     found = np.frombuffer(b"".join(some.mapInArrow(run, "window binary").toArrow().column(0).to_pylist()), np.int32).reshape(-1, 2 * SIDE + 1).astype(np.int64)
     found = found[np.lexsort(found.T)]
     return found[:, :-1], found[:, -1]
 
 
-def learn(docs: DataFrame, text_col: str = "text", words: int = NETWORK_WORDS, endings: int = ENDINGS, along: int = ALONG, most: int = WINDOWS, id_col: str = "doc_id") -> Model:
-    """Counts of all words of every document, then the network, fitted to about `most` windows at most."""
+def learn(
+    docs: DataFrame, text_col: str = "text", words: int = NETWORK_WORDS, endings: int = ENDINGS, along: int = ALONG, most: int = WINDOWS, id_col: str = "doc_id", shard: int = SHARD
+) -> Model:
+    """Counts of all words of every document, then the network, fitted to all windows: on the driver if they are `most` at most, else in tasks that read about `shard` each."""
     small_batches(docs.sparkSession)
     counted = materialise(count_words(docs, text_col), "words")
     known, rare = vocabulary(counted, words, endings, along)
-    return Model(known, train(*drawn(docs, known, text_col, int(known.counts.sum()), most, id_col), known.counts), rare)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    if total <= most:
+        return Model(known, train(*drawn(docs, known, text_col, total, total, id_col), known.counts), rare)
+    shards = -(-total // shard)
+    return Model(known, fit(materialise(dealt(docs, known, shards, text_col, id_col), "stretches"), known, shards), rare)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
