@@ -280,6 +280,18 @@ def test_gradients_of_the_network():
     assert net.logs(x, y).sum() > before
 
 
+def test_a_crowded_shard_is_read_in_parts(spark, monkeypatch):
+    # equal rows meet in one shard, of whatever size
+    monkeypatch.setattr(pseudolikelihood, "SHARD", 4000)
+    text = ordered_and_mixed(spark, 500).first().text
+    docs = spark.createDataFrame([(1, text, None, None, 0)] * 30, DOCS)
+    known, _ = pseudolikelihood.vocabulary(pseudolikelihood.count_words(docs), 40, 20, 10**6)
+    net = pseudolikelihood.fit(pseudolikelihood.dealt(docs, known, 1), known, 1)
+    tokens = known.read(split([text.encode()]))[0]
+    around = pseudolikelihood.windows(tokens, np.array([len(tokens)]), len(known.counts))
+    assert net.logs(around, tokens).mean() > pseudolikelihood.start(known.counts).logs(around, tokens).mean() + 0.5
+
+
 def rng_counts():
     return np.random.default_rng(5).integers(1, 900, 60)
 

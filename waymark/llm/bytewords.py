@@ -11,6 +11,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _STEP, _MIX = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9
+#: Masks of the first bytes of a lane.
+_FIRST = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,15 +53,13 @@ def split(texts: list[bytes]) -> Words:
 def hashes(words: Words, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word, from its bytes in lanes of 8; equal words have equal hashes."""
     data = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))  # the eight bytes from each byte on
     length = words.end - words.start
     out = np.full(len(length), np.uint64(seed & (2**64 - 1))) + length.astype(np.uint64) * np.uint64(_STEP)
     out = mixed(out)
-    live, at = np.arange(len(length)), words.start.copy()
-    left = length.copy()
+    live, at, left = np.arange(len(length)), words.start, length
     while len(live):
-        lane = np.zeros(len(live), np.uint64)
-        for i in range(8):  # bytes beyond the word's end are masked
-            lane |= np.where(left > i, data[at + np.minimum(i, left - 1)], 0).astype(np.uint64) << np.uint64(8 * i)
+        lane = lanes[at] & _FIRST[np.minimum(left, 8)]  # bytes beyond the word's end are masked
         out[live] = mixed((out[live] ^ lane) * np.uint64(_STEP))
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8

@@ -71,7 +71,9 @@ class Vocabulary:
         share, missed = -self.share[token], np.ones(len(token), bool)
         if len(self.keys):
             key = hashes(words, self.seed)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            order = np.argsort(key)  # sorted keys are found faster
+            at = np.empty(len(key), np.int64)
+            at[order] = np.minimum(np.searchsorted(self.keys, key[order]), len(self.keys) - 1)
             hit = np.flatnonzero(self.keys[at] == key)
             missed[hit] = False
             token[hit] = self.token[at[hit]]
@@ -311,13 +313,27 @@ def dealt(docs: DataFrame, known: Vocabulary, shards: int, text_col: str = "text
     return docs.select(F.col(text_col).alias("text"), _key(docs, text_col, id_col)).mapInArrow(run, "round int, shard int, h long, at long, tokens binary")
 
 
+def go_on(net: Network, stretches: list[np.ndarray], rates: tuple[float, float], seed: int) -> int:
+    """Fit a network, in place, to all windows of stretches of tokens, each of which it reads once; their number."""
+    if not stretches:
+        return 0
+    upto = np.cumsum([0, *map(len, stretches)]).tolist()
+    tokens, where = np.concatenate(stretches), np.concatenate([np.arange(a + SIDE, b - SIDE, dtype=np.int32) for a, b in zip(upto, upto[1:])])
+
+    def look(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.sort(where[rows])
+        return np.stack([tokens.take(at + i) for i in [*range(-SIDE, 0), *range(1, SIDE + 1)]]), tokens[at]
+
+    descend(net, look, len(where), min(BATCH, max(256, len(where) // 64)), rates, seed=seed)
+    return len(where)
+
+
 def fit(stretches: DataFrame, known: Vocabulary, shards: int) -> Network:
     """A network for all windows of what dealt() gives: in each round every shard's task goes on from one network, and the mean of theirs is the next.
 
     Only the network, of fixed size, passes through the driver.
     """
     net, kind = start(known.counts), np.min_scalar_type(len(known.counts))
-    shifts = [*range(-SIDE, 0), *range(1, SIDE + 1)]
     shapes = [p.shape for p in net.weights()]
 
     def unpacked(flat: np.ndarray) -> Network:
@@ -335,22 +351,16 @@ def fit(stretches: DataFrame, known: Vocabulary, shards: int) -> Network:
     for turn in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            shard, parts = 0, [np.zeros(0, kind)]
+            own, shard, n, parts, held = unpacked(flat.copy()), 0, 0, [], 0
             for b in batches:
                 shard = b.column(0)[0].as_py() if b.num_rows else shard
                 parts += [np.frombuffer(t, kind) for t in b.column(1).to_pylist()]
-            upto = np.cumsum([len(p) for p in parts]).tolist()
-            tokens, where = np.concatenate(parts), np.concatenate([np.zeros(0, np.int32), *(np.arange(a + SIDE, b - SIDE, dtype=np.int32) for a, b in zip(upto, upto[1:]))])
-            n = len(where)
+                held += sum(map(len, parts[len(parts) - b.num_rows :]))
+                if held >= SHARD:  # so many only where rows are equal in id and text, as these meet in one shard
+                    n, parts, held = n + go_on(own, parts, RATES[turn : turn + 2], shard * ROUNDS + turn), [], 0
+            n += go_on(own, parts, RATES[turn : turn + 2], shard * ROUNDS + turn)
             if not n:
                 return
-            own = unpacked(flat.copy())
-
-            def look(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at = np.sort(where[rows])
-                return np.stack([tokens.take(at + i) for i in shifts]), tokens[at]
-
-            descend(own, look, n, min(BATCH, max(256, n // 64)), RATES[turn : turn + 2], seed=shard * ROUNDS + turn)
             for i, piece in enumerate(np.array_split(np.concatenate([p.ravel() for p in own.weights()]), BLOCKS)):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "flat": pa.array([piece.tobytes()], pa.binary())})
 
