@@ -159,3 +159,41 @@ def test_tasks_of_whole_places_grow_with_the_pages(spark, monkeypatch):
     found = plans.QUERIES["whole_places"](spark, "/root/testdata/sf0.01")
     assert found.rdd.getNumPartitions() == 8  # 1,500 pages
     same_rows(found, "/root/testdata/sf0.01", plans.ORACLE_SQL["whole_places"])
+
+
+def test_pairs_of_discovery_are_made_where_they_stay(spark):
+    """Pairs were shuffled to be made distinct and twice more for their texts, though they are far more than the rows."""
+    plan = plans.QUERIES["discovery_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Aggregate" not in plan
+
+
+def _some_candidates(spark, seed):
+    """Samples and candidates with copies, missing values and several contacts, and all their pairs: hits, postcode, contact, two address tokens."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["hall", "hal", "town", "north", "st", "grand"]
+    some = lambda of, n: [rng.choice(of) for _ in range(rng.randrange(n))] if rng.random() < 0.9 else None
+    samples = [(i, rng.choice(["A", "B", None]), some(words, 4), rng.choice(["P", "Q", "", None]), some(["x", "y", "z", None], 3), some(["road", "west", ""], 4)) for i in range(60)]
+    found = [(i, rng.choice(["A", "B", None]), rng.choice(["hall north", "grand hall", "st town", "", None]), rng.choice(["P", "Q", "", None]), some(["x", "y", "w", None], 3), rng.choice(["West Road", "road", "", None])) for i in range(100)]
+    left = spark.createDataFrame(samples, "id long, country string, tokens array<string>, postcode string, contacts array<string>, address_tokens array<string>")
+    right = spark.createDataFrame(found, "cid long, country string, text string, postcode string, contacts array<string>, address string")
+    pairs = {}
+    for i, c, tokens, code, contacts, street in samples:
+        for cid, d, text, other, theirs, address in found:
+            hits = sum(len(x) >= 3 and x in (text or "") for x in set(tokens or []))
+            same, shared = bool(code) and code == other, bool((set(contacts or []) & set(theirs or [])) - {None})
+            if c and c == d and (hits or same or shared):
+                pairs[i, cid] = hits, same, shared, sum(x != "" and x in (address or "").lower() for x in set(street or [])) >= 2
+    return left, right, pairs
+
+
+def test_each_pair_has_all_its_evidence_once(spark, monkeypatch):
+    from waymark.operators import matching
+
+    monkeypatch.setattr(pairing, "PER_ROW", 3)
+    monkeypatch.setattr(pairing, "PER_TASK", 40)
+    left, right, pairs = _some_candidates(spark, 7)
+    want = sorted((*k, [n for n, found in (("venue_name", hits > 0), ("address", same or inside), ("contact", shared)) if found]) for k, (hits, same, shared, inside) in pairs.items())
+    assert sorted(tuple(r) for r in matching.evidenced(left, right).select("id", "cid", "paths").collect()) == want
+    assert matching.discovered(left, right, most=None).count() == len(want)

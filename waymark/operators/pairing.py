@@ -28,10 +28,26 @@ def _dealt(left: DataFrame, right: DataFrame, on: list[str], by: Column, shares:
     return (found if condition is None else found.where(condition)).drop("_share")
 
 
-def crossed(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
-    """left joined with right on equal keys, where few keys have many rows of both; `by` is a column of left that tells its rows apart."""
-    one = F.lit(1).alias("_n")
-    return _dealt(left, right, on, F.col(by), *_shares(left.select(*on, one), right.select(*on, one), on))
+def crossed(left: DataFrame, right: DataFrame, on: list[str], by: str, condition: Column | None = None, size: str | None = None) -> DataFrame:
+    """left joined with right on equal keys, where few keys have many rows of both; `by` is a column of left that tells its rows apart.
+
+    `size` is a column of both that says for how many rows each stands, and goes along as _size1 and _size2.
+    """
+    n = (F.lit(1) if size is None else F.col(size)).alias("_n")
+    counts = _shares(left.select(*on, n), right.select(*on, n), on)
+    if size is not None:
+        left, right = left.withColumnRenamed(size, "_size1"), right.withColumnRenamed(size, "_size2")
+    return _dealt(left, right, on, F.col(by), *counts, condition)
+
+
+def packed(rows: DataFrame, on: list[str], by: str, into: str) -> DataFrame:
+    """rows with equal values of `on`, nulls among them, in arrays `into` of about PER_ROW of the other columns, and their number `size`; `by` tells rows apart."""
+    counted = rows.groupBy(F.struct(*on).alias("_g")).agg(F.count("*").alias("_n"))
+    cuts = counted.select("_g", F.ceil(F.col("_n") / F.lit(PER_ROW)).cast("int").alias("_cuts"))
+    other = F.struct(*[c for c in rows.columns if c not in on])
+    dealt = rows.select(F.struct(*on).alias("_g"), F.col(by).alias("_by"), other.alias("_row")).join(cuts.hint("merge"), "_g")
+    chunks = dealt.groupBy("_g", F.pmod(F.xxhash64("_by"), F.col("_cuts")).alias("_chunk")).agg(F.collect_list("_row").alias(into), F.count("*").alias("size"))
+    return chunks.select("_g.*", into, "size", F.monotonically_increasing_id().alias("_at"))
 
 
 def once(rows: DataFrame, on: list[str], by: str) -> DataFrame:
