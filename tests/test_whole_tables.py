@@ -188,6 +188,21 @@ def _some_candidates(spark, seed):
     return left, right, pairs
 
 
+@pytest.mark.parametrize("most", [2, 9])
+def test_best_candidates_are_those_of_all_pairs(spark, monkeypatch, most):
+    from waymark.operators import matching
+
+    monkeypatch.setattr(pairing, "PER_ROW", 3)
+    monkeypatch.setattr(pairing, "PER_TASK", 40)  # keys of several shares
+    left, right, pairs = _some_candidates(spark, most)
+    own = {}
+    for (i, cid), (hits, same, shared, _) in pairs.items():
+        own.setdefault(i, []).append((not same, -hits, cid, shared))
+    want = sorted((i, cid, -hits, not other, shared, len(rows)) for i, rows in own.items() for other, hits, cid, shared in sorted(rows)[:most])
+    got = matching.discovered(left, right, most=most).select("id", "cid", "hits", "postcode_matches", "contact_matches", "n_found")
+    assert sorted(map(tuple, got.collect())) == want and any(len(rows) > most for rows in own.values())
+
+
 def test_each_pair_has_all_its_evidence_once(spark, monkeypatch):
     from waymark.operators import matching
 
@@ -197,3 +212,14 @@ def test_each_pair_has_all_its_evidence_once(spark, monkeypatch):
     want = sorted((*k, [n for n, found in (("venue_name", hits > 0), ("address", same or inside), ("contact", shared)) if found]) for k, (hits, same, shared, inside) in pairs.items())
     assert sorted(tuple(r) for r in matching.evidenced(left, right).select("id", "cid", "paths").collect()) == want
     assert matching.discovered(left, right, most=None).count() == len(want)
+
+
+def test_best_candidates_without_all_pairs(spark):
+    """A hundred million pairs of 2,000 samples and 50,000 candidates that are all alike took minutes; the first ones and their number do not."""
+    from waymark.operators import matching
+
+    rows = lambda n, key: spark.range(n).select(F.col("id").alias(key), F.lit("A").alias("country"), F.when(F.col("id") % 4 == 1, "K").alias("postcode"), F.array().cast("array<string>").alias("contacts"))
+    began = time.time()
+    found = matching.discovered(rows(2000, "id").withColumn("tokens", F.array(F.lit("main"))), rows(50_000, "cid").withColumn("text", F.lit("main road")), most=2).collect()
+    assert time.time() - began < 60
+    assert sorted((r.id, r.cid, r.n_found) for r in found) == [(i, c, 50_000) for i in range(2000) for c in ((1, 5) if i % 4 == 1 else (0, 1))]

@@ -314,7 +314,7 @@ def candidate_discovery(t: Tables) -> DataFrame:
     found = t.part.select(
         p.alias("cid"), (F.col("p_size") % 5).cast("int").alias("country"), F.lower("p_name").alias("text"), F.when(p % 4 == 0, "").otherwise(of(p, 97, "P")).alias("postcode"), F.array(of(p, 101, "c")).alias("contacts")
     )
-    rows = matching.discovered(samples, found, most=20)
+    rows = matching.discovered(samples, found, most=20, counted=False)
     return rows.select("id", "cid", F.col("hits").cast("long").alias("hits"), F.col("postcode_matches").alias("postcode"), F.col("contact_matches").alias("contact"))
 
 
