@@ -223,3 +223,18 @@ def test_best_candidates_without_all_pairs(spark):
     found = matching.discovered(rows(2000, "id").withColumn("tokens", F.array(F.lit("main"))), rows(50_000, "cid").withColumn("text", F.lit("main road")), most=2).collect()
     assert time.time() - began < 60
     assert sorted((r.id, r.cid, r.n_found) for r in found) == [(i, c, 50_000) for i in range(2000) for c in ((1, 5) if i % 4 == 1 else (0, 1))]
+
+
+def test_the_cascade_shuffles_each_table_once(spark):
+    """Answers were shuffled some eight times and written twice."""
+    plan = plans.QUERIES["location_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_many_answers_of_an_entity_are_judged_as_few_are(spark, monkeypatch, few):
+    from waymark.operators import cascade
+
+    monkeypatch.setattr(cascade, "FEW", few)
+    for name in ("location_cascade", "cascade_rungs"):
+        same_rows(plans.QUERIES[name](spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001", plans.ORACLE_SQL[name])

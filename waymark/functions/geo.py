@@ -58,18 +58,27 @@ def pinnable(verification: Column, precision: Column, confidence: Column) -> Col
     return F.coalesce((verification == "verified") & (tier(precision) >= 3) & (confidence >= 0.5), F.lit(False))
 
 
+def folded(c: Column) -> Column:
+    """What a postcode, city or country is compared by."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+
+
 def candidate_score(precision: Column, postcode: Column, city: Column, country: Column, want_postcode: Column, want_city: Column, want_country: Column) -> Column:
     """The tier, one more for an equal postcode and for an equal city; null rejects.
 
     A candidate of another country is rejected, as is one whose postcode starts otherwise (three characters), unless the cities agree.
     """
-    key = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    return folded_score(tier(precision), *map(folded, (postcode, city, country, want_postcode, want_city, want_country)))
+
+
+def folded_score(tier_: Column, postcode: Column, city: Column, country: Column, want_postcode: Column, want_city: Column, want_country: Column) -> Column:
+    """candidate_score() of values that are folded already."""
     differ = lambda a, b: (a != "") & (b != "") & (a != b)
     same = lambda a, b: (a != "") & (a == b)
-    cities = same(key(city), key(want_city))
-    region = lambda c: F.substring(key(c), 1, 3)
-    rejected = differ(key(country), key(want_country)) | (differ(region(postcode), region(want_postcode)) & ~cities)
-    return F.when(~rejected, tier(precision) + same(key(postcode), key(want_postcode)).cast("int") + cities.cast("int"))
+    cities = same(city, want_city)
+    region = lambda c: F.substring(c, 1, 3)
+    rejected = differ(country, want_country) | (differ(region(postcode), region(want_postcode)) & ~cities)
+    return F.when(~rejected, tier_ + same(postcode, want_postcode).cast("int") + cities.cast("int"))
 
 
 def agreement_limit(tier_a: Column, tier_b: Column, postcode_a: Column, postcode_b: Column, wanted: Column) -> Column:
@@ -95,9 +104,9 @@ def within_bounds(lat: Column, lng: Column, north: float, south: float, east: fl
 def plausible(places: DataFrame, bounds: DataFrame, country: str = "country", lat: str = "lat", lng: str = "lng") -> DataFrame:
     """places with a column `plausible`: inside the country's box, or of a country without one.
 
-    bounds has country, south, north, west and east, one row for each country.
+    bounds has country, south, north, west and east, one row for each country, so that it is broadcast and places stay where they are.
     """
-    box = bounds.select(F.col("country").alias("_c"), "south", "north", "west", "east")
+    box = F.broadcast(bounds.select(F.col("country").alias("_c"), "south", "north", "west", "east"))
     inside = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lng).between(F.col("west"), F.col("east"))
     joined = places.join(box, F.col(country) == F.col("_c"), "left").withColumn("plausible", F.coalesce(inside, F.lit(True)))
     return joined.drop("_c", "south", "north", "west", "east")

@@ -33,17 +33,22 @@ def resolve(candidates: DataFrame, entity: str = "entity") -> DataFrame:
     agreeing = pairs.where("agree").groupBy(entity).agg(F.min_by(F.struct("seq", "path", "score", "paths", "gap"), order).alias("pair"))
     nearest = pairs.join(top, entity).where("seq = best_seq OR other = best_seq").groupBy(entity).agg(F.min("gap").alias("nearest"))
     joined = top.join(agreeing, entity, "left").join(nearest, entity, "left")
-    path, score = F.coalesce("pair.path", "best_path"), F.coalesce("pair.score", "best_score")
-    admin, agreed = path == "admin", F.col("pair").isNotNull()
+    pair = F.col("pair")
+    return joined.select(entity, F.coalesce(pair["seq"], "best_seq").alias("seq"), F.coalesce(pair["path"], "best_path").alias("path"), *verdict(pair, F.struct(F.col("best_path").alias("path"), F.col("best_score").alias("score")), F.col("nearest")))
+
+
+def verdict(pair: Column, best: Column, nearest: Column) -> list[Column]:
+    """verification, confidence, paths and agreement_km, by the pair that agrees (path, score, paths, gap) or null, the best candidate (path, score), and how near the nearest of another path is to it."""
+    agreed, path, score = pair.isNotNull(), F.coalesce(pair["path"], best["path"]), F.coalesce(pair["score"], best["score"])
+    admin = path == "admin"
     two = lambda c: places(c, 2)
-    return joined.select(
-        entity, F.coalesce("pair.seq", "best_seq").alias("seq"), path.alias("path"),
-        F.when(admin | agreed, "verified").when(F.col("nearest") > geo.DIVERGE_KM, "conflicted").when(F.col("nearest").isNotNull(), "approximate").otherwise("unverified").alias("verification"),
-        F.when(admin, F.lit(0.98)).when(agreed, two(F.least(F.lit(1.0), 0.55 + 0.08 * score))).when(F.col("nearest") > geo.DIVERGE_KM, F.lit(0.2)).when(F.col("nearest").isNotNull(), F.lit(0.35))
+    return [
+        F.when(admin | agreed, "verified").when(nearest > geo.DIVERGE_KM, "conflicted").when(nearest.isNotNull(), "approximate").otherwise("unverified").alias("verification"),
+        F.when(admin, F.lit(0.98)).when(agreed, two(F.least(F.lit(1.0), 0.55 + 0.08 * score))).when(nearest > geo.DIVERGE_KM, F.lit(0.2)).when(nearest.isNotNull(), F.lit(0.35))
         .otherwise(two(F.least(F.lit(0.45), 0.2 + 0.05 * score))).alias("confidence"),
-        F.when(admin, F.array(F.lit("admin"))).when(agreed, F.col("pair.paths")).otherwise(F.array("best_path")).alias("paths"),
-        F.when(~admin & agreed, places(F.col("pair.gap"), 3)).alias("agreement_km"),
-    )
+        F.when(admin, F.array(F.lit("admin"))).when(agreed, pair["paths"]).otherwise(F.array(best["path"])).alias("paths"),
+        F.when(~admin & agreed, places(pair["gap"], 3)).alias("agreement_km"),
+    ]
 
 
 def staged(candidates: DataFrame, entity: str = "entity", stage: str = "stage", stages: int = 4) -> DataFrame:
