@@ -238,3 +238,24 @@ def test_many_answers_of_an_entity_are_judged_as_few_are(spark, monkeypatch, few
     monkeypatch.setattr(cascade, "FEW", few)
     for name in ("location_cascade", "cascade_rungs"):
         same_rows(plans.QUERIES[name](spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001", plans.ORACLE_SQL[name])
+
+
+def test_best_candidates_come_from_few_pairs(spark, monkeypatch):
+    """All pairs of a key were sorted, to keep five of each sample."""
+    monkeypatch.setattr(pairing, "PER_TASK", 1000)
+    left, right = (spark.range(600).select(F.col("id").alias(c), F.lit(1).alias("g")) for c in ("p", "s"))
+    valued = lambda pairs: pairs.withColumn("_v", (F.col("p") * 7 + F.col("s") * 13) % 101)
+    got = [(r.s, r.p) for r in pairing.least(left, right, ["g"], "p", "s", valued, 3).select("s", "p").collect()]
+    assert len(got) == len(set(got)) < 600 * 600 / 20
+    for s in range(600):
+        value = {p: (p * 7 + s * 13) % 101 for p in range(600)}
+        bound = sorted(value.values())[2]
+        assert {p for p in value if value[p] <= bound} <= {p for x, p in got if x == s} if s % 50 == 0 else True
+
+
+@pytest.mark.parametrize("shares", [2, 40])
+def test_ranks_by_shares_are_those_of_all_pairs(spark, monkeypatch, shares):
+    """With two shares a sample has fewer than it wants candidates, and needs all of both."""
+    monkeypatch.setattr(pairing, "PER_TASK", 3)
+    monkeypatch.setattr(pairing, "SHARES", shares)
+    same_rows(plans.QUERIES["candidate_ranking"](spark, "/root/testdata/sf0.01"), "/root/testdata/sf0.01", plans.ORACLE_SQL["candidate_ranking"])

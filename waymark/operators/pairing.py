@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 #: Pairs that a task makes, and copies of a value that lie in one row.
 PER_TASK, PER_ROW = 1_000_000, 1024
+#: Shares that least() cuts a key's rows into.
+SHARES = 256
 
 
 def _shares(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[int, int]:
@@ -40,6 +44,32 @@ def crossed(left: DataFrame, right: DataFrame, on: list[str], by: str, condition
     return _dealt(left, right, on, F.col(by), *counts, condition)
 
 
+def least(left: DataFrame, right: DataFrame, on: list[str], by: str, sample: str, valued: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """Those pairs of crossed() that can be among the `most` with the least value of a sample: the others have a greater one than that many.
+
+    valued(pairs) gives them with a column _v, a number that is never null; `by` tells rows of left apart, `sample` those of right. All pairs are valued, none is
+    sorted or shuffled: a key's rows of left lie in SHARES, and of each share and sample the least value is kept. The `most`th least of these bounds
+    what a sample needs, and only the shares that reach it are gone through again. A key with few pairs is one share, as is left then.
+    """
+    one = F.lit(1).alias("_n")
+    shares, tasks = _shares(left.select(*on, one), right.select(*on, one), on)
+    if shares == 1:
+        return valued(_dealt(left, right, on, F.col(by), shares, tasks)).drop("_v")
+    to_cells = lambda rows: rows.repartition(tasks, *on, "_share")
+    x = to_cells(left.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int")))
+    copied = right.repartition(min(tasks, 32), sample)  # few files, but many copies of their rows
+    every = to_cells(copied.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
+    first = valued(x.join(every.hint("merge"), [*on, "_share"])).groupBy(*on, "_share", sample).agg(F.min("_v").alias("_least"))
+    of = Window.partitionBy(sample)
+    reached = first.withColumn("_rank", F.rank().over(of.orderBy("_least"))).where(F.col("_rank") <= most)
+    reached = reached.withColumn("_most", F.when(F.count("*").over(of) >= most, F.max("_least").over(of)))  # with fewer shares a sample needs all
+    again = right.join(materialise(reached.select(*on, "_share", sample, "_most"), "shares").hint("merge"), [*on, sample])
+    found = valued(x.join(to_cells(again).hint("merge"), [*on, "_share"]))
+    # as a generated column, as a plan that moves the filter to the pairs writes out all steps of their value for each use
+    found = found.withColumn("_w", F.explode(F.array("_v"))).where(F.col("_most").isNull() | (F.col("_w") <= F.col("_most")))
+    return found.drop("_v", "_w", "_most", "_share")
+
+
 def packed(rows: DataFrame, on: list[str], by: str, into: str) -> DataFrame:
     """rows with equal values of `on`, nulls among them, in arrays `into` of about PER_ROW of the other columns, and their number `size`; `by` tells rows apart."""
     counted = rows.groupBy(F.struct(*on).alias("_g")).agg(F.count("*").alias("_n"))

@@ -279,12 +279,18 @@ def candidate_match_decision(t: Tables) -> DataFrame:
     return matching.judged(_match_pairs(t)).select("s_suppkey", "p_partkey", "score", "n_paths", F.concat_ws(":", "decision", "reason").alias("decision"))
 
 
-def _match_pairs(t: Tables) -> DataFrame:
+def _match_sides(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, Column]]:
+    """Parts, suppliers and what is known of a pair of them."""
     key, no = F.col("s_suppkey") * 13 + F.col("p_partkey"), F.lit(False)
     flags = {"city_matches": key % 3 == 0, "postcode_matches": key % 5 == 0, "postcode_conflicts": key % 4 == 1, "city_conflicts": key % 6 == 1, "contact_matches": key % 17 == 0, "country_conflict": key % 19 == 0, "number_conflict": key % 8 == 3,
              "has_address": F.lit(True), "institution": key % 2 == 0, "subpremise_lost": key % 9 == 0, "subpremise_conflict": no, "same_operator": key % 10 == 7, "is_address": key % 12 == 5}
-    pairs = pairing.crossed(t.part.select("p_partkey", F.col("p_size").cast("long").alias("size")), t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50).alias("size")), ["size"], "p_partkey")
-    return pairs.select("s_suppkey", "p_partkey", ((key % 11).cast("double") / 10).alias("name_score"), ((key % 7).cast("double") / 10).alias("address_score"), *[v.alias(k) for k, v in flags.items()])
+    scores = {"name_score": (key % 11).cast("double") / 10, "address_score": (key % 7).cast("double") / 10}
+    return t.part.select("p_partkey", F.col("p_size").cast("long").alias("size")), t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50).alias("size")), scores | flags
+
+
+def _match_pairs(t: Tables) -> DataFrame:
+    parts, suppliers, facts = _match_sides(t)
+    return pairing.crossed(parts, suppliers, ["size"], "p_partkey").select("s_suppkey", "p_partkey", *[v.alias(k) for k, v in facts.items()])
 
 
 @query(
@@ -294,7 +300,8 @@ def _match_pairs(t: Tables) -> DataFrame:
 )
 def candidate_ranking(t: Tables) -> DataFrame:
     """The five best candidates of each supplier."""
-    found = matching.ranked(matching.judged(_match_pairs(t)), "s_suppkey", "p_partkey")
+    parts, suppliers, facts = _match_sides(t)
+    found = matching.ranked_of(suppliers, parts, ["size"], facts, "s_suppkey", "p_partkey")
     return found.select("s_suppkey", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
